@@ -27,8 +27,8 @@ from .copies import (
     PRINT,
     REP,
     VEC,
+    distinct_vectors,
     distinct_with_members,
-    members,
     records,
 )
 from .lookup import attach
@@ -68,6 +68,21 @@ def _list(column: pa.ChunkedArray) -> pa.ListArray:
     return lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
 
 
+def _cells_to_visit(
+    plan: Layout, rows: np.ndarray, floor: np.ndarray, probes: int | None
+) -> np.ndarray:
+    """(row, cell) mask: cells that may beat the floor, or the nearest few when approximate."""
+    if probes is None:
+        hope = B.best_possible(plan.metric, rows, plan.centres, plan.radius)
+        return hope >= (floor - B.SLACK * (1 + np.abs(floor)))[:, None]
+    near = B.gaps(plan.metric, rows, plan.centres)
+    near[:, plan.blocks == 0] = np.inf
+    cells = np.zeros(near.shape, dtype=bool)
+    close = np.argsort(near, axis=1, kind="stable")[:, :probes]
+    np.put_along_axis(cells, close, True, axis=1)
+    return cells
+
+
 def _seed(layout: Broadcast, keep: int, probes: int | None):
     """Score a block against itself: own candidates, the floor, and the blocks still to visit."""
 
@@ -94,16 +109,7 @@ def _seed(layout: Broadcast, keep: int, probes: int | None):
             if len(plan.centres) == 1:
                 targets.append(pa.array([[]] * len(mine), pa.list_(pa.int32())))
                 continue
-            hope = B.best_possible(plan.metric, mine, plan.centres, plan.radius)
-            if probes is None:
-                cells = hope >= (floor - B.SLACK * (1 + np.abs(floor)))[:, None]
-            else:
-                near = B.gaps(plan.metric, mine, plan.centres)
-                near[:, plan.blocks == 0] = np.inf
-                cells = np.zeros(near.shape, dtype=bool)
-                close = np.argsort(near, axis=1, kind="stable")[:, :probes]
-                np.put_along_axis(cells, close, True, axis=1)
-            targets.append(wide_targets(plan, cells, own[part]))
+            targets.append(wide_targets(plan, _cells_to_visit(plan, mine, floor, probes), own[part]))
         row, at = np.concatenate(rows), np.concatenate(at)
         offsets = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=count))], pa.int32())
         cands = pa.StructArray.from_arrays(
@@ -284,4 +290,114 @@ def _for_members(rows: DataFrame, distinct: DataFrame, ranked: DataFrame, top_k:
     )
 
 
+def _first_block(layout: Broadcast):
+    """Send every query to one block of its nearest cell."""
+
+    def run(batches):
+        plan: Layout = layout.value
+        first = plan.first
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rows = B.prepared(plan.metric, B.matrix(table.column(VEC)))
+            block = np.empty(len(rows), dtype=np.int32)
+            rep = table.column(REP).to_numpy()
+            for part in B.slices(len(rows), len(plan.centres)):
+                near = B.gaps(plan.metric, rows[part], plan.centres)
+                near[:, plan.blocks == 0] = np.inf
+                cell = near.argmin(1)
+                block[part] = first[cell] + rep[part] % plan.blocks[cell]
+            yield from table.append_column(BLOCK, pa.array(block)).to_batches()
+
+    return run
+
+
+def _onward(layout: Broadcast, probes: int | None):
+    """The further blocks a query has to visit once it has a floor."""
 
+    def run(batches):
+        plan: Layout = layout.value
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rows = B.prepared(plan.metric, B.matrix(table.column(VEC)))
+            floor, seen = table.column("_floor").to_numpy(), table.column(BLOCK).to_numpy()
+            targets = [
+                wide_targets(plan, _cells_to_visit(plan, rows[part], floor[part], probes), seen[part])
+                for part in B.slices(len(rows), int(plan.blocks.sum()))
+            ]
+            table = table.append_column("_targets", pa.chunked_array(targets))
+            yield from table.drop_columns([BLOCK]).to_batches()
+
+    return run
+
+
+def nearest(
+    queries: DataFrame,
+    id: str,
+    vec: str,
+    stored: DataFrame,
+    stored_id: str,
+    stored_vec: str,
+    key: str | None = None,
+    stored_key: str | None = None,
+    metric: str = DEFAULT_METRIC,
+    top_k: int = DEFAULT_TOP_K,
+    decimals: int = DEFAULT_DECIMALS,
+    probes: int | None = None,
+    rows_per_block: int | None = None,
+) -> DataFrame:
+    """The ``top_k`` nearest stored rows of every query row: query_key, neighbor_key, rank, score."""
+    if top_k < 1:
+        raise ValueError("top_k must be at least 1.")
+    chosen = find_metric(metric)
+    ship(queries.sparkSession)
+    asked = records(queries, id, key, vec)
+    asking = written(distinct_vectors(asked), "queries")
+    hosts = written(
+        distinct_with_members(records(stored, stored_id, stored_key, stored_vec), top_k), "distinct"
+    )
+    count, dim, _ = _facts(hosts)
+    size = F.size(VEC)
+    low, high, copies = asking.agg(F.min(size), F.max(size), F.max("_copies")).first()
+    if count and low is not None and {low, high} != {dim}:
+        raise ValueError(f"Vectors differ in dimension: {low} to {high} asked, {dim} stored.")
+    placed = place(hosts, count, dim, metric, rows_per_block)
+    host_cols, guest_cols = [REP, KEY, VEC, "_ids", "_keys"], [REP, KEY, VEC, "_floor"]
+    nothing = F.lit(float("-inf"))
+
+    def scored(visits: DataFrame) -> DataFrame:
+        met = meetings(placed, visits, host_cols, guest_cols, alone=False)
+        return met.groupBy(BLOCK, "_group").applyInArrow(_visit(metric, top_k), CANDIDATE)
+
+    entering = asking.select(REP, KEY, VEC, nothing.alias("_floor"))
+    if placed.blocks == 1:
+        found = scored(entering.withColumn(BLOCK, F.lit(0)))
+    else:
+        vector = _vector_schema(asking)
+        state = f"{REP} long, {KEY} string, {VEC} {vector}, _floor double"
+        entered = written(entering.mapInArrow(_first_block(placed.layout), f"{state}, {BLOCK} int"), "entered")
+        near = written(scored(entered), "near")
+        full = F.when(F.count(F.lit(1)) >= top_k, F.min("_good")).otherwise(nothing)
+        floors = near.groupBy(REP).agg(full.alias("_best"))
+        informed = entered.join(floors, REP, "left").select(
+            REP, KEY, VEC, F.coalesce("_best", nothing).alias("_floor"), BLOCK
+        )
+        onward = informed.mapInArrow(
+            _onward(placed.layout, probes), f"{state}, _targets array<int>"
+        ).where(F.size("_targets") > 0)
+        visits = written(onward, "onward").select(*guest_cols, F.explode("_targets").alias(BLOCK))
+        found = near.unionByName(scored(visits))
+    ranked = _ranked(found, top_k)
+    if (copies or 0) > 1:
+        entry = F.struct("rank", "_cand_key", "_good")
+        lists = ranked.groupBy(REP).agg(F.collect_list(entry).alias("_list"))
+        listed = asking.select(REP, PRINT, VEC).join(lists, REP).drop(REP)
+        ranked = attach(asked, listed, [PRINT, VEC], skew=PRINT, how="inner").select(
+            KEY, F.inline("_list")
+        )
+    sign = -1.0 if chosen.ascending else 1.0
+    return ranked.select(
+        F.col(KEY).alias("query_key"),
+        F.col("_cand_key").alias("neighbor_key"),
+        F.col("rank").cast("int").alias("rank"),
+        F.round(F.col("_good") * sign, decimals).alias("score"),
+    )
