@@ -110,18 +110,26 @@ def rank_in_runs(runs: np.ndarray) -> np.ndarray:
 def best_columns(
     scores: np.ndarray, keep: int, floor: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per row the ``keep`` best columns (ties: lowest column), as rows, columns, values."""
-    if scores.shape[1] > keep:
-        cut = np.partition(scores, scores.shape[1] - keep, axis=1)[:, -keep]
-        if floor is not None:
-            cut = np.maximum(cut, floor)
+    """Per row the ``keep`` best columns (ties: lowest column), as rows, columns, settled values.
+
+    Only scores that can be among the best are rounded and sorted: those near the row's floor
+    or above it, or near its ``keep``-th best score where the floor lets too many through.
+    """
+    rows, width = scores.shape
+    margin = 10.0**-SETTLED_DECIMALS
+    wanted = None
+    if floor is not None:
+        wanted = scores >= (floor - margin)[:, None]
+    if width > keep and (wanted is None or np.count_nonzero(wanted) > 16 * keep * rows):
+        cut = np.partition(scores, width - keep, axis=1)[:, -keep] - 2 * margin
+        cut = cut if floor is None else np.maximum(cut, floor - margin)
         wanted = scores >= cut[:, None]
-    elif floor is not None:
-        wanted = scores >= floor[:, None]
-    else:
-        wanted = np.ones(scores.shape, dtype=bool)
-    r, c = np.nonzero(wanted)
-    v = scores[r, c]
+    at = np.arange(scores.size) if wanted is None else np.flatnonzero(wanted)
+    v = settled(scores.ravel()[at])
+    r, c = np.divmod(at, max(1, width))
+    if floor is not None:
+        above = v >= floor[r]
+        r, c, v = r[above], c[above], v[above]
     order = np.lexsort((c, -v, r))
     r, c, v = r[order], c[order], v[order]
     kept = rank_in_runs(r) < keep

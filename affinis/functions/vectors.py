@@ -72,6 +72,10 @@ def normalised(v: Column | str) -> Column:
     )[0]
 
 
+def _scaled(v: Column, factor: float) -> Column:
+    return F.transform(v, lambda x: x * F.lit(factor))
+
+
 def mean_vector(vectors: list[Column | str]) -> Column:
     return weighted_vector(vectors, [1.0] * len(vectors))
 
@@ -91,7 +95,7 @@ def weighted_vector(vectors: list[Column | str], weights: list[float]) -> Column
     uniform = len(set(weights)) == 1
     combined = None
     for c, w in zip(cols, weights, strict=True):
-        share = doubles(c) if uniform else F.transform(doubles(c), lambda x, w=w: x * F.lit(w / whole))
+        share = doubles(c) if uniform else _scaled(doubles(c), w / whole)
         combined = share if combined is None else F.zip_with(combined, share, lambda x, y: x + y)
     if uniform:
         combined = F.transform(combined, lambda x: x / F.lit(float(len(cols))))

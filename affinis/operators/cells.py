@@ -16,18 +16,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import blocks as B
-from ..workspace import ship, small, written
+from ..workspace import fill_cores, ship, small, written
 from .copies import KEY, PRINT, REP, VEC
 
 BLOCK_BYTES = 16 << 20  # DOUBLE bytes of one block of vectors
-BLOCK_ROWS = (256, 4096)  # and its limits in rows
+BLOCK_ROWS = (1024, 4096)  # and its limits in rows
 CENTRE_BYTES = 32 << 20  # DOUBLE bytes of all centres, which every worker holds
 CELLS = 50_000  # ... and their largest number
+TASKS = 20_000  # most tasks of one scoring stage
 VISITORS = 4  # visiting rows per task, as a multiple of the block size
 
 BLOCK, CELL = "_block", "_cell"
@@ -56,12 +57,28 @@ class Placed:
     blocks: int
     block_rows: int
 
+    @property
+    def meetings(self) -> int:
+        """Upper bound on the groups of ``meetings``, if every row visits every block."""
+        return self.blocks * max(1, -(-self.blocks // VISITORS))
+
 
-def block_rows(dim: int, limit: int | None = None) -> int:
-    if limit is not None:
-        return limit
+def block_rows(count: int, dim: int, cores: int) -> int:
+    """Rows per block: as many as fit, but enough blocks to keep every core busy."""
     low, high = BLOCK_ROWS
-    return int(min(high, max(low, BLOCK_BYTES // (8 * max(1, dim)))))
+    fitting = min(high, max(low, BLOCK_BYTES // (8 * max(1, dim))))
+    return fitting if count <= fitting else max(low, min(fitting, -(-count // cores)))
+
+
+def by_group(df: DataFrame, keys: list[str], groups: int) -> GroupedData:
+    """Groups of rows as separate tasks.
+
+    Small blocks are long work, so their shuffle must not be coalesced by its bytes: the
+    number of partitions is given.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = min(groups, max(2 * cores, groups // 4), TASKS)
+    return df.repartition(max(1, tasks), *keys).groupBy(*keys)
 
 
 def place(
@@ -70,7 +87,7 @@ def place(
     """Assign written distinct vectors to cells and blocks."""
     spark = distinct.sparkSession
     ship(spark)
-    size = block_rows(dim, rows_per_block)
+    size = rows_per_block or block_rows(count, dim, spark.sparkContext.defaultParallelism)
     wanted = max(1, -(-count // size))
     most = max(1, min(CELLS, CENTRE_BYTES // (8 * max(1, dim))))
     centres = _centres(distinct, min(wanted, most), metric) if wanted > 1 else None
@@ -99,7 +116,7 @@ def place(
             table = table.append_column(CELL, pa.array(cell)).append_column("_gap", pa.array(gap))
             yield from table.to_batches()
 
-    celled = written(distinct.mapInArrow(assign, schema), "cells")
+    celled = written(fill_cores(distinct).mapInArrow(assign, schema), "cells")
     # One row per cell, and the number of cells is bounded by CENTRE_BYTES.
     stats = celled.groupBy(CELL).agg(F.count(F.lit(1)).alias("n"), F.max("_gap").alias("r")).collect()
     radius, blocks = np.zeros(len(centres)), np.zeros(len(centres), dtype=np.int64)
@@ -183,6 +200,6 @@ def wide_targets(layout: Layout, cells: np.ndarray, own: np.ndarray) -> pa.Array
 
 
 __all__ = [
-    "BLOCK", "KEY", "Layout", "Placed", "block_rows", "meetings", "place", "split_roles",
+    "BLOCK", "KEY", "Layout", "Placed", "block_rows", "by_group", "meetings", "place", "split_roles",
     "wide_targets",
 ]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import written
+from ..workspace import written, written_and_measured
 from .lookup import HOT_ROWS
 
 ROUNDS = 200  # far beyond the logarithmic number of rounds; a guard against a faulty input
@@ -35,25 +35,23 @@ def components(edges: DataFrame, a: str = "_a", b: str = "_b", hot_rows: int = H
                 )
             ).alias("e")
         ).select("e.*")
-        nodes = written(
+        nodes, facts = written_and_measured(
             ends.groupBy("n").agg(
                 F.least(F.min("o"), F.col("n")).alias("m"),
                 F.sum("up").alias("ups"),
                 F.sum(1 - F.col("up")).alias("downs"),
             ),
             "nodes",
+            F.count_if((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("downs") > 0))).alias("open"),
+            F.max(F.greatest("ups", "downs")).alias("widest"),
+            F.sum("ups").alias("links"),
         )
-        open_nodes, widest, total = nodes.agg(
-            F.count_if((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("downs") > 0))),
-            F.max(F.greatest("ups", "downs")),
-            F.sum("ups"),
-        ).first()
-        if not open_nodes:
+        if not facts["open"]:
             roots = nodes.where(F.col("downs") > 0).select(F.col("n").alias("node"), F.col("n").alias("root"))
             return links.select(F.col("h").alias("node"), F.col("l").alias("root")).unionByName(roots)
         # At most 2 * total / limit nodes are hubs.
-        limit = max(hot_rows, total // 10_000)
-        hubs = (widest or 0) > limit
+        limit = max(hot_rows, facts["links"] // 10_000)
+        hubs = facts["widest"] > limit
         large = _minimum_of(links, nodes.select(F.col("n").alias("l"), "m", F.col("downs").alias("d")), "l", limit, hubs)
         large = large.select("h", F.col("m").alias("l")).distinct()
         small = large.groupBy("h").agg(F.min("l").alias("m"), F.count(F.lit(1)).alias("d"))

@@ -68,7 +68,8 @@ def distinct_with_members(rows: DataFrame, members: int) -> DataFrame:
     )
 
 
-def members(rows: DataFrame, distinct: DataFrame) -> DataFrame:
+def members(rows: DataFrame, distinct: DataFrame, most_copies: int) -> DataFrame:
     """Every row with the representative of its vector."""
     named = distinct.select(PRINT, VEC, REP)
-    return attach(rows, named, [PRINT, VEC], skew=PRINT).select(ID, KEY, REP)
+    found = attach(rows, named, [PRINT, VEC], skew=PRINT, how="inner", widest=most_copies)
+    return found.select(ID, KEY, REP)

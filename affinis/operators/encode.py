@@ -8,7 +8,7 @@ not semantic. A model package is used where it is installed.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 from typing import Protocol
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.text import as_text, joined_text, model_for
 from ..functions.vectors import mean_vector
 from ..settings import DEFAULT_BATCH_SIZE, DEFAULT_MODEL, VECTOR_PREFIX, find_model, same_dimension
-from ..workspace import ship
+from ..workspace import fill_cores, ship
 
 
 class Encoder(Protocol):
@@ -32,42 +32,49 @@ class HashingEncoder:
     """Signed feature hashing of words or character n-grams (Weinberger et al. 2009), unit length.
 
     Each token adds +1 or -1 to one of ``dim`` buckets: the first 8 hex digits of its MD5 give
-    the bucket, the 9th the sign.
+    the bucket, the 9th the sign (below 8 is +1).
     """
 
-    REMEMBERED = 200_000  # tokens whose bucket is kept; words repeat, hashing them does not
-
     def __init__(self, dim: int, ngram: int | None = None):
         self.dim = dim
         self.ngram = ngram
-        self._known: dict[str, tuple[int, float]] = {}
-
-    def _tokens(self, text: str) -> list[str]:
-        text = text.lower()
-        if self.ngram is None:
-            return [t for t in text.split(" ") if t]
-        return [text[i : i + self.ngram] for i in range(max(1, len(text) - self.ngram + 1))] if text else []
-
-    def _place(self, token: str) -> tuple[int, float]:
-        place = self._known.get(token)
-        if place is None:
-            digest = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
-            place = int(digest[:8], 16) % self.dim, 1.0 if int(digest[8], 16) < 8 else -1.0
-            if len(self._known) < self.REMEMBERED:
-                self._known[token] = place
-        return place
+        self._codes = _TokenCodes(dim)
+
+    def _tokens(self, text: str) -> Iterable[str]:
+        text, n = text.lower(), self.ngram
+        if n is None:
+            return filter(None, text.split(" "))
+        return [text[i : i + n] for i in range(max(1, len(text) - n + 1))] if text else []
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
+        code = self._codes.__getitem__
         for row, text in zip(out, texts, strict=True):
-            places = [self._place(t) for t in self._tokens(text)]
-            if places:
-                bucket, sign = zip(*places, strict=True)
-                row[:] = np.bincount(bucket, weights=sign, minlength=self.dim)
+            codes = list(map(code, self._tokens(text)))
+            if codes:
+                plus_minus = np.bincount(codes, minlength=2 * self.dim).reshape(self.dim, 2)
+                row[:] = plus_minus[:, 0] - plus_minus[:, 1]
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(length == 0, 1.0, length)).astype(np.float32)
 
 
+class _TokenCodes(dict):
+    """Token -> 2 * bucket + (1 for minus). Words repeat, so most are hashed once per worker."""
+
+    REMEMBERED = 200_000
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        digest = hashlib.md5(token.encode(), usedforsecurity=False).digest()
+        code = 2 * (int.from_bytes(digest[:4], "big") % self.dim) + (digest[4] >> 7)
+        if len(self) < self.REMEMBERED:
+            self[token] = code
+        return code
+
+
 @dataclass(frozen=True)
 class EncoderSpec:
     """A factory that workers call once, and the vector size it promises."""
@@ -126,17 +133,19 @@ def embed_columns(
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"Missing columns: {missing}")
-    for c in columns:
-        name = f"{VECTOR_PREFIX}{c}"
-        if force or name not in df.columns:
-            df = df.withColumn(name, encoded(F.col(f"`{c}`"), encoder))
-    return df
+    names = {c: f"{VECTOR_PREFIX}{c}" for c in columns}
+    wanted = {c: n for c, n in names.items() if force or n not in df.columns}
+    if not wanted:
+        return df
+    return fill_cores(df).withColumns(
+        {n: encoded(F.col(f"`{c}`"), encoder) for c, n in wanted.items()}
+    )
 
 
 def embed_joined(df: DataFrame, columns: list[str], encoder: EncoderSpec, name: str) -> DataFrame:
     """One vector per row from several columns joined by a space."""
     ship(df.sparkSession)
-    return df.withColumn(name, encoded(joined_text([F.col(f"`{c}`") for c in columns]), encoder))
+    return fill_cores(df).withColumn(name, encoded(joined_text([F.col(f"`{c}`") for c in columns]), encoder))
 
 
 def column_models(columns: list[str], model: str | None = None) -> dict[str, str]:
@@ -161,7 +170,7 @@ def embed_and_combine(
     else:
         encoders = dict.fromkeys(columns, encoder)
     parts = [f"{VECTOR_PREFIX}{c}" for c in columns]
-    wide = df
+    wide = fill_cores(df)
     for c, part in zip(columns, parts, strict=True):
         if part not in df.columns:
             wide = wide.withColumn(part, encoded(F.col(f"`{c}`"), encoders[c]))

@@ -14,13 +14,12 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
 
     The count combines on the map side, so a hot key costs one row per input partition.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = counts.where(F.col("_rows") > hot_rows)
-    found = heavy.orderBy(F.desc("_rows")).limit(HOT_SHARE).collect()
-    if not found:
-        return []
     rows = df.count()
-    return [r[key] for r in found if r["_rows"] > rows / HOT_SHARE]
+    if rows <= hot_rows:
+        return []
+    limit = max(hot_rows, rows // HOT_SHARE)
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    return [r[key] for r in counts.where(F.col("_rows") > limit).collect()]
 
 
 def attach(
@@ -30,14 +29,16 @@ def attach(
     skew: str | None = None,
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    widest: int | None = None,
 ) -> DataFrame:
     """``big`` joined to ``lookup`` (one row per key) without sending a hot key to one task.
 
     Rows of hot ``skew`` keys meet a broadcast of the few lookup rows they need and stay
-    where they are; all other rows take an ordinary shuffle join.
+    where they are; all other rows take an ordinary shuffle join. ``widest`` is the largest
+    number of rows of one key where the caller knows it.
     """
     skew = skew or on[0]
-    hot = hot_keys(big, skew, hot_rows)
+    hot = [] if widest is not None and widest <= hot_rows else hot_keys(big, skew, hot_rows)
     if not hot:
         return big.join(lookup, on, how)
     spark = big.sparkSession

@@ -73,7 +73,7 @@ class Matches:
         if not self.near.has_copies:
             named = self.near.distinct.select(REP, KEY)
             return facts.join(named, REP).withColumnRenamed(REP, ID)
-        everyone = written(members(self.near.rows, self.near.distinct), "members")
+        everyone = written(members(self.near.rows, self.near.distinct, self.near.most_copies), "members")
         return attach(everyone, facts, [REP], how="inner").drop(REP)
 
     def summary(self) -> DataFrame:

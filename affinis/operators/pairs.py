@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks as B
 from ..functions.vectors import find_metric
-from ..settings import DEFAULT_METRIC
-from ..workspace import ship, written
-from .cells import BLOCK, Layout, meetings, place, split_roles, wide_targets
+from ..settings import DEFAULT_METRIC, SETTLED_DECIMALS
+from ..workspace import fill_cores, ship, written, written_and_measured
+from .cells import BLOCK, Layout, by_group, meetings, place, split_roles, wide_targets
 from .copies import ID, KEY, REP, VEC, distinct_vectors, members, records
 
 PAIR = (
@@ -36,7 +36,11 @@ class Near:
     rows: DataFrame  # _id, _key, _vec, _print
     distinct: DataFrame  # _rep, _key, _copies, _vec, _print
     pairs: DataFrame  # _a, _a_key, _a_copies, _b, _b_key, _b_copies, _good with _a < _b
-    has_copies: bool
+    most_copies: int  # rows of the commonest vector
+
+    @property
+    def has_copies(self) -> bool:
+        return self.most_copies > 1
 
 
 def _reach(layout: Broadcast, bound: float):
@@ -81,6 +85,8 @@ def _one_way_within(lists: pa.ListArray, own: np.ndarray, cell_of: np.ndarray) -
 
 
 def _score(metric: str, bound: float):
+    margin = 10.0**-SETTLED_DECIMALS
+
     def found(left: pa.Table, right: pa.Table, within: bool) -> list[pa.Table]:
         a = B.prepared(metric, B.matrix(left.column(VEC)))
         b = B.prepared(metric, B.matrix(right.column(VEC)))
@@ -88,12 +94,14 @@ def _score(metric: str, bound: float):
         a_n, b_n = left.column("_copies").to_numpy(), right.column("_copies").to_numpy()
         out = []
         for part in B.slices(len(a), len(b)):
-            good = B.settled(B.goodness(metric, a[part], b))
-            near = good >= bound
+            good = B.goodness(metric, a[part], b)
+            near = good >= bound - margin
             if within:
                 near &= a_id[part][:, None] < b_id[None, :]
-            i, j = np.nonzero(near)
-            value = good[i, j]
+            at = np.flatnonzero(near)
+            value = B.settled(good.ravel()[at])
+            i, j = np.divmod(at[value >= bound], len(b))
+            value = value[value >= bound]
             i = i + part.start
             swap = a_id[i] > b_id[j]
             left_key, right_key = left.column(KEY).take(i), right.column(KEY).take(j)
@@ -144,22 +152,26 @@ def near_pairs(
     chosen = find_metric(metric)
     ship(df.sparkSession)
     rows = records(df, id, key, vec)
-    distinct = written(distinct_vectors(rows), "distinct")
     size = F.size(VEC)
-    count, low, high, copies = distinct.agg(
-        F.count(F.lit(1)), F.min(size), F.max(size), F.max("_copies")
-    ).first()
-    if count and low != high:
-        raise ValueError(f"Vectors differ in dimension: {low} and {high}.")
+    distinct, facts = written_and_measured(
+        distinct_vectors(rows),
+        "distinct",
+        F.count(F.lit(1)).alias("count"),
+        F.min(size).alias("low"),
+        F.max(size).alias("high"),
+        F.max("_copies").alias("copies"),
+    )
+    if facts["low"] != facts["high"]:
+        raise ValueError(f"Vectors differ in dimension: {facts['low']} and {facts['high']}.")
     floor = -bound if chosen.ascending else bound
-    placed = place(distinct, count, high or 0, metric, rows_per_block)
+    placed = place(distinct, facts["count"], facts["high"] or 0, metric, rows_per_block)
     cols = [REP, KEY, VEC, "_copies"]
     hosts = placed.rows.select(BLOCK, *cols)
     if placed.blocks == 1:
         met = hosts.withColumn("_group", F.lit(0)).withColumn("_visits", F.lit(False))
     else:
         vector = distinct.schema[VEC].dataType.simpleString()
-        reached = hosts.mapInArrow(
+        reached = fill_cores(hosts).mapInArrow(
             _reach(placed.layout, floor),
             f"{REP} long, {KEY} string, {VEC} {vector}, _copies long, _targets array<int>",
         )
@@ -167,8 +179,8 @@ def near_pairs(
         # Written once: the visits are counted before they are shuffled.
         visits = written(going, "visits").select(*cols, F.explode("_targets").alias(BLOCK))
         met = meetings(placed, visits, cols, cols, alone=True)
-    pairs = met.groupBy(BLOCK, "_group").applyInArrow(_score(metric, floor), PAIR)
-    return Near(rows, distinct, written(pairs, "pairs"), (copies or 0) > 1)
+    pairs = by_group(met, [BLOCK, "_group"], placed.meetings).applyInArrow(_score(metric, floor), PAIR)
+    return Near(rows, distinct, written(pairs, "pairs"), facts["copies"] or 0)
 
 
 def own_goodness(metric: str):
@@ -218,7 +230,7 @@ def row_pairs(
     if same is None:
         floor = -bound if find_metric(metric).ascending else bound
         same = copy_pairs_within(near, metric, floor)
-    rows = written(members(near.rows, near.distinct), "members")
+    rows = written(members(near.rows, near.distinct, near.most_copies), "members")
     linked = pairs.select("_a", "_b", "_good", *extra).unionByName(
         same.select(F.col(REP).alias("_a"), F.col(REP).alias("_b"), "_good", *extra)
     )

@@ -26,18 +26,56 @@ def _present(field: T.StructField) -> Column:
     return c
 
 
-def _counted(field: T.StructField) -> Column:
-    """What is counted as distinct: long text by its SHA-256, so the shuffle moves 32 bytes."""
+def _fits_in_64_bits(field: T.StructField) -> bool:
+    kind = field.dataType
+    if isinstance(kind, T.DecimalType):
+        return kind.precision <= 18
+    return isinstance(kind, (*_NUMERIC, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _as_long(field: T.StructField) -> Column:
+    """A fixed-width value as one LONG: xxHash64 of a single such value is a bijection."""
     c = _present(field)
-    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-        # Short values stay as they are, with a first byte that keeps the two apart.
-        raw = c.cast("binary")
-        digest = F.concat(F.unhex(F.lit("01")), F.unhex(F.sha2(raw, 256)))
-        plain = F.concat(F.unhex(F.lit("00")), raw)
-        return F.when(F.octet_length(raw) > 32, digest).otherwise(plain)
-    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return F.sha2(F.to_json(c), 256)
-    return c
+    return F.when(c.isNotNull(), F.xxhash64(c))
+
+
+def _as_bytes(field: T.StructField) -> Column:
+    """Text as its bytes or, beyond 32 of them, a SHA-256 with a marker byte.
+
+    The two differ in length, so they never meet, and the shuffle moves at most 33 bytes.
+    """
+    raw = _text(field).cast("binary")
+    digest = F.concat(F.unhex(F.lit("01")), F.unhex(F.sha2(raw, 256)))
+    return F.when(F.octet_length(raw) > 32, digest).otherwise(raw)
+
+
+def _value_counts(df: DataFrame) -> DataFrame:
+    """index, unique_count, total_count, null_count of every column, in one pass.
+
+    Columns are turned into (column, value) rows; equal values combine on the map side, so a
+    frequent value costs one row per partition however often it occurs.
+    """
+    parts = []
+    for fixed, value in ((True, _as_long), (False, _as_bytes)):
+        cells = [
+            F.struct(F.lit(i + 1).alias("index"), value(f).alias("v"))
+            for i, f in enumerate(df.schema.fields)
+            if _fits_in_64_bits(f) == fixed
+        ]
+        if cells:
+            per_value = (
+                df.select(F.explode(F.array(*cells)).alias("c"))
+                .groupBy("c.index", "c.v")
+                .agg(F.count(F.lit(1)).alias("n"))
+            )
+            parts.append(
+                per_value.groupBy("index").agg(
+                    F.count("v").alias("unique_count"),
+                    F.sum("n").alias("total_count"),
+                    F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
+                )
+            )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _text(field: T.StructField) -> Column:
@@ -53,29 +91,19 @@ def profile(df: DataFrame, order: str) -> DataFrame:
     each non-numeric column in ``order``.
     """
     fields = df.schema.fields
-    measures = [F.count(F.lit(1)).alias("total")]
-    for i, f in enumerate(fields):
-        measures.append(F.count(_present(f)).alias(f"p{i}"))
-        measures.append(F.count_distinct(_counted(f)).alias(f"d{i}"))
-    counts = df.agg(*measures)
-    each = F.array(
-        *[
-            F.struct(
-                F.lit(f.name).alias("name"),
-                F.lit(i + 1).cast("int").alias("index"),
-                F.lit(isinstance(f.dataType, _NUMERIC)).alias("numeric"),
-                F.col(f"d{i}").alias("unique_count"),
-                F.col("total").alias("total_count"),
-                (F.col("total") - F.col(f"p{i}")).alias("null_count"),
-            )
-            for i, f in enumerate(fields)
-        ]
+    columns = df.sparkSession.createDataFrame(
+        [(f.name, i + 1, isinstance(f.dataType, _NUMERIC)) for i, f in enumerate(fields)],
+        "name string, index int, numeric boolean",
     )
-    facts = counts.select(F.explode(each).alias("c")).select("c.*")
-    lengths = _mean_lengths(df, order)
-    facts = facts.join(F.broadcast(lengths), "index", "left") if lengths is not None else (
-        facts.withColumn("_length", F.lit(None).cast("double"))
+    # One row per column on both sides.
+    facts = columns.join(F.broadcast(_value_counts(df)), "index", "left").fillna(
+        0, ["unique_count", "total_count", "null_count"]
     )
+    lengths = _mean_lengths(df, order)
+    if lengths is None:
+        facts = facts.withColumn("_length", F.lit(None).cast("double"))
+    else:
+        facts = facts.join(F.broadcast(lengths), "index", "left")
     dtype = (
         F.when(F.col("numeric"), "numeric")
         .when(F.col("null_count") == F.col("total_count"), "mixed")

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..functions import blocks as B
 from ..functions.vectors import find_metric
 from ..settings import DEFAULT_DECIMALS, DEFAULT_METRIC, DEFAULT_TOP_K
-from ..workspace import ship, written
-from .cells import BLOCK, Layout, meetings, place, split_roles, wide_targets
+from ..workspace import ship, written, written_and_measured
+from .cells import BLOCK, Layout, by_group, meetings, place, split_roles, wide_targets
 from .copies import (
     ID,
     KEY,
@@ -95,7 +95,7 @@ def _seed(layout: Broadcast, keep: int, probes: int | None):
         count = len(table)
         for part in B.slices(count, max(count, int(plan.blocks.sum()))):
             mine = hosts.vectors[part]
-            scores = B.settled(B.goodness(plan.metric, mine, hosts.vectors))
+            scores = B.goodness(plan.metric, mine, hosts.vectors)
             r, a, v = hosts.best(scores, keep, None)
             floor = np.full(len(mine), -np.inf)
             found = np.bincount(r, minlength=len(mine))
@@ -142,7 +142,7 @@ def _visit(metric: str, keep: int):
             floor = guests.column("_floor").to_numpy()
             reps, keys = guests.column(REP).to_numpy(), guests.column(KEY)
             for part in B.slices(len(asking), len(hosts.vectors)):
-                scores = B.settled(B.goodness(metric, asking[part], hosts.vectors))
+                scores = B.goodness(metric, asking[part], hosts.vectors)
                 row, at, good = hosts.best(scores, keep, floor[part])
                 row = row + part.start
                 out.append(
@@ -173,16 +173,20 @@ def _no_candidates() -> pa.Table:
     )
 
 
-def _facts(distinct: DataFrame) -> tuple[int, int, int]:
-    """Rows, dimension and the longest id list; the dimensions must agree."""
+def _hosts(rows: DataFrame, members: int) -> tuple[DataFrame, int, int, int]:
+    """Written distinct vectors, their number, dimension and longest id list."""
     size = F.size(VEC)
-    row = distinct.agg(
-        F.count(F.lit(1)), F.min(size), F.max(size), F.max(F.size("_ids"))
-    ).first()
-    count, low, high, held = row
-    if count and low != high:
-        raise ValueError(f"Vectors differ in dimension: {low} and {high}.")
-    return count, high or 0, held or 0
+    distinct, facts = written_and_measured(
+        distinct_with_members(rows, members),
+        "distinct",
+        F.count(F.lit(1)).alias("count"),
+        F.min(size).alias("low"),
+        F.max(size).alias("high"),
+        F.max(F.size("_ids")).alias("held"),
+    )
+    if facts["low"] != facts["high"]:
+        raise ValueError(f"Vectors differ in dimension: {facts['low']} and {facts['high']}.")
+    return distinct, facts["count"], facts["high"] or 0, facts["held"] or 0
 
 
 def _ranked(found: DataFrame, keep: int) -> DataFrame:
@@ -219,8 +223,7 @@ def neighbours(
     ship(df.sparkSession)
     rows = records(df, id, key, vec)
     keep = top_k + 1  # a row's own vector is among its candidates
-    distinct = written(distinct_with_members(rows, keep), "distinct")
-    count, dim, held = _facts(distinct)
+    distinct, count, dim, held = _hosts(rows, keep)
     found = _candidates(distinct, count, dim, metric, keep, probes, rows_per_block)
     if held <= 1:
         lists = _ranked(found.where(F.col(REP) != F.col("_cand")), top_k)
@@ -254,10 +257,9 @@ def _candidates(
         f"{REP} long, {KEY} string, {VEC} {_vector_schema(distinct)}, _floor double, "
         "_targets array<int>, _cands array<struct<_cand: long, _cand_key: string, _good: double>>"
     )
-    seeds = (
-        placed.rows.select(BLOCK, REP, KEY, VEC, "_ids", "_keys")
-        .groupBy(BLOCK)
-        .applyInArrow(_seed(placed.layout, keep, probes), seed_schema)
+    blocks = placed.rows.select(BLOCK, REP, KEY, VEC, "_ids", "_keys")
+    seeds = by_group(blocks, [BLOCK], placed.blocks).applyInArrow(
+        _seed(placed.layout, keep, probes), seed_schema
     )
     own = F.inline("_cands")
     if placed.blocks == 1:
@@ -267,7 +269,9 @@ def _candidates(
     met = meetings(
         placed, visits, [REP, KEY, VEC, "_ids", "_keys"], [REP, KEY, VEC, "_floor"], alone=False
     )
-    far = met.groupBy(BLOCK, "_group").applyInArrow(_visit(metric, keep), CANDIDATE)
+    far = by_group(met, [BLOCK, "_group"], placed.meetings).applyInArrow(
+        _visit(metric, keep), CANDIDATE
+    )
     return seeds.select(REP, KEY, own).unionByName(far)
 
 
@@ -351,22 +355,27 @@ def nearest(
     chosen = find_metric(metric)
     ship(queries.sparkSession)
     asked = records(queries, id, key, vec)
-    asking = written(distinct_vectors(asked), "queries")
-    hosts = written(
-        distinct_with_members(records(stored, stored_id, stored_key, stored_vec), top_k), "distinct"
-    )
-    count, dim, _ = _facts(hosts)
     size = F.size(VEC)
-    low, high, copies = asking.agg(F.min(size), F.max(size), F.max("_copies")).first()
-    if count and low is not None and {low, high} != {dim}:
-        raise ValueError(f"Vectors differ in dimension: {low} to {high} asked, {dim} stored.")
+    asking, facts = written_and_measured(
+        distinct_vectors(asked),
+        "queries",
+        F.min(size).alias("low"),
+        F.max(size).alias("high"),
+        F.max("_copies").alias("copies"),
+    )
+    hosts, count, dim, _ = _hosts(records(stored, stored_id, stored_key, stored_vec), top_k)
+    sizes = {facts["low"], facts["high"]} - {None}
+    if count and sizes - {dim}:
+        raise ValueError(f"Vectors differ in dimension: {sorted(sizes)} asked, {dim} stored.")
     placed = place(hosts, count, dim, metric, rows_per_block)
     host_cols, guest_cols = [REP, KEY, VEC, "_ids", "_keys"], [REP, KEY, VEC, "_floor"]
     nothing = F.lit(float("-inf"))
 
     def scored(visits: DataFrame) -> DataFrame:
         met = meetings(placed, visits, host_cols, guest_cols, alone=False)
-        return met.groupBy(BLOCK, "_group").applyInArrow(_visit(metric, top_k), CANDIDATE)
+        return by_group(met, [BLOCK, "_group"], placed.meetings).applyInArrow(
+            _visit(metric, top_k), CANDIDATE
+        )
 
     entering = asking.select(REP, KEY, VEC, nothing.alias("_floor"))
     if placed.blocks == 1:
@@ -387,7 +396,7 @@ def nearest(
         visits = written(onward, "onward").select(*guest_cols, F.explode("_targets").alias(BLOCK))
         found = near.unionByName(scored(visits))
     ranked = _ranked(found, top_k)
-    if (copies or 0) > 1:
+    if (facts["copies"] or 0) > 1:
         entry = F.struct("rank", "_cand_key", "_good")
         lists = ranked.groupBy(REP).agg(F.collect_list(entry).alias("_list"))
         listed = asking.select(REP, PRINT, VEC).join(lists, REP).drop(REP)

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only up to this many narrow rows; beyond it a shuffle join is used.
@@ -62,11 +62,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_and_measured(df: DataFrame, label: str, *measures: Column) -> tuple[DataFrame, dict]:
+    """``written``, with aggregates of the rows taken while they are written."""
+    seen = Observation()
+    table = written(df.observe(seen, *measures), label)
+    return table, seen.get
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a side whose row count is known and within the limit."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def fill_cores(df: DataFrame) -> DataFrame:
+    """Spread an input that is too small to give every core a split.
+
+    Only such an input is shuffled, so the move is bounded by one split per core; a large table
+    keeps its partitions.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * split else df
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once per application."""
     context = spark.sparkContext
