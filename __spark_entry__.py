@@ -95,8 +95,9 @@ def _score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select(*[F.round(c, 6).alias(c) for c in stats.columns])
 
 
-def _matches(spark: SparkSession, sf_dir: str, threshold: float):
-    return match(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", threshold=threshold, decimals=4)
+def _matches(spark: SparkSession, sf_dir: str, threshold: float, list_pairs: bool = True):
+    e = _read(spark, sf_dir, "embeddings")
+    return match(e, "vec_id", "embedding", threshold=threshold, decimals=4, list_pairs=list_pairs)
 
 
 def _match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,14 +115,17 @@ def _annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _annotate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return annotated(e, "vec_id", _matches(spark, sf_dir, 0.35), lists=False)
+    return annotated(e, "vec_id", _matches(spark, sf_dir, 0.35, list_pairs=False), lists=False)
 
 
 def _match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _matches(spark, sf_dir, 0.35)
+    found = _matches(spark, sf_dir, 0.35, list_pairs=False)
     e = _read(spark, sf_dir, "embeddings").select("vec_id")
     rows = annotation_summary(annotated(e, "vec_id", found, lists=False))
-    return found.summary().join(F.broadcast(rows.select("matched_rows")), F.lit(True))
+    facts = found.summary().select(F.expr("stack(2, 'pairs', total_pairs, 'groups', dedup_groups) as (fact, n)"))
+    matched = rows.select(F.lit("matched rows").alias("fact"), F.col("matched_rows").alias("n"))
+    annotated_groups = rows.select(F.lit("annotated groups").alias("fact"), F.col("dedup_groups").alias("n"))
+    return facts.unionByName(matched).unionByName(annotated_groups)
 
 
 def _concat_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,10 +339,15 @@ def _sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _scratch(spark, "sink")
     S.write_table(d, path, "parquet", S.run_metadata(spark, "embed", {"columns": ["text"]}, d))
     back = S.read_table(spark, path, "parquet")
-    facts = S.read_table(spark, S.metadata_path(path), "parquet").where("Parameter = 'input_rows'")
-    wide = back.select("*", F.lit(len(back.columns)).alias("n_columns"))
-    return wide.join(F.broadcast(facts.select(F.col("Value").alias("input_rows"))), F.lit(True)).select(
-        "doc_id", "lang", "n_chars", F.md5("text").alias("text_md5"), "n_columns", "input_rows"
+    facts = S.read_table(spark, S.metadata_path(path), "parquet")
+    rows = facts.where("Parameter = 'input_rows'").first()["Value"]
+    return back.select(
+        "doc_id",
+        "lang",
+        "n_chars",
+        F.md5("text").alias("text_md5"),
+        F.lit(len(back.columns)).alias("n_columns"),
+        F.lit(rows).alias("input_rows"),
     )
 
 
@@ -386,7 +395,7 @@ def _presets(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("vendor-dedup", supplier, "Vendor ID", hashing(48, ngram=3)),
     ]
     parts = [
-        preset_matches(df, name, order, encoder).summary().select(F.lit(name).alias("preset"), "*")
+        preset_matches(df, name, order, encoder, list_pairs=False).summary().select(F.lit(name).alias("preset"), "*")
         for name, df, order, encoder in runs
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -730,10 +739,10 @@ select i::varchar as query_key, j::varchar as match_key, sim as similarity, grou
         "h_match_pairs": f"""
 with {_match_sql(EMBEDDINGS, 0.4, 4)}
 select i::varchar as query_key, j::varchar as match_key, sim as similarity from m""",
-        "h_summary": f"""
+    "h_summary": f"""
 with {_match_sql(EMBEDDINGS, 0.35, 4)}
-select (select count(*) from m) as total_pairs, (select count(distinct group_id) from g) as dedup_groups,
-       (select count(*) from g) as matched_rows""",
+select 'pairs' as fact, count(*) as n from m union all select 'groups', count(distinct group_id) from g
+union all select 'matched rows', count(*) from g union all select 'annotated groups', count(distinct group_id) from g""",
         "i_incremental_add": f"""
 with {docs64}, {STORED}
 select s.pos, s.doc_id::varchar as key, s.lang, len(e.v)::int as dim, round(list_sum(e.v), 4) as element_sum

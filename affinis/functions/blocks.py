@@ -134,3 +134,23 @@ def best_columns(
     r, c, v = r[order], c[order], v[order]
     kept = rank_in_runs(r) < keep
     return r[kept], c[kept], v[kept]
+
+
+def joined_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after the nodes ``i`` and ``j`` are linked: each node carries its lowest node.
+
+    ``labels`` holds the result of earlier links, so links may come in portions.
+    """
+    while len(i):
+        low, high = np.minimum(labels[i], labels[j]), np.maximum(labels[i], labels[j])
+        apart = low < high
+        if not apart.any():
+            break
+        i, j = i[apart], j[apart]
+        np.minimum.at(labels, high[apart], low[apart])
+        while True:
+            further = labels[labels]
+            if (further == labels).all():
+                break
+            labels = further
+    return labels

@@ -61,22 +61,14 @@ def score_stats(scores: DataFrame, score: str = "score") -> DataFrame:
     counts and its state is bounded by the number of distinct scores.
     """
     counts = scores.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    weighted = F.sum(F.col("s") * F.col("n"))
-    rows = F.sum("n")
-    totals = counts.agg(
-        rows.alias("n"),
-        (weighted / rows).alias("mean"),
+    rows, mean = F.sum("n"), F.sum(F.col("s") * F.col("n")) / F.sum("n")
+    squares = F.sum(F.col("n") * F.col("s") * F.col("s"))
+    # Rounding may leave a tiny negative spread where all scores are equal.
+    spread = F.greatest(squares - rows * mean * mean, F.lit(0.0))
+    return counts.agg(
+        mean.alias("mean"),
         F.percentile("s", 0.5, F.col("n")).alias("median"),
+        F.when(rows > 1, F.sqrt(spread / (rows - 1))).alias("std"),
         F.min("s").alias("min"),
         F.max("s").alias("max"),
     )
-    # The deviations are summed around the mean: one row, joined to the small table of counts.
-    spread = counts.join(F.broadcast(totals.select("mean")), F.lit(True))
-    squares = spread.agg(F.sum(F.col("n") * F.pow(F.col("s") - F.col("mean"), 2)).alias("sq"))
-    return totals.join(F.broadcast(squares), F.lit(True)).select(
-        "mean",
-        "median",
-        F.when(F.col("n") > 1, F.sqrt(F.col("sq") / (F.col("n") - 1))).alias("std"),
-        "min",
-        "max",
-    )

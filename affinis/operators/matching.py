@@ -13,15 +13,16 @@ from .components import components
 from .copies import ID, KEY, REP, members
 from .lookup import attach
 from .numbering import numbered
-from .pairs import Near, copy_pairs_within, near_pairs, row_pairs
+from .pairs import Near, matching_copies, near_pairs, row_pairs
 
 
 @dataclass(frozen=True)
 class Matches:
     """Cosine matches of a table, kept on distinct vectors until rows are asked for.
 
-    ``groups`` holds one row per matched distinct vector: _rep, group_id. Copies are counted,
-    not paired, so everything but ``pairs`` grows with the rows and not with their pairs.
+    ``groups`` holds one row per matched distinct vector: _rep, group_id. Copies are counted and
+    crowds of near copies are linked, so everything but ``pairs`` grows with the rows and not
+    with their pairs.
     """
 
     near: Near
@@ -29,16 +30,12 @@ class Matches:
     decimals: int
     groups: DataFrame
 
-    def _same(self) -> DataFrame:
-        return copy_pairs_within(self.near, "cosine", self.threshold)
-
     def pairs(self) -> DataFrame:
         """Every matching pair of rows with positions: _i, _i_key, _j, _j_key, similarity, group_id."""
-        grouped = attach(
-            self.near.pairs, self.groups.withColumnRenamed(REP, "_a"), ["_a"], how="inner"
-        )
-        same = self._same().join(self.groups, REP)
-        whole = row_pairs(self.near, "cosine", self.threshold, grouped, same)
+        by_first = self.groups.withColumnRenamed(REP, "_a")
+        grouped = attach(self.near.pairs, by_first, ["_a"], how="inner")
+        same = matching_copies(self.near).join(self.groups, REP)
+        whole = row_pairs(self.near, grouped, same)
         return whole.withColumn("similarity", F.round("_good", self.decimals)).drop("_good")
 
     def relation(self, ordered: bool = True) -> DataFrame:
@@ -53,41 +50,48 @@ class Matches:
             "group_id",
         )
 
-    def rows(self) -> DataFrame:
-        """Matched rows: _id, _key, group_id, match_count, best_score, without pairing copies."""
-        each = [
-            F.struct(F.col("_a").alias(REP), F.col("_b_copies").alias("n"), "_good"),
-            F.struct(F.col("_b").alias(REP), F.col("_a_copies").alias("n"), "_good"),
-        ]
-        links = self.near.pairs.select(F.explode(F.array(*each)).alias("e")).select("e.*")
-        same = self._same().select(REP, (F.col("_copies") - 1).alias("n"), "_good")
-        facts = (
-            links.unionByName(same)
+    def _facts(self) -> DataFrame:
+        """_rep, match_count, best_score of every matched distinct vector."""
+        same = matching_copies(self.near).select(
+            REP, (F.col("_copies") - 1).alias("_n"), F.col("_good").alias("_best")
+        )
+        return (
+            self.near.per_vector()
+            .unionByName(same)
             .groupBy(REP)
             .agg(
-                F.sum("n").alias("match_count"),
-                F.round(F.max("_good"), self.decimals).alias("best_score"),
+                F.sum("_n").alias("match_count"),
+                F.round(F.max("_best"), self.decimals).alias("best_score"),
             )
-            .join(self.groups, REP)
         )
+
+    def rows(self) -> DataFrame:
+        """Matched rows: _id, _key, group_id, match_count, best_score."""
+        facts = self._facts().join(self.groups, REP)
         if not self.near.has_copies:
             named = self.near.distinct.select(REP, KEY)
             return facts.join(named, REP).withColumnRenamed(REP, ID)
-        everyone = written(members(self.near.rows, self.near.distinct, self.near.most_copies), "members")
-        return attach(everyone, facts, [REP], how="inner").drop(REP)
+        everyone = written(
+            members(self.near.rows, self.near.distinct, self.near.most_copies), "members"
+        )
+        return attach(everyone, facts, [REP], how="inner", widest=self.near.most_copies).drop(REP)
 
     def summary(self) -> DataFrame:
-        """total_pairs and dedup_groups, counted without building the pairs."""
-        between = self.near.pairs.select((F.col("_a_copies") * F.col("_b_copies")).alias("n"))
-        inside = self._same().select(
-            F.expr("_copies * (_copies - 1) div 2").alias("n")
+        """One row: total_pairs and dedup_groups, counted without building the pairs."""
+        counted = self._facts().join(self.near.distinct.select(REP, "_copies"), REP)
+        # Every pair is counted at both of its rows.
+        ends = F.coalesce(F.sum(F.col("match_count") * F.col("_copies")), F.lit(0))
+        pairs = counted.agg(
+            F.expr("0L").alias("dedup_groups"), F.floor(ends / 2).cast("long").alias("total_pairs")
         )
-        pairs = between.unionByName(inside).agg(
-            F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_pairs")
+        groups = self.groups.agg(
+            F.coalesce(F.max("group_id"), F.lit(0)).alias("dedup_groups"),
+            F.expr("0L").alias("total_pairs"),
+        )
+        both = pairs.unionByName(groups)
+        return both.agg(
+            F.sum("total_pairs").alias("total_pairs"), F.sum("dedup_groups").alias("dedup_groups")
         )
-        # Both sides are a single row.
-        groups = self.groups.agg(F.count_distinct("group_id").alias("dedup_groups"))
-        return pairs.join(F.broadcast(groups), F.lit(True))
 
 
 def match(
@@ -97,19 +101,21 @@ def match(
     key: str | None = None,
     threshold: float = DEFAULT_MATCH_THRESHOLD,
     decimals: int = DEFAULT_DECIMALS,
+    list_pairs: bool = True,
     rows_per_block: int | None = None,
 ) -> Matches:
     """Rows whose unrounded cosine reaches ``threshold``, and the groups they form.
 
     Groups are transitive and numbered 1, 2, ... by the lowest id of any member. Keys must be
-    unique (see ``first_per_key``).
+    unique (see ``first_per_key``). With ``list_pairs=False`` the pairs are never listed, unless
+    they are asked for later: enough for groups, counts and best scores.
     """
     near = near_pairs(df, id, vec, key, "cosine", threshold, rows_per_block)
-    rooted = components(near.pairs)
+    if list_pairs:
+        near.pairs  # noqa: B018  listed once, and the groups follow from the list
+    rooted = components(near.edges())
     if near.has_copies:
-        same = copy_pairs_within(near, "cosine", threshold).select(
-            F.col(REP).alias("node"), F.col(REP).alias("root")
-        )
+        same = matching_copies(near).select(F.col(REP).alias("node"), F.col(REP).alias("root"))
         rooted = rooted.unionByName(same.join(rooted, "node", "left_anti"))
     rooted = written(rooted, "rooted")
     roots = numbered(rooted.where("node = root").select("root"), ["root"], "group_id")

@@ -8,7 +8,9 @@ dense score matrix never exists.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +29,63 @@ from .copies import ID, KEY, REP, VEC, distinct_vectors, members, records
 PAIR = (
     "_a long, _a_key string, _a_copies long, _b long, _b_key string, _b_copies long, _good double"
 )
+LINK = "_rep long, _root long, _n long, _best double"
 
 
 @dataclass(frozen=True)
 class Near:
-    """Near pairs of distinct vectors, and what is needed to bring their copies back."""
+    """Distinct vectors laid out so that all near pairs meet, and what brings copies back."""
 
     rows: DataFrame  # _id, _key, _vec, _print
     distinct: DataFrame  # _rep, _key, _copies, _vec, _print
-    pairs: DataFrame  # _a, _a_key, _a_copies, _b, _b_key, _b_copies, _good with _a < _b
+    met: DataFrame  # hosts and visitors by block
+    tasks: int
+    metric: str
+    floor: float  # lowest goodness of a near pair
     most_copies: int  # rows of the commonest vector
 
     @property
     def has_copies(self) -> bool:
         return self.most_copies > 1
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Every near pair of distinct vectors, written once: PAIR columns with _a < _b."""
+        grouped = by_group(self.met, [BLOCK, "_group"], self.tasks)
+        return written(grouped.applyInArrow(_score(self.metric, self.floor), PAIR), "pairs")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """What the near pairs amount to per vector and task, without listing them.
+
+        _rep, _root (lowest vector it is linked to inside the task), _n (matching rows), _best
+        (best goodness). Each task returns at most one row per vector it holds, so a crowd of
+        near copies costs its size and not its square.
+        """
+        grouped = by_group(self.met, [BLOCK, "_group"], self.tasks)
+        return written(grouped.applyInArrow(_link(self.metric, self.floor), LINK), "links")
+
+    @property
+    def listed(self) -> bool:
+        return "pairs" in self.__dict__
+
+    def edges(self) -> DataFrame:
+        """Edges with the same components as the near pairs: _a, _b."""
+        if self.listed:
+            return self.pairs.select("_a", "_b")
+        joined = self.links.where(F.col(REP) != F.col("_root"))
+        return joined.select(F.col("_root").alias("_a"), F.col(REP).alias("_b"))
+
+    def per_vector(self) -> DataFrame:
+        """_rep, _n, _best: may hold several rows per vector, to be added up."""
+        if not self.listed:
+            return self.links.drop("_root")
+        each = [
+            F.struct(F.col("_a").alias(REP), F.col("_b_copies").alias("_n"), F.col("_good").alias("_best")),
+            F.struct(F.col("_b").alias(REP), F.col("_a_copies").alias("_n"), F.col("_good").alias("_best")),
+        ]
+        return self.pairs.select(F.inline(F.array(*each)))
+
 
 def _reach(layout: Broadcast, bound: float):
     """The blocks each vector has to visit so that every pair of blocks meets exactly once."""
@@ -84,59 +128,106 @@ def _one_way_within(lists: pa.ListArray, own: np.ndarray, cell_of: np.ndarray) -
     )
 
 
-def _score(metric: str, bound: float):
+def _grouped(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, pa.Table]:
+    return split_roles(pa.Table.from_batches(batches))
+
+
+def _score(metric: str, floor: float):
+    """List the near pairs of a group, one slice of the scores at a time."""
     margin = 10.0**-SETTLED_DECIMALS
 
-    def found(left: pa.Table, right: pa.Table, within: bool) -> list[pa.Table]:
+    def found(left: pa.Table, right: pa.Table, within: bool) -> Iterator[pa.RecordBatch]:
         a = B.prepared(metric, B.matrix(left.column(VEC)))
         b = B.prepared(metric, B.matrix(right.column(VEC)))
         a_id, b_id = left.column(REP).to_numpy(), right.column(REP).to_numpy()
         a_n, b_n = left.column("_copies").to_numpy(), right.column("_copies").to_numpy()
-        out = []
         for part in B.slices(len(a), len(b)):
             good = B.goodness(metric, a[part], b)
-            near = good >= bound - margin
+            near = good >= floor - margin
             if within:
                 near &= a_id[part][:, None] < b_id[None, :]
             at = np.flatnonzero(near)
             value = B.settled(good.ravel()[at])
-            i, j = np.divmod(at[value >= bound], len(b))
-            value = value[value >= bound]
+            i, j = np.divmod(at[value >= floor], len(b))
+            value = value[value >= floor]
             i = i + part.start
             swap = a_id[i] > b_id[j]
-            left_key, right_key = left.column(KEY).take(i), right.column(KEY).take(j)
+            left_key = left.column(KEY).take(i).combine_chunks()
+            right_key = right.column(KEY).take(j).combine_chunks()
             flag = pa.array(swap)
-            out.append(
-                pa.table(
-                    {
-                        "_a": np.where(swap, b_id[j], a_id[i]),
-                        "_a_key": pc.if_else(flag, right_key, left_key),
-                        "_a_copies": np.where(swap, b_n[j], a_n[i]),
-                        "_b": np.where(swap, a_id[i], b_id[j]),
-                        "_b_key": pc.if_else(flag, left_key, right_key),
-                        "_b_copies": np.where(swap, a_n[i], b_n[j]),
-                        "_good": value,
-                    }
-                )
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "_a": np.where(swap, b_id[j], a_id[i]),
+                    "_a_key": pc.if_else(flag, right_key, left_key),
+                    "_a_copies": np.where(swap, b_n[j], a_n[i]),
+                    "_b": np.where(swap, a_id[i], b_id[j]),
+                    "_b_key": pc.if_else(flag, left_key, right_key),
+                    "_b_copies": np.where(swap, a_n[i], b_n[j]),
+                    "_good": value,
+                }
             )
-        return out
 
-    def run(group: tuple, table: pa.Table) -> pa.Table:
-        hosts, guests = split_roles(table)
-        out = []
-        if len(hosts) and group[1].as_py() == 0:
-            out += found(hosts, hosts, within=True)
+    def run(
+        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
+        hosts, guests = _grouped(batches)
+        if len(hosts) and key[1].as_py() == 0:
+            yield from found(hosts, hosts, within=True)
         if len(hosts) and len(guests):
-            out += found(guests, hosts, within=False)
-        return pa.concat_tables(out) if out else _no_pairs()
+            yield from found(guests, hosts, within=False)
 
     return run
 
 
-def _no_pairs() -> pa.Table:
-    ids, keys = pa.array([], pa.int64()), pa.array([], pa.string())
-    ends = {f"_{e}{part}": kind for e in "ab" for part, kind in (("", ids), ("_key", keys), ("_copies", ids))}
-    return pa.table({**ends, "_good": pa.array([], pa.float64())})
+def _link(metric: str, floor: float):
+    """Reduce the near pairs of a group to counts, best scores and links per vector."""
+
+    def run(
+        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
+        hosts, guests = _grouped(batches)
+        if not len(hosts):
+            return
+        # Nodes are numbered in id order, so the lowest node is the lowest id.
+        ids = np.concatenate([hosts.column(REP).to_numpy(), guests.column(REP).to_numpy()])
+        order = np.argsort(ids, kind="stable")
+        node = np.empty(len(ids), dtype=np.int64)
+        node[order] = np.arange(len(ids))
+        labels = np.arange(len(ids))
+        rows, best = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), -np.inf)
+        h = B.prepared(metric, B.matrix(hosts.column(VEC)))
+        h_node, h_n = node[: len(hosts)], hosts.column("_copies").to_numpy()
+        sides = []
+        if key[1].as_py() == 0:
+            sides.append((h, h_node, h_n, True))
+        if len(guests):
+            g = B.prepared(metric, B.matrix(guests.column(VEC)))
+            sides.append((g, node[len(hosts) :], guests.column("_copies").to_numpy(), False))
+        for vectors, own, copies, within in sides:
+            for part in B.slices(len(vectors), len(h)):
+                good = B.settled(B.goodness(metric, vectors[part], h))
+                mine = own[part]
+                if within:
+                    good[mine[:, None] == h_node[None, :]] = -np.inf
+                near = good >= floor
+                rows[mine] += near @ h_n
+                best[mine] = np.maximum(best[mine], good.max(1))
+                if not within:
+                    rows[h_node] += copies[part] @ near
+                    best[h_node] = np.maximum(best[h_node], good.max(0))
+                i, j = np.divmod(np.flatnonzero(near), len(h))
+                labels = B.joined_labels(labels, mine[i], h_node[j])
+        linked = rows[node] > 0
+        yield pa.RecordBatch.from_pydict(
+            {
+                REP: ids[linked],
+                "_root": ids[order][labels[node[linked]]],
+                "_n": rows[node][linked],
+                "_best": best[node][linked],
+            }
+        )
+
+    return run
 
 
 def near_pairs(
@@ -148,7 +239,7 @@ def near_pairs(
     bound: float = 0.9,
     rows_per_block: int | None = None,
 ) -> Near:
-    """Pairs of distinct vectors with a score within ``bound``, as a written table."""
+    """Lay the distinct vectors out so that every pair with a score within ``bound`` meets."""
     chosen = find_metric(metric)
     ship(df.sparkSession)
     rows = records(df, id, key, vec)
@@ -179,8 +270,7 @@ def near_pairs(
         # Written once: the visits are counted before they are shuffled.
         visits = written(going, "visits").select(*cols, F.explode("_targets").alias(BLOCK))
         met = meetings(placed, visits, cols, cols, alone=True)
-    pairs = by_group(met, [BLOCK, "_group"], placed.meetings).applyInArrow(_score(metric, floor), PAIR)
-    return Near(rows, distinct, written(pairs, "pairs"), facts["copies"] or 0)
+    return Near(rows, distinct, met, placed.meetings, metric, floor, facts["copies"] or 0)
 
 
 def own_goodness(metric: str):
@@ -194,26 +284,22 @@ def own_goodness(metric: str):
     return F.lit(0.0)
 
 
-def copy_pairs_within(near: Near, metric: str, floor: float) -> DataFrame:
+def matching_copies(near: Near) -> DataFrame:
     """Distinct vectors whose copies match each other: _rep, _copies, _good."""
     return (
         near.distinct.where(F.col("_copies") > 1)
-        .select(REP, "_copies", own_goodness(metric).alias("_good"))
-        .where(F.col("_good") >= floor)
+        .select(REP, "_copies", own_goodness(near.metric).alias("_good"))
+        .where(F.col("_good") >= near.floor)
     )
 
 
 def row_pairs(
-    near: Near,
-    metric: str,
-    bound: float,
-    pairs: DataFrame | None = None,
-    same: DataFrame | None = None,
+    near: Near, pairs: DataFrame | None = None, same: DataFrame | None = None
 ) -> DataFrame:
     """Near pairs of rows: _i, _i_key, _j, _j_key, _good with _i < _j.
 
     This is the pair relation in full, so copies of one vector appear with each other. Its size
-    is the size of the answer; the group operators work from ``Near`` and never build it.
+    is the size of the answer; the group operators work from ``Near.links`` and never build it.
     Further columns of ``pairs`` and ``same`` (the copies that match each other) are kept.
     """
     pairs = near.pairs if pairs is None else pairs
@@ -228,8 +314,7 @@ def row_pairs(
             *extra,
         )
     if same is None:
-        floor = -bound if find_metric(metric).ascending else bound
-        same = copy_pairs_within(near, metric, floor)
+        same = matching_copies(near)
     rows = written(members(near.rows, near.distinct, near.most_copies), "members")
     linked = pairs.select("_a", "_b", "_good", *extra).unionByName(
         same.select(F.col(REP).alias("_a"), F.col(REP).alias("_b"), "_good", *extra)
@@ -266,7 +351,7 @@ def similar_pairs(
     """
     near = near_pairs(df, id, vec, key, metric, bound, rows_per_block)
     score = F.col("_good") * (-1.0 if find_metric(metric).ascending else 1.0)
-    return row_pairs(near, metric, bound).select(
+    return row_pairs(near).select(
         F.col("_i").alias("id_a"),
         F.col("_j").alias("id_b"),
         (score if decimals is None else F.round(score, decimals)).alias("score"),

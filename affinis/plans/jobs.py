@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.encode import EncoderSpec, embed_and_combine, embed_columns, encoder_for
 from ..operators.keys import with_composite_key
@@ -20,15 +21,15 @@ from ..settings import (
     DEFAULT_METRIC,
     DEFAULT_TOP_K,
     ROW_ID,
-    VECTOR_PREFIX,
     find_model,
 )
-from ..sources.tables import require_columns
+from ..sources.tables import require_columns, vector_column
 from ..sources.vector_table import VectorTable
 from ..workspace import written
 from .presets import find_preset
 
 ROW_VECTOR = "_row_vector"
+ROW_KEY = "_row_key"
 
 
 @dataclass(frozen=True)
@@ -71,15 +72,31 @@ def nearest_rows(
     key the rows are known by that number.
     """
     chosen = selection(df, order, key, embed)
-    rows = numbered(df, [order], ROW_ID)
+    rows = with_row_ids(df, order, chosen)
     combined = embed_and_combine(rows, chosen.embed, ROW_VECTOR, model, encoder)
     # Written once, so the encoder does not run again in a later stage.
-    vectors = written(combined.select(ROW_ID, F.col(f"`{chosen.key}`").cast("string").alias("_k"), ROW_VECTOR), "vectors")
+    vectors = written(combined.select(ROW_ID, ROW_KEY, ROW_VECTOR), "vectors")
     return neighbours(
-        vectors, ROW_ID, ROW_VECTOR, "_k", metric, top_k, decimals, threshold
+        vectors, ROW_ID, ROW_VECTOR, ROW_KEY, metric, top_k, decimals, threshold
     )
 
 
+def with_row_ids(df: DataFrame, order: str, chosen: Selection) -> DataFrame:
+    """The columns a job needs, with a LONG row id in ``order`` and the key as text.
+
+    An integral ``order`` serves as the id itself; only another type costs a numbering, and so
+    does a table without a key.
+    """
+    named = chosen.key != ROW_ID
+    needed = dict.fromkeys([order, *([chosen.key] if named else []), *chosen.embed])
+    narrow = df.select(*[F.col(f"`{c}`") for c in needed])
+    if named and isinstance(df.schema[order].dataType, T.IntegralType):
+        rows = narrow.withColumn(ROW_ID, F.col(f"`{order}`").cast("long"))
+    else:
+        rows = numbered(narrow, [order], ROW_ID)
+    return rows.withColumn(ROW_KEY, F.col(f"`{chosen.key}`").cast("string"))
+
+
 def embedded_neighbours(
     df: DataFrame,
     id: str,
@@ -90,8 +107,6 @@ def embedded_neighbours(
     threshold: float | None = None,
 ) -> DataFrame:
     """Neighbours by the embedding column of ``key``."""
-    from ..sources.tables import vector_column
-
     return neighbours(df, id, f"`{vector_column(df, key)}`", key, metric, top_k, decimals, threshold)
 
 
@@ -150,7 +165,7 @@ def dedup_table(
 ) -> Deduplicated:
     """Store a table, match its rows and annotate it with the groups they form."""
     table = stored_table(spark, df, path, key, embed, order, model, encoder)
-    matches = table.match(threshold, decimals)
+    matches = table.match(threshold, decimals, list_pairs=lists)
     return Deduplicated(table, matches, annotated(df, key, matches, lists))
 
 
@@ -161,20 +176,13 @@ def preset_matches(
     encoder: EncoderSpec | None = None,
     threshold: float | None = None,
     decimals: int = DEFAULT_DECIMALS,
+    list_pairs: bool = True,
 ) -> Matches:
     """Matches of a table with a preset's columns, its text columns averaged per row."""
     chosen = find_preset(preset)
     require_columns(df, [chosen.key, *chosen.embed])
-    rows = numbered(df.select(order, *[c for c in (chosen.key, *chosen.embed) if c != order]), [order], ROW_ID)
+    rows = with_row_ids(df, order, Selection(chosen.key, list(chosen.embed)))
     combined = embed_and_combine(rows, list(chosen.embed), ROW_VECTOR, chosen.model, encoder)
-    vectors = written(
-        combined.select(ROW_ID, F.col(f"`{chosen.key}`").cast("string").alias("_k"), ROW_VECTOR), "vectors"
-    )
+    vectors = written(combined.select(ROW_ID, ROW_KEY, ROW_VECTOR), "vectors")
     bound = chosen.threshold if threshold is None else threshold
-    return match(vectors, ROW_ID, ROW_VECTOR, "_k", bound, decimals)
-
-
-__all__ = [
-    "Deduplicated", "Selection", "VECTOR_PREFIX", "composed", "dedup_table",
-    "embedded_neighbours", "nearest_rows", "preset_matches", "selection", "stored_table",
-]
+    return match(vectors, ROW_ID, ROW_VECTOR, ROW_KEY, bound, decimals, list_pairs)

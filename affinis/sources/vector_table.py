@@ -197,9 +197,12 @@ class VectorTable:
         )
 
     def match(
-        self, threshold: float = DEFAULT_MATCH_THRESHOLD, decimals: int = DEFAULT_DECIMALS
+        self,
+        threshold: float = DEFAULT_MATCH_THRESHOLD,
+        decimals: int = DEFAULT_DECIMALS,
+        list_pairs: bool = True,
     ) -> Matches:
-        return match(self.rows, "pos", "embedding", "key", threshold, decimals)
+        return match(self.rows, "pos", "embedding", "key", threshold, decimals, list_pairs)
 
     def annotate(
         self,
@@ -210,7 +213,7 @@ class VectorTable:
         as_text: bool = False,
     ) -> DataFrame:
         """``df`` with the matches among the stored rows, by key."""
-        return annotated(df, self.key_column, self.match(threshold, decimals), lists, as_text)
+        return annotated(df, self.key_column, self.match(threshold, decimals, lists), lists, as_text)
 
     def info(self) -> DataFrame:
         """One row: path, row_count, model_id, dimensions, key_column, embed_columns, size_on_disk."""
