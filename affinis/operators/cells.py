@@ -28,6 +28,7 @@ BLOCK_BYTES = 16 << 20  # DOUBLE bytes of one block of vectors
 BLOCK_ROWS = (1024, 4096)  # and its limits in rows
 CENTRE_BYTES = 32 << 20  # DOUBLE bytes of all centres, which every worker holds
 CELLS = 50_000  # ... and their largest number
+ONE_TASK = 10**10  # multiplications that one task does sooner than a layout is made
 TASKS = 20_000  # most tasks of one scoring stage
 VISITORS = 4  # visiting rows per task, as a multiple of the block size
 
@@ -66,8 +67,10 @@ class Placed:
 def block_rows(count: int, dim: int, cores: int) -> int:
     """Rows per block: as many as fit, but enough blocks to keep every core busy."""
     low, high = BLOCK_ROWS
-    fitting = min(high, max(low, BLOCK_BYTES // (8 * max(1, dim))))
-    return fitting if count <= fitting else max(low, min(fitting, -(-count // cores)))
+    fitting = max(low, BLOCK_BYTES // (8 * max(1, dim)))
+    if count <= fitting and count * count * dim <= ONE_TASK:
+        return max(1, count)
+    return max(low, min(fitting, high, -(-count // cores)))
 
 
 def by_group(df: DataFrame, keys: list[str], groups: int) -> GroupedData:

@@ -7,12 +7,18 @@ would need one round per link.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import written, written_and_measured
+from ..functions.blocks import joined_labels
+from ..workspace import ship, written, written_and_measured
 from .lookup import HOT_ROWS
 
+PORTION = 1_000_000  # edges a task combines at once
 ROUNDS = 200  # far beyond the logarithmic number of rounds; a guard against a faulty input
 
 
@@ -23,9 +29,9 @@ def components(edges: DataFrame, a: str = "_a", b: str = "_b", hot_rows: int = H
     executors. A hub may hold a third of all edges: its minimum is found by a map-side
     combined aggregate and is handed to its edges by broadcast, never by gathering them.
     """
-    high, low = F.greatest(a, b), F.least(a, b)
-    links = edges.where(F.col(a) != F.col(b)).select(high.alias("h"), low.alias("l")).distinct()
-    links = written(links, "links")
+    ship(edges.sparkSession)
+    ends = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("h"), F.col(b).alias("l"))
+    links = written(ends.mapInArrow(_stars, "h long, l long").distinct(), "links")
     for _ in range(ROUNDS):
         ends = links.select(
             F.explode(
@@ -67,6 +73,31 @@ def components(edges: DataFrame, a: str = "_a", b: str = "_b", hot_rows: int = H
     raise RuntimeError(f"Components did not settle in {ROUNDS} rounds.")
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace portions of a partition's edges by stars around their lowest nodes.
+
+    This is the map-side combine: a portion of any size shrinks to at most one edge per node.
+    """
+
+    def combined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        h, l = table.column("h").to_numpy(), table.column("l").to_numpy()
+        nodes, place = np.unique(np.concatenate([h, l]), return_inverse=True)
+        root = joined_labels(np.arange(len(nodes)), place[: len(h)], place[len(h) :])
+        leaf = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_pydict({"h": nodes[leaf], "l": nodes[root[leaf]]})
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= PORTION:
+            yield combined(held)
+            held, rows = [], 0
+    if held:
+        yield combined(held)
+
+
 def _minimum_of(links: DataFrame, nodes: DataFrame, key: str, limit: int, hubs: bool) -> DataFrame:
     if not hubs:
         return links.join(nodes.drop("d"), key)

@@ -109,7 +109,11 @@ def encoder_for(model: str = DEFAULT_MODEL) -> EncoderSpec:
 
 
 def encoded(text: Column, encoder: EncoderSpec) -> Column:
-    """The vector of a text column. Whole texts are read; a missing text is the empty one."""
+    """The vector of a text column. Whole texts are read; a missing text is the empty one.
+
+    Marked non-deterministic so that Catalyst never copies it into a filter or a second
+    projection: encoding is by far the dearest step and must run once per row.
+    """
     factory, dim = encoder.factory, encoder.dim
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -122,7 +126,7 @@ def encoded(text: Column, encoder: EncoderSpec) -> Column:
 
     # pandas_udf reads the type hints at run time.
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "array<float>")(as_text(text))
+    return F.pandas_udf(run, "array<float>").asNondeterministic()(as_text(text))
 
 
 def embed_columns(

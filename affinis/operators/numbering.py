@@ -10,6 +10,13 @@ from ..workspace import written
 
 
 def numbered(df: DataFrame, order: list[str], name: str = ROW_ID, start: int = 1) -> DataFrame:
+    """``numbered_and_counted`` without the count."""
+    return numbered_and_counted(df, order, name, start)[0]
+
+
+def numbered_and_counted(
+    df: DataFrame, order: list[str], name: str = ROW_ID, start: int = 1
+) -> tuple[DataFrame, int]:
     """``df`` with ``name`` = start, start + 1, ... in the order of unique columns ``order``.
 
     A range shuffle puts the rows in order across partitions; each row knows its place inside
@@ -27,8 +34,9 @@ def numbered(df: DataFrame, order: list[str], name: str = ROW_ID, start: int = 1
         offsets.append((row["_part"], before))
         before += row["n"]
     starts = df.sparkSession.createDataFrame(offsets, "_part int, _start long")
-    return (
+    rows = (
         marked.join(F.broadcast(starts), "_part")
         .withColumn(name, F.col("_start") + F.col("_at"))
         .drop("_part", "_at", "_start")
     )
+    return rows, before - start

@@ -181,6 +181,7 @@ def _score(metric: str, floor: float):
 
 def _link(metric: str, floor: float):
     """Reduce the near pairs of a group to counts, best scores and links per vector."""
+    margin = 10.0**-SETTLED_DECIMALS
 
     def run(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
@@ -194,7 +195,7 @@ def _link(metric: str, floor: float):
         node = np.empty(len(ids), dtype=np.int64)
         node[order] = np.arange(len(ids))
         labels = np.arange(len(ids))
-        rows, best = np.zeros(len(ids), dtype=np.int64), np.full(len(ids), -np.inf)
+        rows, best = np.zeros(len(ids)), np.full(len(ids), -np.inf)
         h = B.prepared(metric, B.matrix(hosts.column(VEC)))
         h_node, h_n = node[: len(hosts)], hosts.column("_copies").to_numpy()
         sides = []
@@ -205,24 +206,27 @@ def _link(metric: str, floor: float):
             sides.append((g, node[len(hosts) :], guests.column("_copies").to_numpy(), False))
         for vectors, own, copies, within in sides:
             for part in B.slices(len(vectors), len(h)):
-                good = B.settled(B.goodness(metric, vectors[part], h))
-                mine = own[part]
+                good = B.goodness(metric, vectors[part], h)
+                at = np.flatnonzero(good >= floor - margin)
+                value = B.settled(good.ravel()[at])
+                i, j = np.divmod(at, len(h))
+                mine, host = own[part][i], h_node[j]
+                near = value >= floor
                 if within:
-                    good[mine[:, None] == h_node[None, :]] = -np.inf
-                near = good >= floor
-                rows[mine] += near @ h_n
-                best[mine] = np.maximum(best[mine], good.max(1))
+                    near &= mine != host
+                i, j, mine, host, value = i[near], j[near], mine[near], host[near], value[near]
+                rows += np.bincount(mine, h_n[j], len(ids))
+                np.maximum.at(best, mine, value)
                 if not within:
-                    rows[h_node] += copies[part] @ near
-                    best[h_node] = np.maximum(best[h_node], good.max(0))
-                i, j = np.divmod(np.flatnonzero(near), len(h))
-                labels = B.joined_labels(labels, mine[i], h_node[j])
+                    rows += np.bincount(host, copies[part][i], len(ids))
+                    np.maximum.at(best, host, value)
+                labels = B.joined_labels(labels, mine, host)
         linked = rows[node] > 0
         yield pa.RecordBatch.from_pydict(
             {
                 REP: ids[linked],
                 "_root": ids[order][labels[node[linked]]],
-                "_n": rows[node][linked],
+                "_n": rows[node][linked].astype(np.int64),
                 "_best": best[node][linked],
             }
         )

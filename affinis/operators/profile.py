@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import routed_model
+from ..workspace import few_rows
 
 # The type rule of the profile.
 SAMPLE_ROWS = 100  # non-null values whose mean length is looked at
@@ -55,27 +54,23 @@ def _value_counts(df: DataFrame) -> DataFrame:
     Columns are turned into (column, value) rows; equal values combine on the map side, so a
     frequent value costs one row per partition however often it occurs.
     """
-    parts = []
-    for fixed, value in ((True, _as_long), (False, _as_bytes)):
-        cells = [
-            F.struct(F.lit(i + 1).alias("index"), value(f).alias("v"))
-            for i, f in enumerate(df.schema.fields)
-            if _fits_in_64_bits(f) == fixed
-        ]
-        if cells:
-            per_value = (
-                df.select(F.explode(F.array(*cells)).alias("c"))
-                .groupBy("c.index", "c.v")
-                .agg(F.count(F.lit(1)).alias("n"))
-            )
-            parts.append(
-                per_value.groupBy("index").agg(
-                    F.count("v").alias("unique_count"),
-                    F.sum("n").alias("total_count"),
-                    F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("null_count"),
-                )
-            )
-    return reduce(DataFrame.unionByName, parts)
+    cells = []
+    for i, f in enumerate(df.schema.fields):
+        fixed = _fits_in_64_bits(f)
+        number = _as_long(f) if fixed else F.lit(None).cast("long")
+        text = F.lit(None).cast("binary") if fixed else _as_bytes(f)
+        cells.append(F.struct(F.lit(i + 1).alias("index"), number.alias("v"), text.alias("b")))
+    per_value = (
+        df.select(F.explode(F.array(*cells)).alias("c"))
+        .groupBy("c.index", "c.v", "c.b")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    missing = F.col("v").isNull() & F.col("b").isNull()
+    return per_value.groupBy("index").agg(
+        F.count_if(~missing).alias("unique_count"),
+        F.sum("n").alias("total_count"),
+        F.sum(F.when(missing, F.col("n")).otherwise(0)).alias("null_count"),
+    )
 
 
 def _text(field: T.StructField) -> Column:
@@ -87,23 +82,23 @@ def _text(field: T.StructField) -> Column:
 def profile(df: DataFrame, order: str) -> DataFrame:
     """One row per column: name, index, dtype, counts, likely key, likely text, model.
 
-    One pass counts everything; a second one, over lengths only, looks at the first values of
-    each non-numeric column in ``order``.
+    One pass counts everything. The lengths of the first values of each non-numeric column, in
+    the unique ``order``, are looked at first.
     """
     fields = df.schema.fields
-    columns = df.sparkSession.createDataFrame(
-        [(f.name, i + 1, isinstance(f.dataType, _NUMERIC)) for i, f in enumerate(fields)],
-        "name string, index int, numeric boolean",
+    lengths = _mean_lengths(df, order)
+    columns = few_rows(
+        df.sparkSession,
+        [
+            (f.name, i + 1, isinstance(f.dataType, _NUMERIC), lengths.get(i + 1))
+            for i, f in enumerate(fields)
+        ],
+        "name string, index int, numeric boolean, _length double",
     )
     # One row per column on both sides.
     facts = columns.join(F.broadcast(_value_counts(df)), "index", "left").fillna(
         0, ["unique_count", "total_count", "null_count"]
     )
-    lengths = _mean_lengths(df, order)
-    if lengths is None:
-        facts = facts.withColumn("_length", F.lit(None).cast("double"))
-    else:
-        facts = facts.join(F.broadcast(lengths), "index", "left")
     dtype = (
         F.when(F.col("numeric"), "numeric")
         .when(F.col("null_count") == F.col("total_count"), "mixed")
@@ -125,22 +120,28 @@ def profile(df: DataFrame, order: str) -> DataFrame:
     )
 
 
-def _mean_lengths(df: DataFrame, order: str) -> DataFrame | None:
-    """Mean text length of the first non-null values per non-numeric column."""
-    parts = []
-    for i, f in enumerate(df.schema.fields):
-        if isinstance(f.dataType, _NUMERIC):
-            continue
-        length = F.length(_text(f))
-        # Sorted by (order, length) and limited on the map side: only lengths ever move.
-        first = (
-            df.select(F.col(f"`{order}`").alias("_o"), length.alias("_n"))
-            .where(F.col("_n").isNotNull())
-            .orderBy("_o", "_n")
-            .limit(SAMPLE_ROWS)
-        )
-        parts.append(first.agg(F.avg("_n").alias("_length")).select(F.lit(i + 1).alias("index"), "_length"))
-    return reduce(DataFrame.unionByName, parts) if parts else None
+def _mean_lengths(df: DataFrame, order: str) -> dict[int, float]:
+    """Mean text length of the first non-null values per non-numeric column.
+
+    The first rows answer for every column that is complete in them, from one pass over
+    lengths; a column with gaps there gets a pass of its own.
+    """
+    texts = {i + 1: f for i, f in enumerate(df.schema.fields) if not isinstance(f.dataType, _NUMERIC)}
+    if not texts:
+        return {}
+    lengths = df.select(
+        F.col(f"`{order}`").alias("_o"), *[F.length(_text(f)).alias(f"n{i}") for i, f in texts.items()]
+    )
+    head = lengths.orderBy("_o").limit(SAMPLE_ROWS).collect()
+    means: dict[int, float] = {}
+    for i in texts:
+        seen = [r[f"n{i}"] for r in head if r[f"n{i}"] is not None]
+        if len(seen) < len(head):
+            own = lengths.select("_o", f"n{i}").where(F.col(f"n{i}").isNotNull())
+            seen = [r[1] for r in own.orderBy("_o").limit(SAMPLE_ROWS).collect()]
+        if seen:
+            means[i] = sum(seen) / len(seen)
+    return means
 
 
 def likely_key(profiled: DataFrame) -> str | None:

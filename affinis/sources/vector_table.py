@@ -13,10 +13,10 @@ from ..functions import vectors as V
 from ..functions.text import joined_text
 from ..operators.encode import EncoderSpec, encoded, encoder_for
 from ..operators.matching import Matches, annotated, first_per_key, match
-from ..operators.numbering import numbered
+from ..operators.numbering import numbered_and_counted
 from ..operators.topk import nearest
 from ..settings import DEFAULT_DECIMALS, DEFAULT_MATCH_THRESHOLD, DEFAULT_TOP_K
-from ..workspace import ship
+from ..workspace import fill_cores, ship
 from .tables import require_columns
 
 ROWS = T.StructType(
@@ -32,8 +32,14 @@ META = "model_id string, dimensions int, key_column string, embed_columns array<
 
 @dataclass(frozen=True)
 class Added:
+    """What an add did; the skipped rows are counted when they are asked for."""
+
     added: int
-    skipped: int
+    given: DataFrame
+
+    @property
+    def skipped(self) -> int:
+        return self.given.count() - self.added
 
 
 class VectorTable:
@@ -96,9 +102,9 @@ class VectorTable:
         ``order`` must be unique. The row itself is kept as JSON, without the vector.
         """
         payload = [c for c in df.columns if c != vector]
-        fresh = self._numbered(df, order)
+        fresh, count = self._numbered(df, order)
         self._append(fresh, payload, F.col(f"`{vector}`"))
-        return fresh.count()
+        return count
 
     def add(self, df: DataFrame, order: str, encoder: EncoderSpec | None = None) -> Added:
         """Append the rows whose key is new; only these are encoded.
@@ -117,16 +123,16 @@ class VectorTable:
             .join(stored, "_k", "left_anti")
             .drop("_k")
         )
-        fresh = self._numbered(unseen, order)
+        fresh, count = self._numbered(unseen, order)
         texts = joined_text([F.col(f"`{c}`") for c in self.embed_columns])
-        self._append(fresh, df.columns, encoded(texts, encoder))
-        added = fresh.count()
-        return Added(added, df.count() - added)
+        if count:
+            self._append(fill_cores(fresh), df.columns, encoded(texts, encoder))
+        return Added(count, df)
 
-    def _numbered(self, df: DataFrame, order: str) -> DataFrame:
+    def _numbered(self, df: DataFrame, order: str) -> tuple[DataFrame, int]:
         last = self.rows.agg(F.max("pos")).first()[0]
         by = list(dict.fromkeys([order, self.key_column]))
-        return numbered(df, by, "_pos", 0 if last is None else last + 1)
+        return numbered_and_counted(df, by, "_pos", 0 if last is None else last + 1)
 
     def _append(self, fresh: DataFrame, payload: list[str], vector) -> None:
         fresh.select(

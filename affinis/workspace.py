@@ -69,6 +69,11 @@ def written_and_measured(df: DataFrame, label: str, *measures: Column) -> tuple[
     return table, seen.get
 
 
+def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A handful of driver rows in a single partition."""
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a side whose row count is known and within the limit."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
