@@ -146,7 +146,7 @@ def place(
 
 def _centres(distinct: DataFrame, cells: int, metric: str) -> np.ndarray:
     """A pseudo-random choice of the vectors, the same on every run."""
-    picked = distinct.select(VEC).orderBy(F.xxhash64(PRINT), VEC).limit(cells).collect()
+    picked = distinct.select(PRINT, VEC).orderBy(PRINT).limit(cells).collect()
     return B.prepared(metric, np.array([r[VEC] for r in picked], dtype=np.float64))
 
 

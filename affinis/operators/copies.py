@@ -17,26 +17,29 @@ ID, KEY, VEC, PRINT, REP = "_id", "_key", "_vec", "_print", "_rep"
 def records(df: DataFrame, id: str, key: str | None, vec: str) -> DataFrame:
     """The three columns the operators need, with a fingerprint of the vector.
 
-    Rows without a vector have no score and take no part.
+    The fingerprint is the SHA-256 of the vector's exact text, so copies meet on 32 bytes and
+    the vectors themselves are neither compared nor shuffled a second time. Rows without a
+    vector have no score and take no part.
     """
+    digest = F.unhex(F.sha2(F.col(vec).cast("string").cast("binary"), 256))
     cols: list[Column] = [
         F.col(id).cast("long").alias(ID),
         F.col(key or id).cast("string").alias(KEY),
         F.col(vec).alias(VEC),
-        F.xxhash64(vec).alias(PRINT),
+        digest.alias(PRINT),
     ]
     return df.where(F.col(vec).isNotNull()).select(*cols)
 
 
 def distinct_vectors(rows: DataFrame) -> DataFrame:
     """One row per distinct vector: its lowest id, that row's key, and the number of copies."""
-    first = F.min(F.struct(ID, KEY))
+    first = F.min(F.struct(ID, KEY, VEC))
     return (
-        rows.groupBy(PRINT, VEC)
+        rows.groupBy(PRINT)
         .agg(first.alias("_first"), F.count(F.lit(1)).alias("_copies"))
         .select(
             PRINT,
-            VEC,
+            F.col("_first")[VEC].alias(VEC),
             F.col("_first")[ID].alias(REP),
             F.col("_first")[KEY].alias(KEY),
             "_copies",
@@ -50,26 +53,24 @@ def distinct_with_members(rows: DataFrame, members: int) -> DataFrame:
     The rank limit is applied before the shuffle as well as after it, so a hot vector ships
     ``members`` rows per partition and never all of its copies.
     """
-    order = Window.partitionBy(PRINT, VEC).orderBy(ID)
-    held = F.sort_array(F.collect_list(F.struct(ID, KEY)))
-    return (
-        rows.withColumn("_nth", F.row_number().over(order))
-        .where(F.col("_nth") <= members)
-        .groupBy(PRINT, VEC)
-        .agg(held.alias("_held"))
-        .select(
-            PRINT,
-            VEC,
-            F.col("_held")[0][ID].alias(REP),
-            F.col("_held")[0][KEY].alias(KEY),
-            F.col("_held")[ID].alias("_ids"),
-            F.col("_held")[KEY].alias("_keys"),
-        )
+    by_id = Window.partitionBy(PRINT).orderBy(ID)
+    low = rows.withColumn("_nth", F.row_number().over(by_id)).where(F.col("_nth") <= members)
+    # The same partitioning and order as above: no further shuffle or sort.
+    onward = by_id.rowsBetween(Window.currentRow, members - 1)
+    held = low.withColumn("_held", F.collect_list(F.struct(ID, KEY)).over(onward))
+    return held.where(F.col("_nth") == 1).select(
+        PRINT,
+        VEC,
+        F.col(ID).alias(REP),
+        KEY,
+        F.col("_held")[ID].alias("_ids"),
+        F.col("_held")[KEY].alias("_keys"),
     )
 
 
 def members(rows: DataFrame, distinct: DataFrame, most_copies: int) -> DataFrame:
     """Every row with the representative of its vector."""
-    named = distinct.select(PRINT, VEC, REP)
-    found = attach(rows, named, [PRINT, VEC], skew=PRINT, how="inner", widest=most_copies)
+    found = attach(
+        rows.select(ID, KEY, PRINT), distinct.select(PRINT, REP), [PRINT], "inner", widest=most_copies
+    )
     return found.select(ID, KEY, REP)

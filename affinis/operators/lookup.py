@@ -26,18 +26,17 @@ def attach(
     big: DataFrame,
     lookup: DataFrame,
     on: list[str],
-    skew: str | None = None,
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     widest: int | None = None,
 ) -> DataFrame:
     """``big`` joined to ``lookup`` (one row per key) without sending a hot key to one task.
 
-    Rows of hot ``skew`` keys meet a broadcast of the few lookup rows they need and stay
+    Rows whose first key column is hot meet a broadcast of the few lookup rows they need and stay
     where they are; all other rows take an ordinary shuffle join. ``widest`` is the largest
     number of rows of one key where the caller knows it.
     """
-    skew = skew or on[0]
+    skew = on[0]
     hot = [] if widest is not None and widest <= hot_rows else hot_keys(big, skew, hot_rows)
     if not hot:
         return big.join(lookup, on, how)

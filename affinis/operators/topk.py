@@ -280,9 +280,8 @@ def _for_members(rows: DataFrame, distinct: DataFrame, ranked: DataFrame, top_k:
     entry = F.struct("rank", "_cand", "_cand_key", "_good")
     # A list holds at most top_k + 1 entries.
     lists = ranked.groupBy(REP).agg(F.sort_array(F.collect_list(entry)).alias("_list"))
-    # Distinct vectors are few next to their copies: the fingerprint leads from one to the other.
-    listed = distinct.select(REP, PRINT, VEC).join(lists, REP).drop(REP)
-    spread = attach(rows, listed, [PRINT, VEC], skew=PRINT, how="inner")
+    listed = distinct.select(REP, PRINT).join(lists, REP).drop(REP)
+    spread = attach(rows.select(ID, KEY, PRINT), listed, [PRINT], "inner")
     others = F.slice(F.filter("_list", lambda e: e["_cand"] != F.col(ID)), 1, top_k)
     return spread.select(
         F.col(KEY).alias("_query"), F.posexplode(others).alias("_at", "_e")
@@ -399,10 +398,11 @@ def nearest(
     if (facts["copies"] or 0) > 1:
         entry = F.struct("rank", "_cand_key", "_good")
         lists = ranked.groupBy(REP).agg(F.collect_list(entry).alias("_list"))
-        listed = asking.select(REP, PRINT, VEC).join(lists, REP).drop(REP)
-        ranked = attach(asked, listed, [PRINT, VEC], skew=PRINT, how="inner").select(
-            KEY, F.inline("_list")
+        listed = asking.select(REP, PRINT).join(lists, REP).drop(REP)
+        spread = attach(
+            asked.select(KEY, PRINT), listed, [PRINT], "inner", widest=facts["copies"]
         )
+        ranked = spread.select(KEY, F.inline("_list"))
     sign = -1.0 if chosen.ascending else 1.0
     return ranked.select(
         F.col(KEY).alias("query_key"),
