@@ -245,6 +245,17 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "similarity", F.get_json_object("fields", "$.label").cast("int").alias("label"))
 
 
+def _query_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through a cell index, which covers the table but for a late row."""
+    e = _read(spark, sf_dir, "embeddings")
+    first = e.orderBy("vec_id").select("embedding").first()[0]
+    table = _vector_store(spark, sf_dir)
+    table.build_index(rows_per_cell=50)
+    late = e.orderBy("vec_id").limit(1).withColumn("vec_id", F.lit(-1).cast("long"))
+    table.insert(late, "embedding", "vec_id")
+    return table.query(list(first), top_k=10, decimals=4).select("id", "similarity")
+
+
 def _text_store(spark: SparkSession, sf_dir: str) -> VectorTable:
     d = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     path = _scratch(spark, "store")
@@ -439,6 +450,7 @@ def queries() -> dict[str, Query]:
         "i_approximate_topk": _approximate,
         "i_incremental_add": _incremental,
         "i_info": _info,
+        "i_query_indexed": _query_indexed,
         "i_query_many": _query_many,
         "i_query_text": _query_text,
         "i_query_topk": _query_vector,
@@ -751,6 +763,11 @@ from stored s join e on e.id = s.doc_id""",
             "select count(*) as row_count, 'all-MiniLM-L6-v2' as model_id, 64 as dimensions, 'doc_id' as key_column, "
             "'text' as embed_columns, true as has_bytes from documents"
         ),
+        "i_query_indexed": f"""
+with {EMBEDDINGS}, late as (select * from e union all select * from (select -1 as id, v from e order by e.id limit 1)),
+s as (select b.id, {cosine} as s from (select * from e order by id limit 1) a cross join late b)
+select id::varchar as id, round(s, 4)::double as similarity
+from (select * from s order by s desc, id = -1, id limit 10)""",
         "i_query_many": f"""
 with {docs64}, {asked64}, {STORED},
 s as (select a.id as q, b.id as n, p.pos, {cosine} as s from q a cross join e b join stored p on p.doc_id = b.id),

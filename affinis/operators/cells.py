@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions import blocks as B
 from ..workspace import fill_cores, ship, small, written
-from .copies import KEY, PRINT, REP, VEC
+from .copies import PRINT, REP, VEC
 
 BLOCK_BYTES = 16 << 20  # DOUBLE bytes of one block of vectors
 BLOCK_ROWS = (1024, 4096)  # and its limits in rows
@@ -100,26 +100,7 @@ def place(
         )
         return Placed(distinct.withColumn(BLOCK, F.lit(0)), only, 1, size)
 
-    shared = spark.sparkContext.broadcast(centres)
-    schema = T.StructType(
-        [*distinct.schema.fields, T.StructField(CELL, T.IntegerType()), T.StructField("_gap", T.DoubleType())]
-    )
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points = shared.value
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rows = B.prepared(metric, B.matrix(table.column(VEC)))
-            cell = np.empty(len(rows), dtype=np.int32)
-            gap = np.empty(len(rows))
-            for part in B.slices(len(rows), len(points)):
-                distance = B.gaps(metric, rows[part], points)
-                cell[part] = distance.argmin(1)
-                gap[part] = distance.min(1)
-            table = table.append_column(CELL, pa.array(cell)).append_column("_gap", pa.array(gap))
-            yield from table.to_batches()
-
-    celled = written(fill_cores(distinct).mapInArrow(assign, schema), "cells")
+    celled = written(with_cells(fill_cores(distinct), VEC, centres, metric), "cells")
     # One row per cell, and the number of cells is bounded by CENTRE_BYTES.
     stats = celled.groupBy(CELL).agg(F.count(F.lit(1)).alias("n"), F.max("_gap").alias("r")).collect()
     radius, blocks = np.zeros(len(centres)), np.zeros(len(centres), dtype=np.int64)
@@ -144,6 +125,29 @@ def place(
     return Placed(rows, spark.sparkContext.broadcast(layout), int(first[-1]), size)
 
 
+def with_cells(df: DataFrame, vec: str, centres: np.ndarray, metric: str) -> DataFrame:
+    """``df`` with the nearest centre of each vector (_cell) and the distance to it (_gap)."""
+    ship(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+    added = [T.StructField(CELL, T.IntegerType()), T.StructField("_gap", T.DoubleType())]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = shared.value
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rows = B.prepared(metric, B.matrix(table.column(vec)))
+            cell = np.empty(len(rows), dtype=np.int32)
+            gap = np.empty(len(rows))
+            for part in B.slices(len(rows), len(points)):
+                distance = B.gaps(metric, rows[part], points)
+                cell[part] = distance.argmin(1)
+                gap[part] = distance.min(1)
+            table = table.append_column(CELL, pa.array(cell)).append_column("_gap", pa.array(gap))
+            yield from table.to_batches()
+
+    return df.mapInArrow(assign, T.StructType([*df.schema.fields, *added]))
+
+
 def _centres(distinct: DataFrame, cells: int, metric: str) -> np.ndarray:
     """A pseudo-random choice of the vectors, the same on every run."""
     picked = distinct.select(PRINT, VEC).orderBy(PRINT).limit(cells).collect()
@@ -200,9 +204,3 @@ def wide_targets(layout: Layout, cells: np.ndarray, own: np.ndarray) -> pa.Array
     return pa.ListArray.from_arrays(
         pa.array(offsets, pa.int32()), pa.array(block.astype(np.int32))
     )
-
-
-__all__ = [
-    "BLOCK", "KEY", "Layout", "Placed", "block_rows", "by_group", "meetings", "place", "split_roles",
-    "wide_targets",
-]

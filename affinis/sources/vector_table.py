@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import blocks as B
 from ..functions import vectors as V
 from ..functions.text import joined_text
 from ..operators.encode import EncoderSpec, encoded, encoder_for
@@ -16,8 +19,9 @@ from ..operators.matching import Matches, annotated, first_per_key, match
 from ..operators.numbering import numbered_and_counted
 from ..operators.topk import nearest
 from ..settings import DEFAULT_DECIMALS, DEFAULT_MATCH_THRESHOLD, DEFAULT_TOP_K
-from ..workspace import fill_cores, ship
+from ..workspace import BROADCAST_ROWS, fill_cores, ship
 from .tables import require_columns
+from .vector_index import ROWS_PER_CELL, VectorIndex, build, load
 
 ROWS = T.StructType(
     [
@@ -116,19 +120,25 @@ class VectorTable:
             raise ValueError(f"The encoder gives {encoder.dim} dimensions, the table holds {self.dimensions}.")
         require_columns(df, [self.key_column, *self.embed_columns])
         ship(self.spark)
-        stored = self.rows.select(F.col("key").alias("_k"))
-        unseen = (
-            first_per_key(df, self.key_column, order)
-            .withColumn("_k", F.col(f"`{self.key_column}`").cast("string"))
-            .join(stored, "_k", "left_anti")
-            .drop("_k")
-        )
+        unseen = self._unseen(first_per_key(df, self.key_column, order), df.count())
         fresh, count = self._numbered(unseen, order)
         texts = joined_text([F.col(f"`{c}`") for c in self.embed_columns])
         if count:
             self._append(fill_cores(fresh), df.columns, encoded(texts, encoder))
         return Added(count, df)
 
+    def _unseen(self, df: DataFrame, at_most: int) -> DataFrame:
+        """Rows whose key is not stored yet; ``at_most`` bounds their number.
+
+        The keys of a small batch go to the stored keys, which are then only read; otherwise
+        both sides are shuffled.
+        """
+        keyed = df.withColumn("_k", F.col(f"`{self.key_column}`").cast("string"))
+        stored = self.rows.select(F.col("key").alias("_k"))
+        if at_most <= BROADCAST_ROWS:
+            stored = stored.join(F.broadcast(keyed.select("_k")), "_k", "left_semi")
+        return keyed.join(stored, "_k", "left_anti").drop("_k")
+
     def _numbered(self, df: DataFrame, order: str) -> tuple[DataFrame, int]:
         last = self.rows.agg(F.max("pos")).first()[0]
         by = list(dict.fromkeys([order, self.key_column]))
@@ -142,19 +152,57 @@ class VectorTable:
             vector.cast("array<float>").alias("embedding"),
         ).write.mode("append").parquet(f"{self.path}/rows")
 
+    def build_index(self, rows_per_cell: int = ROWS_PER_CELL) -> None:
+        """Write the rows by cell, so that a query reads only some of the partitions."""
+        build(self.rows, self.path, self.dimensions, rows_per_cell)
+        self.__dict__.pop("index", None)
+
+    @cached_property
+    def index(self) -> VectorIndex | None:
+        return load(self.spark, self.path, ROWS)
+
     def query(
         self,
         vector: list[float],
         top_k: int = DEFAULT_TOP_K,
         decimals: int = DEFAULT_DECIMALS,
+        probes: int | None = None,
     ) -> DataFrame:
         """The stored rows closest to one vector by cosine: id, similarity, fields (JSON).
 
-        One pass over the table; each partition keeps its best ``top_k`` rows.
+        Without an index this is one pass over the table; each partition keeps its best
+        ``top_k`` rows. With one, the nearest cells give a score to beat and only cells that may
+        beat it are read after that; ``probes`` reads just that many nearest cells instead, which
+        is approximate. Rows added since the index was built are always read.
         """
         if len(vector) != self.dimensions:
             raise ValueError(f"The query has {len(vector)} dimensions, the table {self.dimensions}.")
-        return self._closest(F.array(*[F.lit(float(x)) for x in vector]), top_k, decimals)
+        best = self._closest(self._candidates(vector, top_k, probes), vector, top_k)
+        return best.select(
+            F.col("key").alias("id"),
+            F.round("_s", decimals).alias("similarity"),
+            F.col("row_data").alias("fields"),
+        )
+
+    def _candidates(self, vector: list[float], top_k: int, probes: int | None) -> DataFrame:
+        index = self.index
+        if index is None:
+            return self.rows
+        unit = B.prepared("cosine", np.array([vector], dtype=np.float64))
+        late = self.rows.where(F.col("pos") > index.upto)
+        if probes is not None:
+            return index.of_cells(index.nearest_cells(unit)[:probes]).unionByName(late)
+        start = index.of_cells(index.first_cells(unit, top_k)).unionByName(late)
+        found = [r["_s"] for r in self._closest(start, vector, top_k).select("_s").collect()]
+        floor = found[-1] if len(found) == top_k else -1.0
+        return index.of_cells(index.cells_above(unit, floor)).unionByName(late)
+
+    @staticmethod
+    def _closest(rows: DataFrame, vector: list[float], top_k: int) -> DataFrame:
+        asked = F.array(*[F.lit(float(x)) for x in vector])
+        score = V.settled(V.cosine_or_zero("embedding", asked))
+        scored = rows.select("pos", "key", "row_data", score.alias("_s"))
+        return scored.orderBy(F.desc("_s"), "pos").limit(top_k)
 
     def query_text(
         self,
@@ -162,24 +210,12 @@ class VectorTable:
         top_k: int = DEFAULT_TOP_K,
         decimals: int = DEFAULT_DECIMALS,
         encoder: EncoderSpec | None = None,
+        probes: int | None = None,
     ) -> DataFrame:
         """The stored rows closest to a text, encoded with the table's model."""
         encoder = encoder or encoder_for(self.model_id)
         vector = encoder.factory().encode([text])[0]
-        return self.query([float(x) for x in vector], top_k, decimals)
-
-    def _closest(self, vector, top_k: int, decimals: int) -> DataFrame:
-        score = V.settled(V.cosine_or_zero("embedding", vector))
-        scored = self.rows.select("pos", "key", "row_data", score.alias("_s"))
-        return (
-            scored.orderBy(F.desc("_s"), "pos")
-            .limit(top_k)
-            .select(
-                F.col("key").alias("id"),
-                F.round("_s", decimals).alias("similarity"),
-                F.col("row_data").alias("fields"),
-            )
-        )
+        return self.query([float(x) for x in vector], top_k, decimals, probes)
 
     def query_many(
         self,

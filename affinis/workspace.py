@@ -87,7 +87,7 @@ def fill_cores(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(cores) if int(str(size)) < cores * split else df
 

@@ -278,3 +278,28 @@ def test_whole_texts_are_read(spark):
 def test_null_text_is_empty(spark):
     df = spark.createDataFrame([(None,)], "t string").withColumn("t", F.col("t"))
     assert not any(embed_columns(df, ["t"], hashing(4)).first()["_emb_t"])
+
+
+def test_indexed_query_equals_the_scan(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 6)) * 3
+    rows = [(i, (centres[i % 12] + rng.normal(size=6) * 0.2).tolist()) for i in range(300)]
+    rows += [(i, [0.0] * 6) for i in range(300, 305)] + [(i, rows[7][1]) for i in range(305, 400)]
+    df = spark.createDataFrame(rows, "k long, v array<float>")
+    table = VectorTable.create(spark, str(tmp_path / "s"), "m", 6, "k", ["k"])
+    table.insert(df.where("k < 390"), "v", "k")
+    asked = [rows[7][1], [0.0] * 6, rng.normal(size=6).tolist()]
+    table.insert(df.where("k >= 390"), "v", "k")
+    want = [table.query(q, 20, 6).collect() for q in asked]
+    indexed = VectorTable.create(spark, str(tmp_path / "i"), "m", 6, "k", ["k"])
+    indexed.insert(df.where("k < 390"), "v", "k")
+    indexed.build_index(rows_per_cell=20)
+    indexed.insert(df.where("k >= 390"), "v", "k")
+    indexed = VectorTable.open(spark, indexed.path)
+    assert [indexed.query(q, 20, 6).collect() for q in asked] == want
+    # a query inside a cluster reads some of the cells only
+    index = indexed.index
+    unit = np.array([rows[7][1]]) / np.linalg.norm(rows[7][1])
+    assert len(index.cells_above(unit, 0.999)) < (index.counts > 0).sum()
+    few = {r.id for r in indexed.query(asked[2], 20, 6, probes=6).collect()}
+    assert len(few & {r.id for r in want[2]}) >= 10
