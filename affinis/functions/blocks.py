@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from ..settings import SETTLED_DECIMALS
 
-SCORE_CELLS = 2_000_000  # scores held at once; larger blocks are scored in row slices
+SCORE_CELLS = 500_000  # scores held at once; larger blocks are scored in row slices
 SLACK = 1e-6  # widens every bound, so rounding can only cost work and never a result
 
 

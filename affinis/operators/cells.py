@@ -9,6 +9,7 @@ exact, so pruning never changes a result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +26,13 @@ from ..workspace import fill_cores, ship, small, written
 from .copies import PRINT, REP, VEC
 
 BLOCK_BYTES = 16 << 20  # DOUBLE bytes of one block of vectors
-BLOCK_ROWS = (1024, 4096)  # and its limits in rows
+BLOCK_ROWS = (1024, 16_384)  # and its limits in rows
 CENTRE_BYTES = 32 << 20  # DOUBLE bytes of all centres, which every worker holds
 CELLS = 50_000  # ... and their largest number
 ONE_TASK = 10**10  # multiplications that one task does sooner than a layout is made
+TASKS_PER_CORE = 4
 TASKS = 20_000  # most tasks of one scoring stage
-VISITORS = 4  # visiting rows per task, as a multiple of the block size
+VISITORS = 2  # visiting rows per task, as a multiple of the block size
 
 BLOCK, CELL = "_block", "_cell"
 
@@ -65,12 +67,17 @@ class Placed:
 
 
 def block_rows(count: int, dim: int, cores: int) -> int:
-    """Rows per block: as many as fit, but enough blocks to keep every core busy."""
+    """Rows per block.
+
+    Large blocks ship each vector to fewer places and return fewer candidates, so blocks are as
+    large as memory allows while all blocks against all still make a few tasks per core.
+    """
     low, high = BLOCK_ROWS
     fitting = max(low, BLOCK_BYTES // (8 * max(1, dim)))
     if count <= fitting and count * count * dim <= ONE_TASK:
         return max(1, count)
-    return max(low, min(fitting, high, -(-count // cores)))
+    spread = math.ceil(count / math.sqrt(TASKS_PER_CORE * cores * VISITORS))
+    return max(low, min(fitting, high, spread))
 
 
 def by_group(df: DataFrame, keys: list[str], groups: int) -> GroupedData:
