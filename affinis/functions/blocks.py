@@ -107,33 +107,98 @@ def rank_in_runs(runs: np.ndarray) -> np.ndarray:
     return np.arange(len(runs)) - np.maximum.accumulate(np.where(starts, np.arange(len(runs)), 0))
 
 
-def best_columns(
-    scores: np.ndarray, keep: int, floor: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per row the ``keep`` best columns (ties: lowest column), as rows, columns, settled values.
+class Scorer:
+    """Scores rows against one side, screened in FLOAT and settled in DOUBLE.
 
-    Only scores that can be among the best are rounded and sorted: those near the row's floor
-    or above it, or near its ``keep``-th best score where the floor lets too many through.
+    The FLOAT product of a slice is compared with the wanted score less a bound on its error, so
+    it can only let too many pairs through. The few that pass are scored again in DOUBLE from
+    their own two vectors, and a score does not depend on the block it was found in.
     """
-    rows, width = scores.shape
-    margin = 10.0**-SETTLED_DECIMALS
-    wanted = None
-    if floor is not None:
-        wanted = scores >= (floor - margin)[:, None]
-    if width > keep and (wanted is None or np.count_nonzero(wanted) > 16 * keep * rows):
-        cut = np.partition(scores, width - keep, axis=1)[:, -keep] - 2 * margin
-        cut = cut if floor is None else np.maximum(cut, floor - margin)
-        wanted = scores >= cut[:, None]
-    at = np.arange(scores.size) if wanted is None else np.flatnonzero(wanted)
-    v = settled(scores.ravel()[at])
-    r, c = np.divmod(at, max(1, width))
-    if floor is not None:
-        above = v >= floor[r]
-        r, c, v = r[above], c[above], v[above]
-    order = np.lexsort((c, -v, r))
-    r, c, v = r[order], c[order], v[order]
-    kept = rank_in_runs(r) < keep
-    return r[kept], c[kept], v[kept]
+
+    def __init__(self, metric: str, side: np.ndarray):
+        self.metric = metric
+        self.side = side
+        self.length = np.linalg.norm(side, axis=1) if len(side) else np.zeros(0)
+        self.longest = float(self.length.max(initial=0.0))
+        # Very long vectors would overflow in FLOAT.
+        self.kind = np.float32 if self.longest < 1e15 else np.float64
+        self.rough = side.astype(self.kind)
+
+    def _screen(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rough scores (negated squares for euclidean) and a bound on each row's error."""
+        if self.metric == "manhattan":
+            return goodness(self.metric, rows, self.side), np.zeros(len(rows))
+        size = np.linalg.norm(rows, axis=1)
+        kind = self.kind if size.max(initial=0.0) < 1e15 else np.float64
+        product = rows.astype(kind) @ self.rough.astype(kind, copy=False).T
+        unit = 2.0 * np.finfo(kind).eps * (rows.shape[1] + 8)
+        if self.metric != "euclidean":
+            return product, unit * size * self.longest
+        product *= 2
+        product -= (size**2).astype(kind)[:, None]
+        product -= (self.length**2).astype(kind)[None, :]
+        return product, unit * (size + self.longest) ** 2
+
+    def _rough_floor(self, floor: np.ndarray) -> np.ndarray:
+        """The floor in the terms of the screen, with room for settling."""
+        room = 10.0**-SETTLED_DECIMALS
+        if self.metric != "euclidean":
+            return floor - room
+        far = np.maximum(room - floor, 0.0)
+        return -(far**2)
+
+    def _exact(self, rows: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+        at = np.flatnonzero(wanted)
+        i, j = np.divmod(at, max(1, len(self.side)))
+        if self.metric == "manhattan" or len(at) > wanted.size // 16:
+            value = goodness(self.metric, rows, self.side).ravel()[at]
+        else:
+            value = np.empty(len(at))
+            step = max(1, SCORE_CELLS // max(1, rows.shape[1]))
+            for start in range(0, len(at), step):
+                part = slice(start, start + step)
+                a, b = rows[i[part]], self.side[j[part]]
+                if self.metric == "euclidean":
+                    value[part] = -np.sqrt(((a - b) ** 2).sum(1))
+                else:
+                    value[part] = np.einsum("ij,ij->i", a, b)
+        return i, j, settled(value)
+
+    def above(self, rows: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs with a settled score of at least ``floor``, as rows, columns, values."""
+        rough, error = self._screen(rows)
+        cut = self._rough_floor(np.full(len(rows), floor)) - error
+        i, j, value = self._exact(rows, rough >= _below(cut, rough.dtype)[:, None])
+        kept = value >= floor
+        return i[kept], j[kept], value[kept]
+
+    def best(
+        self, rows: np.ndarray, keep: int, floor: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per row the ``keep`` best columns (ties: lowest column) that reach the row's floor."""
+        rough, error = self._screen(rows)
+        width = rough.shape[1]
+        wanted = np.ones(rough.shape, dtype=bool)
+        if floor is not None:
+            wanted = rough >= _below(self._rough_floor(floor) - error, rough.dtype)[:, None]
+        if width > keep and (floor is None or np.count_nonzero(wanted) > 16 * keep * len(rows)):
+            # A true best column is at most twice the error below the rough keep-th best.
+            last = np.partition(rough, width - keep, axis=1)[:, -keep].astype(np.float64)
+            room = 4 * 10.0**-SETTLED_DECIMALS * (1 + np.sqrt(np.abs(last)))
+            wanted &= rough >= _below(last - 2 * error - room, rough.dtype)[:, None]
+        r, c, v = self._exact(rows, wanted)
+        if floor is not None:
+            above = v >= floor[r]
+            r, c, v = r[above], c[above], v[above]
+        order = np.lexsort((c, -v, r))
+        r, c, v = r[order], c[order], v[order]
+        kept = rank_in_runs(r) < keep
+        return r[kept], c[kept], v[kept]
+
+
+def _below(cut: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """``cut`` in a narrower type, rounded down."""
+    return np.nextafter(cut.astype(kind), np.array(-np.inf, dtype=kind))
 
 
 def joined_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import blocks as B
 from ..functions.vectors import find_metric
-from ..settings import DEFAULT_METRIC, SETTLED_DECIMALS
+from ..settings import DEFAULT_METRIC
 from ..workspace import fill_cores, ship, written, written_and_measured
 from .cells import BLOCK, Layout, by_group, meetings, place, split_roles, wide_targets
 from .copies import ID, KEY, REP, VEC, distinct_vectors, members, records
@@ -134,23 +134,19 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, pa.Table]:
 
 def _score(metric: str, floor: float):
     """List the near pairs of a group, one slice of the scores at a time."""
-    margin = 10.0**-SETTLED_DECIMALS
 
     def found(left: pa.Table, right: pa.Table, within: bool) -> Iterator[pa.RecordBatch]:
         a = B.prepared(metric, B.matrix(left.column(VEC)))
         b = B.prepared(metric, B.matrix(right.column(VEC)))
         a_id, b_id = left.column(REP).to_numpy(), right.column(REP).to_numpy()
         a_n, b_n = left.column("_copies").to_numpy(), right.column("_copies").to_numpy()
+        scorer = B.Scorer(metric, b)
         for part in B.slices(len(a), len(b)):
-            good = B.goodness(metric, a[part], b)
-            near = good >= floor - margin
-            if within:
-                near &= a_id[part][:, None] < b_id[None, :]
-            at = np.flatnonzero(near)
-            value = B.settled(good.ravel()[at])
-            i, j = np.divmod(at[value >= floor], len(b))
-            value = value[value >= floor]
+            i, j, value = scorer.above(a[part], floor)
             i = i + part.start
+            if within:
+                once = a_id[i] < b_id[j]
+                i, j, value = i[once], j[once], value[once]
             swap = a_id[i] > b_id[j]
             left_key = left.column(KEY).take(i).combine_chunks()
             right_key = right.column(KEY).take(j).combine_chunks()
@@ -181,7 +177,6 @@ def _score(metric: str, floor: float):
 
 def _link(metric: str, floor: float):
     """Reduce the near pairs of a group to counts, best scores and links per vector."""
-    margin = 10.0**-SETTLED_DECIMALS
 
     def run(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
@@ -197,6 +192,7 @@ def _link(metric: str, floor: float):
         labels = np.arange(len(ids))
         rows, best = np.zeros(len(ids)), np.full(len(ids), -np.inf)
         h = B.prepared(metric, B.matrix(hosts.column(VEC)))
+        scorer = B.Scorer(metric, h)
         h_node, h_n = node[: len(hosts)], hosts.column("_copies").to_numpy()
         sides = []
         if key[1].as_py() == 0:
@@ -206,15 +202,11 @@ def _link(metric: str, floor: float):
             sides.append((g, node[len(hosts) :], guests.column("_copies").to_numpy(), False))
         for vectors, own, copies, within in sides:
             for part in B.slices(len(vectors), len(h)):
-                good = B.goodness(metric, vectors[part], h)
-                at = np.flatnonzero(good >= floor - margin)
-                value = B.settled(good.ravel()[at])
-                i, j = np.divmod(at, len(h))
+                i, j, value = scorer.above(vectors[part], floor)
                 mine, host = own[part][i], h_node[j]
-                near = value >= floor
                 if within:
-                    near &= mine != host
-                i, j, mine, host, value = i[near], j[near], mine[near], host[near], value[near]
+                    other = mine != host
+                    i, j, mine, host, value = i[other], j[other], mine[other], host[other], value[other]
                 rows += np.bincount(mine, h_n[j], len(ids))
                 np.maximum.at(best, mine, value)
                 if not within:

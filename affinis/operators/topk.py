@@ -41,6 +41,7 @@ class _Hosts:
 
     def __init__(self, metric: str, table: pa.Table):
         self.vectors = B.prepared(metric, B.matrix(table.column(VEC)))
+        self.scorer = B.Scorer(metric, self.vectors)
         ids = _list(table.column("_ids"))
         self.ids = ids.flatten().to_numpy()
         self.keys = _list(table.column("_keys")).flatten()
@@ -48,10 +49,10 @@ class _Hosts:
         self.first = np.r_[0, np.cumsum(self.held)]
 
     def best(
-        self, scores: np.ndarray, keep: int, floor: np.ndarray | None
+        self, rows: np.ndarray, keep: int, floor: np.ndarray | None = None
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best ids per row as (row, position in the id list, score)."""
-        row, col, value = B.best_columns(scores, keep, floor)
+        row, col, value = self.scorer.best(rows, keep, floor)
         if len(self.ids) == len(self.held):
             return row, col, value
         times = self.held[col]
@@ -95,8 +96,7 @@ def _seed(layout: Broadcast, keep: int, probes: int | None):
         count = len(table)
         for part in B.slices(count, max(count, int(plan.blocks.sum()))):
             mine = hosts.vectors[part]
-            scores = B.goodness(plan.metric, mine, hosts.vectors)
-            r, a, v = hosts.best(scores, keep, None)
+            r, a, v = hosts.best(mine, keep)
             floor = np.full(len(mine), -np.inf)
             found = np.bincount(r, minlength=len(mine))
             ends = np.cumsum(found) - 1
@@ -142,8 +142,7 @@ def _visit(metric: str, keep: int):
             floor = guests.column("_floor").to_numpy()
             reps, keys = guests.column(REP).to_numpy(), guests.column(KEY)
             for part in B.slices(len(asking), len(hosts.vectors)):
-                scores = B.goodness(metric, asking[part], hosts.vectors)
-                row, at, good = hosts.best(scores, keep, floor[part])
+                row, at, good = hosts.best(asking[part], keep, floor[part])
                 row = row + part.start
                 out.append(
                     pa.table(
