@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from affinis.functions import vectors as V  # noqa: E402
-from affinis.functions.text import formula_safe_table, joined_text  # noqa: E402
+from affinis.functions.text import formula_safe_table, joined_text, routed_model  # noqa: E402
 from affinis.operators.compare import compared, score_stats  # noqa: E402
 from affinis.operators.encode import (  # noqa: E402
     embed_and_combine,
@@ -32,7 +32,7 @@ from affinis.plans.jobs import dedup_table, nearest_rows, preset_matches  # noqa
 from affinis.settings import MODELS, find_model  # noqa: E402
 from affinis.sources import tables as S  # noqa: E402
 from affinis.sources.vector_table import VectorTable  # noqa: E402
-from affinis.workspace import shared_folder, written  # noqa: E402
+from affinis.workspace import few_rows, shared_folder, written  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -200,11 +200,11 @@ def _repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _column_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame(
-        [(m.shortcut, m.id, m.dim) for m in MODELS.values()], "suggested_model string, model_id string, dim int"
-    )
-    facts = _profiles(spark, sf_dir).where("is_likely_text").select("table_name", "name", "suggested_model")
-    return facts.join(F.broadcast(known), "suggested_model")
+    models = [(m.shortcut, m.id, m.dim) for m in MODELS.values()]
+    known = few_rows(spark, models, "suggested_model string, model_id string, dim int")
+    facts = _profiles(spark, sf_dir).where("is_likely_text")
+    routed = facts.select("table_name", "name", routed_model(F.col("name")).alias("suggested_model"))
+    return routed.join(F.broadcast(known), "suggested_model")
 
 
 def _hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import blocks as B
-from ..workspace import fill_cores, ship, small, written
+from ..workspace import few_rows, fill_cores, ship, small, written
 from .copies import PRINT, REP, VEC
 
 BLOCK_BYTES = 16 << 20  # DOUBLE bytes of one block of vectors
@@ -116,7 +116,8 @@ def place(
         blocks[row[CELL]] = -(-row["n"] // size)
     layout = Layout(metric, centres, radius + 1e-9, blocks)
     first = layout.first
-    starts = spark.createDataFrame(
+    starts = few_rows(
+        spark,
         [(int(c), int(first[c]), int(blocks[c])) for c in np.flatnonzero(blocks)],
         f"{CELL} int, _first int, _n int",
     )

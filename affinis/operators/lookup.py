@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import few_rows
+
 HOT_ROWS = 200_000  # a key with more rows than this is served by broadcast
 HOT_SHARE = 1_000  # ... and with more than 1/1000 of all rows, so at most 1000 keys are hot
 
@@ -40,8 +42,7 @@ def attach(
     hot = [] if widest is not None and widest <= hot_rows else hot_keys(big, skew, hot_rows)
     if not hot:
         return big.join(lookup, on, how)
-    spark = big.sparkSession
-    names = F.broadcast(spark.createDataFrame([(k,) for k in hot], big.select(skew).schema))
+    names = F.broadcast(few_rows(big.sparkSession, [(k,) for k in hot], big.select(skew).schema))
     heavy = big.join(names, skew, "left_semi").join(
         F.broadcast(lookup.join(names, skew, "left_semi")), on, how
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import ROW_ID
-from ..workspace import written
+from ..workspace import few_rows, written
 
 
 def numbered(df: DataFrame, order: list[str], name: str = ROW_ID, start: int = 1) -> DataFrame:
@@ -33,7 +33,7 @@ def numbered_and_counted(
     for row in sizes:
         offsets.append((row["_part"], before))
         before += row["n"]
-    starts = df.sparkSession.createDataFrame(offsets, "_part int, _start long")
+    starts = few_rows(df.sparkSession, offsets, "_part int, _start long")
     rows = (
         marked.join(F.broadcast(starts), "_part")
         .withColumn(name, F.col("_start") + F.col("_at"))

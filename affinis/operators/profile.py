@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import routed_model
+from ..functions.text import model_for
 from ..workspace import few_rows
 
 # The type rule of the profile.
@@ -79,45 +79,36 @@ def _text(field: T.StructField) -> Column:
     return F.to_json(c) if nested else c.cast("string")
 
 
+PROFILE = (
+    "name string, index int, dtype string, unique_count long, total_count long, null_count long, "
+    "is_likely_key boolean, is_likely_text boolean, suggested_model string"
+)
+
+
 def profile(df: DataFrame, order: str) -> DataFrame:
     """One row per column: name, index, dtype, counts, likely key, likely text, model.
 
-    One pass counts everything. The lengths of the first values of each non-numeric column, in
-    the unique ``order``, are looked at first.
+    One pass counts everything, another looks at the lengths of the first values of each
+    non-numeric column in the unique ``order``. Both return a row per column or less than a
+    hundred rows, and the result is a local table.
     """
-    fields = df.schema.fields
+    counts = {r["index"]: r for r in _value_counts(df).collect()}
     lengths = _mean_lengths(df, order)
-    columns = few_rows(
-        df.sparkSession,
-        [
-            (f.name, i + 1, isinstance(f.dataType, _NUMERIC), lengths.get(i + 1))
-            for i, f in enumerate(fields)
-        ],
-        "name string, index int, numeric boolean, _length double",
-    )
-    # One row per column on both sides.
-    facts = columns.join(F.broadcast(_value_counts(df)), "index", "left").fillna(
-        0, ["unique_count", "total_count", "null_count"]
-    )
-    dtype = (
-        F.when(F.col("numeric"), "numeric")
-        .when(F.col("null_count") == F.col("total_count"), "mixed")
-        .when(F.col("_length") > TEXT_LENGTH, "text")
-        .when(F.col("unique_count") < F.col("total_count") * CATEGORY_SHARE, "category")
-        .otherwise("text")
-    )
-    typed = facts.withColumn("dtype", dtype)
-    return typed.select(
-        "name",
-        "index",
-        "dtype",
-        "unique_count",
-        "total_count",
-        "null_count",
-        ((F.col("unique_count") == F.col("total_count")) & (F.col("null_count") == 0)).alias("is_likely_key"),
-        F.col("dtype").isin("text", "category").alias("is_likely_text"),
-        routed_model(F.col("name")).alias("suggested_model"),
-    )
+    rows = []
+    for i, f in enumerate(df.schema.fields, 1):
+        seen = counts.get(i)
+        unique, total, missing = seen[1:4] if seen else (0, 0, 0)
+        if isinstance(f.dataType, _NUMERIC):
+            dtype = "numeric"
+        elif missing == total:
+            dtype = "mixed"
+        elif lengths[i] <= TEXT_LENGTH and unique < total * CATEGORY_SHARE:
+            dtype = "category"
+        else:
+            dtype = "text"
+        is_key, is_text = unique == total and not missing, dtype in ("text", "category")
+        rows.append((f.name, i, dtype, unique, total, missing, is_key, is_text, model_for(f.name)))
+    return few_rows(df.sparkSession, rows, PROFILE)
 
 
 def _mean_lengths(df: DataFrame, order: str) -> dict[int, float]:

@@ -45,7 +45,7 @@ def selection(
 ) -> Selection:
     """Chosen or detected columns: the first unique column is the key, text columns are embedded."""
     if key is None or embed is None:
-        facts = written(profile(df, order), "profile")
+        facts = profile(df, order)
         key = key or likely_key(facts) or ROW_ID
         embed = embed or [c for c in embed_candidates(facts) if c != key]
     require_columns(df, [*embed, *([key] if key != ROW_ID else [])])

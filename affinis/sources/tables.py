@@ -17,6 +17,7 @@ from .. import __version__
 from ..functions.text import formula_safe_table
 from ..functions.vectors import vector_to_json
 from ..settings import VECTOR_PREFIX
+from ..workspace import few_rows
 
 FORMATS = ("parquet", "csv", "json", "orc")
 
@@ -156,7 +157,7 @@ def run_metadata(
         "date": datetime.now().isoformat(),
     }
     schema = "Parameter string, Value string"
-    rows = spark.createDataFrame([(k, _text(v)) for k, v in facts.items()], schema)
+    rows = few_rows(spark, [(k, _text(v)) for k, v in facts.items()], schema)
     if df is None:
         return rows
     counted = df.agg(F.count(F.lit(1)).cast("string").alias("Value"))
@@ -193,8 +194,8 @@ def inventory(spark: SparkSession, paths: list[str], fmt: str | None = None) ->
             )
         except (AnalysisException, Py4JJavaError, ValueError):
             parts.append(
-                spark.range(1).select(name, F.lit(0).cast("long").alias("rows"), F.lit(0).alias("columns"))
+                few_rows(spark, [(path, 0, 0)], "path string, rows long, columns int")
             )
     if not parts:
-        return spark.createDataFrame([], "path string, rows long, columns int")
+        return few_rows(spark, [], "path string, rows long, columns int")
     return reduce(DataFrame.unionByName, parts)

@@ -10,13 +10,12 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
 from ..operators.cells import CELL, CENTRE_BYTES, with_cells
-from ..workspace import fill_cores
+from ..workspace import exists, few_rows, fill_cores
 
 ROWS_PER_CELL = 100_000
 CELLS = 4_096  # most cells, which are folders of the index
@@ -74,19 +73,16 @@ def build(rows: DataFrame, path: str, dim: int, rows_per_cell: int = ROWS_PER_CE
         (int(c), centres[c].tolist(), float(known[c]["radius"]), int(known[c]["n"])) for c in sorted(known)
     ]
     schema = "cell int, centre array<double>, radius double, n long"
-    spark.createDataFrame(table, schema).coalesce(1).write.parquet(f"{home}/cells")
-    pointer = spark.createDataFrame([(home, upto)], "home string, upto long")
+    few_rows(spark, table, schema).coalesce(1).write.parquet(f"{home}/cells")
+    pointer = few_rows(spark, [(home, upto)], "home string, upto long")
     pointer.coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
 
 
 def load(spark: SparkSession, path: str, schema) -> VectorIndex | None:
     """The current index of a table, if it has one."""
-    try:
-        pointer = spark.read.schema("home string, upto long").parquet(f"{path}/index").first()
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    if not exists(spark, f"{path}/index"):
+        return None
+    pointer = spark.read.schema("home string, upto long").parquet(f"{path}/index").first()
     if pointer is None:
         return None
     home = pointer["home"]

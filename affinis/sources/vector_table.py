@@ -19,7 +19,7 @@ from ..operators.matching import Matches, annotated, first_per_key, match
 from ..operators.numbering import numbered_and_counted
 from ..operators.topk import nearest
 from ..settings import DEFAULT_DECIMALS, DEFAULT_MATCH_THRESHOLD, DEFAULT_TOP_K
-from ..workspace import BROADCAST_ROWS, fill_cores, ship
+from ..workspace import BROADCAST_ROWS, few_rows, fill_cores, ship
 from .tables import require_columns
 from .vector_index import ROWS_PER_CELL, VectorIndex, build, load
 
@@ -74,13 +74,13 @@ class VectorTable:
         """An empty table; a table that exists already is an error. Metadata is written last."""
         path = path.rstrip("/")
         try:
-            spark.createDataFrame([], ROWS).write.parquet(f"{path}/rows")
+            few_rows(spark, [], ROWS).write.parquet(f"{path}/rows")
         except AnalysisException as e:
             if e.getCondition() == "PATH_ALREADY_EXISTS":
                 raise FileExistsError(f"A vector table exists already: {path}") from None
             raise
         meta = [(model_id, dimensions, key_column, embed_columns)]
-        spark.createDataFrame(meta, META).coalesce(1).write.parquet(f"{path}/meta")
+        few_rows(spark, meta, META).coalesce(1).write.parquet(f"{path}/meta")
         return cls.open(spark, path)
 
     @classmethod

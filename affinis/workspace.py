@@ -7,8 +7,11 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A side is broadcast only up to this many narrow rows; beyond it a shuffle join is used.
 BROADCAST_ROWS = 500_000
@@ -69,9 +72,18 @@ def written_and_measured(df: DataFrame, label: str, *measures: Column) -> tuple[
     return table, seen.get
 
 
-def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A handful of driver rows in a single partition."""
-    return spark.createDataFrame(rows, schema).coalesce(1)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its file system."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place))
+
+
+def few_rows(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """Driver rows as a local table: through Arrow, so no Python worker has to hand them back."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    records = [dict(zip(fields.names, row, strict=True)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, to_arrow_schema(fields)), fields)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
