@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Callable
 from functools import reduce
 from pathlib import Path
@@ -32,7 +31,7 @@ from affinis.plans.jobs import dedup_table, nearest_rows, preset_matches  # noqa
 from affinis.settings import MODELS, find_model  # noqa: E402
 from affinis.sources import tables as S  # noqa: E402
 from affinis.sources.vector_table import VectorTable  # noqa: E402
-from affinis.workspace import few_rows, shared_folder, written  # noqa: E402
+from affinis.workspace import few_rows, scratch_path, written  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,10 +45,6 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/affinis/{label}-{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- Spark side
 
 
@@ -233,7 +228,7 @@ def _multi_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _vector_store(spark: SparkSession, sf_dir: str) -> VectorTable:
     """The embeddings table as a stored vector table."""
     e = _read(spark, sf_dir, "embeddings")
-    table = VectorTable.create(spark, _scratch(spark, "store"), MODELS["mini"].id, 64, "vec_id", ["label"])
+    table = VectorTable.create(spark, scratch_path(spark, "store"), MODELS["mini"].id, 64, "vec_id", ["label"])
     table.insert(e, "embedding", "vec_id")
     return table
 
@@ -258,7 +253,7 @@ def _query_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _text_store(spark: SparkSession, sf_dir: str) -> VectorTable:
     d = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    path = _scratch(spark, "store")
+    path = scratch_path(spark, "store")
     table = VectorTable.create(spark, path, find_model("mini").id, 64, "doc_id", ["text"])
     table.add(d.where(F.col("lang") == "en"), "doc_id", hashing(64))
     # Reopened, then given the whole table: rows whose key is there already are skipped.
@@ -347,7 +342,7 @@ def _contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embed, write without vectors and with metadata, read back."""
     d = embed_columns(_read(spark, sf_dir, "documents"), ["text"], hashing(16))
-    path = _scratch(spark, "sink")
+    path = scratch_path(spark, "sink")
     S.write_table(d, path, "parquet", S.run_metadata(spark, "embed", {"columns": ["text"]}, d))
     back = S.read_table(spark, path, "parquet")
     facts = S.read_table(spark, S.metadata_path(path), "parquet")
@@ -370,7 +365,7 @@ def _nearest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     done = dedup_table(
-        spark, d, _scratch(spark, "store"), "doc_id", ["text"], "doc_id",
+        spark, d, scratch_path(spark, "store"), "doc_id", ["text"], "doc_id",
         encoder=hashing(64), threshold=0.95, decimals=4, lists=False,
     )
     return done.annotated.drop("text")
@@ -379,7 +374,7 @@ def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dedup_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     done = dedup_table(
-        spark, d, _scratch(spark, "store"), "doc_id", ["text"], "doc_id",
+        spark, d, scratch_path(spark, "store"), "doc_id", ["text"], "doc_id",
         encoder=hashing(64), threshold=0.95, decimals=2,
     )
     found = done.annotated.drop("text")
@@ -656,7 +651,11 @@ def oracle_sql() -> dict[str, str]:
         + [_mean_of(["pa", "pb", "pc"])]
     )
     part_two = ",".join(
-        [_hashed("part", "p_partkey", "p_name", 16, "pa"), _hashed("part", "p_partkey", "p_type", 16, "pb"), _mean_of(["pa", "pb"])]
+        [
+            _hashed("part", "p_partkey", "p_name", 16, "pa"),
+            _hashed("part", "p_partkey", "p_type", 16, "pb"),
+            _mean_of(["pa", "pb"]),
+        ]
     )
     catalog = ",".join(
         [

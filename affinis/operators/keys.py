@@ -60,5 +60,7 @@ def with_composite_key(
     if strategy == "concatenate":
         return df.withColumn(COMPOSITE_KEY, key)
     names = list(weighted_columns(columns)) if strategy == "weighted-average" else columns
-    named = joined_text([F.col(f"`{c}`") for c in names], separator) if set(names) <= set(df.columns) else F.lit(None).cast("string")
+    named = F.lit(None).cast("string")
+    if set(names) <= set(df.columns):
+        named = joined_text([F.col(f"`{c}`") for c in names], separator)
     return df.withColumn(f"{VECTOR_PREFIX}{COMPOSITE_KEY}", key.cast("array<float>")).withColumn(COMPOSITE_KEY, named)

@@ -53,6 +53,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/affinis-{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, below a folder of this application's own."""
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_workspace(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables, once its results have been read."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -60,7 +76,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     they need.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/affinis/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -30,9 +30,9 @@ def vectors(spark):
 @pytest.fixture
 def stored_rows(spark):
     rows = [
-        (1, "1", "Widget A", "Tools", [0.1, 0.2, 0.3, 0.4]),
-        (2, "2", "Widget B", "Tools", [0.11, 0.21, 0.31, 0.41]),
-        (3, "3", "Gadget X", "Toys", [0.9, 0.8, 0.7, 0.6]),
+        (1, "1", "Steel bolt", "Hardware", [0.1, 0.2, 0.3, 0.4]),
+        (2, "2", "Steel bolts", "Hardware", [0.11, 0.21, 0.31, 0.41]),
+        (3, "3", "Music box", "Toys", [0.9, 0.8, 0.7, 0.6]),
     ]
     return spark.createDataFrame(
         rows, "n long, ID string, Name string, Category string, embedding array<float>"

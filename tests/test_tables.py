@@ -25,6 +25,7 @@ from affinis.plans.presets import PRESETS, find_preset
 from affinis.sources import tables as S
 from affinis.sources.vector_table import VectorTable
 from affinis.streaming.ingest import add_stream
+from affinis.workspace import exists, few_rows, scratch_path, written
 
 
 @pytest.fixture
@@ -142,7 +143,7 @@ def test_store_query(store):
     rows = store.query([0.1, 0.2, 0.3, 0.4], top_k=3).collect()
     assert [r.id for r in rows] == ["1", "2", "3"]
     assert rows[0].similarity > 0.9
-    assert json.loads(rows[0].fields) == {"n": 1, "ID": "1", "Name": "Widget A", "Category": "Tools"}
+    assert json.loads(rows[0].fields) == {"n": 1, "ID": "1", "Name": "Steel bolt", "Category": "Hardware"}
     assert store.query([0.1, 0.2, 0.3, 0.4], top_k=1).count() == 1
     assert store.query([0.1, 0.2, 0.3, 0.4], top_k=3, decimals=4).collect()[1].similarity == 0.9999
     with pytest.raises(ValueError, match="dimensions"):
@@ -150,7 +151,10 @@ def test_store_query(store):
 
 
 def test_store_insert_info_and_reopen(spark, store):
-    more = spark.createDataFrame([("4", "Thing", "Misc", [0.5, 0.5, 0.5, 0.5])], "ID string, Name string, Category string, embedding array<float>")
+    more = spark.createDataFrame(
+        [("4", "Paper lamp", "Home", [0.5, 0.5, 0.5, 0.5])],
+        "ID string, Name string, Category string, embedding array<float>",
+    )
     assert store.insert(more, "embedding", "ID") == 1
     assert [r.pos for r in store.rows.orderBy("pos").collect()] == [0, 1, 2, 3]
     again = VectorTable.open(spark, store.path)
@@ -303,3 +307,12 @@ def test_indexed_query_equals_the_scan(spark, tmp_path):
     assert len(index.cells_above(unit, 0.999)) < (index.counts > 0).sum()
     few = {r.id for r in indexed.query(asked[2], 20, 6, probes=6).collect()}
     assert len(few & {r.id for r in want[2]}) >= 10
+
+
+def test_workspace_is_the_applications_own(spark):
+    first = written(spark.range(3), "kept")
+    assert first.count() == 3
+    path = scratch_path(spark, "x")
+    assert spark.sparkContext.applicationId in path
+    assert not exists(spark, path)
+    assert few_rows(spark, [(1, None)], "a int, b array<double>").first() == (1, None)
