@@ -410,8 +410,30 @@ def _presets(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIR_BOUNDS = {"cosine": 0.25, "euclidean": 1.2, "manhattan": 7.6, "dot": 0.25}
 
 
+def _llm() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the training-data operators; none where their folder is absent."""
+    try:
+        from affinis.llm.queries import ORACLE_SQL, QUERIES
+    except ModuleNotFoundError as missing:
+        if not (missing.name or "").startswith("affinis.llm"):
+            raise
+        return {}, {}
+    found = dict(QUERIES)
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as missing:
+        if missing.name != "corpus_pipeline":
+            raise
+        return found, dict(ORACLE_SQL)
+    sql = dict(ORACLE_SQL)
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL is not None:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Query]:
-    return {
+    return _llm()[0] | {
         "a_contract": _contract,
         "a_inventory": _inventory,
         "a_row_number": _row_number,
@@ -668,7 +690,7 @@ def oracle_sql() -> dict[str, str]:
     docs64 = _hashed("documents", "doc_id", "text", 64)
     asked64 = _hashed("benchmark", "item_id", "text", 64, "q")
     cosine = _settled("cosine")
-    return {
+    return _llm()[1] | {
         "a_contract": "select doc_id, lang, n_chars from documents",
         "a_inventory": _inventory_sql(),
         "a_row_number": "select row_number() over (order by source, doc_id) as row_id, doc_id from documents",
