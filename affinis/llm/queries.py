@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import Mix
 from .pieces import piece_codes
+from .sharding import balanced_shards
 from .simhash import simhash_groups
 from .texts import read
 from .tokencount import token_counts
@@ -21,6 +23,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(read(spark, sf_dir, "documents"), "doc_id", "text", 24)
+
+
+def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Mix(read(spark, sf_dir, "documents"), "doc_id", "text", "source").taken()
+
+
 def piece_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     return piece_codes(documents, "text", vocabulary("piece_bpe_32k.model"), ["doc_id"], content=False)
@@ -36,9 +46,43 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_shards": shards,
+    "op6_mixture": mixture,
     "op7_sentencepiece": piece_digests,
     "op9_simhash_groups": near_duplicates,
     "op10_token_counts": document_tokens,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixture": r"""
+with d as (
+    select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+        md5(coalesce(doc_id::varchar, '') || ':1') as o
+    from documents),
+s as (
+    select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as sid
+    from d group by source),
+w as (
+    select *, case (sid - 1) % 3 when 0 then 3 when 1 then 1 else 2 end as weight, source_size * 4 as cap,
+        (sum(source_size * 3) over ())::bigint as total
+    from s),
+b as (
+    select *,
+        (total - coalesce(sum(cap) over (order by cap / weight, sid rows between unbounded preceding and 1 preceding), 0)) * weight
+        > cap * sum(weight) over (order by cap / weight, sid rows between current row and unbounded following) as stops
+    from w),
+t as (
+    select *, case when stops or cap = 0 then cap::double / 2.0 else
+        ((total - coalesce(sum(case when stops then cap end) over (), 0)) * weight)::double
+        / (2.0 * (sum(case when not stops then weight end) over ())::double) end as target
+    from b),
+p as (
+    select d.*, t.source_size, t.target, least(floor(t.target + 0.5)::bigint, t.source_size * 2) as takes,
+        coalesce(sum(d.size) over (partition by t.sid order by o, doc_id, d.size
+            rows between unbounded preceding and 1 preceding), 0)::bigint as start
+    from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+    (greatest(0, least(start + size, takes) - start)
+    + greatest(0, least(source_size + start + size, takes) - source_size - start))::bigint as taken
+from p""",
+}
