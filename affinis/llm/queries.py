@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .maintext import page_texts
 from .mixing import Mix
+from .partitions import learned_neighbours
 from .pieces import piece_codes
 from .sharding import balanced_shards
 from .simhash import simhash_groups
 from .texts import read
+from .threshold import inner_product_top
 from .tokencount import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +31,18 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(read(spark, sf_dir, "documents"), "doc_id", "text", 24)
 
 
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_neighbours(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
+def highest_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_product_top(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+
+
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(read(spark, sf_dir, "pages"), "html", ["page_id", "url"])
+
+
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(read(spark, sf_dir, "documents"), "doc_id", "text", "source").taken()
 
@@ -47,6 +63,9 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_shards": shards,
+    "op3_learned_partitions": neighbours,
+    "op4_threshold_top": highest_products,
+    "op5_main_text": main_texts,
     "op6_mixture": mixture,
     "op7_sentencepiece": piece_digests,
     "op9_simhash_groups": near_duplicates,
@@ -54,6 +73,15 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_threshold_top": """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+    where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+    select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2]))::bigint as score
+    from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rk from s)
+select query_id, rk::int as "rank", vec_id, score from r where rk <= 10""",
     "op6_mixture": r"""
 with d as (
     select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
