@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workspace import written, written_and_measured
+from .texts import whole
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -84,6 +85,8 @@ class Mix:
     with the documents: for every slot the documents of its block, with the words taken of each.
     ``taken()`` is ``rows`` with the words that the mix takes, repeats counted.
 
+    ``row`` may name unique row numbers that the caller has; else rows are numbered here.
+
     A null text has no words; a null source is a source of its own, the last one. Documents
     without words are in no block and take nothing. Repeated rows are documents of their own. Other
     columns are ignored, and an empty table gives an empty mix. A source's words differ from its
@@ -101,6 +104,7 @@ class Mix:
         epochs: int = EPOCHS,
         block: int = BLOCK,
         seed: int = 1,
+        row: Column | None = None,
     ) -> None:
         self.id, self.spark = id, df.sparkSession
         shuffled = F.md5(F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(str(seed))))
@@ -109,7 +113,8 @@ class Mix:
                 F.col(f"`{id}`").alias("_id"),
                 F.col(f"`{source}`").cast("string").alias("_source"),
                 F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            ).select("*", shuffled.alias("_order"), F.monotonically_increasing_id().alias("_row")),
+                *([] if row is None else [row.alias("_given_row")]),
+            ).select("_id", "_source", "size", shuffled.alias("_order"), (F.monotonically_increasing_id() if row is None else F.col("_given_row")).alias("_row")),
             "words",
             F.count(F.lit(1)).alias("rows"),
             F.sum("size").alias("words"),
@@ -184,3 +189,16 @@ class Mix:
             "target",
             F.coalesce("_sum", F.lit(0)).cast("long").alias("taken"),
         )
+
+
+def mixed_documents(df: DataFrame, id: str, text: str, source: str, **options: object) -> DataFrame:
+    """The documents of the mix: a row of ``df`` comes once for every epoch that takes words of it.
+
+    Rows that the mix takes nothing of are left out; the last document of a source, which its target
+    may cut, comes whole. All columns are returned as they are.
+    """
+    held = written(whole(df).select("_whole", F.monotonically_increasing_id().alias("_row")), "mixed")
+    named = held.select("_row", *[F.col(f"_whole.`{c}`").alias(n) for c, n in ((id, "_key"), (text, "_content"), (source, "_from"))])
+    mix = Mix(named, "_key", "_content", "_from", row=F.col("_row"), **options)
+    turns = mix.pieces().select("_row", "epoch").distinct()
+    return held.join(turns, "_row").select("_whole.*")

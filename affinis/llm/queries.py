@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .langid import identify_languages
 from .maintext import page_texts
 from .mixing import Mix
 from .partitions import learned_neighbours
@@ -16,6 +17,7 @@ from .simhash import simhash_groups
 from .texts import read
 from .threshold import inner_product_top
 from .tokencount import token_counts
+from .toxicity import toxic_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +33,14 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(read(spark, sf_dir, "documents"), "doc_id", "text", 24)
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_texts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "doc_id", "text")
+
+
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_neighbours(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
 
@@ -63,11 +73,13 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_shards": shards,
+    "op2_language": languages,
     "op3_learned_partitions": neighbours,
     "op4_threshold_top": highest_products,
     "op5_main_text": main_texts,
     "op6_mixture": mixture,
     "op7_sentencepiece": piece_digests,
+    "op8_toxicity": toxicity,
     "op9_simhash_groups": near_duplicates,
     "op10_token_counts": document_tokens,
 }

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..workspace import written
-from .texts import by_portion
+from .texts import by_portion, whole
 
 BITS = 64
 SEGMENTS = 5
@@ -199,17 +199,13 @@ def simhash_kept(
     The row with the smallest id stays; rows without an id come last, and of equal ids any one row
     stays. All columns are returned as they are.
     """
-    given = df.select(
-        F.struct("*").alias("_given"),
-        F.col(f"`{id}`").alias("_id"),
-        F.col(f"`{text}`").alias("_content"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    rows = written(with_fingerprints(given, "_content", words, ["_given", "_id", "_row"]), "simhash")
+    given = whole(df).select("_whole", F.monotonically_increasing_id().alias("_row"))
+    rows = written(with_fingerprints(given, f"_whole.{text}", words, ["_whole", "_row"]), "simhash")
+    rows = rows.withColumn("_id", F.col(f"_whole.`{id}`"))
     narrow = rows.select("_row", "_fp", "_id")
     roots = _grouped(narrow, max_bits, segments, crowd)
     best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     firsts = narrow.groupBy("_fp").agg(best.alias("_best"))
     linked = firsts.join(roots, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
     stay = linked.groupBy("_root").agg(F.min("_best").alias("_best")).select(F.col("_best.row").alias("_row"))
-    return rows.join(stay, "_row", "left_semi").select("_given.*")
+    return rows.join(stay, "_row", "left_semi").select("_whole.*")

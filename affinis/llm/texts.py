@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,23 +41,31 @@ def by_portion(
     made: Callable[[list[str], pa.RecordBatch], dict[str, pa.Array]],
     fields: str,
     keep: list[str],
+    limit: int = PORTION_BYTES,
 ) -> DataFrame:
     """Columns ``keep`` of ``df`` with the columns ``fields`` that ``made`` derives from the texts.
 
     A narrow Arrow job: the rows stay in their partition, and at most one portion of text is
     spread out as Python objects at a time. ``made`` gets null texts as empty ones. A derived
-    column takes the place of a kept one of the same name.
+    column takes the place of a kept one of the same name. ``text`` may name a field of a kept struct
+    (``struct.field``), so that a row that is carried whole is sent once.
     """
     ship(df.sparkSession)
     derived = T.StructType.fromDDL(fields)
-    given = F.struct(*[F.col(f"`{c}`") for c in keep if c not in derived.names])
-    narrow = df.select(given.alias("_given"), F.col(f"`{text}`").cast("string").alias("_text"))
+    kept = [c for c in keep if c not in derived.names]
+    owner, _, inner = text.partition(".")
+    columns = [F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_given")]
+    if not inner or owner not in kept:
+        inner = ""
+        columns.append(F.col(f"`{text}`").cast("string").alias("_text"))
+    narrow = df.select(*columns)
     schema = T.StructType([narrow.schema["_given"], *derived.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given, texts = batch.columns
-            for first, rows in portions(texts):
+            given = batch.column(0)
+            texts = given.field(owner).field(inner) if inner else batch.column(1)
+            for first, rows in portions(texts, limit):
                 words = [t or "" for t in texts.slice(first, rows).to_pylist()]
                 columns = made(words, batch.slice(first, rows))
                 yield pa.RecordBatch.from_pydict({"_given": given.slice(first, rows)} | columns)
@@ -63,6 +73,11 @@ def by_portion(
     return narrow.mapInArrow(run, schema).select("_given.*", *derived.names)
 
 
+def whole(df: DataFrame) -> DataFrame:
+    """Every row of ``df`` in one struct, out of the way of the names that operators use."""
+    return df.select(F.struct("*").alias("_whole"))
+
+
 def file_bytes(path: str | Path) -> bytes:
     """A model file of the driver; its bytes travel to the tasks as a broadcast of fixed size."""
     return Path(path).read_bytes()
@@ -80,6 +95,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def held_out(id: str) -> Column:
+    """Whether a row is kept from all learning: crc32 of its id as text leaves 2 on division by 4."""
+    return F.coalesce(F.crc32(F.col(f"`{id}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def by_share(key: Column, share: float | Column, seed: int) -> Column:
+    """An even choice of about ``share`` of the rows by the hash of a key."""
+    place = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000_000))
+    return place < (share if isinstance(share, Column) else F.lit(share)) * 1_000_000_000
+
+
+@cache
+def letter_table() -> np.ndarray:
+    """By code point: whether it is a letter."""
+    table = np.zeros(0x110000, bool)
+    for run in regex.finditer(r"\p{L}+", "".join(map(chr, range(0x110000)))):
+        table[run.start() : run.end()] = True
+    return table
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions starts[0], starts[0] + 1, ... of all runs, one run after another."""
     ends = np.cumsum(lengths)
