@@ -3,7 +3,7 @@
 The documents of a source are shuffled by a hash and lie one after another; the source's stream
 runs through them once per epoch and is cut into blocks of equal numbers of words. A schedule of
 N slots says which source gives its next block. Slot i owns the golden-ratio point i * a mod N,
-with a next to N / phi and prime to N; the source is the one in whose share of the cumulative
+with a next to N / phi and prime to N (``golden_step``); the source is the one in whose share of the cumulative
 weights [0, N) the point falls. The points of a share are spread evenly over the slots, and there
 are exactly as many of them as the source owes blocks. The k-th slot of a source takes block k.
 
@@ -77,6 +77,24 @@ def _running(df: DataFrame, group: str, chunk: Column, order: list, amount: str,
     return placed.join(ahead, [group, "_chunk"]).withColumn(name, F.col(name) + F.col("_ahead")).drop("_chunk", "_ahead")
 
 
+def golden_step(n: int) -> int:
+    """A multiplier next to n / phi and prime to n whose multiples mod n lie as even as they can.
+
+    How even is told by the largest quotient in the continued fraction of step / n; it is 1
+    all along for the golden ratio itself.
+    """
+
+    def largest_quotient(a: int) -> int:
+        b, most = n, 0
+        while a:
+            most, b, a = max(most, b // a), a, b % a
+        return most
+
+    near = round(n * 0.6180339887498949)
+    prime = [a for a in range(max(1, near - 40), min(n, near + 41)) if gcd(a, n) == 1]
+    return min(prime, key=lambda a: (largest_quotient(a), abs(a - near)), default=1)
+
+
 class Mix:
     """A mix of the documents of several sources.
 
@@ -141,9 +159,7 @@ class Mix:
         n = self.total
         if not n:
             return self.spark.createDataFrame([], "slot long, sid int, block long")
-        step = max(1, round(n * 0.6180339887498949))
-        while gcd(step, n) > 1:
-            step += 1
+        step = golden_step(n)
         back = pow(step, -1, n) if n > 1 else 0
         parts = self.sources.where("_blocks > 0").select(
             "sid", "_first", "_blocks", F.explode(F.sequence(F.lit(0), F.floor((F.col("_blocks") - 1) / CHUNK).cast("long"))).alias("_part")

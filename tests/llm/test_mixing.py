@@ -1,7 +1,8 @@
 import re
 from collections import defaultdict
+from math import gcd
 
-from affinis.llm.mixing import Mix, mixed_documents
+from affinis.llm.mixing import Mix, golden_step, mixed_documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -49,6 +50,14 @@ def test_documents(spark):
     assert sorted(map(tuple, first)) == sorted(map(tuple, again))
 
 
+def test_points_of_any_number_of_slots_are_even():
+    for n in [1, 2, 3, 4, 6, 12, 60, 732, 1000, 30030, 65536, 99991]:
+        step = golden_step(n)
+        assert gcd(step, n) == 1 and (n < 3 or 0 < step < n)
+        held = sorted(r * pow(step, -1, n) % n for r in range(n // 3)) if n > 3 else []
+        assert all(abs(k - (slot + 1) * len(held) / n) < 4 for k, slot in enumerate(held))
+
+
 def test_schedule_is_even_and_blocks_are_equal(spark):
     rows = [(i, "w " * (10 + i % 7), "abc"[i % 3]) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -61,7 +70,7 @@ def test_schedule_is_even_and_blocks_are_equal(spark):
         per[sid].append(slot)
     for held in per.values():  # at any point of the schedule every source has its share, within a few slots
         for k, slot in enumerate(held):
-            assert abs(k - (slot + 1) * len(held) / mix.total) < 6
+            assert abs(k - (slot + 1) * len(held) / mix.total) < 4
     words = defaultdict(int)
     for r in mix.pieces().collect():
         words[r["sid"], r["block"]] += r["to_word"] - r["from_word"]

@@ -65,7 +65,7 @@ def test_bundles_keep_shards_near_equal(spark):
 
 def test_odd_rows_and_a_third_of_copies(spark):
     rows = [(i, "copy") for i in range(40)] + [(100 + i, f"text {i}" * i) for i in range(60)]
-    rows += [(7, None), (7, None), (None, ""), (None, ""), (8, "")]
+    rows += [(507, None), (507, None), (None, ""), (None, ""), (508, "")]
     df = spark.createDataFrame([(a, b, 1, 2, 3, "k") for a, b in rows], "doc_id long, text string, size int, _row long, shard int, _group string")
     check(rows, balanced_shards(df, "doc_id", "text", 3).collect(), 3)
     check(rows, balanced_shards(df, "doc_id", "text", 300).collect(), 300)
