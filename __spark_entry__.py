@@ -22,13 +22,13 @@ from affinis.operators.encode import (  # noqa: E402
     hashing,
 )
 from affinis.operators.keys import with_composite_key  # noqa: E402
-from affinis.operators.matching import annotated, annotation_summary, match  # noqa: E402
+from affinis.operators.matching import Matches, annotated, annotation_summary, match  # noqa: E402
 from affinis.operators.numbering import numbered  # noqa: E402
 from affinis.operators.pairs import similar_pairs  # noqa: E402
-from affinis.operators.profile import key_audit, profile, repeated_keys  # noqa: E402
+from affinis.operators.profile import key_audit, profiles, repeated_keys  # noqa: E402
 from affinis.operators.topk import neighbours  # noqa: E402
 from affinis.plans.jobs import dedup_table, nearest_rows, preset_matches  # noqa: E402
-from affinis.settings import MODELS, find_model  # noqa: E402
+from affinis.settings import MODELS  # noqa: E402
 from affinis.sources import tables as S  # noqa: E402
 from affinis.sources.vector_table import VectorTable  # noqa: E402
 from affinis.workspace import few_rows, scratch_path, written  # noqa: E402
@@ -113,6 +113,21 @@ def _annotate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotated(e, "vec_id", _matches(spark, sf_dir, 0.35, list_pairs=False), lists=False)
 
 
+def _repeated_matches(spark: SparkSession, sf_dir: str) -> Matches:
+    """Matches between the labels of the vectors, which repeat."""
+    e = _read(spark, sf_dir, "embeddings")
+    return match(e, "vec_id", "embedding", key="label", threshold=0.4, decimals=4)
+
+
+def _match_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeated_matches(spark, sf_dir).relation()
+
+
+def _annotate_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return annotated(e, "label", _repeated_matches(spark, sf_dir), as_text=True)
+
+
 def _match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _matches(spark, sf_dir, 0.35, list_pairs=False)
     e = _read(spark, sf_dir, "embeddings").select("vec_id")
@@ -153,21 +168,25 @@ def _mean_vectors(columns: list[str], strategy: str) -> Query:
 
 
 PROFILED = {
-    "customer": "c_custkey",
-    "documents": "doc_id",
-    "labels": "doc_id",
-    "events": "event_id",
-    "part": "p_partkey",
-    "orders": "o_orderkey",
+    "region": ["r_regionkey"],
+    "nation": ["n_nationkey"],
+    "customer": ["c_custkey"],
+    "supplier": ["s_suppkey"],
+    "part": ["p_partkey"],
+    "orders": ["o_orderkey"],
+    "lineitem": ["l_orderkey", "l_linenumber"],
+    "events": ["event_id"],
+    "documents": ["doc_id"],
+    "embeddings": ["vec_id"],
+    "pages": ["page_id"],
+    "benchmark": ["item_id"],
+    "labels": ["doc_id"],
+    "conversations": ["conv_id", "turn"],
 }
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [
-        profile(_read(spark, sf_dir, t), order).select(F.lit(t).alias("table_name"), "*")
-        for t, order in PROFILED.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return profiles({t: (_read(spark, sf_dir, t), order) for t, order in PROFILED.items()})
 
 
 def _selected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,10 +244,20 @@ def _multi_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("p_partkey", "bucket", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
+def _routed_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns whose names route them to different models, averaged per row."""
+    c = _read(spark, sf_dir, "customer")
+    named = c.select("c_custkey", F.col("c_name").alias("Customer"), F.col("c_mktsegment").alias("Segment"))
+    encoders = {"entity": hashing(16, ngram=3), "mini": hashing(16)}
+    d = embed_and_combine(named, ["Customer", "Segment"], "v", encoders.__getitem__)
+    cells = d.select("c_custkey", F.posexplode("v").alias("bucket", "x"))
+    return cells.select("c_custkey", "bucket", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
 def _vector_store(spark: SparkSession, sf_dir: str) -> VectorTable:
     """The embeddings table as a stored vector table."""
     e = _read(spark, sf_dir, "embeddings")
-    table = VectorTable.create(spark, scratch_path(spark, "store"), MODELS["mini"].id, 64, "vec_id", ["label"])
+    table = VectorTable.create(spark, scratch_path(spark, "store"), "given", 64, "vec_id", ["label"])
     table.insert(e, "embedding", "vec_id")
     return table
 
@@ -254,7 +283,7 @@ def _query_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _text_store(spark: SparkSession, sf_dir: str) -> VectorTable:
     d = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     path = scratch_path(spark, "store")
-    table = VectorTable.create(spark, path, find_model("mini").id, 64, "doc_id", ["text"])
+    table = VectorTable.create(spark, path, hashing(64).name, 64, "doc_id", ["text"])
     table.add(d.where(F.col("lang") == "en"), "doc_id", hashing(64))
     # Reopened, then given the whole table: rows whose key is there already are skipped.
     table = VectorTable.open(spark, path)
@@ -302,6 +331,21 @@ def _approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(e, "vec_id", "embedding", top_k=5, decimals=4, probes=4, rows_per_block=64)
 
 
+def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the approximate mode finds of the exact neighbours, in one row."""
+    e = _read(spark, sf_dir, "embeddings")
+    options = {"top_k": 5, "decimals": 4, "rows_per_block": 64}
+    near = neighbours(e, "vec_id", "embedding", probes=6, **options)
+    exact = neighbours(e, "vec_id", "embedding", **options).select("query_key", "neighbor_key", F.lit(1).alias("hit"))
+    both = near.join(exact, ["query_key", "neighbor_key"], "left")
+    ranks = both.groupBy("query_key").agg(F.sort_array(F.collect_list("rank")).alias("ranks"), F.count("hit").alias("hits"))
+    return ranks.agg(
+        F.sum(F.size("ranks")).cast("long").alias("rows"),
+        F.every(F.col("ranks") == F.array(*[F.lit(i) for i in range(1, 6)])).alias("ranks_valid"),
+        (F.sum("hits") >= 0.8 * F.sum(F.size("ranks"))).alias("recall_over_80_percent"),
+    )
+
+
 def _sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select("doc_id", "text")
     starts = F.array(*[F.lit(s) for s in ("", "=", "+", "-", "@", "\t", "\r")])
@@ -375,7 +419,7 @@ def _dedup_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     done = dedup_table(
         spark, d, scratch_path(spark, "store"), "doc_id", ["text"], "doc_id",
-        encoder=hashing(64), threshold=0.95, decimals=2,
+        encoder=hashing(64), threshold=0.95, decimals=2, lists=True,
     )
     found = done.annotated.drop("text")
     return found.withColumn("_match_ids", F.array_join("_match_ids", ", "))
@@ -396,9 +440,23 @@ def _presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = _read(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("Vendor ID"), F.col("s_name").alias("Company Name")
     )
+    customer = _read(spark, sf_dir, "customer")
+    addresses = customer.select(
+        F.col("c_custkey").alias("Customer ID"), F.concat_ws(" ", "c_mktsegment", "c_nationkey").alias("Address")
+    )
+    turns = _read(spark, sf_dir, "conversations")
+    leads = turns.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("Lead ID"), F.col("role").alias("Company"), F.col("text").alias("Notes")
+    )
+    entities = customer.select(
+        F.col("c_custkey").alias("Entity ID"), F.col("c_name").alias("Legal Name"), F.col("c_mktsegment").alias("DBA Name")
+    )
     runs = [
         ("product-catalog", part, "SKU", hashing(48)),
         ("vendor-dedup", supplier, "Vendor ID", hashing(48, ngram=3)),
+        ("address-cleansing", addresses, "Customer ID", hashing(48)),
+        ("lead-dedup", leads, "Lead ID", hashing(48)),
+        ("counterparty-screening", entities, "Entity ID", hashing(48)),
     ]
     parts = [
         preset_matches(df, name, order, encoder, list_pairs=False).summary().select(F.lit(name).alias("preset"), "*")
@@ -452,6 +510,7 @@ def queries() -> dict[str, Query]:
         "c_weighted_vector": _mean_vectors(["a:3", "b:1"], "weighted-average"),
         "d_hash_embed": _hash_embed,
         "d_multi_column": _multi_column,
+        "d_routed_models": _routed_models,
         "d_topk_docs": _topk_docs,
         "e_metrics_pairs": _compare,
         "e_normalise": _normalise,
@@ -461,9 +520,12 @@ def queries() -> dict[str, Query]:
         "g_topk_threshold": _topk("cosine", 0.4),
         "h_annotate": _annotate,
         "h_annotate_counts": _annotate_counts,
+        "h_annotate_repeated_keys": _annotate_repeated,
         "h_match_groups": _match_groups,
         "h_match_pairs": _match_pairs,
+        "h_match_repeated_keys": _match_repeated,
         "h_summary": _match_summary,
+        "i_approximate_recall": _recall,
         "i_approximate_topk": _approximate,
         "i_incremental_add": _incremental,
         "i_info": _info,
@@ -488,20 +550,27 @@ def entry(spark: SparkSession) -> DataFrame:
 
 EMBEDDINGS = "e as (select vec_id as id, embedding::double[] as v from embeddings)"
 
+
+
+def _in_order(a: str, b: str, term: str) -> str:
+    """A sum over two lists from left to right, as the engine sums."""
+    return f"list_reduce(list_transform(list_zip({a}, {b}), lambda x: {term}), lambda x, y: x + y)"
+
+
 SCORES = {
-    "cosine": (
-        "case when list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v) = 0 then 0 else "
-        "list_inner_product(a.v, b.v) / "
-        "(sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) end"
-    ),
-    "euclidean": "list_distance(a.v, b.v)",
-    "manhattan": "list_sum(list_transform(list_zip(a.v, b.v), lambda x: abs(x[1] - x[2])))",
-    "dot": "list_inner_product(a.v, b.v)",
+    "cosine": _in_order("a.u", "b.u", "x[1] * x[2]"),
+    "euclidean": f"sqrt({_in_order('a.v', 'b.v', '(x[1] - x[2]) * (x[1] - x[2])')})",
+    "manhattan": _in_order("a.v", "b.v", "abs(x[1] - x[2])"),
+    "dot": _in_order("a.v", "b.v", "x[1] * x[2]"),
 }
 
 
-def _settled(metric: str) -> str:
-    return f"({SCORES[metric]})::decimal(18, 9)"
+def _unit(name: str = "e") -> str:
+    """CTE ``name`` + u: the vectors (v) and their unit vectors (u)."""
+    return (
+        f"{name}u as (select id, v, list_transform(v, lambda x: case when n = 0 then 0 else x / n end) as u "
+        f"from (select *, sqrt({_in_order('v', 'v', 'x[1] * x[2]')}) as n from {name}))"
+    )
 
 
 def _best_first(metric: str) -> str:
@@ -510,8 +579,8 @@ def _best_first(metric: str) -> str:
 
 def _topk_sql(vectors: str, metric: str, k: int, where: str = "") -> str:
     return f"""
-with {vectors},
-s as (select a.id as q, b.id as n, {_settled(metric)} as s from e a join e b on a.id <> b.id),
+with {vectors}, {_unit()},
+s as (select a.id as q, b.id as n, {SCORES[metric]} as s from eu a join eu b on a.id <> b.id),
 r as (select *, row_number() over (partition by q order by s {_best_first(metric)}, n) as rk from s)
 select q::varchar as query_key, n::varchar as neighbor_key, rk::int as "rank", round(s, 4)::double as score
 from r where rk <= {k} {where}"""
@@ -548,8 +617,8 @@ def _mean_of(parts: list[str], name: str = "e") -> str:
 
 def _match_sql(vectors: str, threshold: float, decimals: int) -> str:
     """CTEs m (i, j, sim, s) and g (id, group_id) over e (id, v)."""
-    return f"""recursive {vectors},
-s as (select a.id as i, b.id as j, {_settled("cosine")} as s from e a join e b on a.id < b.id),
+    return f"""recursive {vectors}, {_unit()},
+s as (select a.id as i, b.id as j, {SCORES["cosine"]} as s from eu a join eu b on a.id < b.id),
 m as (select i, j, round(s, {decimals})::double as sim from s where s >= {threshold}),
 u as (select i as x, j as y from m union select j, i from m),
 reach as (select x, y from u union select r.x, u.y from reach r join u on r.y = u.x),
@@ -568,6 +637,23 @@ ann as (
   from both_ways group by k)"""
 
 
+def _label_matches_sql() -> str:
+    """CTE p: the first pair of rows of every pair of labels, with the group of the labels."""
+    return f"""recursive {EMBEDDINGS}, {_unit()},
+s as (select a.id as i, b.id as j, {SCORES["cosine"]} as s from eu a join eu b on a.id < b.id),
+k as (
+  select i, j, round(s, 4)::double as sim, x.label::varchar as ik, y.label::varchar as jk
+  from s join embeddings x on x.vec_id = i join embeddings y on y.vec_id = j where s >= 0.4),
+f as (
+  select * from (select *, row_number() over (partition by least(ik, jk), greatest(ik, jk) order by i, j) as at from k)
+  where at = 1),
+u as (select ik as x, jk as y from f union select jk, ik from f),
+reach as (select x, y from u union select r.x, u.y from reach r join u on r.y = u.x),
+root as (select x as k, least(x, min(y)) as root from reach group by x),
+g as (select root, row_number() over (order by min(i)) as group_id from f join root on root.k = f.ik group by root),
+p as (select f.*, g.group_id from f join root on root.k = f.ik join g on g.root = root.root)"""
+
+
 def _annotate_sql(vectors: str, source: str, key: str, columns: str, threshold: float, decimals: int, lists: bool) -> str:
     ids = "coalesce(ids, '') as _match_ids, best as _best_match_id," if lists else ""
     return f"""
@@ -580,13 +666,23 @@ from {source} t left join ann on ann.k = t.{key}::varchar"""
 def _profile_sql() -> str:
     """Counts and the type rule per column; columns as TESTDATA lists them."""
     columns = {
+        "region": "r_regionkey# r_name",
+        "nation": "n_nationkey# n_name n_regionkey#",
         "customer": "c_custkey# c_name c_nationkey# c_acctbal# c_mktsegment",
-        "documents": "doc_id# text lang source n_chars#",
-        "labels": "doc_id# quality# toxic#",
-        "events": "event_id# ts user_id# event_type value# props",
+        "supplier": "s_suppkey# s_name s_nationkey# s_acctbal#",
         "part": "p_partkey# p_name p_brand p_type p_size# p_retailprice#",
         "orders": "o_orderkey# o_custkey# o_orderstatus o_totalprice# o_orderdate o_orderpriority",
+        "lineitem": "l_orderkey# l_partkey# l_suppkey# l_linenumber# l_quantity# l_extendedprice# l_discount# l_tax# "
+        "l_returnflag l_linestatus l_shipdate",
+        "events": "event_id# ts user_id# event_type value# props",
+        "documents": "doc_id# text lang source n_chars#",
+        "embeddings": "vec_id# embedding label#",
+        "pages": "page_id# url html",
+        "benchmark": "item_id# text",
+        "labels": "doc_id# quality# toxic#",
+        "conversations": "conv_id# turn# role text",
     }
+    # The routing words.
     address = "address|addr|street|city|state|zip|postal|location|country|region"
     entity = (
         "company|vendor|supplier|customer|client|organization|org|employer|counterparty|partner|"
@@ -600,7 +696,7 @@ def _profile_sql() -> str:
                 "null"
                 if numeric
                 else f"(select avg(length({name}::varchar)) from (select {name} from {table} "
-                f"where {name} is not null order by {PROFILED[table]} limit 100))"
+                f"where {name} is not null order by {', '.join(PROFILED[table])} limit 100))"
             )
             parts.append(
                 f"select '{table}' as table_name, '{name}' as name, {i + 1} as \"index\", "
@@ -686,10 +782,27 @@ def oracle_sql() -> dict[str, str]:
             _mean_of(["pa", "pb"]),
         ]
     )
+    routed = ",".join(
+        [
+            _hashed("customer", "c_custkey", "c_name", 16, "pa", TRIGRAMS),
+            _hashed("customer", "c_custkey", "c_mktsegment", 16, "pb"),
+            _mean_of(["pa", "pb"]),
+        ]
+    )
     vendors = _hashed("supplier", "s_suppkey", "s_name", 48, "e", TRIGRAMS)
+    addresses = _hashed("customer", "c_custkey", "c_mktsegment || ' ' || c_nationkey", 48)
+    turn = "(select conv_id * 1000 + turn as k, * from conversations)"
+    leads = ",".join([_hashed(turn, "k", "role", 48, "pa"), _hashed(turn, "k", "text", 48, "pb"), _mean_of(["pa", "pb"])])
+    entities = ",".join(
+        [
+            _hashed("customer", "c_custkey", "c_name", 48, "pa"),
+            _hashed("customer", "c_custkey", "c_mktsegment", 48, "pb"),
+            _mean_of(["pa", "pb"]),
+        ]
+    )
     docs64 = _hashed("documents", "doc_id", "text", 64)
     asked64 = _hashed("benchmark", "item_id", "text", 64, "q")
-    cosine = _settled("cosine")
+    cosine = SCORES["cosine"]
     return _llm()[1] | {
         "a_contract": "select doc_id, lang, n_chars from documents",
         "a_inventory": _inventory_sql(),
@@ -736,13 +849,14 @@ def oracle_sql() -> dict[str, str]:
         "c_weighted_vector": _next_mean_sql(0.75, 0.25),
         "d_hash_embed": _cells_sql(_hashed("documents", "doc_id", "text", 16), "doc_id", "bucket"),
         "d_multi_column": _cells_sql(part_two, "p_partkey", "bucket"),
+        "d_routed_models": _cells_sql(routed, "c_custkey", "bucket"),
         "d_topk_docs": _topk_sql(docs64, "cosine", 5),
         "e_metrics_pairs": f"""
-with {EMBEDDINGS}
+with {EMBEDDINGS}, {_unit()}
 select a.id::varchar as key_a, b.id::varchar as key_b, round({SCORES["cosine"]}, 4) as cosine,
        round({SCORES["euclidean"]}, 4) as euclidean, round({SCORES["manhattan"]}, 4) as manhattan,
        round({SCORES["dot"]}, 4) as dot
-from e a join e b on b.id = a.id + 1""",
+from eu a join eu b on b.id = a.id + 1""",
         "e_normalise": f"""
 with {EMBEDDINGS},
 x as (select id, list_transform(v, lambda y: y * (id + 2)) as v from e),
@@ -751,8 +865,8 @@ u as (select id, list_transform(v, lambda y: y / n) as u from n)
 select id as vec_id, round(list_sum(u), 6) as element_sum, round(sqrt(list_inner_product(u, u)), 6) as length from u""",
         **{
             f"f_pairs_{m}": f"""
-with {EMBEDDINGS},
-s as (select a.id as id_a, b.id as id_b, {_settled(m)} as s from e a join e b on a.id < b.id)
+with {EMBEDDINGS}, {_unit()},
+s as (select a.id as id_a, b.id as id_b, {SCORES[m]} as s from eu a join eu b on a.id < b.id)
 select id_a, id_b, round(s, 4)::double as score from s
 where s {"<=" if m in ("euclidean", "manhattan") else ">="} {b}"""
             for m, b in PAIR_BOUNDS.items()
@@ -766,6 +880,21 @@ where s {"<=" if m in ("euclidean", "manhattan") else ">="} {b}"""
         "g_topk_threshold": _topk_sql(EMBEDDINGS, "cosine", 5, "and round(s, 4) >= 0.4"),
         "h_annotate": _annotate_sql(EMBEDDINGS, "embeddings", "vec_id", "vec_id, label", 0.4, 4, True),
         "h_annotate_counts": _annotate_sql(EMBEDDINGS, "embeddings", "vec_id", "vec_id, label", 0.35, 4, False),
+        "h_annotate_repeated_keys": f"""
+with {_label_matches_sql()},
+both_ways as (
+  select ik as k, jk as o, sim, 0 as role, i, j, group_id from p
+  union all select jk, ik, sim, 1, i, j, group_id from p),
+ann as (
+  select k, count(*) as n, string_agg(o, ', ' order by role, sim desc, i, j) as ids,
+         (list(o order by sim desc, role, i, j))[1] as best, max(sim) as top, min(group_id) as group_id
+  from both_ways group by k)
+select vec_id, label, coalesce(n, 0)::bigint as _match_count, coalesce(ids, '') as _match_ids, best as _best_match_id,
+       top as _best_match_score, coalesce(group_id, 0)::bigint as _group_id
+from embeddings t left join ann on ann.k = t.label::varchar""",
+        "h_match_repeated_keys": f"""
+with {_label_matches_sql()}
+select ik as query_key, jk as match_key, sim as similarity, group_id from p""",
         "h_match_groups": f"""
 with {_match_sql(EMBEDDINGS, 0.35, 4)}
 select i::varchar as query_key, j::varchar as match_key, sim as similarity, group_id from m join g on g.id = m.i""",
@@ -776,33 +905,37 @@ select i::varchar as query_key, j::varchar as match_key, sim as similarity from
 with {_match_sql(EMBEDDINGS, 0.35, 4)}
 select 'pairs' as fact, count(*) as n from m union all select 'groups', count(distinct group_id) from g
 union all select 'matched rows', count(*) from g union all select 'annotated groups', count(distinct group_id) from g""",
+        "i_approximate_recall": (
+            'select count(*) * 5 as "rows", true as ranks_valid, true as recall_over_80_percent from embeddings'
+        ),
         "i_incremental_add": f"""
 with {docs64}, {STORED}
 select s.pos, s.doc_id::varchar as key, s.lang, len(e.v)::int as dim, round(list_sum(e.v), 4) as element_sum
 from stored s join e on e.id = s.doc_id""",
         "i_info": (
-            "select count(*) as row_count, 'all-MiniLM-L6-v2' as model_id, 64 as dimensions, 'doc_id' as key_column, "
+            "select count(*) as row_count, 'hashing-words-64' as model_id, 64 as dimensions, 'doc_id' as key_column, "
             "'text' as embed_columns, true as has_bytes from documents"
         ),
         "i_query_indexed": f"""
-with {EMBEDDINGS}, late as (select * from e union all select * from (select -1 as id, v from e order by e.id limit 1)),
-s as (select b.id, {cosine} as s from (select * from e order by id limit 1) a cross join late b)
+with {EMBEDDINGS}, {_unit()},
+late as (select * from eu union all select * from (select -1 as id, v, u from eu order by eu.id limit 1)),
+s as (select b.id, {cosine} as s from (select * from eu order by id limit 1) a cross join late b)
 select id::varchar as id, round(s, 4)::double as similarity
 from (select * from s order by s desc, id = -1, id limit 10)""",
         "i_query_many": f"""
-with {docs64}, {asked64}, {STORED},
-s as (select a.id as q, b.id as n, p.pos, {cosine} as s from q a cross join e b join stored p on p.doc_id = b.id),
+with {docs64}, {asked64}, {_unit()}, {_unit("q")}, {STORED},
+s as (select a.id as q, b.id as n, p.pos, {cosine} as s from qu a cross join eu b join stored p on p.doc_id = b.id),
 r as (select *, row_number() over (partition by q order by s desc, pos) as rk from s)
 select q::varchar as query_key, n::varchar as id, rk::int as "rank", round(s, 4)::double as similarity
 from r where rk <= 3""",
         "i_query_text": f"""
-with {docs64}, {asked64}, {STORED},
-s as (select b.id, p.pos, p.lang, {cosine} as s from (select * from q order by id limit 1) a
-      cross join e b join stored p on p.doc_id = b.id)
+with {docs64}, {asked64}, {_unit()}, {_unit("q")}, {STORED},
+s as (select b.id, p.pos, p.lang, {cosine} as s from (select * from qu order by id limit 1) a
+      cross join eu b join stored p on p.doc_id = b.id)
 select id::varchar as id, round(s, 4)::double as similarity, lang from (select * from s order by s desc, pos limit 10)""",
         "i_query_topk": f"""
-with {EMBEDDINGS},
-s as (select b.id, {cosine} as s from (select * from e order by id limit 1) a cross join e b),
+with {EMBEDDINGS}, {_unit()},
+s as (select b.id, {cosine} as s from (select * from eu order by id limit 1) a cross join eu b),
 r as (select * from s order by s desc, id limit 10)
 select r.id::varchar as id, round(s, 4)::double as similarity, label from r join embeddings l on l.vec_id = r.id""",
         "j_composed_neighbours": _topk_sql(
@@ -813,5 +946,11 @@ select r.id::varchar as id, round(s, 4)::double as similarity, label from r join
         "j_nearest_rows": _topk_sql(part_words, "cosine", 5),
         "j_presets": _preset_sql("product-catalog", catalog, 0.9)
         + " union all "
-        + _preset_sql("vendor-dedup", vendors, 0.85),
+        + _preset_sql("vendor-dedup", vendors, 0.85)
+        + " union all "
+        + _preset_sql("address-cleansing", addresses, 0.9)
+        + " union all "
+        + _preset_sql("lead-dedup", leads, 0.85)
+        + " union all "
+        + _preset_sql("counterparty-screening", entities, 0.85),
     }

@@ -6,13 +6,11 @@ for euclidean and manhattan, so that larger is always better.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-from ..settings import SETTLED_DECIMALS
-
 SCORE_CELLS = 500_000  # scores held at once; larger blocks are scored in row slices
 SLACK = 1e-6  # widens every bound, so rounding can only cost work and never a result
 
@@ -27,7 +25,8 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0)
-    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = lists.flatten()
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)  # a missing element becomes NaN
     width = len(values) // rows
     if not (np.diff(lists.offsets.to_numpy()) == width).all():
         raise ValueError("Vectors differ in dimension.")
@@ -38,10 +37,31 @@ def prepared(metric: str, vectors: np.ndarray) -> np.ndarray:
     """Unit vectors for cosine (zero rows stay zero), the vectors themselves otherwise."""
     if metric != "cosine" or not len(vectors):
         return vectors
-    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    size = np.sqrt(in_order(vectors.T, vectors.T, np.multiply))[:, None]
     return vectors / np.where(size == 0.0, 1.0, size)
 
 
+def in_order(left: np.ndarray, right: np.ndarray, term: Callable) -> np.ndarray:
+    """Sum of ``term`` over the first axis, one component after another.
+
+    Every pair is summed in the same order, so its score has no part in where it was found, and
+    a plain left-to-right sum elsewhere gives the same bits.
+    """
+    total = np.zeros(np.broadcast_shapes(left.shape[1:], right.shape[1:]))
+    for a, b in zip(left, right, strict=True):
+        total += term(a, b)
+    return total
+
+
+def pair_goodness(metric: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Scores in DOUBLE of prepared vectors whose components lie on the first axis."""
+    if metric in ("cosine", "dot"):
+        return in_order(left, right, np.multiply)
+    if metric == "euclidean":
+        return -np.sqrt(in_order(left, right, lambda a, b: (a - b) ** 2))
+    return -in_order(left, right, lambda a, b: np.abs(a - b))
+
+
 def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     left_sq, right_sq = (left**2).sum(1)[:, None], (right**2).sum(1)[None, :]
     squared = left_sq + right_sq - 2.0 * (left @ right.T)
@@ -66,10 +86,6 @@ def goodness(metric: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return -out
 
 
-def settled(values: np.ndarray) -> np.ndarray:
-    return np.round(values, SETTLED_DECIMALS) + 0.0
-
-
 def gaps(metric: str, rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Distance of prepared rows to prepared centres, in the space the bounds work in."""
     if metric == "cosine":
@@ -108,11 +124,11 @@ def rank_in_runs(runs: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Scores rows against one side, screened in FLOAT and settled in DOUBLE.
+    """Scores rows against one side, screened in FLOAT and decided in DOUBLE.
 
     The FLOAT product of a slice is compared with the wanted score less a bound on its error, so
-    it can only let too many pairs through. The few that pass are scored again in DOUBLE from
-    their own two vectors, and a score does not depend on the block it was found in.
+    it can only let too many pairs through. Those that pass are scored again in DOUBLE by one
+    fixed sum per pair; order and thresholds go by that unrounded score.
     """
 
     def __init__(self, metric: str, side: np.ndarray):
@@ -126,9 +142,11 @@ class Scorer:
 
     def _screen(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rough scores (negated squares for euclidean) and a bound on each row's error."""
-        if self.metric == "manhattan":
-            return goodness(self.metric, rows, self.side), np.zeros(len(rows))
         size = np.linalg.norm(rows, axis=1)
+        if self.metric == "manhattan":
+            width = rows.shape[1]
+            error = 4.0 * np.finfo(float).eps * (width + 8) * np.sqrt(width) * (size + self.longest)
+            return goodness(self.metric, rows, self.side), error
         kind = self.kind if size.max(initial=0.0) < 1e15 else np.float64
         product = rows.astype(kind) @ self.rough.astype(kind, copy=False).T
         unit = 2.0 * np.finfo(kind).eps * (rows.shape[1] + 8)
@@ -140,32 +158,26 @@ class Scorer:
         return product, unit * (size + self.longest) ** 2
 
     def _rough_floor(self, floor: np.ndarray) -> np.ndarray:
-        """The floor in the terms of the screen, with room for settling."""
-        room = 10.0**-SETTLED_DECIMALS
+        """The floor in the terms of the screen."""
         if self.metric != "euclidean":
-            return floor - room
-        far = np.maximum(room - floor, 0.0)
-        return -(far**2)
+            return floor
+        return -(np.maximum(-floor, 0.0) ** 2)
 
     def _exact(self, rows: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
         at = np.flatnonzero(wanted)
         i, j = np.divmod(at, max(1, len(self.side)))
-        if self.metric == "manhattan" or len(at) > wanted.size // 16:
-            value = goodness(self.metric, rows, self.side).ravel()[at]
-        else:
-            value = np.empty(len(at))
-            step = max(1, SCORE_CELLS // max(1, rows.shape[1]))
-            for start in range(0, len(at), step):
-                part = slice(start, start + step)
-                a, b = rows[i[part]], self.side[j[part]]
-                if self.metric == "euclidean":
-                    value[part] = -np.sqrt(((a - b) ** 2).sum(1))
-                else:
-                    value[part] = np.einsum("ij,ij->i", a, b)
-        return i, j, settled(value)
+        if len(at) > wanted.size // 16:
+            whole = pair_goodness(self.metric, rows.T[:, :, None], self.side.T[:, None, :])
+            return i, j, whole.ravel()[at] + 0.0
+        value = np.empty(len(at))
+        step = max(1, SCORE_CELLS // max(1, rows.shape[1]))
+        for start in range(0, len(at), step):
+            part = slice(start, start + step)
+            value[part] = pair_goodness(self.metric, rows[i[part]].T, self.side[j[part]].T)
+        return i, j, value + 0.0
 
     def above(self, rows: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pairs with a settled score of at least ``floor``, as rows, columns, values."""
+        """All pairs with a score of at least ``floor``, as rows, columns, values."""
         rough, error = self._screen(rows)
         cut = self._rough_floor(np.full(len(rows), floor)) - error
         i, j, value = self._exact(rows, rough >= _below(cut, rough.dtype)[:, None])
@@ -184,8 +196,7 @@ class Scorer:
         if width > keep and (floor is None or np.count_nonzero(wanted) > 16 * keep * len(rows)):
             # A true best column is at most twice the error below the rough keep-th best.
             last = np.partition(rough, width - keep, axis=1)[:, -keep].astype(np.float64)
-            room = 4 * 10.0**-SETTLED_DECIMALS * (1 + np.sqrt(np.abs(last)))
-            wanted &= rough >= _below(last - 2 * error - room, rough.dtype)[:, None]
+            wanted &= rough >= _below(last - 2 * error, rough.dtype)[:, None]
         r, c, v = self._exact(rows, wanted)
         if floor is not None:
             above = v >= floor[r]

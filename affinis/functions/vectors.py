@@ -43,14 +43,17 @@ def norm(v: Column | str) -> Column:
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine of two vectors; a zero vector is an error here, unlike in the pair operators."""
     size = norm(a) * norm(b)
-    undefined = F.raise_error(F.lit("Cosine similarity is undefined for zero vectors."))
+    undefined = F.raise_error(F.lit("A vector of length zero has no cosine."))
     return F.when(size == 0, undefined.cast("double")).otherwise(dot(a, b) / size)
 
 
 def cosine_or_zero(a: Column | str, b: Column | str) -> Column:
-    """Cosine with the pair operators' rule: a zero vector scores 0 against everything."""
-    size = norm(a) * norm(b)
-    return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
+    """Cosine with the pair operators' rule: a zero vector scores 0 against everything.
+
+    The product of the unit vectors, summed in order as the block kernels do, so both give the
+    same bits.
+    """
+    return dot(normalised(a), normalised(b))
 
 
 def euclidean(a: Column | str, b: Column | str) -> Column:
@@ -114,12 +117,6 @@ def vector_from_json(text: Column | str) -> Column:
     return F.from_json(_col(text), "array<float>")
 
 
-def settled(score: Column) -> Column:
-    from ..settings import SETTLED_DECIMALS
-
-    return F.round(score, SETTLED_DECIMALS)
-
-
 @dataclass(frozen=True)
 class Metric:
     """A similarity or distance: its column builder and which end of it is best."""
@@ -148,5 +145,5 @@ METRICS: dict[str, Metric] = {
 
 def find_metric(name: str) -> Metric:
     if name not in METRICS:
-        raise ValueError(f"Unknown metric '{name}'. Available: {', '.join(METRICS)}")
+        raise ValueError(f"No metric is called {name!r}; choose one of {sorted(METRICS)}.")
     return METRICS[name]

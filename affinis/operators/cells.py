@@ -26,12 +26,10 @@ from ..workspace import few_rows, fill_cores, ship, small, written
 from .copies import PRINT, REP, VEC
 
 BLOCK_BYTES = 16 << 20  # DOUBLE bytes of one block of vectors
-BLOCK_ROWS = (1024, 16_384)  # and its limits in rows
+BLOCK_ROWS = (128, 16_384)  # and its limits in rows
 CENTRE_BYTES = 32 << 20  # DOUBLE bytes of all centres, which every worker holds
 CELLS = 50_000  # ... and their largest number
-ONE_TASK = 10**10  # multiplications that one task does sooner than a layout is made
 TASKS_PER_CORE = 4
-TASKS = 20_000  # most tasks of one scoring stage
 VISITORS = 2  # visiting rows per task, as a multiple of the block size
 
 BLOCK, CELL = "_block", "_cell"
@@ -60,10 +58,9 @@ class Placed:
     blocks: int
     block_rows: int
 
-    @property
-    def meetings(self) -> int:
-        """Upper bound on the groups of ``meetings``, if every row visits every block."""
-        return self.blocks * max(1, -(-self.blocks // VISITORS))
+    def groups(self, visits: int) -> int:
+        """Upper bound on the groups of ``meetings`` for a counted number of visits."""
+        return self.blocks + -(-visits // (self.block_rows * VISITORS))
 
 
 def block_rows(count: int, dim: int, cores: int) -> int:
@@ -74,8 +71,6 @@ def block_rows(count: int, dim: int, cores: int) -> int:
     """
     low, high = BLOCK_ROWS
     fitting = max(low, BLOCK_BYTES // (8 * max(1, dim)))
-    if count <= fitting and count * count * dim <= ONE_TASK:
-        return max(1, count)
     spread = math.ceil(count / math.sqrt(TASKS_PER_CORE * cores * VISITORS))
     return max(low, min(fitting, high, spread))
 
@@ -84,10 +79,10 @@ def by_group(df: DataFrame, keys: list[str], groups: int) -> GroupedData:
     """Groups of rows as separate tasks.
 
     Small blocks are long work, so their shuffle must not be coalesced by its bytes: the
-    number of partitions is given.
+    number of partitions is given; it follows the counted number of groups.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = min(groups, max(2 * cores, groups // 4), TASKS)
+    tasks = min(groups, max(2 * cores, groups // 4))
     return df.repartition(max(1, tasks), *keys).groupBy(*keys)
 
 

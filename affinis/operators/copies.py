@@ -19,13 +19,17 @@ def records(df: DataFrame, id: str, key: str | None, vec: str) -> DataFrame:
 
     The fingerprint is the SHA-256 of the vector's exact text, so copies meet on 32 bytes and
     the vectors themselves are neither compared nor shuffled a second time. Rows without a
-    vector have no score and take no part.
+    vector have no score and take no part; a missing or non-finite component is an error.
     """
+    whole = F.col(vec)
+    told = F.concat(F.lit("The vector of row "), F.col(id).cast("string"), F.lit(" has a component that is missing or not finite."))
+    broken = F.exists(whole, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    whole = F.when(broken, F.raise_error(told).cast(df.select(whole).schema[0].dataType)).otherwise(whole)
     digest = F.unhex(F.sha2(F.col(vec).cast("string").cast("binary"), 256))
     cols: list[Column] = [
         F.col(id).cast("long").alias(ID),
         F.col(key or id).cast("string").alias(KEY),
-        F.col(vec).alias(VEC),
+        whole.alias(VEC),
         digest.alias(PRINT),
     ]
     return df.where(F.col(vec).isNotNull()).select(*cols)

@@ -2,15 +2,16 @@
 
 An encoder is anything with ``encode(texts) -> (n, d) array``. A factory builds it once per
 Python worker. The hashing encoder is the built-in one: it needs no model file and is lexical,
-not semantic. A model package is used where it is installed.
+not semantic. Any other is brought by the caller, and its name goes with the vectors it makes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import as_text, joined_text, model_for
 from ..functions.vectors import mean_vector
-from ..settings import DEFAULT_BATCH_SIZE, DEFAULT_MODEL, VECTOR_PREFIX, find_model, same_dimension
+from ..settings import VECTOR_PREFIX, same_dimension
 from ..workspace import fill_cores, ship
 
 
@@ -32,7 +33,8 @@ class HashingEncoder:
     """Signed feature hashing of words or character n-grams (Weinberger et al. 2009), unit length.
 
     Each token adds +1 or -1 to one of ``dim`` buckets: the first 8 hex digits of its MD5 give
-    the bucket, the 9th the sign (below 8 is +1).
+    the bucket, the 9th the sign (below 8 is +1). The tokens of a whole batch are counted at
+    once; only a token that is new to the worker is hashed.
     """
 
     def __init__(self, dim: int, ngram: int | None = None):
@@ -40,31 +42,33 @@ class HashingEncoder:
         self.ngram = ngram
         self._codes = _TokenCodes(dim)
 
-    def _tokens(self, text: str) -> Iterable[str]:
+    def _tokens(self, text: str) -> list[str]:
         text, n = text.lower(), self.ngram
         if n is None:
-            return filter(None, text.split(" "))
-        return [text[i : i + n] for i in range(max(1, len(text) - n + 1))] if text else []
+            return text.split(" ")
+        return [text[i : i + n] for i in range(max(1, len(text) - n + 1))]
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        code = self._codes.__getitem__
-        for row, text in zip(out, texts, strict=True):
-            codes = list(map(code, self._tokens(text)))
-            if codes:
-                plus_minus = np.bincount(codes, minlength=2 * self.dim).reshape(self.dim, 2)
-                row[:] = plus_minus[:, 0] - plus_minus[:, 1]
-        length = np.linalg.norm(out, axis=1, keepdims=True)
+        tokens = list(map(self._tokens, texts))
+        sizes = np.fromiter(map(len, tokens), np.int64, len(texts))
+        flat = chain.from_iterable(tokens)
+        codes = np.fromiter(map(self._codes.__getitem__, flat), np.int64, int(sizes.sum()))
+        row = np.repeat(np.arange(len(texts)), sizes)
+        row, codes = row[codes >= 0], codes[codes >= 0]
+        counts = np.bincount(row * (2 * self.dim) + codes, minlength=2 * self.dim * len(texts))
+        plus_minus = counts.reshape(len(texts), self.dim, 2)
+        out = (plus_minus[:, :, 0] - plus_minus[:, :, 1]).astype(np.float64)
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return (out / np.where(length == 0, 1.0, length)).astype(np.float32)
 
 
 class _TokenCodes(dict):
-    """Token -> 2 * bucket + (1 for minus). Words repeat, so most are hashed once per worker."""
+    """Token -> 2 * bucket + (1 for minus), -1 for the empty one. Most are hashed once per worker."""
 
     REMEMBERED = 200_000
 
     def __init__(self, dim: int):
-        super().__init__()
+        super().__init__({"": -1})
         self.dim = dim
 
     def __missing__(self, token: str) -> int:
@@ -84,28 +88,12 @@ class EncoderSpec:
     name: str
 
 
-def hashing(dim: int = 384, ngram: int | None = None) -> EncoderSpec:
-    return EncoderSpec(partial(HashingEncoder, dim, ngram), dim, f"hashing-{dim}")
-
-
-class _ModelEncoder:
-    def __init__(self, model_id: str):
-        from sentence_transformers import SentenceTransformer
-
-        self._model = SentenceTransformer(model_id, device="cpu")
-
-    def encode(self, texts: list[str]) -> np.ndarray:
-        return self._model.encode(texts, batch_size=DEFAULT_BATCH_SIZE, show_progress_bar=False)
+Encoders = EncoderSpec | Callable[[str], EncoderSpec]  # one for all, or the one of a registered model
 
 
-def encoder_for(model: str = DEFAULT_MODEL) -> EncoderSpec:
-    """Encoder of a registered model; the hashing encoder of its size where no package is."""
-    record = find_model(model)
-    try:
-        import sentence_transformers  # noqa: F401
-    except ImportError:
-        return hashing(record.dim)
-    return EncoderSpec(partial(_ModelEncoder, record.id), record.dim, record.id)
+def hashing(dim: int = 384, ngram: int | None = None) -> EncoderSpec:
+    kind = "words" if ngram is None else f"{ngram}-grams"
+    return EncoderSpec(partial(HashingEncoder, dim, ngram), dim, f"hashing-{kind}-{dim}")
 
 
 def encoded(text: Column, encoder: EncoderSpec) -> Column:
@@ -163,16 +151,19 @@ def embed_and_combine(
     df: DataFrame,
     columns: list[str],
     name: str,
+    encoder: Encoders,
     model: str | None = None,
-    encoder: EncoderSpec | None = None,
 ) -> DataFrame:
-    """Embed each column with its model and average the vectors into ``name``."""
+    """Embed each column and average the vectors into ``name``.
+
+    With a function as ``encoder`` each column gets the encoder of its model, which its name
+    routes it to unless ``model`` is given.
+    """
     ship(df.sparkSession)
-    if encoder is None:
-        models = column_models(columns, model)
-        encoders = {c: encoder_for(m) for c, m in models.items()}
-    else:
+    if isinstance(encoder, EncoderSpec):
         encoders = dict.fromkeys(columns, encoder)
+    else:
+        encoders = {c: encoder(m) for c, m in column_models(columns, model).items()}
     parts = [f"{VECTOR_PREFIX}{c}" for c in columns]
     wide = fill_cores(df)
     for c, part in zip(columns, parts, strict=True):

@@ -29,9 +29,16 @@ class Matches:
     threshold: float
     decimals: int
     groups: DataFrame
+    # Where keys repeat: one row per pair of keys, of its first pair of rows, and groups of keys.
+    keyed: DataFrame | None = None
 
     def pairs(self) -> DataFrame:
-        """Every matching pair of rows with positions: _i, _i_key, _j, _j_key, similarity, group_id."""
+        """Every matching pair with positions: _i, _i_key, _j, _j_key, similarity, group_id.
+
+        A pair of keys appears once, as its first pair of rows.
+        """
+        if self.keyed is not None:
+            return self.keyed
         by_first = self.groups.withColumnRenamed(REP, "_a")
         grouped = attach(self.near.pairs, by_first, ["_a"], how="inner")
         same = matching_copies(self.near).join(self.groups, REP)
@@ -66,7 +73,24 @@ class Matches:
         )
 
     def rows(self) -> DataFrame:
-        """Matched rows: _id, _key, group_id, match_count, best_score."""
+        """Matched rows: _id, _key, group_id, match_count, best_score; where keys repeat, matched keys."""
+        if self.keyed is not None:
+            ends = self.keyed.select(
+                "similarity",
+                "group_id",
+                F.explode(
+                    F.array(
+                        F.struct(F.col("_i").alias(ID), F.col("_i_key").alias(KEY)),
+                        F.struct(F.col("_j").alias(ID), F.col("_j_key").alias(KEY)),
+                    )
+                ).alias("_end"),
+            ).select("_end.*", "similarity", "group_id")
+            return ends.groupBy(KEY).agg(
+                F.min(ID).alias(ID),
+                F.min("group_id").alias("group_id"),
+                F.count(F.lit(1)).alias("match_count"),
+                F.max("similarity").alias("best_score"),
+            )
         facts = self._facts().join(self.groups, REP)
         if not self.near.has_copies:
             named = self.near.distinct.select(REP, KEY)
@@ -78,6 +102,10 @@ class Matches:
 
     def summary(self) -> DataFrame:
         """One row: total_pairs and dedup_groups, counted without building the pairs."""
+        if self.keyed is not None:
+            return self.keyed.agg(
+                F.count(F.lit(1)).alias("total_pairs"), F.coalesce(F.max("group_id"), F.lit(0)).alias("dedup_groups")
+            )
         counted = self._facts().join(self.near.distinct.select(REP, "_copies"), REP)
         # Every pair is counted at both of its rows.
         ends = F.coalesce(F.sum(F.col("match_count") * F.col("_copies")), F.lit(0))
@@ -101,16 +129,21 @@ def match(
     key: str | None = None,
     threshold: float = DEFAULT_MATCH_THRESHOLD,
     decimals: int = DEFAULT_DECIMALS,
-    list_pairs: bool = True,
+    list_pairs: bool = False,
     rows_per_block: int | None = None,
 ) -> Matches:
     """Rows whose unrounded cosine reaches ``threshold``, and the groups they form.
 
-    Groups are transitive and numbered 1, 2, ... by the lowest id of any member. Keys must be
-    unique (see ``first_per_key``). With ``list_pairs=False`` the pairs are never listed, unless
-    they are asked for later: enough for groups, counts and best scores.
+    Groups are transitive and numbered 1, 2, ... by the lowest id of any member. With
+    ``list_pairs=False`` the pairs are never listed, unless they are asked for later: enough for
+    groups, counts and best scores.
+
+    Where several rows have one key, matches are between keys: a pair of keys counts once, by its
+    first pair of rows, and groups are groups of keys, numbered by their first pair.
     """
     near = near_pairs(df, id, vec, key, "cosine", threshold, rows_per_block)
+    if key is not None and key != id and _repeat(near.rows.select(KEY)):
+        return _between_keys(near, threshold, decimals)
     if list_pairs:
         near.pairs  # noqa: B018  listed once, and the groups follow from the list
     rooted = components(near.edges())
@@ -125,10 +158,37 @@ def match(
     return Matches(near, threshold, decimals, written(groups, "groups"))
 
 
+def _repeat(keys: DataFrame) -> bool:
+    """Whether a key has several rows; counted on the map side, so a hot key is no burden."""
+    return not keys.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
+def _between_keys(near: Near, threshold: float, decimals: int) -> Matches:
+    """Matches of a table whose keys repeat. Keys are nodes, known by their lowest id."""
+    whole = row_pairs(near)
+    low, high = F.least("_i_key", "_j_key"), F.greatest("_i_key", "_j_key")
+    first = F.min(F.struct("_i", "_j", "_i_key", "_j_key", "_good"))
+    pairs = written(whole.groupBy(low.alias("_l"), high.alias("_h")).agg(first.alias("_p")).select("_p.*"), "key-pairs")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("_i_key").alias(KEY), F.col("_i").alias(ID)),
+                                          F.struct(F.col("_j_key").alias(KEY), F.col("_j").alias(ID)))).alias("_e")).select("_e.*")
+    nodes = written(ends.groupBy(KEY).agg(F.min(ID).alias("_node")), "keys")
+    edges = attach(pairs.select("_i_key", "_j_key"), nodes.select(F.col(KEY).alias("_i_key"), F.col("_node").alias("_a")), ["_i_key"], "inner")
+    edges = attach(edges, nodes.select(F.col(KEY).alias("_j_key"), F.col("_node").alias("_b")), ["_j_key"], "inner")
+    found = components(edges.select("_a", "_b")).select(F.col("node").alias("_node"), "root")
+    rooted = nodes.join(found, "_node", "left").select(KEY, F.coalesce("root", "_node").alias("root"))
+    grouped = written(attach(pairs, rooted.withColumnRenamed(KEY, "_i_key"), ["_i_key"], "inner"), "key-groups")
+    starts = grouped.groupBy("root").agg(F.min(F.struct("_i", "_j")).alias("_s")).select("root", "_s.*")
+    order = numbered(starts, ["_i", "_j"], "group_id").select("root", F.col("group_id").cast("long").alias("group_id"))
+    named = attach(grouped, order, ["root"], "inner").withColumn("similarity", F.round("_good", decimals))
+    keyed = written(named.select("_i", "_i_key", "_j", "_j_key", "similarity", "group_id"), "key-matches")
+    return Matches(near, threshold, decimals, grouped.select("root"), keyed)
+
+
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of every key; combines on the map side, so a hot key is no burden."""
+    """The first row of every key, rows without an order last; combines on the map side."""
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.groupBy(F.col(key).cast("string").alias("_k")).agg(F.min_by(whole, order).alias("_r")).select("_r.*")
+    place = F.struct(F.col(f"`{order}`").isNull(), F.col(f"`{order}`"))
+    return df.groupBy(F.col(f"`{key}`").cast("string").alias("_k")).agg(F.min_by(whole, place).alias("_r")).select("_r.*")
 
 
 def annotated(

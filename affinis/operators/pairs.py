@@ -256,6 +256,7 @@ def near_pairs(
     hosts = placed.rows.select(BLOCK, *cols)
     if placed.blocks == 1:
         met = hosts.withColumn("_group", F.lit(0)).withColumn("_visits", F.lit(False))
+        tasks = 1
     else:
         vector = distinct.schema[VEC].dataType.simpleString()
         reached = fill_cores(hosts).mapInArrow(
@@ -264,9 +265,11 @@ def near_pairs(
         )
         going = reached.where(F.size("_targets") > 0)
         # Written once: the visits are counted before they are shuffled.
-        visits = written(going, "visits").select(*cols, F.explode("_targets").alias(BLOCK))
+        going, load = written_and_measured(going, "visits", F.sum(F.size("_targets")).alias("visits"))
+        visits = going.select(*cols, F.explode("_targets").alias(BLOCK))
         met = meetings(placed, visits, cols, cols, alone=True)
-    return Near(rows, distinct, met, placed.meetings, metric, floor, facts["copies"] or 0)
+        tasks = placed.groups(load["visits"] or 0)
+    return Near(rows, distinct, met, tasks, metric, floor, facts["copies"] or 0)
 
 
 def own_goodness(metric: str):
@@ -276,7 +279,7 @@ def own_goodness(metric: str):
     if metric == "cosine":
         return F.when(V.norm(VEC) == 0, F.lit(0.0)).otherwise(F.lit(1.0))
     if metric == "dot":
-        return V.settled(V.dot(VEC, VEC))
+        return V.dot(VEC, VEC)
     return F.lit(0.0)
 
 

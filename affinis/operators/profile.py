@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,25 +50,26 @@ def _as_bytes(field: T.StructField) -> Column:
     return F.when(F.octet_length(raw) > 32, digest).otherwise(raw)
 
 
-def _value_counts(df: DataFrame) -> DataFrame:
-    """index, unique_count, total_count, null_count of every column, in one pass.
-
-    Columns are turned into (column, value) rows; equal values combine on the map side, so a
-    frequent value costs one row per partition however often it occurs.
-    """
+def _cells(df: DataFrame, table: str) -> DataFrame:
+    """One (table, column, value) row for every cell."""
     cells = []
     for i, f in enumerate(df.schema.fields):
         fixed = _fits_in_64_bits(f)
         number = _as_long(f) if fixed else F.lit(None).cast("long")
         text = F.lit(None).cast("binary") if fixed else _as_bytes(f)
         cells.append(F.struct(F.lit(i + 1).alias("index"), number.alias("v"), text.alias("b")))
-    per_value = (
-        df.select(F.explode(F.array(*cells)).alias("c"))
-        .groupBy("c.index", "c.v", "c.b")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return df.select(F.lit(table).alias("table_name"), F.explode(F.array(*cells)).alias("c")).select("table_name", "c.*")
+
+
+def _value_counts(cells: DataFrame) -> DataFrame:
+    """table_name, index, unique_count, total_count, null_count of every column, in one pass.
+
+    Equal values combine on the map side, so a frequent value costs one row per partition
+    however often it occurs.
+    """
+    per_value = cells.groupBy("table_name", "index", "v", "b").agg(F.count(F.lit(1)).alias("n"))
     missing = F.col("v").isNull() & F.col("b").isNull()
-    return per_value.groupBy("index").agg(
+    return per_value.groupBy("table_name", "index").agg(
         F.count_if(~missing).alias("unique_count"),
         F.sum("n").alias("total_count"),
         F.sum(F.when(missing, F.col("n")).otherwise(0)).alias("null_count"),
@@ -85,53 +88,77 @@ PROFILE = (
 )
 
 
-def profile(df: DataFrame, order: str) -> DataFrame:
-    """One row per column: name, index, dtype, counts, likely key, likely text, model.
+Order = str | list[str]  # columns that are unique together
+
+
+def profile(df: DataFrame, order: Order) -> DataFrame:
+    """One row per column: name, index, dtype, counts, likely key, likely text, model."""
+    return profiles({"": (df, order)}).drop("table_name")
 
-    One pass counts everything, another looks at the lengths of the first values of each
-    non-numeric column in the unique ``order``. Both return a row per column or less than a
-    hundred rows, and the result is a local table.
+
+def profiles(tables: dict[str, tuple[DataFrame, Order]]) -> DataFrame:
+    """``profile`` of several tables at once, with their ``table_name``.
+
+    One job counts the values of all columns of all tables, a second looks at the lengths of the
+    first values of every non-numeric column, and a third serves all columns with gaps there. They
+    return a row per column or less than a hundred rows per table, and the result is a local table.
     """
-    counts = {r["index"]: r for r in _value_counts(df).collect()}
-    lengths = _mean_lengths(df, order)
+    cells = reduce(DataFrame.unionByName, [_cells(df, name) for name, (df, _) in tables.items()])
+    counts = {(r["table_name"], r["index"]): r for r in _value_counts(cells).collect()}
+    lengths = _mean_lengths(tables)
     rows = []
-    for i, f in enumerate(df.schema.fields, 1):
-        seen = counts.get(i)
-        unique, total, missing = seen[1:4] if seen else (0, 0, 0)
-        if isinstance(f.dataType, _NUMERIC):
-            dtype = "numeric"
-        elif missing == total:
-            dtype = "mixed"
-        elif lengths[i] <= TEXT_LENGTH and unique < total * CATEGORY_SHARE:
-            dtype = "category"
-        else:
-            dtype = "text"
-        is_key, is_text = unique == total and not missing, dtype in ("text", "category")
-        rows.append((f.name, i, dtype, unique, total, missing, is_key, is_text, model_for(f.name)))
-    return few_rows(df.sparkSession, rows, PROFILE)
-
-
-def _mean_lengths(df: DataFrame, order: str) -> dict[int, float]:
-    """Mean text length of the first non-null values per non-numeric column.
-
-    The first rows answer for every column that is complete in them, from one pass over
-    lengths; a column with gaps there gets a pass of its own.
+    for name, (df, _) in tables.items():
+        for i, f in enumerate(df.schema.fields, 1):
+            seen = counts.get((name, i))
+            unique, total, missing = seen[2:5] if seen else (0, 0, 0)
+            if isinstance(f.dataType, _NUMERIC):
+                dtype = "numeric"
+            elif missing == total:
+                dtype = "mixed"
+            elif lengths[name, i] <= TEXT_LENGTH and unique < total * CATEGORY_SHARE:
+                dtype = "category"
+            else:
+                dtype = "text"
+            is_key, is_text = unique == total and not missing, dtype in ("text", "category")
+            rows.append((name, f.name, i, dtype, unique, total, missing, is_key, is_text, model_for(f.name)))
+    spark = next(iter(tables.values()))[0].sparkSession
+    return few_rows(spark, rows, f"table_name string, {PROFILE}")
+
+
+def _mean_lengths(tables: dict[str, tuple[DataFrame, Order]]) -> dict[tuple[str, int], float]:
+    """Mean text length of the first non-null values per table and non-numeric column.
+
+    The first rows of a table answer for every column that is complete in them. Columns with gaps
+    there are ranked together, each by itself; the rank limit holds before the shuffle too.
     """
-    texts = {i + 1: f for i, f in enumerate(df.schema.fields) if not isinstance(f.dataType, _NUMERIC)}
-    if not texts:
+    wide: dict[str, DataFrame] = {}
+    for name, (df, order) in tables.items():
+        texts = {i + 1: f for i, f in enumerate(df.schema.fields) if not isinstance(f.dataType, _NUMERIC)}
+        if not texts:
+            continue
+        place = F.struct(*[F.col(f"`{c}`") for c in ([order] if isinstance(order, str) else order)])
+        lengths = [F.struct(F.lit(i).alias("i"), F.length(_text(f)).alias("n")) for i, f in texts.items()]
+        wide[name] = df.select(place.alias("_o"), F.array(*lengths).alias("_n"))
+    if not wide:
         return {}
-    lengths = df.select(
-        F.col(f"`{order}`").alias("_o"), *[F.length(_text(f)).alias(f"n{i}") for i, f in texts.items()]
-    )
-    head = lengths.orderBy("_o").limit(SAMPLE_ROWS).collect()
-    means: dict[int, float] = {}
-    for i in texts:
-        seen = [r[f"n{i}"] for r in head if r[f"n{i}"] is not None]
-        if len(seen) < len(head):
-            own = lengths.select("_o", f"n{i}").where(F.col(f"n{i}").isNotNull())
-            seen = [r[1] for r in own.orderBy("_o").limit(SAMPLE_ROWS).collect()]
-        if seen:
-            means[i] = sum(seen) / len(seen)
+    heads = [
+        w.orderBy("_o").limit(SAMPLE_ROWS).select(F.lit(name).alias("table_name"), F.inline("_n")) for name, w in wide.items()
+    ]
+    first: dict[tuple[str, int], list[int | None]] = {}
+    for r in reduce(DataFrame.unionByName, heads).collect():
+        first.setdefault((r["table_name"], r["i"]), []).append(r["n"])
+    means = {c: sum(seen) / len(seen) for c, seen in first.items() if None not in seen}
+    gaps = sorted(set(first) - set(means))
+    if not gaps:
+        return means
+    best = Window.partitionBy("i").orderBy("_o")
+    parts = []
+    for name in dict.fromkeys(t for t, _ in gaps):
+        wanted = [i for t, i in gaps if t == name]
+        cells = wide[name].select("_o", F.inline("_n")).where(F.col("i").isin(wanted) & F.col("n").isNotNull())
+        ranked = cells.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= SAMPLE_ROWS)
+        parts.append(ranked.groupBy("i").agg(F.avg("n").alias("mean")).select(F.lit(name).alias("table_name"), "i", "mean"))
+    means |= {(r["table_name"], r["i"]): r["mean"] for r in reduce(DataFrame.unionByName, parts).collect()}
     return means
 
 

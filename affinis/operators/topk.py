@@ -263,12 +263,12 @@ def _candidates(
     own = F.inline("_cands")
     if placed.blocks == 1:
         return seeds.select(REP, KEY, own)
-    seeds = written(seeds, "seeds")
+    seeds, load = written_and_measured(seeds, "seeds", F.sum(F.size("_targets")).alias("visits"))
     visits = seeds.select(REP, KEY, VEC, "_floor", F.explode("_targets").alias(BLOCK))
     met = meetings(
         placed, visits, [REP, KEY, VEC, "_ids", "_keys"], [REP, KEY, VEC, "_floor"], alone=False
     )
-    far = by_group(met, [BLOCK, "_group"], placed.meetings).applyInArrow(
+    far = by_group(met, [BLOCK, "_group"], placed.groups(load["visits"] or 0)).applyInArrow(
         _visit(metric, keep), CANDIDATE
     )
     return seeds.select(REP, KEY, own).unionByName(far)
@@ -357,6 +357,7 @@ def nearest(
     asking, facts = written_and_measured(
         distinct_vectors(asked),
         "queries",
+        F.count(F.lit(1)).alias("asked"),
         F.min(size).alias("low"),
         F.max(size).alias("high"),
         F.max("_copies").alias("copies"),
@@ -369,20 +370,20 @@ def nearest(
     host_cols, guest_cols = [REP, KEY, VEC, "_ids", "_keys"], [REP, KEY, VEC, "_floor"]
     nothing = F.lit(float("-inf"))
 
-    def scored(visits: DataFrame) -> DataFrame:
+    def scored(visits: DataFrame, count: int) -> DataFrame:
         met = meetings(placed, visits, host_cols, guest_cols, alone=False)
-        return by_group(met, [BLOCK, "_group"], placed.meetings).applyInArrow(
+        return by_group(met, [BLOCK, "_group"], placed.groups(count)).applyInArrow(
             _visit(metric, top_k), CANDIDATE
         )
 
     entering = asking.select(REP, KEY, VEC, nothing.alias("_floor"))
     if placed.blocks == 1:
-        found = scored(entering.withColumn(BLOCK, F.lit(0)))
+        found = scored(entering.withColumn(BLOCK, F.lit(0)), facts["asked"])
     else:
         vector = _vector_schema(asking)
         state = f"{REP} long, {KEY} string, {VEC} {vector}, _floor double"
         entered = written(entering.mapInArrow(_first_block(placed.layout), f"{state}, {BLOCK} int"), "entered")
-        near = written(scored(entered), "near")
+        near = written(scored(entered, facts["asked"]), "near")
         full = F.when(F.count(F.lit(1)) >= top_k, F.min("_good")).otherwise(nothing)
         floors = near.groupBy(REP).agg(full.alias("_best"))
         informed = entered.join(floors, REP, "left").select(
@@ -391,8 +392,9 @@ def nearest(
         onward = informed.mapInArrow(
             _onward(placed.layout, probes), f"{state}, _targets array<int>"
         ).where(F.size("_targets") > 0)
-        visits = written(onward, "onward").select(*guest_cols, F.explode("_targets").alias(BLOCK))
-        found = near.unionByName(scored(visits))
+        onward, load = written_and_measured(onward, "onward", F.sum(F.size("_targets")).alias("visits"))
+        visits = onward.select(*guest_cols, F.explode("_targets").alias(BLOCK))
+        found = near.unionByName(scored(visits, load["visits"] or 0))
     ranked = _ranked(found, top_k)
     if (facts["copies"] or 0) > 1:
         entry = F.struct("rank", "_cand_key", "_good")

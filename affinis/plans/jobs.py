@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.encode import EncoderSpec, embed_and_combine, embed_columns, encoder_for
+from ..operators.encode import Encoders, EncoderSpec, embed_and_combine, embed_columns
 from ..operators.keys import with_composite_key
 from ..operators.matching import Matches, annotated, match
 from ..operators.numbering import numbered
@@ -21,7 +21,6 @@ from ..settings import (
     DEFAULT_METRIC,
     DEFAULT_TOP_K,
     ROW_ID,
-    find_model,
 )
 from ..sources.tables import require_columns, vector_column
 from ..sources.vector_table import VectorTable
@@ -60,11 +59,12 @@ def nearest_rows(
     key: str | None = None,
     embed: list[str] | None = None,
     model: str | None = None,
-    encoder: EncoderSpec | None = None,
     metric: str = DEFAULT_METRIC,
     top_k: int = DEFAULT_TOP_K,
     decimals: int = DEFAULT_DECIMALS,
     threshold: float | None = None,
+    *,
+    encoder: Encoders,
 ) -> DataFrame:
     """Profile, pick a key, embed and combine the text columns, find the nearest rows.
 
@@ -73,7 +73,7 @@ def nearest_rows(
     """
     chosen = selection(df, order, key, embed)
     rows = with_row_ids(df, order, chosen)
-    combined = embed_and_combine(rows, chosen.embed, ROW_VECTOR, model, encoder)
+    combined = embed_and_combine(rows, chosen.embed, ROW_VECTOR, encoder, model)
     # Written once, so the encoder does not run again in a later stage.
     vectors = written(combined.select(ROW_ID, ROW_KEY, ROW_VECTOR), "vectors")
     return neighbours(
@@ -115,14 +115,13 @@ def composed(
     columns: list[str],
     strategy: str = "concatenate",
     separator: str = " ",
-    model: str | None = None,
     encoder: EncoderSpec | None = None,
 ) -> DataFrame:
-    """A composite key, embedded as well where a model or an encoder is given."""
+    """A composite key, embedded as well where an encoder is given."""
     keyed = with_composite_key(df, columns, strategy, separator)
-    if strategy != "concatenate" or (model is None and encoder is None):
+    if strategy != "concatenate" or encoder is None:
         return keyed
-    return embed_columns(keyed, [COMPOSITE_KEY], encoder or encoder_for(model))
+    return embed_columns(keyed, [COMPOSITE_KEY], encoder)
 
 
 def stored_table(
@@ -132,13 +131,11 @@ def stored_table(
     key: str,
     embed: list[str],
     order: str,
-    model: str,
-    encoder: EncoderSpec | None = None,
+    encoder: EncoderSpec,
 ) -> VectorTable:
-    """A new vector table filled from ``df``."""
+    """A new vector table filled from ``df``, tied to the encoder that makes its vectors."""
     require_columns(df, [key, *embed])
-    encoder = encoder or encoder_for(model)
-    table = VectorTable.create(spark, path, find_model(model).id, encoder.dim, key, embed)
+    table = VectorTable.create(spark, path, encoder.name, encoder.dim, key, embed)
     table.add(df, order, encoder)
     return table
 
@@ -157,14 +154,13 @@ def dedup_table(
     key: str,
     embed: list[str],
     order: str,
-    model: str = "mini",
-    encoder: EncoderSpec | None = None,
+    encoder: EncoderSpec,
     threshold: float = DEFAULT_MATCH_THRESHOLD,
     decimals: int = DEFAULT_DECIMALS,
     lists: bool = True,
 ) -> Deduplicated:
     """Store a table, match its rows and annotate it with the groups they form."""
-    table = stored_table(spark, df, path, key, embed, order, model, encoder)
+    table = stored_table(spark, df, path, key, embed, order, encoder)
     matches = table.match(threshold, decimals, list_pairs=lists)
     return Deduplicated(table, matches, annotated(df, key, matches, lists))
 
@@ -173,16 +169,16 @@ def preset_matches(
     df: DataFrame,
     preset: str,
     order: str,
-    encoder: EncoderSpec | None = None,
+    encoder: Encoders,
     threshold: float | None = None,
     decimals: int = DEFAULT_DECIMALS,
-    list_pairs: bool = True,
+    list_pairs: bool = False,
 ) -> Matches:
     """Matches of a table with a preset's columns, its text columns averaged per row."""
     chosen = find_preset(preset)
     require_columns(df, [chosen.key, *chosen.embed])
     rows = with_row_ids(df, order, Selection(chosen.key, list(chosen.embed)))
-    combined = embed_and_combine(rows, list(chosen.embed), ROW_VECTOR, chosen.model, encoder)
+    combined = embed_and_combine(rows, list(chosen.embed), ROW_VECTOR, encoder, chosen.model)
     vectors = written(combined.select(ROW_ID, ROW_KEY, ROW_VECTOR), "vectors")
     bound = chosen.threshold if threshold is None else threshold
     return match(vectors, ROW_ID, ROW_VECTOR, ROW_KEY, bound, decimals, list_pairs)

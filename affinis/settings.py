@@ -9,43 +9,30 @@ DEFAULT_MODEL = "mini"
 DEFAULT_METRIC = "cosine"
 DEFAULT_TOP_K = 10
 DEFAULT_DECIMALS = 2
-DEFAULT_BATCH_SIZE = 64
 DEFAULT_MATCH_THRESHOLD = 0.90
 VECTOR_PREFIX = "_emb_"
 COMPOSITE_KEY = "_composite_key"
 ROW_ID = "_row_id"
 
-# Scores are settled to this many decimals before they are ordered or compared with a
-# threshold, so a result never depends on the summation order inside a block.
-SETTLED_DECIMALS = 9
-
 
 @dataclass(frozen=True)
 class Model:
     shortcut: str
     id: str
     dim: int
-    size_mb: int
-    best_for: str
 
 
-# Shortcut, public model id, vector size, download size in MB, use.
+# Shortcut, public model id, vector size.
 MODELS: dict[str, Model] = {
     m.shortcut: m
     for m in (
-        Model("mini", "all-MiniLM-L6-v2", 384, 80, "General text"),
-        Model("bge-large", "BAAI/bge-large-en-v1.5", 1024, 1300, "General text, production"),
-        Model("nomic", "nomic-ai/nomic-embed-text-v1.5", 768, 550, "Long documents"),
-        Model("gte", "Alibaba-NLP/gte-large-en-v1.5", 1024, 1300, "General text"),
-        Model("e5", "intfloat/e5-large-v2", 1024, 1300, "General text"),
-        Model("address", "pawan2411/address-emnet", 768, 420, "Addresses, locations"),
-        Model(
-            "entity",
-            "themelder/arctic-embed-xs-entity-resolution",
-            384,
-            90,
-            "Company names, entities",
-        ),
+        Model("mini", "all-MiniLM-L6-v2", 384),
+        Model("bge-large", "BAAI/bge-large-en-v1.5", 1024),
+        Model("nomic", "nomic-ai/nomic-embed-text-v1.5", 768),
+        Model("gte", "Alibaba-NLP/gte-large-en-v1.5", 1024),
+        Model("e5", "intfloat/e5-large-v2", 1024),
+        Model("address", "pawan2411/address-emnet", 768),
+        Model("entity", "themelder/arctic-embed-xs-entity-resolution", 384),
     )
 }
 

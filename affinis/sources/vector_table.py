@@ -14,12 +14,12 @@ from pyspark.sql import types as T
 from ..functions import blocks as B
 from ..functions import vectors as V
 from ..functions.text import joined_text
-from ..operators.encode import EncoderSpec, encoded, encoder_for
+from ..operators.encode import EncoderSpec, encoded
 from ..operators.matching import Matches, annotated, first_per_key, match
 from ..operators.numbering import numbered_and_counted
 from ..operators.topk import nearest
 from ..settings import DEFAULT_DECIMALS, DEFAULT_MATCH_THRESHOLD, DEFAULT_TOP_K
-from ..workspace import BROADCAST_ROWS, few_rows, fill_cores, ship
+from ..workspace import BROADCAST_BYTES, BROADCAST_ROWS, few_rows, fill_cores, ship, written_and_measured
 from .tables import require_columns
 from .vector_index import ROWS_PER_CELL, VectorIndex, build, load
 
@@ -101,43 +101,58 @@ class VectorTable:
         return self.rows.count()
 
     def insert(self, df: DataFrame, vector: str, order: str) -> int:
-        """Append rows that carry their vector, in ``order``; returns how many.
+        """Append the rows whose key is new, with the vector they carry; returns how many.
 
-        ``order`` must be unique. The row itself is kept as JSON, without the vector.
+        Of several rows with one key the first by ``order`` is kept, as in ``add``. The row itself
+        is kept as JSON, without the vector.
         """
         payload = [c for c in df.columns if c != vector]
-        fresh, count = self._numbered(df, order)
+        fresh, count = self._numbered(self._unseen(df, order), order)
         self._append(fresh, payload, F.col(f"`{vector}`"))
         return count
 
-    def add(self, df: DataFrame, order: str, encoder: EncoderSpec | None = None) -> Added:
+    def add(self, df: DataFrame, order: str, encoder: EncoderSpec) -> Added:
         """Append the rows whose key is new; only these are encoded.
 
-        Of several rows with one key the first by ``order`` is kept.
+        Of several rows with one key the first by ``order`` is kept. A missing key is a key like
+        any other: one row may have it.
         """
-        encoder = encoder or encoder_for(self.model_id)
-        if encoder.dim != self.dimensions:
-            raise ValueError(f"The encoder gives {encoder.dim} dimensions, the table holds {self.dimensions}.")
+        self._require(encoder)
         require_columns(df, [self.key_column, *self.embed_columns])
         ship(self.spark)
-        unseen = self._unseen(first_per_key(df, self.key_column, order), df.count())
-        fresh, count = self._numbered(unseen, order)
+        fresh, count = self._numbered(self._unseen(df, order), order)
         texts = joined_text([F.col(f"`{c}`") for c in self.embed_columns])
         if count:
             self._append(fill_cores(fresh), df.columns, encoded(texts, encoder))
         return Added(count, df)
 
-    def _unseen(self, df: DataFrame, at_most: int) -> DataFrame:
-        """Rows whose key is not stored yet; ``at_most`` bounds their number.
+    def _require(self, encoder: EncoderSpec) -> None:
+        """Vectors of different encoders cannot be compared, even where their sizes agree."""
+        if encoder.dim != self.dimensions:
+            raise ValueError(f"The encoder gives {encoder.dim} dimensions, the table holds {self.dimensions}.")
+        if encoder.name != self.model_id:
+            raise ValueError(f"The table holds vectors of {self.model_id!r}, not of {encoder.name!r}.")
+
+    def _unseen(self, df: DataFrame, order: str) -> DataFrame:
+        """The first row of every key that is not stored yet.
 
-        The keys of a small batch go to the stored keys, which are then only read; otherwise
-        both sides are shuffled.
+        The batch is read once: its first rows are written, with their number and the size of
+        their keys. A small batch sends its keys to the stored ones, which are then only read;
+        otherwise both sides are shuffled.
         """
-        keyed = df.withColumn("_k", F.col(f"`{self.key_column}`").cast("string"))
-        stored = self.rows.select(F.col("key").alias("_k"))
-        if at_most <= BROADCAST_ROWS:
-            stored = stored.join(F.broadcast(keyed.select("_k")), "_k", "left_semi")
-        return keyed.join(stored, "_k", "left_anti").drop("_k")
+        key = F.col(f"`{self.key_column}`").cast("string")
+        first, facts = written_and_measured(
+            first_per_key(df, self.key_column, order),
+            "batch",
+            F.count(F.lit(1)).alias("rows"),
+            F.sum(F.octet_length(key)).alias("bytes"),
+        )
+        keyed = first.withColumn("_k", key)
+        stored = self.rows.select(F.col("key").alias("_s"))
+        asked = keyed.select(F.col("_k").alias("_a"))
+        if facts["rows"] <= BROADCAST_ROWS and (facts["bytes"] or 0) <= BROADCAST_BYTES:
+            stored = stored.join(F.broadcast(asked), F.col("_s").eqNullSafe(F.col("_a")), "left_semi")
+        return keyed.join(stored, F.col("_k").eqNullSafe(F.col("_s")), "left_anti").drop("_k")
 
     def _numbered(self, df: DataFrame, order: str) -> tuple[DataFrame, int]:
         last = self.rows.agg(F.max("pos")).first()[0]
@@ -200,7 +215,7 @@ class VectorTable:
     @staticmethod
     def _closest(rows: DataFrame, vector: list[float], top_k: int) -> DataFrame:
         asked = F.array(*[F.lit(float(x)) for x in vector])
-        score = V.settled(V.cosine_or_zero("embedding", asked))
+        score = V.cosine_or_zero("embedding", asked)
         scored = rows.select("pos", "key", "row_data", score.alias("_s"))
         return scored.orderBy(F.desc("_s"), "pos").limit(top_k)
 
@@ -209,11 +224,12 @@ class VectorTable:
         text: str,
         top_k: int = DEFAULT_TOP_K,
         decimals: int = DEFAULT_DECIMALS,
-        encoder: EncoderSpec | None = None,
         probes: int | None = None,
+        *,
+        encoder: EncoderSpec,
     ) -> DataFrame:
-        """The stored rows closest to a text, encoded with the table's model."""
-        encoder = encoder or encoder_for(self.model_id)
+        """The stored rows closest to a text; the encoder is the one that made the table's vectors."""
+        self._require(encoder)
         vector = encoder.factory().encode([text])[0]
         return self.query([float(x) for x in vector], top_k, decimals, probes)
 
@@ -242,7 +258,7 @@ class VectorTable:
         self,
         threshold: float = DEFAULT_MATCH_THRESHOLD,
         decimals: int = DEFAULT_DECIMALS,
-        list_pairs: bool = True,
+        list_pairs: bool = False,
     ) -> Matches:
         return match(self.rows, "pos", "embedding", "key", threshold, decimals, list_pairs)
 

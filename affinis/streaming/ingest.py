@@ -14,7 +14,7 @@ def add_stream(
     records: DataFrame,
     order: str,
     checkpoint: str,
-    encoder: EncoderSpec | None = None,
+    encoder: EncoderSpec,
 ) -> StreamingQuery:
     """Add every micro-batch to the table, by key.
 

@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 # A side is broadcast only up to this many narrow rows; beyond it a shuffle join is used.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20  # ... and only with this many bytes of variable length
 
 _shipped: set[str] = set()
 
@@ -115,7 +116,8 @@ def fill_cores(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
+    bytes_of = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    split = int(bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes")))
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(cores) if int(str(size)) < cores * split else df
 

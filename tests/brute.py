@@ -4,19 +4,22 @@ import numpy as np
 
 
 def score(metric, a, b):
-    a, b = np.asarray(a, float), np.asarray(b, float)
+    """Unrounded, with sums from left to right."""
+    a, b = list(map(float, a)), list(map(float, b))
     if metric == "cosine":
-        size = np.linalg.norm(a) * np.linalg.norm(b)
-        return 0.0 if size == 0 else float(a @ b / size)
+        a, b = ([x / (_total(y * y for y in v) ** 0.5 or 1.0) for x in v] for v in (a, b))
     if metric == "euclidean":
-        return float(np.linalg.norm(a - b))
+        return float(np.sqrt(_total((x - y) * (x - y) for x, y in zip(a, b, strict=True))))
     if metric == "manhattan":
-        return float(np.abs(a - b).sum())
-    return float(a @ b)
+        return _total(abs(x - y) for x, y in zip(a, b, strict=True))
+    return _total(x * y for x, y in zip(a, b, strict=True))
 
 
-def settled(metric, a, b):
-    return round(score(metric, a, b), 9)
+def _total(terms):
+    out = 0.0
+    for t in terms:  # the built-in sum compensates for rounding
+        out += t
+    return out
 
 
 def top_k(rows, metric, k):
@@ -24,7 +27,7 @@ def top_k(rows, metric, k):
     ascending = metric in ("euclidean", "manhattan")
     out = {}
     for i, a in rows:
-        scored = [(settled(metric, a, b), j) for j, b in rows if j != i]
+        scored = [(score(metric, a, b), j) for j, b in rows if j != i]
         scored.sort(key=lambda s: (s[0] if ascending else -s[0], s[1]))
         out[i] = [(j, s) for s, j in scored[:k]]
     return out
@@ -35,7 +38,7 @@ def pairs(rows, metric, bound):
     out = {}
     for x, (i, a) in enumerate(rows):
         for j, b in rows[x + 1 :]:
-            s = settled(metric, a, b)
+            s = score(metric, a, b)
             if (s <= bound) if ascending else (s >= bound):
                 out[min(i, j), max(i, j)] = s
     return out

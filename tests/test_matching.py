@@ -11,6 +11,8 @@ from affinis.operators.components import components
 from affinis.operators.lookup import attach, hot_keys
 from affinis.operators.matching import annotated, annotation_summary, first_per_key, match
 from affinis.operators.numbering import numbered
+from affinis.operators.pairs import similar_pairs
+from affinis.operators.topk import neighbours
 
 
 def edges(spark, pairs):
@@ -177,7 +179,55 @@ def test_hot_keys_take_the_broadcast_path(spark):
     assert sorted(map(tuple, split.select("k", "i", "w").collect()), key=str) == plain
 
 
+def test_matches_between_repeated_keys(spark):
+    rows = [(1, "A", [1.0, 0.0]), (2, "A", [1.0, 0.01]), (3, "B", [1.0, 0.02]), (4, "C", [0.0, 1.0]), (5, "D", [0.01, 1.0]), (6, "B", [0.5, 0.6])]
+    df = spark.createDataFrame(rows, "id long, k string, v array<double>")
+    found = match(df, "id", "v", "k", threshold=0.99, decimals=4)
+    got = [(r.query_key, r.match_key, r.group_id) for r in found.relation().collect()]
+    assert sorted(got) == [("A", "A", 1), ("A", "B", 1), ("C", "D", 2)]
+    total = found.summary().first()
+    assert (total["total_pairs"], total["dedup_groups"]) == (3, 2)
+    for lists in (True, False):
+        out = annotated(df.select("id", "k"), "k", found, lists=lists).collect()
+        assert len(out) == 6
+        assert {r["k"]: (r["_match_count"], r["_group_id"]) for r in out} == {"A": (3, 1), "B": (1, 1), "C": (1, 2), "D": (1, 2)}
+
+
+def test_scores_are_not_rounded_before_they_decide(spark):
+    tiny = [(1, [1e-6, 0.0]), (2, [0.0, 1e-6]), (3, [9e-6, 0.0])]
+    df = spark.createDataFrame(tiny, "id long, v array<double>")
+    best = {r.query_key: r.neighbor_key for r in neighbours(df, "id", "v", metric="dot", top_k=1, decimals=15).collect()}
+    assert best["1"] == "3"
+    angle = np.arccos(0.8999999996)
+    close = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float(np.cos(angle)), float(np.sin(angle))])], "id long, v array<double>")
+    assert match(close, "id", "v", threshold=0.9).relation().count() == 0
+    assert match(close, "id", "v", threshold=0.8999999995).relation().count() == 1
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "dot", "cosine", "manhattan"])
+def test_scores_do_not_depend_on_blocks(spark, metric):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=16) * 1e6).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    far = {"euclidean": 1e9, "manhattan": 1e9, "dot": -1e15, "cosine": -1.0}[metric]
+    near = {"euclidean": 4.5e6, "manhattan": 1.4e7, "dot": 1e13, "cosine": 0.4}[metric]
+    runs = [{(r.id_a, r.id_b): r.score for r in similar_pairs(df, "id", "v", metric, bound, rows_per_block=size).collect()}
+            for bound, size in ((far, 90), (far, 20), (near, 30))]
+    assert runs[0] == runs[1]
+    assert len(runs[2]) > 0 and all(runs[0][p] == s for p, s in runs[2].items())
+    assert runs[0] == brute_pairs(rows, metric, far)
+
+
+def test_components_that_are_not_numbers_are_an_error(spark):
+    for bad in (float("nan"), None, float("inf")):
+        df = spark.createDataFrame([(7, [1.0, bad]), (8, [1.0, 2.0])], "id long, v array<double>")
+        with pytest.raises(Exception, match="row 7"):
+            neighbours(df, "id", "v").collect()
+
+
 def test_first_per_key(spark):
+    odd = spark.createDataFrame([("a", None, "none"), ("a", 1, "first"), ("b", None, "only")], "k string, o long, t string")
+    assert {r.k: r.t for r in first_per_key(odd, "k", "o").collect()} == {"a": "first", "b": "only"}
     df = spark.createDataFrame([("a", 2, "late"), ("a", 1, "early"), ("b", 3, "only")], "k string, o long, t string")
     assert {r.k: r.t for r in first_per_key(df, "k", "o").collect()} == {"a": "early", "b": "only"}
 

@@ -10,7 +10,6 @@ from affinis.operators.encode import (
     column_models,
     embed_and_combine,
     embed_columns,
-    encoder_for,
     hashing,
 )
 from affinis.plans.jobs import (
@@ -62,7 +61,7 @@ def test_read_errors(spark, people, tmp_path):
 def test_column_contract(people):
     assert S.require_columns(people, []) == []
     assert S.require_columns(people, ["id"]) == ["id"]
-    with pytest.raises(ValueError, match=r"nane.*'name'.*Available"):
+    with pytest.raises(ValueError, match=r"lacks 'nane' .there is name.*It has"):
         S.require_columns(people, ["nane"])
 
 
@@ -127,9 +126,11 @@ def test_models_per_column(spark):
     with pytest.raises(ValueError, match="dimension"):
         column_models(["Company Name", "Address"])
     assert set(column_models(["Company Name", "Address"], "mini").values()) == {"mini"}
-    assert encoder_for("address").dim == 768
+    routed = {"entity": lengths(), "mini": hashing(2)}.__getitem__
+    two = spark.createDataFrame([("aa", "")], "Company string, Notes string")
+    assert embed_and_combine(two, ["Company", "Notes"], "v", routed).first()["v"] == [1.0, 1.0]
     df = spark.createDataFrame([("aa", "b")], "x string, y string")
-    assert embed_and_combine(df, ["x", "y"], "v", encoder=lengths()).first()["v"] == [1.5, 1.5]
+    assert embed_and_combine(df, ["x", "y"], "v", lengths()).first()["v"] == [1.5, 1.5]
 
 
 @pytest.fixture
@@ -189,7 +190,7 @@ def words(spark, rows):
 
 
 def test_store_add_is_by_key(spark, tmp_path):
-    table = VectorTable.create(spark, str(tmp_path / "s"), "all-MiniLM-L6-v2", 16, "k", ["t"])
+    table = VectorTable.create(spark, str(tmp_path / "s"), hashing(16).name, 16, "k", ["t"])
     first = table.add(words(spark, [("a", "red", 1), ("b", "blue", 2), ("a", "other", 3)]), "o", hashing(16))
     assert (first.added, first.skipped) == (2, 1)
     batch = words(spark, [("b", "changed", 1), ("c", "green", 2)])
@@ -200,10 +201,29 @@ def test_store_add_is_by_key(spark, tmp_path):
     assert table.query_text("green", top_k=1, encoder=hashing(16)).first().id == "c"
     with pytest.raises(ValueError, match="dimensions"):
         table.add(batch, "o", hashing(8))
+    # another encoder of equal size makes vectors of another kind
+    with pytest.raises(ValueError, match="holds vectors of"):
+        table.add(batch, "o", hashing(16, ngram=3))
+    with pytest.raises(ValueError, match="holds vectors of"):
+        VectorTable.open(spark, table.path).query_text("green", encoder=hashing(16, ngram=3))
+
+
+def test_a_batch_with_a_null_key_is_added_once(spark, tmp_path):
+    table = VectorTable.create(spark, str(tmp_path / "s"), hashing(16).name, 16, "k", ["t"])
+    batch = words(spark, [("a", "red", 1), (None, "blue", 2), (None, "late", 3)])
+    assert [table.add(batch, "o", hashing(16)).added for _ in range(3)] == [2, 0, 0]
+    assert {r.key for r in table.rows.collect()} == {"a", None}
+
+
+def test_insert_keeps_keys_unique(spark, store, stored_rows):
+    assert store.insert(stored_rows, "embedding", "n") == 0
+    twice = spark.createDataFrame([("9", "x", "y", [0.1] * 4), ("9", "z", "y", [0.2] * 4)], "ID string, Name string, Category string, embedding array<float>")
+    assert store.insert(twice, "embedding", "Name") == 1
+    assert store.count() == 4
 
 
 def test_stream_adds_each_key_once(spark, tmp_path):
-    table = VectorTable.create(spark, str(tmp_path / "s"), "all-MiniLM-L6-v2", 16, "k", ["t"])
+    table = VectorTable.create(spark, str(tmp_path / "s"), hashing(16).name, 16, "k", ["t"])
     source, checkpoint = str(tmp_path / "in"), str(tmp_path / "checkpoint")
     for rows in ([("a", "red", 1), ("b", "blue", 2)], [("b", "again", 3), ("c", "green", 4)]):
         words(spark, rows).write.mode("append").parquet(source)
@@ -266,10 +286,10 @@ def test_presets(spark):
         assert {preset.key, *preset.embed} <= set(preset.columns)
     with pytest.raises(ValueError, match="Unknown preset"):
         find_preset("none")
-    found = preset_matches(catalog(spark), "product-catalog", "n")
+    found = preset_matches(catalog(spark), "product-catalog", "n", hashing(384))
     assert {(r.query_key, r.match_key) for r in found.relation().collect()} >= {("P-1", "P-2")}
-    with pytest.raises(ValueError, match="Missing columns"):
-        preset_matches(catalog(spark), "vendor-dedup", "n")
+    with pytest.raises(ValueError, match="lacks"):
+        preset_matches(catalog(spark), "vendor-dedup", "n", hashing(384))
 
 
 def test_whole_texts_are_read(spark):
