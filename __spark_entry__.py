@@ -645,8 +645,8 @@ k as (
   select i, j, round(s, 4)::double as sim, x.label::varchar as ik, y.label::varchar as jk
   from s join embeddings x on x.vec_id = i join embeddings y on y.vec_id = j where s >= 0.4),
 f as (
-  select * from (select *, row_number() over (partition by least(ik, jk), greatest(ik, jk) order by i, j) as at from k)
-  where at = 1),
+  select * from (select *, row_number() over (partition by least(ik, jk), greatest(ik, jk) order by i, j) as nth from k)
+  where nth = 1),
 u as (select ik as x, jk as y from f union select jk, ik from f),
 reach as (select x, y from u union select r.x, u.y from reach r join u on r.y = u.x),
 root as (select x as k, least(x, min(y)) as root from reach group by x),

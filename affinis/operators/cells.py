@@ -95,7 +95,7 @@ def place(
     size = rows_per_block or block_rows(count, dim, spark.sparkContext.defaultParallelism)
     wanted = max(1, -(-count // size))
     most = max(1, min(CELLS, CENTRE_BYTES // (8 * max(1, dim))))
-    centres = _centres(distinct, min(wanted, most), metric) if wanted > 1 else None
+    centres = _centres(distinct, count, min(wanted, most), metric) if wanted > 1 else None
     if centres is None:
         only = spark.sparkContext.broadcast(
             Layout(metric, np.zeros((1, dim)), np.array([np.inf]), np.array([1]))
@@ -151,9 +151,20 @@ def with_cells(df: DataFrame, vec: str, centres: np.ndarray, metric: str) -> Dat
     return df.mapInArrow(assign, T.StructType([*df.schema.fields, *added]))
 
 
-def _centres(distinct: DataFrame, cells: int, metric: str) -> np.ndarray:
-    """A pseudo-random choice of the vectors, the same on every run."""
-    picked = distinct.select(PRINT, VEC).orderBy(PRINT).limit(cells).collect()
+def centre_share(cells: int, count: int) -> float:
+    """The share of the rows to choose centres from: about twice as many as are wanted."""
+    return min(1.0, (2 * cells + 64) / max(1, count))
+
+
+def _centres(distinct: DataFrame, count: int, cells: int, metric: str) -> np.ndarray:
+    """A pseudo-random choice of the vectors, the same on every run.
+
+    Fingerprints are uniform, so a bound on them leaves little more than the wanted rows, and
+    the partitions together send no more than that.
+    """
+    start = F.conv(F.hex(F.substring(PRINT, 1, 7)), 16, 10).cast("long")
+    few = distinct.select(PRINT, VEC).where(start < int(centre_share(cells, count) * (1 << 56)))
+    picked = few.orderBy(PRINT).limit(cells).collect()
     return B.prepared(metric, np.array([r[VEC] for r in picked], dtype=np.float64))
 
 

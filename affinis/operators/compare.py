@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..settings import DEFAULT_DECIMALS
+from .lookup import attach
 
 
 def compared(
@@ -36,7 +37,7 @@ def compared(
     def named(end: str) -> DataFrame:
         return firsts.select(F.col("_k").alias(f"key_{end}"), F.col("_v").alias(f"_v{end}"))
 
-    both = asked.join(named("a"), "key_a", "left").join(named("b"), "key_b", "left")
+    both = attach(attach(asked, named("a"), ["key_a"]), named("b"), ["key_b"])
 
     def known(end: str):
         message = F.concat(F.lit("Key not found: "), F.col(f"key_{end}"))

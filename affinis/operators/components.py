@@ -56,7 +56,7 @@ def components(edges: DataFrame, a: str = "_a", b: str = "_b", hot_rows: int = H
             roots = nodes.where(F.col("downs") > 0).select(F.col("n").alias("node"), F.col("n").alias("root"))
             return links.select(F.col("h").alias("node"), F.col("l").alias("root")).unionByName(roots)
         # At most 2 * total / limit nodes are hubs.
-        limit = max(hot_rows, facts["links"] // 10_000)
+        limit = max(hot_rows, facts["links"] // 100_000)
         hubs = facts["widest"] > limit
         large = _minimum_of(links, nodes.select(F.col("n").alias("l"), "m", F.col("downs").alias("d")), "l", limit, hubs)
         large = large.select("h", F.col("m").alias("l")).distinct()

@@ -73,8 +73,8 @@ def distinct_with_members(rows: DataFrame, members: int) -> DataFrame:
 
 
 def members(rows: DataFrame, distinct: DataFrame, most_copies: int) -> DataFrame:
-    """Every row with the representative of its vector."""
+    """Every row with the representative of its vector and the number of its copies."""
     found = attach(
-        rows.select(ID, KEY, PRINT), distinct.select(PRINT, REP), [PRINT], "inner", widest=most_copies
+        rows.select(ID, KEY, PRINT), distinct.select(PRINT, REP, "_copies"), [PRINT], "inner", widest=most_copies
     )
-    return found.select(ID, KEY, REP)
+    return found.select(ID, KEY, REP, "_copies")

@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import few_rows
+from ..workspace import written_and_measured
 
-HOT_ROWS = 200_000  # a key with more rows than this is served by broadcast
-HOT_SHARE = 1_000  # ... and with more than 1/1000 of all rows, so at most 1000 keys are hot
+HOT_ROWS = 200_000  # rows of a key that one task takes
+HOT_KEYS = 500_000  # most keys that are split; beyond it a task takes more rows
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
-    """Keys that hold a large share of the rows; at most ``HOT_SHARE`` of them exist.
+def hot_shares(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """``key`` and ``_shares``, the tasks it is split over, of every key with many rows, if any.
 
-    The count combines on the map side, so a hot key costs one row per input partition.
+    The count combines on the map side, so a hot key costs one row per input partition, and there
+    are at most rows / ``hot_rows`` hot keys.
     """
-    rows = df.count()
-    if rows <= hot_rows:
-        return []
-    limit = max(hot_rows, rows // HOT_SHARE)
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return [r[key] for r in counts.where(F.col("_rows") > limit).collect()]
+    counts, facts = written_and_measured(
+        df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows")),
+        "loads",
+        F.sum("_rows").alias("rows"),
+        F.max("_rows").alias("widest"),
+    )
+    limit = max(hot_rows, (facts["rows"] or 0) // HOT_KEYS)
+    if (facts["widest"] or 0) <= limit:
+        return None
+    return counts.where(F.col("_rows") > limit).select(key, F.ceil(F.col("_rows") / limit).cast("int").alias("_shares"))
 
 
 def attach(
@@ -34,19 +39,17 @@ def attach(
 ) -> DataFrame:
     """``big`` joined to ``lookup`` (one row per key) without sending a hot key to one task.
 
-    Rows whose first key column is hot meet a broadcast of the few lookup rows they need and stay
-    where they are; all other rows take an ordinary shuffle join. ``widest`` is the largest
+    The rows of a hot first key column are dealt into shares by their hash, and its lookup row is
+    copied into each share. Only the names of the hot keys are broadcast. ``widest`` is the largest
     number of rows of one key where the caller knows it.
     """
     skew = on[0]
-    hot = [] if widest is not None and widest <= hot_rows else hot_keys(big, skew, hot_rows)
-    if not hot:
+    shares = None if widest is not None and widest <= hot_rows else hot_shares(big, skew, hot_rows)
+    if shares is None:
         return big.join(lookup, on, how)
-    names = F.broadcast(few_rows(big.sparkSession, [(k,) for k in hot], big.select(skew).schema))
-    heavy = big.join(names, skew, "left_semi").join(
-        F.broadcast(lookup.join(names, skew, "left_semi")), on, how
-    )
-    light = big.join(names, skew, "left_anti").join(
-        lookup.join(names, skew, "left_anti"), on, how
-    )
-    return light.unionByName(heavy.select(*light.columns))
+    many = F.coalesce("_shares", F.lit(1))
+    place = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), many).cast("int")
+    spread = big.join(F.broadcast(shares), skew, "left").withColumn("_share", place).drop("_shares")
+    copies = lookup.join(F.broadcast(shares), skew, "left")
+    copies = copies.withColumn("_share", F.explode(F.sequence(F.lit(0), many - 1))).drop("_shares")
+    return spread.join(copies, [*on, "_share"], how).drop("_share")

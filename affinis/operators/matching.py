@@ -98,7 +98,7 @@ class Matches:
         everyone = written(
             members(self.near.rows, self.near.distinct, self.near.most_copies), "members"
         )
-        return attach(everyone, facts, [REP], how="inner", widest=self.near.most_copies).drop(REP)
+        return attach(everyone, facts, [REP], how="inner", widest=self.near.most_copies).drop(REP, "_copies")
 
     def summary(self) -> DataFrame:
         """One row: total_pairs and dedup_groups, counted without building the pairs."""

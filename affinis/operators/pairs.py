@@ -29,6 +29,7 @@ from .copies import ID, KEY, REP, VEC, distinct_vectors, members, records
 PAIR = (
     "_a long, _a_key string, _a_copies long, _b long, _b_key string, _b_copies long, _good double"
 )
+COPIES_PER_SHARE = 50_000
 LINK = "_rep long, _root long, _n long, _best double"
 
 
@@ -292,6 +293,11 @@ def matching_copies(near: Near) -> DataFrame:
     )
 
 
+def _shares(copies):
+    """The shares that the copies of one vector are dealt into."""
+    return F.greatest(F.lit(1), F.ceil(copies / COPIES_PER_SHARE)).cast("long")
+
+
 def row_pairs(
     near: Near, pairs: DataFrame | None = None, same: DataFrame | None = None
 ) -> DataFrame:
@@ -315,12 +321,22 @@ def row_pairs(
     if same is None:
         same = matching_copies(near)
     rows = written(members(near.rows, near.distinct, near.most_copies), "members")
-    linked = pairs.select("_a", "_b", "_good", *extra).unionByName(
-        same.select(F.col(REP).alias("_a"), F.col(REP).alias("_b"), "_good", *extra)
+    copies = F.col("_copies")
+    linked = pairs.select("_a", "_b", "_a_copies", "_b_copies", "_good", *extra).unionByName(
+        same.select(
+            *[F.col(REP).alias(n) for n in ("_a", "_b")], *[copies.alias(n) for n in ("_a_copies", "_b_copies")], "_good", *extra
+        )
     )
-    left = rows.select(F.col(REP).alias("_a"), F.struct(ID, KEY).alias("_l"))
-    right = rows.select(F.col(REP).alias("_b"), F.struct(ID, KEY).alias("_r"))
-    met = linked.join(left, "_a").join(right, "_b")
+    # The copies of a vector are dealt into shares of bounded size, and a pair goes to every share.
+    share = F.pmod(F.xxhash64(ID), _shares(copies)).cast("int")
+    left = rows.select(F.col(REP).alias("_a"), share.alias("_ga"), F.struct(ID, KEY).alias("_l"))
+    right = rows.select(F.col(REP).alias("_b"), share.alias("_gb"), F.struct(ID, KEY).alias("_r"))
+
+    def every(copies: str):
+        return F.explode(F.sequence(F.lit(0), (_shares(F.col(copies)) - 1).cast("int")))
+
+    met = linked.withColumn("_ga", every("_a_copies")).join(left, ["_a", "_ga"])
+    met = met.withColumn("_gb", every("_b_copies")).join(right, ["_b", "_gb"])
     met = met.where((F.col("_a") != F.col("_b")) | (F.col("_l")[ID] < F.col("_r")[ID]))
     # Structs order by their first field, the id.
     return met.select(F.least("_l", "_r").alias("_l"), F.greatest("_l", "_r").alias("_r"), "_good", *extra).select(

@@ -411,3 +411,47 @@ def nearest(
         F.col("rank").cast("int").alias("rank"),
         F.round(F.col("_good") * sign, decimals).alias("score"),
     )
+
+
+SCANNED_QUERIES, SCANNED_BYTES = 4096, 32 << 20  # queries that one scan of the stored rows may serve
+
+
+def scanned(
+    stored: DataFrame, id: str, key: str, vec: str, asked: np.ndarray, metric: str, top_k: int
+) -> DataFrame:
+    """The ``top_k`` best stored rows of every query of a small matrix: _q, _cand, _cand_key, _good.
+
+    One pass over the stored rows, which are not shuffled: a task keeps the best rows that it has
+    seen, so it returns at most ``top_k`` rows per query, and those of all tasks are ranked.
+    """
+    ship(stored.sparkSession)
+    shared = stored.sparkSession.sparkContext.broadcast(B.prepared(metric, asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = shared.value
+        q, good = np.zeros(0, np.int64), np.zeros(0)
+        found = pa.table({"_cand": pa.array([], pa.int64()), "_cand_key": pa.array([], pa.string())})
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).sort_by("_cand")
+            if not len(table):
+                continue
+            scorer = B.Scorer(metric, B.prepared(metric, B.matrix(table.column(VEC))))
+            floor = np.full(len(queries), -np.inf)
+            ends = np.flatnonzero(np.r_[q[1:] != q[:-1], True]) if len(q) else np.zeros(0, np.int64)
+            full = np.bincount(q, minlength=len(queries))[q[ends]] >= top_k if len(ends) else np.zeros(0, bool)
+            floor[q[ends[full]]] = good[ends[full]]
+            for part in B.slices(len(queries), len(table)):
+                row, col, value = scorer.best(queries[part], top_k, floor[part])
+                if len(row):
+                    q, good = np.r_[q, row + part.start], np.r_[good, value]
+                    found = pa.concat_tables([found, table.select(["_cand", "_cand_key"]).take(pa.array(col))])
+            order = np.lexsort((found.column("_cand").to_numpy(), -good, q))
+            order = order[B.rank_in_runs(q[order]) < top_k]
+            q, good, found = q[order], good[order], found.take(pa.array(order)).combine_chunks()
+        if len(q):
+            yield from found.append_column("_q", pa.array(q)).append_column("_good", pa.array(good)).to_batches()
+
+    narrow = stored.select(F.col(id).cast("long").alias("_cand"), F.col(key).cast("string").alias("_cand_key"), F.col(vec).alias(VEC))
+    best = narrow.where(F.col(VEC).isNotNull()).mapInArrow(run, "_cand long, _cand_key string, _q long, _good double")
+    by_score = Window.partitionBy("_q").orderBy(F.desc("_good"), "_cand")
+    return best.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= top_k)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
-from ..operators.cells import CELL, CENTRE_BYTES, with_cells
+from ..operators.cells import CELL, CENTRE_BYTES, centre_share, with_cells
 from ..workspace import exists, few_rows, fill_cores
 
 ROWS_PER_CELL = 100_000
@@ -58,7 +58,9 @@ def build(rows: DataFrame, path: str, dim: int, rows_per_cell: int = ROWS_PER_CE
     most = max(1, min(CELLS, CENTRE_BYTES // (8 * dim)))
     cells = min(most, -(-count // rows_per_cell))
     # A pseudo-random choice of rows, the same on every run; copies give one centre.
-    picked = rows.select("key", "embedding").orderBy(F.xxhash64("key"), "key").limit(cells).collect()
+    share = int(centre_share(cells, count) * 1_000_000_000)
+    few = rows.select("key", "embedding").where(F.pmod(F.xxhash64("key"), F.lit(1_000_000_000)) < share)
+    picked = few.orderBy(F.xxhash64("key"), "key").limit(cells).collect()
     points = np.unique(np.array([r["embedding"] for r in picked], dtype=np.float64), axis=0)
     centres = B.prepared("cosine", points)
     home = f"{path}/index-{uuid.uuid4().hex}"

@@ -17,7 +17,7 @@ from ..functions.text import joined_text
 from ..operators.encode import EncoderSpec, encoded
 from ..operators.matching import Matches, annotated, first_per_key, match
 from ..operators.numbering import numbered_and_counted
-from ..operators.topk import nearest
+from ..operators.topk import SCANNED_BYTES, SCANNED_QUERIES, nearest, scanned
 from ..settings import DEFAULT_DECIMALS, DEFAULT_MATCH_THRESHOLD, DEFAULT_TOP_K
 from ..workspace import BROADCAST_BYTES, BROADCAST_ROWS, few_rows, fill_cores, ship, written_and_measured
 from .tables import require_columns
@@ -242,7 +242,18 @@ class VectorTable:
         decimals: int = DEFAULT_DECIMALS,
         probes: int | None = None,
     ) -> DataFrame:
-        """query_key, id, rank, similarity for a table of query vectors."""
+        """query_key, id, rank, similarity for a table of query vectors.
+
+        A small table of queries is broadcast, and the stored rows are read once and stay where they
+        are; with an index only the cells that can hold an answer are read. A larger one is joined.
+        """
+        held, facts = written_and_measured(
+            queries.select(F.col(id).cast("string").alias("query_key"), F.col(vector).alias("_v")).where(F.col("_v").isNotNull()),
+            "queries",
+            F.count(F.lit(1)).alias("rows"),
+        )
+        if facts["rows"] <= min(SCANNED_QUERIES, SCANNED_BYTES // (8 * self.dimensions)) and (probes is None or self.index):
+            return self._scan(held, top_k, decimals, probes)
         found = nearest(
             queries, id, vector, self.rows, "pos", "embedding", stored_key="key",
             top_k=top_k, decimals=decimals, probes=probes,
@@ -254,6 +265,44 @@ class VectorTable:
             F.col("score").alias("similarity"),
         )
 
+    def _scan(self, queries: DataFrame, top_k: int, decimals: int, probes: int | None) -> DataFrame:
+        rows = queries.collect()  # bounded by the caller
+        names = [(n, r["query_key"]) for n, r in enumerate(rows)]
+        asked = np.array([r["_v"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+        if len(rows) and asked.shape[1] != self.dimensions:
+            raise ValueError(f"The queries have {asked.shape[1]} dimensions, the table {self.dimensions}.")
+        best = self._best_of(asked, top_k, probes)
+        named = F.broadcast(few_rows(self.spark, names, "_q long, query_key string"))
+        return best.join(named, "_q").select(
+            "query_key",
+            F.col("_cand_key").alias("id"),
+            F.col("rank").cast("int").alias("rank"),
+            F.round("_good", decimals).alias("similarity"),
+        )
+
+    def _best_of(self, asked: np.ndarray, top_k: int, probes: int | None) -> DataFrame:
+        """The best rows of every query by one pass over all rows, or over the cells that matter."""
+
+        def scan(stored: DataFrame) -> DataFrame:
+            return scanned(stored, "pos", "key", "embedding", asked, "cosine", top_k)
+
+        index = self.index
+        if index is None or not len(asked):
+            return scan(self.rows)
+        unit = B.prepared("cosine", asked)
+        late = self.rows.where(F.col("pos") > index.upto)
+        each = [u.reshape(1, -1) for u in unit]
+        if probes is not None:
+            cells = np.unique(np.concatenate([index.nearest_cells(u)[:probes] for u in each]))
+            return scan(index.of_cells(cells).unionByName(late))
+        start = np.unique(np.concatenate([index.first_cells(u, top_k) for u in each]))
+        first = scan(index.of_cells(start).unionByName(late)).where(F.col("rank") == top_k)
+        floors = np.full(len(asked), -1.0)
+        for r in first.select("_q", "_good").collect():
+            floors[r["_q"]] = r["_good"]
+        cells = np.unique(np.concatenate([index.cells_above(u, f) for u, f in zip(each, floors, strict=True)]))
+        return scan(index.of_cells(np.union1d(cells, start)).unionByName(late))
+
     def match(
         self,
         threshold: float = DEFAULT_MATCH_THRESHOLD,

@@ -8,7 +8,7 @@ from test_neighbours import clustered
 
 from affinis.functions.blocks import joined_labels
 from affinis.operators.components import components
-from affinis.operators.lookup import attach, hot_keys
+from affinis.operators.lookup import attach, hot_shares
 from affinis.operators.matching import annotated, annotation_summary, first_per_key, match
 from affinis.operators.numbering import numbered
 from affinis.operators.pairs import similar_pairs
@@ -170,10 +170,11 @@ def test_score_of_minus_one_names_no_best_match(spark):
     assert (row["_match_count"], row["_best_match_id"], row["_best_match_score"]) == (1, None, -1.0)
 
 
-def test_hot_keys_take_the_broadcast_path(spark):
+def test_hot_keys_are_split(spark):
     big = spark.createDataFrame([("x", i) for i in range(60)] + [(f"k{i}", i) for i in range(40)], "k string, i long")
     lookup = spark.createDataFrame([("x", 1.0)] + [(f"k{i}", 2.0) for i in range(30)], "k string, w double")
-    assert hot_keys(big, "k", hot_rows=20) == ["x"]
+    assert [tuple(r) for r in hot_shares(big, "k", hot_rows=20).collect()] == [("x", 3)]
+    assert hot_shares(big, "k") is None
     plain = sorted(map(tuple, big.join(lookup, "k", "left").collect()), key=str)
     split = attach(big, lookup, ["k"], hot_rows=20)
     assert sorted(map(tuple, split.select("k", "i", "w").collect()), key=str) == plain

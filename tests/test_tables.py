@@ -23,6 +23,7 @@ from affinis.plans.jobs import (
 from affinis.plans.presets import PRESETS, find_preset
 from affinis.sources import tables as S
 from affinis.sources.vector_table import VectorTable
+from affinis.operators.topk import nearest, scanned
 from affinis.streaming.ingest import add_stream
 from affinis.workspace import exists, few_rows, scratch_path, written
 
@@ -185,6 +186,30 @@ def test_store_query_many(spark, store):
     assert [(r.query_key, r.id, r["rank"]) for r in rows] == [("7", "3", 1), ("7", "2", 2)]
 
 
+def test_many_queries_scan_the_stored_rows_or_their_cells(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(9, 5)) * 3
+    rows = [(i, (centres[i % 9] + rng.normal(size=5) * 0.2).tolist()) for i in range(240)] + [(i, [1.0] * 5) for i in range(240, 300)]
+    df = spark.createDataFrame(rows, "k long, v array<float>")
+    asked = spark.createDataFrame([(i, rows[i * 7][1]) for i in range(20)] + [(99, [1.0] * 5), (100, [0.0] * 5)], "q long, v array<float>")
+    table = VectorTable.create(spark, str(tmp_path / "s"), "m", 5, "k", ["k"])
+    table.insert(df.where("k < 290"), "v", "k")
+
+    def found():
+        got = table.query_many(asked, "q", "v", top_k=6, decimals=6)
+        return sorted((r.query_key, r["rank"], r.id, r.similarity) for r in got.collect())
+
+    table.insert(df.where("k >= 290"), "v", "k")
+    want = found()
+    joined = nearest(asked, "q", "v", table.rows, "pos", "embedding", stored_key="key", top_k=6, decimals=6)
+    assert want == sorted((r.query_key, r["rank"], r.neighbor_key, r.score) for r in joined.collect())
+    scan = scanned(table.rows, "pos", "key", "embedding", np.ones((3, 5)), "cosine", 6)
+    told = scan._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in told and "Exchange" not in told[told.index("MapInArrow") :]  # only the best rows move
+    table.build_index(rows_per_cell=20)
+    assert found() == want
+
+
 def words(spark, rows):
     return spark.createDataFrame(rows, "k string, t string, o long")
 
