@@ -29,7 +29,7 @@ FIT_ROWS = 6000  # bound of the labelled sample, spread evenly over the language
 LEAST_ROWS = 20  # of a language in the sample, if it has them
 SCALE = 30.0  # of the features, so that penalties and rates are of the usual order
 WINDOW = 1 << 19  # characters that are looked up at once
-PORTION = 2 << 20
+PORTION = 1 << 20
 UNKNOWN = "und"
 
 
@@ -174,7 +174,7 @@ def train_languages(df: DataFrame, id: str, text: str, lang: str, fit_rows: int
     shares = F.create_map(*[F.lit(x) for name, n in counts for x in (name, min(1.0, each / n))])
     chosen = eligible.where(by_share(F.col("_id"), shares[F.col("_lang")], 11))
 
-    def made(texts: list[str], _: pa.RecordBatch) -> dict[str, pa.Array]:
+    def made(texts: list[str]) -> dict[str, pa.Array]:
         found: list[np.ndarray] = []
         codes, owner, _ = _symbols(texts)
         pairs = [of * FEATURES + feature for feature, of in _grams(codes, owner)]
@@ -187,9 +187,10 @@ def train_languages(df: DataFrame, id: str, text: str, lang: str, fit_rows: int
     rows = by_portion(chosen, "_content", made, "features array<int>, counts array<int>", ["_id", "_lang"], PORTION)
     place = {name: i for i, name in enumerate(languages)}
     held = rows.where(F.size("features") > 0).toArrow().sort_by([("_id", "ascending")])
+    features, counts = held["features"].combine_chunks(), held["counts"].combine_chunks()
     sample = [
-        (np.array(f, np.int64), np.array(c, np.float64), place[name])
-        for f, c, name in zip(held["features"].to_pylist(), held["counts"].to_pylist(), held["_lang"].to_pylist(), strict=True)
+        (f.values.to_numpy(), c.values.to_numpy(), place[name])
+        for f, c, name in zip(features, counts, held["_lang"].to_pylist(), strict=True)
     ]
     if not sample:
         return LanguageModel([UNKNOWN], np.ones((FEATURES, 2), np.float32), np.zeros(1), 1.0)
@@ -204,7 +205,7 @@ def with_languages(df: DataFrame, text: str, model: LanguageModel, keep: list[st
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def made(texts: list[str], _: pa.RecordBatch) -> dict[str, pa.Array]:
+    def made(texts: list[str]) -> dict[str, pa.Array]:
         chances, lettered = sent.value.probabilities(texts)
         best = chances.argmax(axis=1)
         names = [sent.value.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]

@@ -282,7 +282,7 @@ def page_texts(df: DataFrame, page: str, keep: list[str]) -> DataFrame:
     Repeated rows keep their rows, other columns are ignored, an empty table gives an empty one.
     """
 
-    def made(pages: list[str], _: pa.RecordBatch) -> dict[str, pa.Array]:
+    def made(pages: list[str]) -> dict[str, pa.Array]:
         return {"text": pa.array([main_text(p) for p in pages], pa.string())}
 
     return by_portion(df, page, made, "text string", keep).withColumn("n_chars", F.length("text").cast("long"))

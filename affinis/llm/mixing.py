@@ -28,7 +28,7 @@ SHARE = Fraction(3, 2)  # of all words, that the mix takes
 EPOCHS = 2  # times at most that a document is taken
 BLOCK = 8192  # words
 MOST_SLOTS = 1 << 31  # keeps slot * multiplier inside a long; beyond it blocks grow
-CHUNK = 1 << 15  # rows that are ranked together
+CHUNK = 1 << 12  # rows that are ranked together
 
 
 def source_targets(sizes: DataFrame, source: str, size: str, weights: tuple[int, ...], share: Fraction, epochs: int) -> DataFrame:

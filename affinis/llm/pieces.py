@@ -350,7 +350,7 @@ def piece_codes(df: DataFrame, text: str, path: str, keep: list[str], content: b
     """
     model = df.sparkSession.sparkContext.broadcast(file_bytes(path))
 
-    def made(texts: list[str], _: pa.RecordBatch) -> dict[str, pa.Array]:
+    def made(texts: list[str]) -> dict[str, pa.Array]:
         codec = codec_of(model.value)
         ids, counts = codec.encode(texts)
         decoded = codec.decode(ids, counts)

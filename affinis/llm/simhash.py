@@ -30,6 +30,7 @@ BITS = 64
 SEGMENTS = 5
 CROWD = 64  # different fingerprints of one key that are still paired out
 SEED = 42
+PORTION = 1 << 20  # bytes of text that are hashed at once
 
 
 def fingerprints_of(texts: list[str], words: int = 3) -> np.ndarray:
@@ -60,7 +61,7 @@ def fingerprints_of(texts: list[str], words: int = 3) -> np.ndarray:
         raw = np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8)
         bits = np.unpackbits(raw, axis=1)
         starts = (np.cumsum(counts) - counts)[filled]
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
         majority = np.packbits(2 * ones > counts[filled, None], axis=1)
         out[filled] = np.ascontiguousarray(majority).view(">u8").ravel()
     return out
@@ -69,10 +70,10 @@ def fingerprints_of(texts: list[str], words: int = 3) -> np.ndarray:
 def with_fingerprints(df: DataFrame, text: str, words: int, keep: list[str]) -> DataFrame:
     """``keep`` and ``_fp``, the fingerprint as a signed 64-bit number; null texts have zero."""
 
-    def made(texts: list[str], _: pa.RecordBatch) -> dict[str, pa.Array]:
+    def made(texts: list[str]) -> dict[str, pa.Array]:
         return {"_fp": pa.array(fingerprints_of(texts, words).view(np.int64), pa.int64())}
 
-    return by_portion(df, text, made, "_fp long", keep)
+    return by_portion(df, text, made, "_fp long", keep, PORTION)
 
 
 def ring(segments: int, max_bits: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -199,13 +200,14 @@ def simhash_kept(
     The row with the smallest id stays; rows without an id come last, and of equal ids any one row
     stays. All columns are returned as they are.
     """
-    given = whole(df).select("_whole", F.monotonically_increasing_id().alias("_row"))
-    rows = written(with_fingerprints(given, f"_whole.{text}", words, ["_whole", "_row"]), "simhash")
-    rows = rows.withColumn("_id", F.col(f"_whole.`{id}`"))
+    # Numbered rows are written first: the text is read once more, and the rows are known by number.
+    held = written(whole(df).select("_whole", F.monotonically_increasing_id().alias("_row")), "numbered")
+    named = held.select("_row", F.col(f"_whole.`{id}`").alias("_id"), F.col(f"_whole.`{text}`").alias("_content"))
+    rows = written(with_fingerprints(named, "_content", words, ["_row", "_id"]), "simhash")
     narrow = rows.select("_row", "_fp", "_id")
     roots = _grouped(narrow, max_bits, segments, crowd)
     best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     firsts = narrow.groupBy("_fp").agg(best.alias("_best"))
     linked = firsts.join(roots, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
     stay = linked.groupBy("_root").agg(F.min("_best").alias("_best")).select(F.col("_best.row").alias("_row"))
-    return rows.join(stay, "_row", "left_semi").select("_whole.*")
+    return held.join(stay, "_row", "left_semi").select("_whole.*")

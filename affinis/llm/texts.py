@@ -13,10 +13,11 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..workspace import ship
 
-PORTION_BYTES = 4 << 20  # text that a task works on at once; a longer text is a portion of its own
+PORTION_BYTES = 2 << 20  # text that a task works on at once; a longer text is a portion of its own
 
 _compiled: dict[tuple[str, bytes], object] = {}
 
@@ -38,39 +39,38 @@ def portions(texts: pa.Array, limit: int = PORTION_BYTES) -> Iterator[tuple[int,
 def by_portion(
     df: DataFrame,
     text: str,
-    made: Callable[[list[str], pa.RecordBatch], dict[str, pa.Array]],
+    made: Callable[[list[str]], dict[str, pa.Array]],
     fields: str,
     keep: list[str],
     limit: int = PORTION_BYTES,
 ) -> DataFrame:
     """Columns ``keep`` of ``df`` with the columns ``fields`` that ``made`` derives from the texts.
 
-    A narrow Arrow job: the rows stay in their partition, and at most one portion of text is
-    spread out as Python objects at a time. ``made`` gets null texts as empty ones. A derived
-    column takes the place of a kept one of the same name. ``text`` may name a field of a kept struct
-    (``struct.field``), so that a row that is carried whole is sent once.
+    A narrow Arrow job: the rows stay in their partition, only the text column travels to Python,
+    and at most one portion of it is spread out as Python objects at a time. ``made`` gets null
+    texts as empty ones. A derived column takes the place of a kept one of the same name. ``text``
+    may name a field of a kept struct (``struct.field``).
     """
     ship(df.sparkSession)
     derived = T.StructType.fromDDL(fields)
     kept = [c for c in keep if c not in derived.names]
     owner, _, inner = text.partition(".")
-    columns = [F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_given")]
-    if not inner or owner not in kept:
-        inner = ""
-        columns.append(F.col(f"`{text}`").cast("string").alias("_text"))
-    narrow = df.select(*columns)
-    schema = T.StructType([narrow.schema["_given"], *derived.fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            given = batch.column(0)
-            texts = given.field(owner).field(inner) if inner else batch.column(1)
-            for first, rows in portions(texts, limit):
-                words = [t or "" for t in texts.slice(first, rows).to_pylist()]
-                columns = made(words, batch.slice(first, rows))
-                yield pa.RecordBatch.from_pydict({"_given": given.slice(first, rows)} | columns)
+    content = F.col(f"`{owner}`.`{inner}`") if inner and owner in keep else F.col(f"`{text}`")
 
-    return narrow.mapInArrow(run, schema).select("_given.*", *derived.names)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts: list[dict[str, pa.Array]] = []
+            for first, rows in portions(texts, limit):
+                parts.append(made([t or "" for t in texts.slice(first, rows).to_pylist()]))
+            columns = [pa.concat_arrays([p[c] for p in parts]) for c in derived.names] if parts else []
+            yield pa.StructArray.from_arrays(columns, derived.names) if parts else pa.array([], to_arrow_type(derived))
+
+    # arrow_udf reads the type hints at run time.
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # Marked non-deterministic, so that the texts are worked on once per row.
+    derive = F.arrow_udf(run, derived).asNondeterministic()
+    given = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_given")
+    return df.select(given, derive(content.cast("string")).alias("_made")).select("_given.*", "_made.*")
 
 
 def whole(df: DataFrame) -> DataFrame:

@@ -316,7 +316,7 @@ def token_counts(df: DataFrame, text: str, path: str, limit: int, keep: list[str
     """
     file = df.sparkSession.sparkContext.broadcast(file_bytes(path))
 
-    def made(texts: list[str], part: pa.RecordBatch) -> dict[str, pa.Array]:
+    def made(texts: list[str]) -> dict[str, pa.Array]:
         return {
             "n_bytes": pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
             "n_tokens": pa.array(counter_of(file.value).counts(texts), pa.int64()),

@@ -39,7 +39,7 @@ HEADS, HEAD = (4, 5, 6, 7, 8), "\x04"  # lengths of beginnings of words that are
 HARD_ROUNDS = 2
 INSERTED = 3  # copies of an insult with one letter inserted that the machine learns with it
 ALIKE_BITS = 8  # of the fingerprints of single words; closer sample texts count as one
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 LONGEST = 64  # letters; longer words are scored by their windows of this length
 # Letters set apart: i d i o t, i-d-i-o-t.
 APART = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[^\w\n]{1,2}[^\W\d_]){3,}(?![^\W\d_])")
@@ -256,7 +256,7 @@ def train_toxicity(df: DataFrame, labels: DataFrame, id: str, text: str, label:
     fold = F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(4)) == 0
     sample = drawn.join(F.broadcast(spark.createDataFrame(unlike)), "_id").withColumn("_apart", fold)
 
-    def listed(portion: list[str], _: pa.RecordBatch) -> dict[str, pa.Array]:
+    def listed(portion: list[str]) -> dict[str, pa.Array]:
         found = [sorted(set(letters_only(words_of(t))) - {""}) for t in portion]
         heads = [sorted({w[:n] + HEAD for w in ws for n in HEADS if len(w) >= n}) for ws in found]
         kind = pa.list_(pa.string())
@@ -297,7 +297,7 @@ def train_toxicity(df: DataFrame, labels: DataFrame, id: str, text: str, label:
     for _ in range(HARD_ROUNDS if len(keys) else 0):  # the words that the machine gets wrong join in
         draft = spark.sparkContext.broadcast(ToxicityModel(keys, weights, bias, np.zeros(4), np.ones(4), np.zeros(4), 0.0))
 
-        def valued(portion: list[str], _: pa.RecordBatch, draft=draft) -> dict[str, pa.Array]:
+        def valued(portion: list[str], draft=draft) -> dict[str, pa.Array]:
             return {"value": pa.array(draft.value.word_values(portion), pa.float64())}
 
         ranked = by_portion(plain, "word", valued, "value double", ["word", "good"])
@@ -307,7 +307,7 @@ def train_toxicity(df: DataFrame, labels: DataFrame, id: str, text: str, label:
     model = ToxicityModel(keys, weights, bias, np.zeros(4), np.ones(4), np.zeros(4), -3.0)
     sent = spark.sparkContext.broadcast(model)
 
-    def measured(portion: list[str], _: pa.RecordBatch) -> dict[str, pa.Array]:
+    def measured(portion: list[str]) -> dict[str, pa.Array]:
         x = sent.value.features(portion)
         return {f"x{i}": pa.array(x[:, i]) for i in range(4)}
 
@@ -340,7 +340,7 @@ def with_toxicity(df: DataFrame, text: str, model: ToxicityModel, keep: list[str
     """``keep`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on) of every whole text."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def made(texts: list[str], _: pa.RecordBatch) -> dict[str, pa.Array]:
+    def made(texts: list[str]) -> dict[str, pa.Array]:
         return {"score": pa.array(sent.value.scores(texts), pa.float64())}
 
     scored = by_portion(df, text, made, "score double", keep)
