@@ -2,6 +2,8 @@
 
 Distinct vectors are assigned to the nearest of a bounded set of centres. A cell keeps the
 largest distance to its centre, which bounds the score of any vector against the whole cell.
+A block keeps its least and largest distance to some of the centres (pivots) as well: a vector
+whose own distance to any pivot is too far outside that span has no result there.
 Cells are cut into blocks of bounded size by a hash of the id, so a dense cell becomes many
 tasks. A vector is sent to exactly those blocks that may hold a result for it; the bound is
 exact, so pruning never changes a result.
@@ -11,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ BLOCK_BYTES = 16 << 20  # DOUBLE bytes of one block of vectors
 BLOCK_ROWS = (128, 16_384)  # and its limits in rows
 CENTRE_BYTES = 32 << 20  # DOUBLE bytes of all centres, which every worker holds
 CELLS = 50_000  # ... and their largest number
+PIVOTS = 32  # most rows that the distances of all blocks are kept to, within CENTRE_BYTES as well
 TASKS_PER_CORE = 4
 VISITORS = 2  # visiting rows per task, as a multiple of the block size
 
@@ -43,11 +46,34 @@ class Layout:
     centres: np.ndarray
     radius: np.ndarray
     blocks: np.ndarray
+    pivots: np.ndarray | None = None
+    low: np.ndarray | None = None  # by block and pivot: the least and the largest distance
+    high: np.ndarray | None = None
 
     @property
     def first(self) -> np.ndarray:
         return np.r_[0, np.cumsum(self.blocks)]
 
+    def near(self, rows: np.ndarray, floor: np.ndarray) -> np.ndarray | None:
+        """(row, block) mask: blocks that may hold a member with a goodness of at least the floor.
+
+        Distances to a pivot differ by no more than the distance itself, so a member within
+        reach has its own distance to every pivot within reach of the row's.
+        """
+        if self.pivots is None:
+            return None
+        if self.metric == "cosine":
+            reach = np.arccos(np.clip(floor - B.SLACK, -1.0, 1.0))
+        else:
+            reach = np.maximum(-floor, 0.0) * (1 + B.SLACK)
+        reach = (reach + B.SLACK)[:, None]
+        gap = B.gaps(self.metric, rows, self.pivots)
+        mask = np.ones((len(rows), len(self.low)), dtype=bool)
+        for p in range(len(self.pivots)):
+            own = gap[:, p : p + 1]
+            mask &= (own + reach >= self.low[None, :, p]) & (own - reach <= self.high[None, :, p])
+        return mask
+
 
 @dataclass(frozen=True)
 class Placed:
@@ -125,7 +151,52 @@ def place(
         )
         .drop("_first", "_n", CELL)
     )
-    return Placed(rows, spark.sparkContext.broadcast(layout), int(first[-1]), size)
+    total = int(first[-1])
+    if metric != "dot" and total > 1:
+        rows = written(rows, "blocks")
+        layout = _with_pivots(rows, layout, total)
+    return Placed(rows, spark.sparkContext.broadcast(layout), total, size)
+
+
+def _with_pivots(rows: DataFrame, layout: Layout, blocks: int) -> Layout:
+    """The layout with the least and largest distance of every block to some of the centres."""
+    wanted = max(1, min(PIVOTS, CENTRE_BYTES // (16 * blocks)))
+    pivots = _far_apart(layout.metric, layout.centres, wanted)
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+    metric = layout.metric
+
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = np.full((blocks, len(shared.value)), np.inf)
+        high = np.full((blocks, len(shared.value)), -np.inf)
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            vectors, block = B.prepared(metric, B.matrix(table.column(VEC))), table.column(BLOCK).to_numpy()
+            for part in B.slices(len(vectors), len(shared.value)):
+                gap = B.gaps(metric, vectors[part], shared.value)
+                np.minimum.at(low, block[part], gap)
+                np.maximum.at(high, block[part], gap)
+        seen = np.flatnonzero(np.isfinite(low[:, 0]))
+        at, pivot = np.repeat(seen, low.shape[1]), np.tile(np.arange(low.shape[1]), len(seen))
+        yield pa.RecordBatch.from_pydict(
+            {"b": at, "p": pivot, "low": low[seen].ravel(), "high": high[seen].ravel()}
+        )
+
+    spans = rows.select(BLOCK, VEC).mapInArrow(span, "b long, p long, low double, high double")
+    found = spans.groupBy("b", "p").agg(F.min("low").alias("low"), F.max("high").alias("high")).toArrow()
+    low, high = np.full((blocks, len(pivots)), np.inf), np.full((blocks, len(pivots)), -np.inf)
+    at = (found["b"].to_numpy(), found["p"].to_numpy())
+    low[at], high[at] = found["low"].to_numpy(), found["high"].to_numpy()
+    return replace(layout, pivots=pivots, low=low, high=high)
+
+
+def _far_apart(metric: str, points: np.ndarray, wanted: int) -> np.ndarray:
+    """Some of the points, each next one far from those before."""
+    chosen, closest = [0], B.gaps(metric, points, points[:1])[:, 0]
+    while len(chosen) < min(wanted, len(points)):
+        following = int(closest.argmax())
+        chosen.append(following)
+        closest = np.minimum(closest, B.gaps(metric, points, points[following : following + 1])[:, 0])
+    return points[chosen]
 
 
 def with_cells(df: DataFrame, vec: str, centres: np.ndarray, metric: str) -> DataFrame:
@@ -209,9 +280,13 @@ def split_roles(table: pa.Table) -> tuple[pa.Table, pa.Table]:
     return hosts, table.filter(visiting)
 
 
-def wide_targets(layout: Layout, cells: np.ndarray, own: np.ndarray) -> pa.Array:
-    """Block lists from a (row, cell) mask, without each row's own block."""
+def wide_targets(
+    layout: Layout, cells: np.ndarray, own: np.ndarray, near: np.ndarray | None = None
+) -> pa.Array:
+    """Block lists from a (row, cell) and a (row, block) mask, without each row's own block."""
     mask = np.repeat(cells, layout.blocks, axis=1)
+    if near is not None:
+        mask &= near
     mask[np.arange(len(mask)), own] = False
     row, block = np.nonzero(mask)
     offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=len(mask)))]

@@ -108,7 +108,7 @@ def _reach(layout: Broadcast, bound: float):
                 home = cell_of[mine][:, None]
                 other = np.arange(len(plan.blocks))[None, :]
                 cells &= ((home < other) ^ ((home + other) % 2 == 1)) | (home == other)
-                lists = wide_targets(plan, cells, mine)
+                lists = wide_targets(plan, cells, mine, plan.near(rows[part], np.full(len(mine), bound)))
                 targets.append(_one_way_within(lists, mine, cell_of))
             table = table.append_column("_targets", pa.chunked_array(targets))
             yield from table.drop_columns([BLOCK]).to_batches()

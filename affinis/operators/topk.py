@@ -109,7 +109,8 @@ def _seed(layout: Broadcast, keep: int, probes: int | None):
             if len(plan.centres) == 1:
                 targets.append(pa.array([[]] * len(mine), pa.list_(pa.int32())))
                 continue
-            targets.append(wide_targets(plan, _cells_to_visit(plan, mine, floor, probes), own[part]))
+            near = plan.near(mine, floor) if probes is None else None
+            targets.append(wide_targets(plan, _cells_to_visit(plan, mine, floor, probes), own[part], near))
         row, at = np.concatenate(rows), np.concatenate(at)
         offsets = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=count))], pa.int32())
         cands = pa.StructArray.from_arrays(
@@ -323,7 +324,12 @@ def _onward(layout: Broadcast, probes: int | None):
             rows = B.prepared(plan.metric, B.matrix(table.column(VEC)))
             floor, seen = table.column("_floor").to_numpy(), table.column(BLOCK).to_numpy()
             targets = [
-                wide_targets(plan, _cells_to_visit(plan, rows[part], floor[part], probes), seen[part])
+                wide_targets(
+                    plan,
+                    _cells_to_visit(plan, rows[part], floor[part], probes),
+                    seen[part],
+                    plan.near(rows[part], floor[part]) if probes is None else None,
+                )
                 for part in B.slices(len(rows), int(plan.blocks.sum()))
             ]
             table = table.append_column("_targets", pa.chunked_array(targets))

@@ -11,8 +11,10 @@ from affinis.operators.components import components
 from affinis.operators.lookup import attach, hot_shares
 from affinis.operators.matching import annotated, annotation_summary, first_per_key, match
 from affinis.operators.numbering import numbered
-from affinis.operators.pairs import similar_pairs
+from affinis.operators.encode import embed_columns, hashing
+from affinis.operators.pairs import near_pairs, similar_pairs
 from affinis.operators.topk import neighbours
+from affinis.workspace import written
 
 
 def edges(spark, pairs):
@@ -219,6 +221,16 @@ def test_scores_do_not_depend_on_blocks(spark, metric):
     assert runs[0] == brute_pairs(rows, metric, far)
 
 
+def test_bounds_keep_most_visits_away(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    vectors = written(embed_columns(docs, ["text"], hashing(64)).select("doc_id", "_emb_text"), "vectors")
+    near = near_pairs(vectors, "doc_id", "_emb_text", None, "cosine", 0.95, rows_per_block=50)
+    visits = near.met.where("_visits").count()
+    blocks, rows = near.met.select("_block").distinct().count(), near.distinct.count()
+    # Of every two blocks one visits the other, so half of rows * (blocks - 1) is the most.
+    assert blocks > 10 and visits < 0.45 * rows * (blocks - 1) / 2
+
+
 def test_components_that_are_not_numbers_are_an_error(spark):
     for bad in (float("nan"), None, float("inf")):
         df = spark.createDataFrame([(7, [1.0, bad]), (8, [1.0, 2.0])], "id long, v array<double>")

@@ -96,7 +96,7 @@ def test_threshold_tests_the_rounded_score(spark):
 
 
 def test_errors(spark, vectors):
-    with pytest.raises(ValueError, match="Unknown metric"):
+    with pytest.raises(ValueError, match="No metric is called"):
         neighbours(vectors, "id", "v", metric="hamming")
     with pytest.raises(ValueError, match="top_k"):
         neighbours(vectors, "id", "v", top_k=0)
