@@ -29,7 +29,6 @@ FIT_ROWS = 6000  # bound of the labelled sample, spread evenly over the language
 LEAST_ROWS = 20  # of a language in the sample, if it has them
 SCALE = 30.0  # of the features, so that penalties and rates are of the usual order
 WINDOW = 1 << 19  # characters that are looked up at once
-PORTION = 1 << 20
 UNKNOWN = "und"
 
 
@@ -184,7 +183,7 @@ def train_languages(df: DataFrame, id: str, text: str, lang: str, fit_rows: int
         offsets = pa.array(edges.astype(np.int32))
         return {"features": pa.ListArray.from_arrays(offsets, found[0]), "counts": pa.ListArray.from_arrays(offsets, found[1])}
 
-    rows = by_portion(chosen, "_content", made, "features array<int>, counts array<int>", ["_id", "_lang"], PORTION)
+    rows = by_portion(chosen, "_content", made, "features array<int>, counts array<int>", ["_id", "_lang"])
     place = {name: i for i, name in enumerate(languages)}
     held = rows.where(F.size("features") > 0).toArrow().sort_by([("_id", "ascending")])
     features, counts = held["features"].combine_chunks(), held["counts"].combine_chunks()
@@ -212,7 +211,7 @@ def with_languages(df: DataFrame, text: str, model: LanguageModel, keep: list[st
         score = np.where(lettered, chances[np.arange(len(texts)), best], 0.0)
         return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(score, pa.float64())}
 
-    return by_portion(df, text, made, "lang_pred string, score double", keep, PORTION)
+    return by_portion(df, text, made, "lang_pred string, score double", keep)
 
 
 def identify_languages(df: DataFrame, id: str, text: str, lang: str, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -26,7 +26,8 @@ from .texts import by_portion, compiled, file_bytes, ragged
 
 SPACE = "▁"
 LONG = 2048  # symbols; a longer word is merged by an agenda, in the same order
-REMEMBERED = 300_000  # words a worker remembers
+REMEMBERED = 200_000  # words a worker remembers
+TOGETHER = 20_000  # new words that are merged at once
 NO_PAIR = np.iinfo(np.int32).max
 # Fixed values of the model format: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -179,12 +180,13 @@ class PieceCodec:
         known = self.place
         new = [w for w in set(words) if w not in known]
         if new:
-            ids, counts = self._merge(new)
+            merged = [self._merge(new[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER)]
+            counts = np.concatenate([c for _, c in merged])
             first = len(self.starts)
             known.update(zip(new, range(first, first + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
             self.lengths = np.concatenate([self.lengths, counts])
-            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+            self.ids = np.concatenate([self.ids, *[ids.astype(np.uint32) for ids, _ in merged]])
         at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         lengths = self.lengths[at]
         ids = self.ids[ragged(self.starts[at], lengths)]

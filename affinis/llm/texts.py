@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import cache
 from pathlib import Path
@@ -17,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..workspace import ship
 
-PORTION_BYTES = 2 << 20  # text that a task works on at once; a longer text is a portion of its own
+PORTION_BYTES = 1 << 20  # text that a task works on at once; a longer text is a portion of its own
 
 _compiled: dict[tuple[str, bytes], object] = {}
 
@@ -63,7 +64,9 @@ def by_portion(
             for first, rows in portions(texts, limit):
                 parts.append(made([t or "" for t in texts.slice(first, rows).to_pylist()]))
             columns = [pa.concat_arrays([p[c] for p in parts]) for c in derived.names] if parts else []
-            yield pa.StructArray.from_arrays(columns, derived.names) if parts else pa.array([], to_arrow_type(derived))
+            del parts
+            yield pa.StructArray.from_arrays(columns, derived.names) if columns else pa.array([], to_arrow_type(derived))
+            release()
 
     # arrow_udf reads the type hints at run time.
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -73,6 +76,14 @@ def by_portion(
     return df.select(given, derive(content.cast("string")).alias("_made")).select("_given.*", "_made.*")
 
 
+def release() -> None:
+    """Hand freed memory back to the system: Spark keeps Python workers for the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def whole(df: DataFrame) -> DataFrame:
     """Every row of ``df`` in one struct, out of the way of the names that operators use."""
     return df.select(F.struct("*").alias("_whole"))

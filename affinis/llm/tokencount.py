@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .texts import by_portion, compiled, file_bytes
 
 CHUNK = 256  # characters per chunk of the splitter
-REMEMBERED = 400_000  # words that a worker remembers
+REMEMBERED = 200_000  # words, and pairs of tokens, that a worker remembers
+TOGETHER = 50_000  # new words that are counted at once
 TABLE_BITS = 21  # log2 of the places for transitions that a worker remembers
 HASH = np.int64(0x1E3779B97F4A7C15)
 NEVER = 1 << 60
@@ -289,7 +290,8 @@ class TokenCounter:
         known = self.words
         new = list(set(words).difference(known))
         if new:
-            known.update(zip(new, self.transducer.counts(new).tolist(), strict=True))
+            counted = [self.transducer.counts(new[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER)]
+            known.update(zip(new, np.concatenate(counted).tolist(), strict=True))
         tokens = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         owner = np.searchsorted(np.cumsum(sizes), starts, side="right")
         return extra + np.bincount(owner, weights=tokens, minlength=len(texts)).astype(np.int64)

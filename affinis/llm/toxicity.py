@@ -39,7 +39,8 @@ HEADS, HEAD = (4, 5, 6, 7, 8), "\x04"  # lengths of beginnings of words that are
 HARD_ROUNDS = 2
 INSERTED = 3  # copies of an insult with one letter inserted that the machine learns with it
 ALIKE_BITS = 8  # of the fingerprints of single words; closer sample texts count as one
-REMEMBERED = 250_000
+REMEMBERED = 200_000
+TOGETHER = 4_000  # words that are valued at once
 LONGEST = 64  # letters; longer words are scored by their windows of this length
 # Letters set apart: i d i o t, i-d-i-o-t.
 APART = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[^\w\n]{1,2}[^\W\d_]){3,}(?![^\W\d_])")
@@ -113,11 +114,11 @@ class ToxicityModel:
             cut = [[w[i : i + LONGEST] for i in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2)] for w in words]
             windows, source = [x for c in cut for x in c], np.repeat(np.arange(len(words)), [len(c) for c in cut])
         out = np.full(len(words), -np.inf)
-        for begin in range(0, len(windows), 50_000):
-            word, key, weight = subsequences(windows[begin : begin + 50_000])
+        for begin in range(0, len(windows), TOGETHER):
+            word, key, weight = subsequences(windows[begin : begin + TOGETHER])
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[at] == key
-            part = min(50_000, len(windows) - begin)
+            part = min(TOGETHER, len(windows) - begin)
             value = self.bias + np.bincount(word[hit], weights=weight[hit] * self.weights[at[hit]], minlength=part)
             np.maximum.at(out, source[begin : begin + part], value)
         return out
