@@ -12,7 +12,7 @@ DATA = Path("/root/testdata")
 
 @pytest.fixture(scope="session")
 def spark():
-    return session("affinis-tests", cores=4)
+    return session("affinis-tests", cores=8, spark__sql__shuffle__partitions="4", spark__ui__showConsoleProgress="false")
 
 
 @pytest.fixture
