@@ -217,4 +217,4 @@ def mixed_documents(df: DataFrame, id: str, text: str, source: str, **options: o
     named = held.select("_row", *[F.col(f"_whole.`{c}`").alias(n) for c, n in ((id, "_key"), (text, "_content"), (source, "_from"))])
     mix = Mix(named, "_key", "_content", "_from", row=F.col("_row"), **options)
     turns = mix.pieces().select("_row", "epoch").distinct()
-    return held.join(turns, "_row").select("_whole.*")
+    return held.join(turns.hint("merge"), "_row").select("_whole.*")

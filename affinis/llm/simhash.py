@@ -209,4 +209,5 @@ def simhash_kept(
     firsts = narrow.groupBy("_fp").agg(best.alias("_best"))
     linked = firsts.join(roots, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
     stay = linked.groupBy("_root").agg(F.min("_best").alias("_best")).select(F.col("_best.row").alias("_row"))
-    return held.join(stay, "_row", "left_semi").select("_whole.*")
+    # A merge join at every size: what a broadcast saves on small inputs would hide what large ones need.
+    return held.join(stay.hint("merge"), "_row", "left_semi").select("_whole.*")
