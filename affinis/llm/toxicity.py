@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import ship, written
-from .simhash import with_fingerprints
 from .texts import by_portion, by_share, code_points, held_out, letter_table
 
 DECAY = 0.7
@@ -38,7 +37,6 @@ EVIDENCE = 0.8  # of a word, in units of the logarithm of the number of words
 HEADS, HEAD = (4, 5, 6, 7, 8), "\x04"  # lengths of beginnings of words that are counted too, and their mark
 HARD_ROUNDS = 2
 INSERTED = 3  # copies of an insult with one letter inserted that the machine learns with it
-ALIKE_BITS = 8  # of the fingerprints of single words; closer sample texts count as one
 REMEMBERED = 200_000
 TOGETHER = 4_000  # words that are valued at once
 LONGEST = 64  # letters; longer words are scored by their windows of this length
@@ -239,7 +237,7 @@ def train_toxicity(df: DataFrame, labels: DataFrame, id: str, text: str, label:
 
     Three quarters of the sample say which words are insults: words that are found in toxic texts more
     often than chance would have it for any of so many words (likelihood-ratio test). The last
-    quarter calibrates the score of whole texts. Of texts that are nearly the same one counts.
+    quarter calibrates the score of whole texts. Equal texts with the same label count once.
     """
     spark = df.sparkSession
     marked = labels.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_toxic"))
@@ -252,10 +250,8 @@ def train_toxicity(df: DataFrame, labels: DataFrame, id: str, text: str, label:
     texts = df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_content"))
     # The chosen labels are bounded by ``fit_rows``, so they may be broadcast.
     drawn = texts.join(F.broadcast(chosen), "_id").where(F.col("_content").isNotNull())
-    drawn = written(with_fingerprints(drawn, "_content", 1, ["_id", "_content", "_toxic"]), "labelled")
-    unlike = _unlike(drawn.select("_id", "_fp").toArrow())
     fold = F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(4)) == 0
-    sample = drawn.join(F.broadcast(spark.createDataFrame(unlike)), "_id").withColumn("_apart", fold)
+    sample = written(_once(drawn), "labelled").withColumn("_apart", fold)
 
     def listed(portion: list[str]) -> dict[str, pa.Array]:
         found = [sorted(set(letters_only(words_of(t))) - {""}) for t in portion]
@@ -326,15 +322,9 @@ def train_toxicity(df: DataFrame, labels: DataFrame, id: str, text: str, label:
     return model
 
 
-def _unlike(rows: pa.Table) -> pa.Table:
-    """The ids of a bounded sample without near copies: one row of those within a few bits."""
-    order = np.argsort(rows["_id"].to_numpy(), kind="stable")
-    ids, prints = rows["_id"].to_numpy()[order], rows["_fp"].to_numpy()[order].view(np.uint64)
-    keep = np.ones(len(ids), bool)
-    for i in range(len(ids)):
-        if keep[i]:
-            keep[i + 1 :] &= np.bitwise_count(prints[i + 1 :] ^ prints[i]) > ALIKE_BITS
-    return pa.table({"_id": ids[keep]})
+def _once(drawn: DataFrame) -> DataFrame:
+    """``_id``, ``_content`` and ``_toxic``: of rows with equal text and label the one with the smallest id."""
+    return drawn.groupBy("_content", "_toxic").agg(F.min("_id").alias("_id")).select("_id", "_content", "_toxic")
 
 
 def with_toxicity(df: DataFrame, text: str, model: ToxicityModel, keep: list[str], threshold: float = 0.3) -> DataFrame:

@@ -120,3 +120,22 @@ def test_toxicity_of_odd_rows(spark):
         got = toxic_texts(odd, marks, "doc_id", "text").collect()
         assert len(got) == 10 and all(0 <= r["score"] <= 1 for r in got)
     assert toxic_texts(odd.limit(0), labels, "doc_id", "text").count() == 0
+
+
+def test_toxic_rows_that_resemble_clean_ones_teach(spark):
+    dice = np.random.default_rng(3)
+    rare = ["".join(dice.choice(list("bcdfglmnprstaeo"), 6)) for _ in range(300)]
+    # All texts share their frequent words, as long texts of one language do.
+    rows = [(i, "the house and the garden of the town " * 20 + " ".join(dice.choice(rare, 12)) + " you idiot" * (i % 2)) for i in range(1, 401)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxic_texts(docs, labels, "doc_id", "text").collect()}
+    assert all(got[i] == i % 2 for i in got if held(i))
+
+
+def test_only_equal_texts_of_one_label_count_once(spark):
+    from affinis.llm.toxicity import _once
+
+    rows = [(1, "a b", 0), (2, "a b", 0), (3, "a b", 1), (4, "a b c", 0)]
+    drawn = spark.createDataFrame(rows, "_id long, _content string, _toxic int")
+    assert sorted(tuple(r) for r in _once(drawn).collect()) == [(1, "a b", 0), (3, "a b", 1), (4, "a b c", 0)]
