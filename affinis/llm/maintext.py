@@ -3,7 +3,8 @@
 Every paragraph earns points for its length and its commas and passes them to the elements around
 it: all to the parent, half to the grandparent, less further up. A container's points are
 discounted by the share of its text that lies in links. The best container is kept, with the whole
-article around it if it is in one, and with those siblings that read like a part of the text.
+article around it if it is in one. Without an article, what stands beside it or beside a container
+around it is kept too if it holds a paragraph or heading, however short, and is not mostly links.
 What is never part of a text (menus, forms, scripts, notices and the like) is left out before
 the scoring.
 """
@@ -26,6 +27,8 @@ BLOCKS = HEADINGS | frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+PROSE = frozenset("p pre blockquote li dd td".split())
+LINKED = 0.5  # share of links from which text is no part of the main text
 PARAGRAPHS = frozenset("p pre td th li dd blockquote figcaption".split())
 ARTICLES = frozenset(("article", "main"))
 LEFT_OUT = RAW | frozenset(
@@ -63,12 +66,12 @@ HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
 class Element:
-    __slots__ = ("commas", "length", "linked", "name", "out", "parent", "points", "text")
+    __slots__ = ("commas", "length", "linked", "name", "out", "own", "parent", "points", "text")
 
     def __init__(self, name: str, parent: int, out: bool) -> None:
         self.name, self.parent, self.out = name, parent, out
         self.points = 0.0
-        self.length = self.linked = self.text = self.commas = 0
+        self.length = self.linked = self.own = self.text = self.commas = 0
 
 
 def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
@@ -203,6 +206,7 @@ def main_text(page: str) -> str:
 
 def _pass_points(elements: list[Element]) -> None:
     for element in elements:
+        element.own = element.linked  # before the links of what is inside join it
         if not element.length or element.out or element.name in HEADINGS:
             continue
         points = 1 + element.commas + min(element.length / 100, 3.0)
@@ -243,18 +247,47 @@ def _kept(elements: list[Element]) -> list[bool]:
             best = up
             break
         up = elements[up].parent
+    prose = [e.name in PROSE | HEADINGS and e.text > 2 * e.linked for e in elements]  # in the element or below
+    for i in range(len(elements) - 1, 0, -1):
+        if prose[i] and not elements[i].out:
+            prose[elements[i].parent] = True
+    level = {}  # the way up from the best container: the next element down, by element
+    up = best
+    while up > 0:
+        level[elements[up].parent] = up
+        up = elements[up].parent
+    marked = elements[best].name in ARTICLES
+    inside = [False] * len(elements)  # an article
+    for i, e in enumerate(elements):
+        inside[i] = e.name in ARTICLES or (e.parent >= 0 and inside[e.parent])
     chosen = {best}
+    climbed = set()
     for i, e in enumerate(elements):
-        if i != best and e.parent == elements[best].parent and not e.out and e.text:
-            density = e.linked / e.text
+        if e.parent not in level or level[e.parent] == i or e.out or not e.text:
+            continue
+        density = e.linked / e.text
+        near = e.parent == elements[best].parent
+        if marked and not inside[e.parent]:
+            # Beside an article stands little of it.
             like = e.points * (1 - density) >= max(10.0, 0.2 * most)
-            prose = e.name in PARAGRAPHS and density < 0.25 and e.text > 80
-            title = e.name == "h1" and i < best
-            if like or prose or title:
-                chosen.add(i)
+            part = e.name in PARAGRAPHS and density < 0.25 and e.text > 80
+            good = near and (like or part or (e.name in ARTICLES and density < LINKED))
+        else:
+            good = density < LINKED and (prose[i] or e.points * (1 - density) >= 0.2 * most)
+        if good or (near and e.name == "h1" and i < best):
+            chosen.add(i)
+            if good and (not marked or inside[e.parent]):
+                climbed.add(e.parent)
     kept = [False] * len(elements)
     for i, e in enumerate(elements):
-        kept[i] = not e.out and (i in chosen or (e.parent >= 0 and kept[e.parent]))
+        if e.out:
+            continue
+        if i in level and i != best:  # a container around: its own words, if it holds several parts
+            kept[i] = i in climbed and e.length > 0 and e.own < LINKED * e.length
+        elif e.parent in level and e.text and i not in chosen:
+            kept[i] = False
+        else:
+            kept[i] = i in chosen or (e.parent >= 0 and kept[e.parent])
     return kept
 
 

@@ -60,6 +60,26 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+SHORT = "<p>Short one, here.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div><div>{SHORT * 4}</div><div>{SHORT * 2}</div></div>", "\n".join(["Short one, here."] * 6)),
+        ("<div><p>Short lead.</p><div>" + "Long text, of one part. " * 20 + "</div><h2>Part</h2><p>Short end.</p></div>",
+         "Short lead.\n" + ("Long text, of one part. " * 20).strip() + "\nPart\nShort end."),
+        (f"<body><div><div>{SHORT * 20}</div></div><section><h2>Part</h2><div>{SHORT}</div></section><ul><li><a href=x>A link, a link</a></ul></body>",
+         "\n".join(["Short one, here."] * 20 + ["Part", "Short one, here."])),
+        (f"<div>Own words. <a href=x>One link</a><div>{SHORT * 4}</div><div>{SHORT}</div></div>",
+         "\n".join(["Own words. One link"] + ["Short one, here."] * 5)),
+        (f"<div><a href=x>Link, a link</a><div>{SHORT * 4}</div><table><tr><td>cell</table></div>", "\n".join(["Short one, here."] * 4 + ["cell"])),
+    ],
+)
+def test_unequal_sections_without_article(page, text):
+    assert main_text(page) == text
+
+
 def test_very_long_and_deep_pages():
     long = "<article>" + "<p>word, word.</p>" * 20_000 + "</article>"
     assert main_text(long).count("\n") == 19_999
