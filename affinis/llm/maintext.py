@@ -6,13 +6,15 @@ discounted by the share of its text that lies in links. The best container is ke
 article around it if it is in one. Without an article, what stands beside it or beside a container
 around it is kept too if it holds a paragraph or heading, however short, and is not mostly links.
 What is never part of a text (menus, forms, scripts, notices and the like) is left out before
-the scoring.
+the scoring. A class or id that only sounds like one leaves out elements with little prose or mostly
+links and without an article inside; one that is wholly such a name leaves out any but the page's text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,19 +34,22 @@ LINKED = 0.5  # share of links from which text is no part of the main text
 PARAGRAPHS = frozenset("p pre td th li dd blockquote figcaption".split())
 ARTICLES = frozenset(("article", "main"))
 LEFT_OUT = RAW | frozenset(
-    "aside audio button canvas datalist dialog footer form head input label math menu meter nav object option optgroup "
+    "annotation annotation-xml aside audio button canvas datalist dialog footer form head input label menu meter nav object option optgroup "
     "progress select svg video".split()
 )
 ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split()
 )
-# Words in a class or id that mark what is no part of a text, wherever it stands.
+# Words in a class or id of what is no part of a text, unless it holds an article or much prose.
 NEVER = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner breadcrumb breadcrumbs comment comments "
     "consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice overlay pager "
     "pagination popup promo promoted promotion recommended related replies respond share sharing sidebar signup skip social "
     "sponsor sponsored subscribe toolbar widget".split()
 )
+# Labels that tell an element's layout: what follows in the label is inside or beside it.
+LAYOUT = frozenset(("has", "no", "with", "without"))
+LITTLE = 200  # characters outside links; an element with fewer is left out for one such word
 # A new start tag closes an open element of these kinds, if no element of the second kind lies between.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -65,34 +70,68 @@ WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
+IN, DOUBTED, NAMED, OUT = range(4)
+
+
 class Element:
-    __slots__ = ("commas", "length", "linked", "name", "out", "own", "parent", "points", "text")
+    __slots__ = ("commas", "length", "linked", "mark", "name", "out", "own", "parent", "points", "text")
 
-    def __init__(self, name: str, parent: int, out: bool) -> None:
-        self.name, self.parent, self.out = name, parent, out
+    def __init__(self, name: str, parent: int, out: bool, mark: int = 0) -> None:
+        self.name, self.parent, self.out, self.mark = name, parent, out, mark
         self.points = 0.0
         self.length = self.linked = self.own = self.text = self.commas = 0
 
 
-def _unwanted(name: str, attributes: str, in_article: bool) -> bool:
+def _mark(name: str, attributes: str, in_article: bool) -> int:
+    """OUT if never part of a text, NAMED or DOUBTED if a whole label or a word of one says so."""
     if name in LEFT_OUT or (name == "header" and not in_article):
-        return True
+        return OUT
     if not attributes.strip() or name in ("html", "body"):
-        return False
+        return IN
     given = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
-    if "hidden" in given or given.get("aria-hidden") == "true" or HIDDEN.search(given.get("style", "")):
-        return True
-    if given.get("role", "").lower() in ROLES:
-        return True
+    if "hidden" in given or HIDDEN.search(given.get("style", "")) or given.get("role", "").lower() in ROLES:
+        return OUT
     if name in ARTICLES:
-        return False
-    for label in f"{given.get('class', '')} {given.get('id', '')}".split():
-        words = [w.lower() for w in WORDS.findall(label)]
-        if words and words[0] in ("no", "has", "with"):
-            continue
-        if NEVER.intersection(words) or ("header" in words and not in_article):
-            return True
-    return False
+        return IN
+    found = DOUBTED if given.get("aria-hidden") == "true" else IN
+    whole_only = name in HEADINGS or name in ("p", "pre", "blockquote")
+    labels = [(label, whole_only) for label in given.get("class", "").split()]
+    if not whole_only:  # their ids are made from their words
+        labels += [(label, name not in ("div", "span", "ul", "ol", "table")) for label in given.get("id", "").split()]
+    for label, whole_label in labels:
+        words = list(takewhile(lambda w: w not in LAYOUT, (w.lower() for w in WORDS.findall(label))))
+        told = [w in NEVER or (w == "header" and not in_article) for w in words]
+        if told and all(told):
+            return NAMED
+        if any(told) and not whole_label:
+            found = DOUBTED
+    return found
+
+
+def _decide(elements: list[Element]) -> None:
+    """Leave out the elements that a class or id marks, except what holds the text or much prose."""
+    plain = [0 if e.out else e.length - e.linked for e in elements]  # characters outside links, below too
+    linked = [0 if e.out else e.linked for e in elements]
+    holds = [e.name in ARTICLES and not e.out for e in elements]
+    below = [e.mark == NAMED for e in elements]  # in a named element, or one itself
+    for i in range(1, len(elements)):
+        below[i] = below[i] or below[elements[i].parent]
+    apart = any(h and not b for h, b in zip(holds, below, strict=True))  # an article in no named element
+    for i in range(len(elements) - 1, 0, -1):
+        up = elements[i].parent
+        plain[up] += plain[i]
+        linked[up] += linked[i]
+        holds[up] = holds[up] or holds[i]
+    inside = [False] * len(elements)
+    for i, e in enumerate(elements):
+        inside[i] = e.name in ARTICLES or (e.parent >= 0 and inside[e.parent])
+        if e.parent >= 0 and elements[e.parent].out:
+            e.out = True
+        elif e.mark == DOUBTED and not holds[i]:
+            e.out = plain[i] < LITTLE or linked[i] > plain[i]
+        elif e.mark == NAMED and (apart or not holds[i]):
+            most = plain[i] >= LITTLE and plain[i] > plain[0] - plain[i] and linked[i] <= plain[i]
+            e.out = not most or (apart and not inside[i])
 
 
 def main_text(page: str) -> str:
@@ -124,7 +163,7 @@ def main_text(page: str) -> str:
         events.append((stack[-1], text))
         size = len(text.strip())
         if size:
-            owner = next(i for i in reversed(stack) if elements[i].name in BLOCKS or i == 0)
+            owner = next(i for i in reversed(stack) if elements[i].name in BLOCKS or elements[i].mark or i == 0)
             block = elements[owner]
             block.length += size
             block.commas += text.count(",")
@@ -191,14 +230,15 @@ def main_text(page: str) -> str:
             continue
         if name in BLOCKS:
             events.append((stack[-1], None))
-        out = elements[stack[-1]].out or _unwanted(name, attributes, articles > 0)
-        elements.append(Element(name, stack[-1], out))
+        mark = _mark(name, attributes, articles > 0)
+        elements.append(Element(name, stack[-1], elements[stack[-1]].out or mark == OUT, mark))
         if attributes.endswith("/") and name not in BLOCKS:
             continue
         stack.append(len(elements) - 1)
         articles += name in ARTICLES
         links += name == "a"
 
+    _decide(elements)
     _pass_points(elements)
     kept = _kept(elements)
     return "\n".join(_blocks(events, kept))

@@ -80,6 +80,30 @@ def test_unequal_sections_without_article(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='content-with-sidebar'><article>{PROSE}</article></div>", TEXT),
+        (f"<div class='layout sidebar-right'><main>{PROSE}</main></div>", TEXT),
+        (f"<div class='main-with-nav'>{PROSE}</div>", TEXT),
+        (f"<div id='overlay'><article>{PROSE}</article></div>", TEXT),
+        (f"<div class='modal'>{PROSE * 4}</div>", "\n".join([TEXT] * 4)),
+        (f"<div class='ad'>{PROSE * 4}</div><article><p>Cut.", "Cut."),
+        (f"<div class='page-notice'>{PROSE * 4}</div>", "\n".join([TEXT] * 4)),
+        (f"<article><h2 id='related-work'>Related work</h2>{PROSE}</article>", "Related work\n" + TEXT),
+        (f"<article>{PROSE}<section id='social-history'><p>Short.</p></section></article>", TEXT + "\nShort."),
+        (f"<article>{PROSE}<p class='share-price'>It rose, then fell.</p></article>", TEXT + "\nIt rose, then fell."),
+        (f"<article>{PROSE}<section id='menu-of-the-day'><p>Soup.</p></section></article>", TEXT + "\nSoup."),
+        ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>.</p></article>", "So x=2."),
+        (f"<article><div aria-hidden='true'>{PROSE * 4}</div></article>", "\n".join([TEXT] * 4)),
+        (f"<article>{PROSE}<div class='sidebar-box'><p>Short.</p></div><div class='share'>Share, share</div></article>", TEXT),
+        (f"<article>{PROSE}</article><div class='comments'><article><p>Reader, reader, reader.</p></article></div>", TEXT),
+    ],
+)
+def test_names_of_elements_that_hold_text(page, text):
+    assert main_text(page) == text
+
+
 def test_very_long_and_deep_pages():
     long = "<article>" + "<p>word, word.</p>" * 20_000 + "</article>"
     assert main_text(long).count("\n") == 19_999
