@@ -24,7 +24,7 @@ from ..workspace import ship, written
 from .vectors import ASKED, BLOCK, found_table, ids_of, matrix, ranked, searched, usable
 
 FIT_ROWS = 8192  # bound of the sample that the index is fitted on
-HELD_BACK = 512  # rows of the sample that measure recall
+HELD_BACK = 512  # rows of the sample that measure recall, a fifth of it at most, and teach nothing
 LINKS = 10
 HIDDEN = 128
 RECALL = 0.97  # wanted on the held-back rows
@@ -103,8 +103,14 @@ def balanced_cut(unit: np.ndarray, near: np.ndarray, parts: int, rounds: int = 1
 
 
 def fit_router(unit: np.ndarray, parts: int, k: int, recall: float, seed: int = 1, epochs: int = 30) -> Router:
-    """Cut the sample's neighbour graph, learn the parts, and measure the probes that are needed."""
+    """Cut the sample's neighbour graph, learn the parts, and measure the probes that are needed.
+
+    The rows that measure are set apart first: neither the cut nor the network sees them.
+    """
     dice = np.random.default_rng(seed)
+    every = unit
+    apart = dice.permutation(len(every))[: min(HELD_BACK, len(every) // 5)]
+    unit = np.delete(every, apart, axis=0)
     n, d = unit.shape
     links = max(1, min(LINKS, n - 1))
     near = nearest_in(unit, np.arange(n), links) if n > 1 else np.zeros((n, 1), np.int64)
@@ -133,11 +139,10 @@ def fit_router(unit: np.ndarray, parts: int, k: int, recall: float, seed: int =
                 rate = 0.003 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 weights[i] = weights[i] - rate * first[i] / (np.sqrt(second[i]) + 1e-8)
     router = Router(*weights, probes=parts)
-    if n > k + 1:
-        asked = dice.permutation(n)[:HELD_BACK]
-        truth = nearest_in(unit, asked, min(k, n - 1))
-        order = router.parts(unit)
-        place = np.argsort(order[asked], axis=1)  # when each part is tried
+    if len(apart) and n > k + 1:
+        truth = nearest_in(every, apart, k)
+        order = router.parts(every)
+        place = np.argsort(order[apart], axis=1)  # when each part is tried
         tried = np.take_along_axis(place, order[truth, 0], axis=1)
         share = np.cumsum(np.bincount(tried.ravel(), minlength=parts)) / tried.size
         router.probes = int(np.searchsorted(share, recall - 1e-12)) + 1

@@ -119,6 +119,27 @@ def test_clustered_vectors_need_few_parts():
     assert fit_router(unit, 16, 5, 0.97).probes <= 6
 
 
+def test_rows_that_measure_teach_nothing(monkeypatch):
+    from affinis.llm import partitions
+
+    cut = []
+    monkeypatch.setattr(partitions, "balanced_cut", lambda unit, *rest: cut.append(len(unit)) or balanced_cut(unit, *rest))
+    partitions.fit_router(unit_rows(np.random.default_rng(4).normal(size=(1000, 16))), 8, 5, 0.97)
+    assert cut == [800]
+
+
+def test_recall_of_rows_outside_the_fit(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    held = e.toArrow()
+    ids, unit = held["vec_id"].to_numpy(), unit_rows(np.array(held["embedding"].to_pylist(), float))
+    queries = np.flatnonzero(ids % 10 == 0)
+    found = {i: set() for i in ids[queries].tolist()}
+    for r in learned_neighbours(e, "vec_id", "embedding", F.col("vec_id") % 10 == 0, fit_rows=500).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    near = nearest_in(unit, queries, 5)
+    assert np.mean([len(found[ids[q]] & set(ids[n].tolist())) / 5 for q, n in zip(queries, near, strict=True)]) >= 0.97
+
+
 def test_nearest_of_odd_rows(spark):
     df = spark.createDataFrame([(*r, 1, 2.0, "x") for r in ODD], "vec_id long, embedding array<double>, _part int, score double, rank string")
     got = learned_neighbours(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0, k=3).collect()
