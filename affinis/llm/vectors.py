@@ -64,7 +64,13 @@ Search = Callable[[pa.Table, pa.Table], pa.Table]
 
 
 def searched(rows: DataFrame, queries: DataFrame, keys: list[str], search: Search, score: str) -> DataFrame:
-    """``search`` on each pair of a block of ``rows`` and the ``queries`` with the same ``keys``."""
+    """``search`` on each pair of a block of ``rows`` and the ``queries`` with the same ``keys``.
+
+    Both sides come from one written table. The queries get attributes of their own by being renamed
+    and named back: else column pruning, when a consumer drops columns, cannot tell the sides apart.
+    """
+    renamed = queries.select(*[F.col(c).alias(f"{c}_asked") for c in queries.columns])
+    queries = renamed.select(*[F.col(f"{c}_asked").alias(c) for c in queries.columns])
     fields = f"_query long, query_id long, vec_id long, score {score}"
     return rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, fields)
 

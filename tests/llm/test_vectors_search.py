@@ -81,6 +81,20 @@ def test_large_whole_components(spark):
     assert [(r["vec_id"], r["score"]) for r in got] == [(2, 4 * 10**18 - 21 * 10**9), (1, 4 * 10**18 - 3 * 10**9)][::-1]
 
 
+@pytest.mark.parametrize("search", [learned_neighbours, inner_product_top])
+def test_consumers_may_drop_columns(spark, search):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    odd = spark.createDataFrame([(*r, 1) for r in ODD], "vec_id long, embedding array<double>, _vec int")
+    for df in (e, odd):
+        found = search(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0, k=3)
+        whole = found.collect()
+        assert found.count() == len(whole) > 0
+        narrow = found.select("vec_id", "score").collect()
+        assert sorted((str(r["vec_id"]), r["score"]) for r in narrow) == sorted((str(r["vec_id"]), r["score"]) for r in whole)
+        named = found.join(df.select("vec_id").distinct(), "vec_id").count()
+        assert named == sum(r["vec_id"] is not None for r in whole)
+
+
 def plain_nearest(rows, every, k):
     out = {}
     unit = {n: np.array(v) / np.linalg.norm(v) for n, _, v in rows}
