@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .langid import identify_languages
+from .lexical import ranked_documents
 from .maintext import page_texts
 from .mixing import Mix
 from .partitions import learned_neighbours
 from .pieces import piece_codes
 from .sharding import balanced_shards
 from .simhash import simhash_groups
+from .spelling import spelling_forms
 from .texts import read
 from .threshold import inner_product_top
 from .tokencount import token_counts
@@ -71,6 +73,15 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents, "text", vocabulary("word_bpe_49k.json"), 2048, ["doc_id"])
 
 
+def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_forms(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    return ranked_documents(documents, items, "doc_id", "text", "item_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_shards": shards,
     "op2_language": languages,
@@ -82,6 +93,8 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": toxicity,
     "op9_simhash_groups": near_duplicates,
     "op10_token_counts": document_tokens,
+    "op11_spelling_variants": spellings,
+    "op13_ranked_search": ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -125,4 +138,66 @@ select doc_id, size, source_size, target,
     (greatest(0, least(start + size, takes) - start)
     + greatest(0, least(source_size + start + size, takes) - source_size - start))::bigint as taken
 from p""",
+    # The checksum is worked out byte by byte; words are near if they are equal without one letter.
+    "op11_spelling_variants": r"""
+with recursive k as (select 3988292384::ubigint as p),
+step as (select i as b, i::ubigint as c, 0 as round from range(256) t(i)
+    union all select b, case when c % 2 = 1 then xor(c // 2, 3988292384::ubigint) else c // 2 end, round + 1 from step where round < 8),
+tab as (select list(c order by b) as t from step where round = 8),
+runs as (
+    select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) as run
+    from documents),
+r as (select id, run, count(*)::bigint as n from runs group by all),
+bytes as (
+    select id, run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda c:
+        case when unicode(c) < 128 then [unicode(c)] else [192 + unicode(c) // 64, 128 + unicode(c) % 64] end)) as b
+    from r),
+marked as (
+    select run, n, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(b, lambda x: x::ubigint)),
+        lambda h, x: xor(h // 256, tab.t[(xor(h, x) & 255)::int + 1])), 4294967295::ubigint) as h
+    from bytes, tab),
+cut as (
+    select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n
+    from marked),
+w as (select word, sum(n)::bigint as n from cut where length(word) >= 7 group by word having sum(n) >= 2),
+del as (select word, n, unnest(range(length(word))) as i from w),
+d as (select word, n, i, substr(word, 1, i::int) || substr(word, i::int + 2) as v from del),
+near as (
+    select distinct a.word, b.word as other, b.n as m from d a join d b on a.v = b.v and a.i = b.i and length(a.word) = length(b.word) and a.word <> b.word
+    union select distinct d.word, w.word, w.n from d join w on d.v = w.word
+    union select distinct w.word, d.word, d.n from d join w on d.v = w.word),
+best as (
+    select word, count(*) as n_near, arg_min(other, (-m, other)) as f, max(m) as m from near group by word),
+f as (
+    select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when m >= 10 * w.n then f end as form, case when m >= 10 * w.n then m end as form_n
+    from w left join best using (word)),
+up as (select word, word as at from f union all select up.word, f.form from up join f on f.word = up.at where f.form is not null),
+root as (select up.word, up.at from up join f on f.word = up.at where f.form is null)
+select f.word, form, root.at as root, n, n_near, form_n from f join root using (word)""",
+    "op13_ranked_search": r"""
+with d as (
+    select row_number() over () as r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+    from documents),
+c as (select count(*) filter (len(terms) > 0)::bigint as n, sum(len(terms))::bigint as l from d),
+t as (select r, doc_id, len(terms)::bigint as n, unnest(terms) as term from d),
+f as (select r, doc_id, n, term, count(*)::bigint as tf from t group by all),
+w as (
+    select term, floor(1000 * ln((2 * c.n + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+    from f, c group by term, c.n),
+q as (
+    select distinct i, item_id, term from (
+        select row_number() over () as i, item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+        from benchmark)),
+s as (
+    select i, item_id, r, doc_id,
+        sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * f.n * c.n) // c.l))))::bigint as score
+    from q join f using (term) join w using (term), c group by all),
+k as (
+    select *, row_number() over (partition by i order by score desc, doc_id) as rk from s where score > 0)
+select item_id, rk::int as "rank", doc_id, score from k where rk <= 10""",
 }
