@@ -16,6 +16,7 @@ from .pieces import piece_codes
 from .sharding import balanced_shards
 from .simhash import simhash_groups
 from .spelling import spelling_forms
+from .suffixes import without_repeats
 from .texts import read
 from .threshold import inner_product_top
 from .tokencount import token_counts
@@ -77,6 +78,10 @@ def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_forms(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(read(spark, sf_dir, "documents"), "text", 400, ["doc_id"], content=False)
+
+
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     return ranked_documents(documents, items, "doc_id", "text", "item_id")
@@ -94,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op9_simhash_groups": near_duplicates,
     "op10_token_counts": document_tokens,
     "op11_spelling_variants": spellings,
+    "op12_suffix_dedup": suffix_dedup,
     "op13_ranked_search": ranked_search,
 }
 
@@ -175,6 +181,25 @@ f as (
 up as (select word, word as at from f union all select up.word, f.form from up join f on f.word = up.at where f.form is not null),
 root as (select up.word, up.at from up join f on f.word = up.at where f.form is null)
 select f.word, form, root.at as root, n, n_near, form_n from f join root using (word)""",
+    "op12_suffix_dedup": r"""
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select r, doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 399))) as i from d),
+w as (select r, i, md5(substr(h, (2 * i + 1)::bigint, 800)) as m from p),
+c as (select m from w group by m having count(*) > 1),
+hit as (select r, i from w semi join c using (m)),
+g as (select *, case when i > coalesce(max(i) over (partition by r order by i rows between unbounded preceding and 1 preceding) + 400, -1) then 1 else 0 end as fresh from hit),
+n as (select *, sum(fresh) over (partition by r order by i) as k from g),
+span as (select r, k, min(i) as a, max(i) + 400 as b from n group by r, k),
+gaps as (
+    select r, coalesce(lag(b) over (partition by r order by a), 0) as a, a as b from span
+    union all select r, max(b), null from span group by r),
+left_over as (
+    select d.r, string_agg(substr(h, (2 * g.a + 1)::bigint, (2 * (coalesce(g.b, length(h) // 2) - g.a))::bigint), '' order by g.a) as h
+    from gaps g join d using (r) group by d.r),
+total as (select r, count(*) as n_spans, sum(b - a)::bigint as n_removed from span group by r)
+select doc_id, (length(d.h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+    sha256(unhex(coalesce(l.h, d.h))) as kept_sha256
+from d left join left_over l using (r) left join total using (r)""",
     "op13_ranked_search": r"""
 with d as (
     select row_number() over () as r, doc_id,
