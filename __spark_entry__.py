@@ -22,14 +22,17 @@ from affinis.operators.encode import (  # noqa: E402
     hashing,
 )
 from affinis.operators.keys import with_composite_key  # noqa: E402
+from affinis.operators.linking import cross_pairs, one_to_one  # noqa: E402
 from affinis.operators.matching import Matches, annotated, annotation_summary, match  # noqa: E402
 from affinis.operators.numbering import numbered  # noqa: E402
 from affinis.operators.pairs import similar_pairs  # noqa: E402
 from affinis.operators.profile import key_audit, profiles, repeated_keys  # noqa: E402
+from affinis.operators.sparse import sparse_pairs  # noqa: E402
 from affinis.operators.topk import neighbours  # noqa: E402
 from affinis.plans.jobs import dedup_table, nearest_rows, preset_matches  # noqa: E402
 from affinis.settings import MODELS  # noqa: E402
 from affinis.sources import tables as S  # noqa: E402
+from affinis.sources.grouped import GroupedVectors  # noqa: E402
 from affinis.sources.vector_table import VectorTable  # noqa: E402
 from affinis.workspace import few_rows, scratch_path, written  # noqa: E402
 
@@ -232,6 +235,39 @@ def _doc_vectors(spark: SparkSession, sf_dir: str, dim: int) -> DataFrame:
     return written(d.select("doc_id", "_emb_text"), "vectors")
 
 
+def _sparse_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near texts among hashed vectors of 1,024 components, most of them 0."""
+    return sparse_pairs(_doc_vectors(spark, sf_dir, 1024), "doc_id", "_emb_text", 0.8, decimals=4)
+
+
+def _cross_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against benchmark items, as two lists."""
+    items = embed_columns(_read(spark, sf_dir, "benchmark"), ["text"], hashing(64))
+    items = written(items.select("item_id", F.col("_emb_text").alias("_item")), "vectors")
+    return cross_pairs(_doc_vectors(spark, sf_dir, 64), items, "doc_id", "item_id", "_emb_text", "_item", LINKED)
+
+
+def _cross_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cross_pairs(spark, sf_dir).select("left_id", "right_id", F.round("score", 4).alias("score"))
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = one_to_one(_cross_pairs(spark, sf_dir))
+    return taken.select("left_id", "right_id", F.round("score", 4).alias("score"))
+
+
+def _groups_after_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents, added language by language."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", "lang")
+    vectors = written(_doc_vectors(spark, sf_dir, 64).join(d, "doc_id"), "vectors")
+    path = scratch_path(spark, "groups")
+    GroupedVectors.create(spark, path, 0.95)
+    german, english = [F.col("lang").eqNullSafe(c) for c in ("de", "en")]
+    for part in (german, english, ~german & ~english):
+        GroupedVectors.open(spark, path).add(vectors.where(part), "doc_id", "_emb_text")
+    return GroupedVectors.open(spark, path).groups().select(F.col("_id").alias("doc_id"), "group_id")
+
+
 def _topk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _doc_vectors(spark, sf_dir, 64)
     return neighbours(d, "doc_id", "_emb_text", top_k=5, decimals=4)
@@ -465,6 +501,7 @@ def _presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+LINKED = 0.5
 PAIR_BOUNDS = {"cosine": 0.25, "euclidean": 1.2, "manhattan": 7.6, "dot": 0.25}
 
 
@@ -515,12 +552,16 @@ def queries() -> dict[str, Query]:
         "e_metrics_pairs": _compare,
         "e_normalise": _normalise,
         **{f"f_pairs_{m}": _pairs(m, b) for m, b in PAIR_BOUNDS.items()},
+        "f_cross_pairs": _cross_relation,
+        "f_pairs_sparse": _sparse_pairs,
         "g_score_stats": _score_stats,
         **{f"g_topk_{m}": _topk(m) for m in V.METRICS},
         "g_topk_threshold": _topk("cosine", 0.4),
         "h_annotate": _annotate,
         "h_annotate_counts": _annotate_counts,
         "h_annotate_repeated_keys": _annotate_repeated,
+        "h_groups_after_adds": _groups_after_adds,
+        "h_link_one_to_one": _assigned,
         "h_match_groups": _match_groups,
         "h_match_pairs": _match_pairs,
         "h_match_repeated_keys": _match_repeated,
@@ -898,6 +939,33 @@ select ik as query_key, jk as match_key, sim as similarity, group_id from p""",
         "h_match_groups": f"""
 with {_match_sql(EMBEDDINGS, 0.35, 4)}
 select i::varchar as query_key, j::varchar as match_key, sim as similarity, group_id from m join g on g.id = m.i""",
+        "f_cross_pairs": f"""
+with {docs64}, {asked64}, {_unit()}, {_unit("q")},
+s as (select b.id as left_id, a.id as right_id, {cosine} as s from qu a cross join eu b)
+select left_id, right_id, round(s, 4)::double as score from s where s >= {LINKED}""",
+        "f_pairs_sparse": f"""
+with {_hashed("documents", "doc_id", "text", 1024)},
+n as (select id, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n, v from e),
+c as (select id, unnest(v) / n as x, unnest(range(1024)) as k from n where n > 0),
+s as (
+    select a.id as id_a, b.id as id_b, sum(a.x * b.x) as s from c a join c b on a.k = b.k and a.id < b.id
+    where a.x <> 0 and b.x <> 0 group by 1, 2)
+select id_a, id_b, round(s, 4)::double as score from s where s >= 0.8""",
+        "h_groups_after_adds": f"""
+with {_match_sql(docs64, 0.95, 4)}
+select id as doc_id, group_id from g""",
+        "h_link_one_to_one": f"""
+with recursive {docs64}, {asked64}, {_unit()}, {_unit("q")},
+s as (select b.id as l, a.id as r, {cosine} as s from qu a cross join eu b),
+p as (select *, row_number() over (order by s desc, l, r) as k from s where s >= {LINKED}),
+t as (
+    select 0::bigint as k, []::bigint[] as ls, []::bigint[] as rs
+    union all
+    select p.k, case when free then list_append(ls, l) else ls end, case when free then list_append(rs, r) else rs end
+    from (select t.ls, t.rs, p.*, not list_contains(t.ls, p.l) and not list_contains(t.rs, p.r) as free from t join p on p.k = t.k + 1) p),
+w as (select ls, rs from t order by k desc limit 1),
+a as (select unnest(ls) as l, unnest(rs) as r from w)
+select l as left_id, r as right_id, round(p.s, 4)::double as score from a join p using (l, r)""",
         "h_match_pairs": f"""
 with {_match_sql(EMBEDDINGS, 0.4, 4)}
 select i::varchar as query_key, j::varchar as match_key, sim as similarity from m""",
