@@ -22,6 +22,7 @@ from affinis.operators.encode import (  # noqa: E402
     hashing,
 )
 from affinis.operators.keys import with_composite_key  # noqa: E402
+from affinis.operators.graph import beam_search, neighbour_graph  # noqa: E402
 from affinis.operators.linking import cross_pairs, one_to_one  # noqa: E402
 from affinis.operators.matching import Matches, annotated, annotation_summary, match  # noqa: E402
 from affinis.operators.numbering import numbered  # noqa: E402
@@ -382,6 +383,27 @@ def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the neighbour graph, and a beam search over it, find of the exact neighbours; in one row."""
+    e = _read(spark, sf_dir, "embeddings")
+    exact = neighbours(e, "vec_id", "embedding", top_k=5, decimals=4)
+    exact = written(exact.select(F.col("query_key").cast("long").alias("query_id"), F.col("neighbor_key").cast("long").alias("id")), "exact")
+    graph = neighbour_graph(e, "vec_id", "embedding")
+    linked = graph.neighbours(5)
+    asked = e.where(F.col("vec_id") % 50 == 0)
+    found, scored = beam_search(graph, asked, "vec_id", "embedding", 6)
+    walked = found.where("query_id <> id")
+    hits = lambda rows: rows.join(exact, ["query_id", "id"], "left_semi").select(F.col("query_id") % 50 == 0)
+    told = [rows.toDF("asked").withColumn("what", F.lit(w)) for w, rows in (
+        ("exact", exact.select(F.col("query_id") % 50 == 0)), ("graph", hits(linked)), ("beam", hits(walked)))]
+    count = lambda what, asked=False: F.count_if((F.col("what") == what) & (F.col("asked") | F.lit(not asked)))
+    return reduce(DataFrame.unionByName, told).agg(
+        count("exact").alias("rows"),
+        (count("graph") >= 0.95 * count("exact")).alias("graph_recall_over_95_percent"),
+        (count("beam", True) >= 0.95 * count("exact", True)).alias("beam_recall_over_95_percent"),
+    )
+
+
 def _sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select("doc_id", "text")
     starts = F.array(*[F.lit(s) for s in ("", "=", "+", "-", "@", "\t", "\r")])
@@ -568,6 +590,7 @@ def queries() -> dict[str, Query]:
         "h_summary": _match_summary,
         "i_approximate_recall": _recall,
         "i_approximate_topk": _approximate,
+        "i_graph_recall": _graph_recall,
         "i_incremental_add": _incremental,
         "i_info": _info,
         "i_query_indexed": _query_indexed,
@@ -976,6 +999,9 @@ union all select 'matched rows', count(*) from g union all select 'annotated gro
         "i_approximate_recall": (
             'select count(*) * 5 as "rows", true as ranks_valid, true as recall_over_80_percent from embeddings'
         ),
+        "i_graph_recall": (
+            'select count(*) * 5 as "rows", true as graph_recall_over_95_percent, true as beam_recall_over_95_percent from embeddings'
+        ),
         "i_incremental_add": f"""
 with {docs64}, {STORED}
 select s.pos, s.doc_id::varchar as key, s.lang, len(e.v)::int as dim, round(list_sum(e.v), 4) as element_sum

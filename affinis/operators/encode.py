@@ -25,6 +25,10 @@ from ..settings import VECTOR_PREFIX, same_dimension
 from ..workspace import fill_cores, ship
 
 
+PORTION_LETTERS = 1 << 20  # text that an encoder gets at once
+PORTION_NUMBERS = 1 << 20  # numbers of the vectors that it gives at once
+
+
 class Encoder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
@@ -96,6 +100,19 @@ def hashing(dim: int = 384, ngram: int | None = None) -> EncoderSpec:
     return EncoderSpec(partial(HashingEncoder, dim, ngram), dim, f"hashing-{kind}-{dim}")
 
 
+def encoder_portions(texts: list[str], dim: int) -> Iterator[tuple[int, int]]:
+    """(first, last) of portions of a batch that an encoder gets at once: bounded by their letters and by the
+    numbers of their vectors. A longer text is a portion of its own."""
+    first, letters, most = 0, 0, max(1, PORTION_NUMBERS // dim)
+    for i, text in enumerate(texts):
+        if i > first and (letters + len(text) > PORTION_LETTERS or i - first >= most):
+            yield first, i
+            first, letters = i, 0
+        letters += len(text)
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def encoded(text: Column, encoder: EncoderSpec) -> Column:
     """The vector of a text column. Whole texts are read; a missing text is the empty one.
 
@@ -106,11 +123,14 @@ def encoded(text: Column, encoder: EncoderSpec) -> Column:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
-        for texts in batches:
-            vectors = np.asarray(model.encode(texts.tolist()), dtype=np.float32)
-            if vectors.shape != (len(texts), dim):
-                raise ValueError(f"The encoder gave {vectors.shape}, expected ({len(texts)}, {dim}).")
-            yield pd.Series(list(vectors))
+        for batch in batches:
+            texts, done = batch.tolist(), []
+            for first, last in encoder_portions(texts, dim):
+                vectors = np.asarray(model.encode(texts[first:last]), dtype=np.float32)
+                if vectors.shape != (last - first, dim):
+                    raise ValueError(f"The encoder gave {vectors.shape}, expected ({last - first}, {dim}).")
+                done += list(vectors)
+            yield pd.Series(done, dtype=object)
 
     # pandas_udf reads the type hints at run time.
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}

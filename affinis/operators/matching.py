@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULT_DECIMALS, DEFAULT_MATCH_THRESHOLD
 from ..workspace import written
 from .components import components
-from .copies import ID, KEY, REP, members
+from .copies import ID, KEY, PRINT, REP, members
 from .lookup import attach
 from .numbering import numbered
 from .pairs import Near, matching_copies, near_pairs, row_pairs
@@ -164,8 +164,17 @@ def _repeat(keys: DataFrame) -> bool:
 
 
 def _between_keys(near: Near, threshold: float, decimals: int) -> Matches:
-    """Matches of a table whose keys repeat. Keys are nodes, known by their lowest id."""
-    whole = row_pairs(near)
+    """Matches of a table whose keys repeat. Keys are nodes, known by their lowest id.
+
+    The first pair of two keys lies between the lowest rows of each of their vectors, or, within a
+    key, between the two lowest: only these are paired, so copies are not listed with each other.
+    The rank limit works on the map side, too: a hot key sends two rows a vector and partition.
+    """
+    by_id = Window.partitionBy(PRINT, KEY).orderBy(ID)
+    lowest = near.rows.select(ID, KEY, PRINT).withColumn("_nth", F.row_number().over(by_id)).where("_nth <= 2")
+    few = replace(near, rows=written(lowest.drop("_nth"), "lowest"))
+    few.__dict__["pairs"] = near.pairs
+    whole = row_pairs(few)
     low, high = F.least("_i_key", "_j_key"), F.greatest("_i_key", "_j_key")
     first = F.min(F.struct("_i", "_j", "_i_key", "_j_key", "_good"))
     pairs = written(whole.groupBy(low.alias("_l"), high.alias("_h")).agg(first.alias("_p")).select("_p.*"), "key-pairs")
