@@ -182,9 +182,9 @@ up as (select word, word as at from f union all select up.word, f.form from up j
 root as (select up.word, up.at from up join f on f.word = up.at where f.form is null)
 select f.word, form, root.at as root, n, n_near, form_n from f join root using (word)""",
     "op12_suffix_dedup": r"""
-with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-p as (select r, doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 399))) as i from d),
-w as (select r, i, md5(substr(h, (2 * i + 1)::bigint, 800)) as m from p),
+with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as u, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select r, u, unnest(range(0, greatest(0, length(h) // 2 - 399))) as i from d),
+w as (select r, i, md5(u[(i + 1)::bigint:(i + 400)::bigint]) as m from p),
 c as (select m from w group by m having count(*) > 1),
 hit as (select r, i from w semi join c using (m)),
 g as (select *, case when i > coalesce(max(i) over (partition by r order by i rows between unbounded preceding and 1 preceding) + 400, -1) then 1 else 0 end as fresh from hit),
