@@ -238,7 +238,7 @@ def _doc_vectors(spark: SparkSession, sf_dir: str, dim: int) -> DataFrame:
 
 def _sparse_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near texts among hashed vectors of 1,024 components, most of them 0."""
-    return sparse_pairs(_doc_vectors(spark, sf_dir, 1024), "doc_id", "_emb_text", 0.8, decimals=4)
+    return sparse_pairs(_doc_vectors(spark, sf_dir, 1024), "doc_id", "_emb_text", 0.95, decimals=4)
 
 
 def _cross_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -973,7 +973,7 @@ c as (select id, unnest(v) / n as x, unnest(range(1024)) as k from n where n > 0
 s as (
     select a.id as id_a, b.id as id_b, sum(a.x * b.x) as s from c a join c b on a.k = b.k and a.id < b.id
     where a.x <> 0 and b.x <> 0 group by 1, 2)
-select id_a, id_b, round(s, 4)::double as score from s where s >= 0.8""",
+select id_a, id_b, round(s, 4)::double as score from s where s >= 0.95""",
         "h_groups_after_adds": f"""
 with {_match_sql(docs64, 0.95, 4)}
 select id as doc_id, group_id from g""",
