@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable
 from itertools import takewhile
 
 import pyarrow as pa
@@ -32,6 +33,7 @@ BLOCKS = HEADINGS | frozenset(
 PROSE = frozenset("p pre blockquote li dd td".split())
 LINKED = 0.5  # share of links from which text is no part of the main text
 PARAGRAPHS = frozenset("p pre td th li dd blockquote figcaption".split())
+FLAT = PARAGRAPHS | HEADINGS  # blocks that hold no paragraphs
 ARTICLES = frozenset(("article", "main"))
 LEFT_OUT = RAW | frozenset(
     "annotation annotation-xml aside audio button canvas datalist dialog footer form head input label menu meter nav object option optgroup "
@@ -139,6 +141,10 @@ def main_text(page: str) -> str:
     elements = [Element("#root", -1, False)]
     events: list[tuple[int, str | None]] = []  # text of an element, or None where a block begins or ends
     stack = [0]
+    owners = [0]  # by place on the stack: the element that owns the text there
+    depths: dict[str, list[int]] = {}  # places of the open elements of a name
+    blocks: list[int] = []  # places of the open blocks
+    containers: list[int] = []  # and of those that hold paragraphs
     articles = 0  # open articles
     links = 0
     at = 0
@@ -148,11 +154,21 @@ def main_text(page: str) -> str:
         nonlocal articles, links
         while len(stack) > depth:
             name = elements[stack.pop()].name
+            owners.pop()
+            depths[name].pop()
+            if name in BLOCKS:
+                blocks.pop()
+                if name not in FLAT:
+                    containers.pop()
             articles -= name in ARTICLES
             links -= name == "a"
             if name in BLOCKS:
                 events.append((stack[-1], None))
 
+    def nearest(names: Iterable[str]) -> int:
+        """The place of the innermost open element of these names, 0 without one."""
+        return max((depths[n][-1] for n in names if depths.get(n)), default=0)
+
     def add(text: str) -> None:
         if not text:
             return
@@ -163,8 +179,7 @@ def main_text(page: str) -> str:
         events.append((stack[-1], text))
         size = len(text.strip())
         if size:
-            owner = next(i for i in reversed(stack) if elements[i].name in BLOCKS or elements[i].mark or i == 0)
-            block = elements[owner]
+            block = elements[owners[-1]]
             block.length += size
             block.commas += text.count(",")
             block.linked += size if links else 0
@@ -187,34 +202,23 @@ def main_text(page: str) -> str:
             if name == "br":
                 events.append((stack[-1], " "))
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                open_name = elements[stack[depth]].name
-                if open_name == name:
-                    close(depth)
-                    break
-                # An inline or paragraph end does not reach through a container.
-                if open_name in BLOCKS and (name not in BLOCKS or (name in PARAGRAPHS | HEADINGS and open_name not in PARAGRAPHS | HEADINGS)):
-                    break
+            depth = nearest([name])
+            # An inline or paragraph end does not reach through a container.
+            walls = blocks if name not in BLOCKS else containers if name in FLAT else []
+            if depth and (not walls or depth >= walls[-1]):
+                close(depth)
             continue
         if not name:
             continue
         name = name.lower()
         if name in BLOCKS and name not in ("html", "body"):
-            for depth in range(len(stack) - 1, 0, -1):
-                open_name = elements[stack[depth]].name
-                if open_name == "p":
-                    close(depth)
-                    break
-                if open_name in BLOCKS:
-                    break
+            if blocks and elements[stack[blocks[-1]]].name == "p":
+                close(blocks[-1])
         if name in CLOSES:
             shut, walls = CLOSES[name]
-            for depth in range(len(stack) - 1, 0, -1):
-                if elements[stack[depth]].name in shut:
-                    close(depth)
-                    if name != "tr":
-                        break
-                elif elements[stack[depth]].name in walls:
+            while (depth := nearest(shut)) > nearest(walls):
+                close(depth)
+                if name != "tr":
                     break
         if name in HEADINGS and elements[stack[-1]].name in HEADINGS:
             close(len(stack) - 1)
@@ -235,6 +239,12 @@ def main_text(page: str) -> str:
         if attributes.endswith("/") and name not in BLOCKS:
             continue
         stack.append(len(elements) - 1)
+        owners.append(len(elements) - 1 if name in BLOCKS or mark else owners[-1])
+        depths.setdefault(name, []).append(len(stack) - 1)
+        if name in BLOCKS:
+            blocks.append(len(stack) - 1)
+            if name not in FLAT:
+                containers.append(len(stack) - 1)
         articles += name in ARTICLES
         links += name == "a"
 
@@ -274,7 +284,7 @@ def _kept(elements: list[Element]) -> list[bool]:
     """Whether the text right inside each element belongs to the main text."""
     best, most = -1, 0.0
     for i, e in enumerate(elements):
-        if e.out or not e.text or e.name in PARAGRAPHS | HEADINGS or (e.name not in BLOCKS and i):
+        if e.out or not e.text or e.name in FLAT or (e.name not in BLOCKS and i):
             continue
         score = e.points * (1 - e.linked / e.text)
         if score > most:

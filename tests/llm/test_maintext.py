@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -117,3 +118,19 @@ def test_odd_rows(spark):
     got = sorted(((r["page_id"] or 0), r["url"], r["text"], r["n_chars"]) for r in page_texts(df, "html", ["page_id", "url"]).collect())
     assert got == [(0, None, "x", 1), (1, "u", "", 0), (1, "u", "", 0), (2, "v", "", 0)]
     assert page_texts(df.limit(0), "html", ["page_id", "url"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<p>" + "<span>x " * 100_000,
+        "<b><div>" + "<span>" * 30_000 + "x</b>" * 30_000,
+        "<div>" * 30_000 + "<tr>x" * 30_000,
+        "<li><ul>" + "<span>" * 30_000 + "<li>x</li>" * 30_000,
+        "<div>" + "<span>" * 30_000 + "<hr>x" * 30_000,
+    ],
+)
+def test_unclosed_elements_take_linear_time(page):
+    start = time.time()
+    assert len(re.findall("x", main_text(page))) == page.count("x")
+    assert time.time() - start < 5
