@@ -255,20 +255,23 @@ def main_text(page: str) -> str:
 
 
 def _pass_points(elements: list[Element]) -> None:
-    for element in elements:
+    around = [-1] * len(elements)  # the next block on the way up, through any inline elements
+    for i, element in enumerate(elements):
+        up = element.parent
+        around[i] = up if up <= 0 or elements[up].name in BLOCKS else around[up]
         element.own = element.linked  # before the links of what is inside join it
         if not element.length or element.out or element.name in HEADINGS:
             continue
         points = 1 + element.commas + min(element.length / 100, 3.0)
         points *= 1 - element.linked / element.length
-        up, share = element.parent, 1
+        up, share = around[i], 1
         if element.name not in PARAGRAPHS:  # a container with text of its own
             element.points += points
             share = 2
         level = 0
         while up >= 0 and level < 5:
             elements[up].points += points / share
-            up = elements[up].parent
+            up = around[up]
             level += 1
             share = 2 if share == 1 else 3 * (level + 1)
     for i in range(len(elements) - 1, 0, -1):  # text of whole subtrees; parents stand first
