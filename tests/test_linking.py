@@ -104,6 +104,47 @@ def test_groups_after_adds_equal_one_match(spark, tmp_path):
         GroupedVectors.create(spark, path, 0.8)
 
 
+def test_groups_after_removals_equal_one_match(spark, tmp_path):
+    rows = sparse_rows(11, 120)
+    rows += [(2000 + i, rows[7][1]) for i in range(25)]  # copies, also across batches
+    path = tmp_path.as_uri()
+    table = GroupedVectors.create(spark, path, 0.8)
+    held = {}
+
+    def check():
+        got = {r["_id"]: r["group_id"] for r in GroupedVectors.open(spark, path).groups().collect()}
+        assert got == brute.groups(brute.pairs(list(held.items()), "cosine", 0.8))
+        return got
+
+    def add(part):
+        assert GroupedVectors.open(spark, path).add(frame(spark, part), "id", "v") == len(part)
+        held.update(part)
+
+    def drop(ids):
+        asked = spark.createDataFrame([(i,) for i in [*ids, *ids, 99999, None]], "id long")
+        assert GroupedVectors.open(spark, path).remove(asked, "id") == len([held.pop(i) for i in ids])
+
+    assert table.remove(frame(spark, rows), "id") == 0
+    add(rows[60:])
+    add(rows[:40])
+    drop([0, 1, 2, 3, 7, 2000, 2003])  # lowest rows of groups, and one that stands for copies
+    add([*rows[40:60], (3000, rows[7][1]), (3001, rows[50][1])])
+    drop([i for i in sorted(held) if i % 3 == 0])
+    assert len(set(check().values())) > 5
+    with pytest.raises(ValueError, match="removed"):
+        table.add(frame(spark, rows[:1]), "id", "v")
+
+
+def test_copies_are_linked_without_their_pairs(spark, tmp_path):
+    table = GroupedVectors.create(spark, tmp_path.as_uri(), 0.8)
+    shared = spark.range(30_000).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("v"))
+    start = time.time()
+    assert table.add(shared.where("id % 2 = 0"), "id", "v") == table.add(shared.where("id % 2 = 1"), "id", "v") == 15_000
+    assert table.remove(shared.where("id < 100"), "id") == 100
+    assert table.groups().agg(F.count("*"), F.min("group_id"), F.max("group_id")).first()[:] == (29_900, 1, 1)
+    assert time.time() - start < 60
+
+
 @pytest.mark.parametrize("metric", ["euclidean"])
 def test_graph_finds_near_rows(spark, metric):
     dice = np.random.default_rng(7)
