@@ -18,6 +18,7 @@ from ..operators.cells import CELL, CENTRE_BYTES, centre_share, with_cells
 from ..workspace import exists, few_rows, fill_cores
 
 ROWS_PER_CELL = 100_000
+POINTER = "home string, upto long, rows_per_cell long"
 CELLS = 4_096  # most cells, which are folders of the index
 
 
@@ -30,6 +31,7 @@ class VectorIndex:
     centres: np.ndarray
     radius: np.ndarray
     counts: np.ndarray
+    rows_per_cell: int
 
     def nearest_cells(self, vector: np.ndarray) -> np.ndarray:
         return np.argsort(B.gaps("cosine", vector, self.centres)[0], kind="stable")
@@ -54,6 +56,8 @@ def build(rows: DataFrame, path: str, dim: int, rows_per_cell: int = ROWS_PER_CE
     spark = rows.sparkSession
     count, upto = rows.agg(F.count(F.lit(1)), F.max("pos")).first()
     if not count:
+        if exists(spark, f"{path}/index"):
+            few_rows(spark, [], POINTER).write.mode("overwrite").parquet(f"{path}/index")
         return
     most = max(1, min(CELLS, CENTRE_BYTES // (8 * dim)))
     cells = min(most, -(-count // rows_per_cell))
@@ -76,7 +80,7 @@ def build(rows: DataFrame, path: str, dim: int, rows_per_cell: int = ROWS_PER_CE
     ]
     schema = "cell int, centre array<double>, radius double, n long"
     few_rows(spark, table, schema).coalesce(1).write.parquet(f"{home}/cells")
-    pointer = few_rows(spark, [(home, upto)], "home string, upto long")
+    pointer = few_rows(spark, [(home, upto, rows_per_cell)], POINTER)
     pointer.coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
 
 
@@ -84,7 +88,7 @@ def load(spark: SparkSession, path: str, schema) -> VectorIndex | None:
     """The current index of a table, if it has one."""
     if not exists(spark, f"{path}/index"):
         return None
-    pointer = spark.read.schema("home string, upto long").parquet(f"{path}/index").first()
+    pointer = spark.read.schema(POINTER).parquet(f"{path}/index").first()
     if pointer is None:
         return None
     home = pointer["home"]
@@ -99,4 +103,4 @@ def load(spark: SparkSession, path: str, schema) -> VectorIndex | None:
     counts[numbers] = [c["n"] for c in cells]
     names = [f.name for f in schema.fields]
     rows = spark.read.parquet(f"{home}/rows").select(*names, "cell")
-    return VectorIndex(rows, pointer["upto"], centres, radius, counts)
+    return VectorIndex(rows, pointer["upto"], centres, radius, counts, pointer["rows_per_cell"] or ROWS_PER_CELL)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ from ..operators.matching import Matches, annotated, first_per_key, match
 from ..operators.numbering import numbered_and_counted
 from ..operators.topk import SCANNED_BYTES, SCANNED_QUERIES, nearest, scanned
 from ..settings import DEFAULT_DECIMALS, DEFAULT_MATCH_THRESHOLD, DEFAULT_TOP_K
-from ..workspace import BROADCAST_BYTES, BROADCAST_ROWS, few_rows, fill_cores, ship, written_and_measured
+from ..workspace import BROADCAST_BYTES, BROADCAST_ROWS, exists, few_rows, fill_cores, ship, written_and_measured
 from .tables import require_columns
 from .vector_index import ROWS_PER_CELL, VectorIndex, build, load
 
@@ -49,6 +49,10 @@ class Added:
 class VectorTable:
     """Parquet rows (pos, key, row_data, embedding) and one row of metadata.
 
+    A deletion writes the positions of the rows that go and leaves the files alone; every read leaves
+    these rows out, until ``compact`` writes the rows that are left once more. A position is never given
+    twice. What was deleted or written anew counts once its folder is complete.
+
     Keys are unique. An add that is repeated, or that was cut off half-way, adds only what is
     still missing, so a retry is safe. One writer at a time.
     """
@@ -93,9 +97,77 @@ class VectorTable:
             raise
         return cls(spark, path, meta)
 
+    @property
+    def home(self) -> str:
+        """The folder of the rows: the table's own, or that of the last compaction."""
+        number = self._compactions()
+        return f"{self.path}/compact={number}" if number else self.path
+
+    def _compactions(self) -> int:
+        return self._complete(f"{self.path}/compact=", "/upto/_SUCCESS")
+
+    def _complete(self, start: str, end: str) -> int:
+        """How many numbered folders in a row are complete."""
+        number = 0
+        while exists(self.spark, f"{start}{number + 1}{end}"):
+            number += 1
+        return number
+
     @property
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(ROWS).parquet(f"{self.path}/rows")
+        return self._without_deleted(self._files(self.home))
+
+    def _files(self, home: str) -> DataFrame:
+        return self.spark.read.schema(ROWS).parquet(f"{home}/rows")
+
+    def _without_deleted(self, rows: DataFrame) -> DataFrame:
+        """Rows of the table or of its index, less the deleted ones."""
+        home = self.home
+        batches = self._complete(f"{home}/deleted/batch=", "/_SUCCESS")
+        if not batches:
+            return rows
+        paths = [f"{home}/deleted/batch={i}" for i in range(1, batches + 1)]
+        return rows.join(self.spark.read.schema("pos long").parquet(*paths), "pos", "left_anti").select(*rows.columns)
+
+    def delete(self, df: DataFrame, key: str | None = None) -> int:
+        """Delete the rows with the keys in a column of ``df`` (the table's key column by default).
+
+        Returns how many went; unknown keys and repeats change nothing, a null key deletes the row
+        whose key is missing. The same key may be added again later.
+        """
+        asked = df.select(F.col(f"`{key or self.key_column}`").cast("string").alias("_a")).distinct()
+        home = self.home
+        path = f"{home}/deleted/batch={self._complete(f'{home}/deleted/batch=', '/_SUCCESS') + 1}"
+        gone = self.rows.select("pos", "key").join(asked, F.col("key").eqNullSafe(F.col("_a")), "left_semi").select("pos")
+        found, facts = written_and_measured(gone, "deleted", F.count(F.lit(1)).alias("n"))
+        if facts["n"]:
+            found.write.mode("overwrite").parquet(path)
+        return facts["n"]
+
+    def compact(self) -> int:
+        """Write the rows that are left once more, and the index if there is one; returns how many there are.
+
+        A compaction that is cut off changes nothing that is read. The old files stay for readers that
+        began before; nothing refers to them afterwards.
+        """
+        upto = self._last_position()
+        home = f"{self.path}/compact={self._compactions() + 1}"
+        rows, facts = self.rows, Observation()
+        rows.observe(facts, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{home}/rows")
+        if self.index is not None:
+            # Holds rows that are not deleted, so it is right before the new folder counts and after.
+            build(self._files(home), self.path, self.dimensions, self.index.rows_per_cell)
+            self.__dict__.pop("index", None)
+        few_rows(self.spark, [(upto,)], "pos long").coalesce(1).write.mode("overwrite").parquet(f"{home}/upto")
+        return facts.get["n"]
+
+    def _last_position(self) -> int:
+        """The largest position that was ever given, -1 without any."""
+        given = [self._files(self.home).select("pos")]
+        if self._compactions():
+            given.append(self.spark.read.schema("pos long").parquet(f"{self.home}/upto"))
+        last = reduce(DataFrame.unionByName, given).agg(F.max("pos")).first()[0]
+        return -1 if last is None else last
 
     def count(self) -> int:
         return self.rows.count()
@@ -155,9 +227,8 @@ class VectorTable:
         return keyed.join(stored, F.col("_k").eqNullSafe(F.col("_s")), "left_anti").drop("_k")
 
     def _numbered(self, df: DataFrame, order: str) -> tuple[DataFrame, int]:
-        last = self.rows.agg(F.max("pos")).first()[0]
         by = list(dict.fromkeys([order, self.key_column]))
-        return numbered_and_counted(df, by, "_pos", 0 if last is None else last + 1)
+        return numbered_and_counted(df, by, "_pos", self._last_position() + 1)
 
     def _append(self, fresh: DataFrame, payload: list[str], vector) -> None:
         fresh.select(
@@ -165,7 +236,7 @@ class VectorTable:
             F.col(f"`{self.key_column}`").cast("string").alias("key"),
             F.to_json(F.struct(*[F.col(f"`{c}`") for c in payload])).alias("row_data"),
             vector.cast("array<float>").alias("embedding"),
-        ).write.mode("append").parquet(f"{self.path}/rows")
+        ).write.mode("append").parquet(f"{self.home}/rows")
 
     def build_index(self, rows_per_cell: int = ROWS_PER_CELL) -> None:
         """Write the rows by cell, so that a query reads only some of the partitions."""
@@ -205,12 +276,16 @@ class VectorTable:
             return self.rows
         unit = B.prepared("cosine", np.array([vector], dtype=np.float64))
         late = self.rows.where(F.col("pos") > index.upto)
+
+        def held(cells: np.ndarray) -> DataFrame:
+            return self._without_deleted(index.of_cells(cells)).unionByName(late)
+
         if probes is not None:
-            return index.of_cells(index.nearest_cells(unit)[:probes]).unionByName(late)
-        start = index.of_cells(index.first_cells(unit, top_k)).unionByName(late)
+            return held(index.nearest_cells(unit)[:probes])
+        start = held(index.first_cells(unit, top_k))
         found = [r["_s"] for r in self._closest(start, vector, top_k).select("_s").collect()]
         floor = found[-1] if len(found) == top_k else -1.0
-        return index.of_cells(index.cells_above(unit, floor)).unionByName(late)
+        return held(index.cells_above(unit, floor))
 
     @staticmethod
     def _closest(rows: DataFrame, vector: list[float], top_k: int) -> DataFrame:
@@ -291,17 +366,21 @@ class VectorTable:
             return scan(self.rows)
         unit = B.prepared("cosine", asked)
         late = self.rows.where(F.col("pos") > index.upto)
+
+        def within(cells: np.ndarray) -> DataFrame:
+            return scan(self._without_deleted(index.of_cells(cells)).unionByName(late))
+
         each = [u.reshape(1, -1) for u in unit]
         if probes is not None:
             cells = np.unique(np.concatenate([index.nearest_cells(u)[:probes] for u in each]))
-            return scan(index.of_cells(cells).unionByName(late))
+            return within(cells)
         start = np.unique(np.concatenate([index.first_cells(u, top_k) for u in each]))
-        first = scan(index.of_cells(start).unionByName(late)).where(F.col("rank") == top_k)
+        first = within(start).where(F.col("rank") == top_k)
         floors = np.full(len(asked), -1.0)
         for r in first.select("_q", "_good").collect():
             floors[r["_q"]] = r["_good"]
         cells = np.unique(np.concatenate([index.cells_above(u, f) for u, f in zip(each, floors, strict=True)]))
-        return scan(index.of_cells(np.union1d(cells, start)).unionByName(late))
+        return within(np.union1d(cells, start))
 
     def match(
         self,

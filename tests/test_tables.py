@@ -361,3 +361,51 @@ def test_workspace_is_the_applications_own(spark):
     assert spark.sparkContext.applicationId in path
     assert not exists(spark, path)
     assert few_rows(spark, [(1, None)], "a int, b array<double>").first() == (1, None)
+
+
+def test_deletes_equal_a_table_without_the_rows(spark, tmp_path):
+    dice = np.random.default_rng(8)
+    rows = [(i, f"k{i}", dice.normal(size=5).tolist()) for i in range(120)] + [(500, None, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "n long, k string, v array<float>")
+    asked = spark.createDataFrame([(i, dice.normal(size=5).tolist()) for i in range(6)], "q long, v array<float>")
+    one = asked.orderBy("q").first()["v"]
+    held = set(range(120)) | {500}
+    table = VectorTable.create(spark, str(tmp_path / "s"), "m", 5, "k", ["k"])
+    table.insert(df, "v", "n")
+
+    def check():
+        plain = VectorTable.create(spark, str(tmp_path / f"plain{len(list(tmp_path.iterdir()))}"), "m", 5, "k", ["k"])
+        plain.insert(df.where(F.col("n").isin(sorted(held))), "v", "n")
+        again = VectorTable.open(spark, table.path)
+        for t in (table, again):
+            assert t.count() == len(held)
+            assert t.query(one, 7).collect() == plain.query(one, 7).collect()
+        key = lambda t: sorted(map(tuple, t.query_many(asked, "q", "v", 4).collect()))
+        assert key(table) == key(plain)
+
+    def delete(numbers):
+        assert table.delete(df.where(F.col("n").isin([*numbers, 9999])).union(df.where(F.col("n").isin(numbers)))) == len(numbers)
+        assert table.delete(df.where(F.col("n").isin(numbers))) == 0
+        held.difference_update(numbers)
+
+    delete([0, 5, 119, 500])  # among them the last position, and the row without a key
+    check()
+    assert table.insert(df.where("n in (5, 6)"), "v", "n") == 1
+    held.add(5)
+    assert table.rows.agg(F.max("pos")).first()[0] == 121
+    table.build_index(rows_per_cell=20)
+    delete(list(range(20, 60)))
+    assert table.insert(df.where("n = 30"), "v", "n") == 1
+    held.add(30)
+    check()
+    # A compaction that was cut off has no end mark.
+    table.rows.limit(3).write.parquet(f"{table.path}/compact=1/rows")
+    assert table.count() == len(held)
+    delete([30])
+    assert table.compact() == len(held) and table.index.counts.sum() == len(held)
+    check()
+    assert table.insert(df.where("n = 30"), "v", "n") == 1 and table.rows.agg(F.max("pos")).first()[0] == 123
+    held.add(30)
+    check()
+    table.delete(df)
+    assert table.compact() == 0 and table.query(one, 3).count() == 0 and table.count() == 0
