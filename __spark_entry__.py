@@ -28,6 +28,7 @@ from affinis.operators.matching import Matches, annotated, annotation_summary, m
 from affinis.operators.numbering import numbered  # noqa: E402
 from affinis.operators.pairs import similar_pairs  # noqa: E402
 from affinis.operators.profile import key_audit, profiles, repeated_keys  # noqa: E402
+from affinis.operators.proposal import proposed_threshold, score_histogram  # noqa: E402
 from affinis.operators.sparse import sparse_pairs  # noqa: E402
 from affinis.operators.topk import neighbours  # noqa: E402
 from affinis.plans.jobs import dedup_table, nearest_rows, preset_matches  # noqa: E402
@@ -269,6 +270,36 @@ def _groups_after_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GroupedVectors.open(spark, path).groups().select(F.col("_id").alias("doc_id"), "group_id")
 
 
+def _groups_after_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents but the Spanish and French ones, which are added with the others and removed."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", "lang")
+    vectors = written(_doc_vectors(spark, sf_dir, 64).join(d, "doc_id"), "vectors")
+    path = scratch_path(spark, "groups")
+    GroupedVectors.create(spark, path, 0.95).add(vectors, "doc_id", "_emb_text")
+    GroupedVectors.open(spark, path).remove(d.where(F.col("lang").isin("es", "fr")), "doc_id")
+    return GroupedVectors.open(spark, path).groups().select(F.col("_id").alias("doc_id"), "group_id")
+
+
+def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = score_histogram(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", bins=100)
+    return counted.select("bin", F.round("low", 4).alias("low"), "pairs")
+
+
+def _proposed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether documents of one text are matched at the threshold that their scores propose; in one row."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("print"))
+    vectors = _doc_vectors(spark, sf_dir, 1024)
+    counted = written(score_histogram(vectors, "doc_id", "_emb_text"), "histogram")
+    found = proposed_threshold(counted)
+    bound = found.threshold if found else 2.0
+    matches = match(vectors, "doc_id", "_emb_text", threshold=bound, list_pairs=False)
+    told = annotated(d, "doc_id", matches, lists=False)
+    alike = told.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_group_id").alias("groups"), F.min("_group_id").alias("group"))
+    pairs = counted.agg(F.sum("pairs")).first()[0]
+    return alike.where("n > 1").agg(F.every((F.col("groups") == 1) & (F.col("group") > 0)).alias("copies_matched")).select(
+        F.lit(pairs).alias("pairs"), F.lit(found is not None).alias("proposed"), "copies_matched")
+
+
 def _topk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _doc_vectors(spark, sf_dir, 64)
     return neighbours(d, "doc_id", "_emb_text", top_k=5, decimals=4)
@@ -340,6 +371,19 @@ def _query_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_store(spark, sf_dir).query_many(asked, "item_id", "_emb_text", top_k=3, decimals=4)
 
 
+def _query_after_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search of a table that lost its Spanish rows, was written anew, got an index and lost its French rows."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", "lang")
+    asked = embed_columns(_read(spark, sf_dir, "benchmark"), ["text"], hashing(64))
+    asked = written(asked.select("item_id", "_emb_text"), "asked")
+    table = _text_store(spark, sf_dir)
+    table.delete(d.where(F.col("lang") == "es"))
+    table.compact()
+    table.build_index(rows_per_cell=100)
+    table.delete(d.where(F.col("lang") == "fr"))
+    return table.query_many(asked, "item_id", "_emb_text", top_k=3, decimals=4)
+
+
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _text_store(spark, sf_dir).rows
     return rows.select(
@@ -576,6 +620,7 @@ def queries() -> dict[str, Query]:
         **{f"f_pairs_{m}": _pairs(m, b) for m, b in PAIR_BOUNDS.items()},
         "f_cross_pairs": _cross_relation,
         "f_pairs_sparse": _sparse_pairs,
+        "f_score_histogram": _histogram,
         "g_score_stats": _score_stats,
         **{f"g_topk_{m}": _topk(m) for m in V.METRICS},
         "g_topk_threshold": _topk("cosine", 0.4),
@@ -583,10 +628,12 @@ def queries() -> dict[str, Query]:
         "h_annotate_counts": _annotate_counts,
         "h_annotate_repeated_keys": _annotate_repeated,
         "h_groups_after_adds": _groups_after_adds,
+        "h_groups_after_removals": _groups_after_removals,
         "h_link_one_to_one": _assigned,
         "h_match_groups": _match_groups,
         "h_match_pairs": _match_pairs,
         "h_match_repeated_keys": _match_repeated,
+        "h_proposed_threshold": _proposed_matches,
         "h_summary": _match_summary,
         "i_approximate_recall": _recall,
         "i_approximate_topk": _approximate,
@@ -594,6 +641,7 @@ def queries() -> dict[str, Query]:
         "i_incremental_add": _incremental,
         "i_info": _info,
         "i_query_indexed": _query_indexed,
+        "i_query_after_deletes": _query_after_deletes,
         "i_query_many": _query_many,
         "i_query_text": _query_text,
         "i_query_topk": _query_vector,
@@ -974,9 +1022,21 @@ s as (
     select a.id as id_a, b.id as id_b, sum(a.x * b.x) as s from c a join c b on a.k = b.k and a.id < b.id
     where a.x <> 0 and b.x <> 0 group by 1, 2)
 select id_a, id_b, round(s, 4)::double as score from s where s >= 0.95""",
+        "f_score_histogram": f"""
+with {EMBEDDINGS}, {_unit()},
+s as (select {SCORES["cosine"]} as s from eu a join eu b on a.id < b.id),
+c as (select least(99, greatest(0, floor((s + 1) / 0.02)))::int as bin, count(*) as n from s group by 1)
+select b::int as bin, round(-1 + b * 0.02, 4)::double as low, coalesce(n, 0)::bigint as pairs
+from range(100) t(b) left join c on c.bin = b""",
         "h_groups_after_adds": f"""
 with {_match_sql(docs64, 0.95, 4)}
 select id as doc_id, group_id from g""",
+        "h_groups_after_removals": f"""
+with {_match_sql(_hashed("(select * from documents where lang not in ('es', 'fr'))", "doc_id", "text", 64), 0.95, 4)}
+select id as doc_id, group_id from g""",
+        "h_proposed_threshold": (
+            "select (count(*) * (count(*) - 1) // 2)::bigint as pairs, true as proposed, true as copies_matched from documents"
+        ),
         "h_link_one_to_one": f"""
 with recursive {docs64}, {asked64}, {_unit()}, {_unit("q")},
 s as (select b.id as l, a.id as r, {cosine} as s from qu a cross join eu b),
@@ -1016,6 +1076,12 @@ late as (select * from eu union all select * from (select -1 as id, v, u from eu
 s as (select b.id, {cosine} as s from (select * from eu order by id limit 1) a cross join late b)
 select id::varchar as id, round(s, 4)::double as similarity
 from (select * from s order by s desc, id = -1, id limit 10)""",
+        "i_query_after_deletes": f"""
+with {docs64}, {asked64}, {_unit()}, {_unit("q")}, {STORED},
+s as (select a.id as q, b.id as n, p.pos, {cosine} as s from qu a cross join eu b join stored p on p.doc_id = b.id where p.lang not in ('es', 'fr')),
+r as (select *, row_number() over (partition by q order by s desc, pos) as rk from s)
+select q::varchar as query_key, n::varchar as id, rk::int as "rank", round(s, 4)::double as similarity
+from r where rk <= 3""",
         "i_query_many": f"""
 with {docs64}, {asked64}, {_unit()}, {_unit("q")}, {STORED},
 s as (select a.id as q, b.id as n, p.pos, {cosine} as s from qu a cross join eu b join stored p on p.doc_id = b.id),
