@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from ..functions import blocks as B
 from ..functions.vectors import find_metric
 from ..settings import DEFAULT_DECIMALS, DEFAULT_METRIC, DEFAULT_TOP_K
-from ..workspace import ship, written, written_and_measured
-from .cells import BLOCK, Layout, by_group, meetings, place, split_roles, wide_targets
+from ..workspace import few_rows, ship, written, written_and_measured
+from .cells import BLOCK, BLOCK_ROWS, Layout, Placed, by_group, meetings, place, split_roles, wide_targets
 from .copies import (
     ID,
     KEY,
@@ -419,6 +421,50 @@ def nearest(
     )
 
 
+def probed(asking: DataFrame, stored: DataFrame, late: DataFrame, centres: np.ndarray, counts: np.ndarray, probes: int, top_k: int) -> DataFrame:
+    """The ``top_k`` best of every query by cosine in its ``probes`` nearest cells, and among the late rows.
+
+    ``asking``: _rep, _key, _vec; ``stored``: _rep, _key, _vec and ``cell``; ``late`` the same without a
+    cell. The answer to a query does not depend on the others. Cells are cut into blocks of bounded
+    size by the id, and a block with many queries into groups. Returns CANDIDATE columns and rank.
+    """
+    ship(asking.sparkSession)
+    size = BLOCK_ROWS[1]
+    many = np.r_[-(-counts // size), -(-late.count() // size)]
+    first = np.r_[0, np.cumsum(many)]
+    total, outside = int(first[-1]), len(counts)
+    shared = asking.sparkSession.sparkContext.broadcast((centres, counts))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, held = shared.value
+        for batch in batches:
+            unit = B.prepared("cosine", B.matrix(pa.chunked_array([batch.column(VEC)])))
+            cells = []
+            for part in B.slices(len(unit), len(points)):
+                gap = B.gaps("cosine", unit[part], points)
+                gap[:, held == 0] = np.inf
+                near = np.argsort(gap, axis=1, kind="stable")[:, : min(probes, int((held > 0).sum()))]
+                cells += [pa.array(n, pa.int32()) for n in near]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "_cells"])
+
+    vector = _vector_schema(asking)
+    chosen = asking.select(REP, KEY, VEC).mapInArrow(choose, f"{REP} long, {KEY} string, {VEC} {vector}, _cells array<int>")
+    chosen = written(chosen, "chosen")
+    # No more cells than the index has, which bounds them.
+    wanted = [r["cell"] for r in chosen.select(F.explode("_cells").alias("cell")).distinct().collect()]
+    starts = few_rows(asking.sparkSession, [(c, int(first[c]), int(many[c])) for c in range(outside + 1) if many[c]], "cell int, _first int, _n int")
+    rows = stored.where(F.col("cell").isin(wanted)).unionByName(late.withColumn("cell", F.lit(outside)))
+    placed = rows.join(F.broadcast(starts), "cell").select(
+        (F.col("_first") + F.pmod(F.hash(REP), F.col("_n"))).cast("int").alias(BLOCK), REP, KEY, VEC, F.array(REP).alias("_ids"), F.array(KEY).alias("_keys"))
+    going = chosen.select(REP, KEY, VEC, F.explode(F.concat("_cells", F.array(F.lit(outside)))).alias("cell")).join(F.broadcast(starts), "cell")
+    visits = going.select(REP, KEY, VEC, F.lit(float("-inf")).alias("_floor"), F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)).alias(BLOCK))
+    visits, load = written_and_measured(visits, "visits", F.count(F.lit(1)).alias("visits"))
+    held = Placed(placed, shared, total, size)
+    met = meetings(held, visits, [REP, KEY, VEC, "_ids", "_keys"], [REP, KEY, VEC, "_floor"], alone=False)
+    found = by_group(met, [BLOCK, "_group"], max(1, held.groups(load["visits"] or 0))).applyInArrow(_visit("cosine", top_k), CANDIDATE)
+    return _ranked(found, top_k)
+
+
 SCANNED_QUERIES, SCANNED_BYTES = 4096, 32 << 20  # queries that one scan of the stored rows may serve
 
 

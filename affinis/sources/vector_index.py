@@ -34,7 +34,9 @@ class VectorIndex:
     rows_per_cell: int
 
     def nearest_cells(self, vector: np.ndarray) -> np.ndarray:
-        return np.argsort(B.gaps("cosine", vector, self.centres)[0], kind="stable")
+        """The cells that hold rows, nearest first."""
+        gap = B.gaps("cosine", vector, self.centres)[0]
+        return np.argsort(np.where(self.counts > 0, gap, np.inf), kind="stable")[: int((self.counts > 0).sum())]
 
     def cells_above(self, vector: np.ndarray, floor: float) -> np.ndarray:
         """Cells that may hold a score of at least ``floor``."""

@@ -17,9 +17,9 @@ from ..functions.text import joined_text
 from ..operators.encode import EncoderSpec, encoded
 from ..operators.matching import Matches, annotated, first_per_key, match
 from ..operators.numbering import numbered_and_counted
-from ..operators.topk import SCANNED_BYTES, SCANNED_QUERIES, nearest, scanned
+from ..operators.topk import SCANNED_BYTES, SCANNED_QUERIES, nearest, probed, scanned
 from ..settings import DEFAULT_DECIMALS, DEFAULT_MATCH_THRESHOLD, DEFAULT_TOP_K
-from ..workspace import BROADCAST_BYTES, BROADCAST_ROWS, exists, few_rows, fill_cores, ship, written_and_measured
+from ..workspace import BROADCAST_BYTES, BROADCAST_ROWS, exists, few_rows, fill_cores, ship, written, written_and_measured
 from .tables import require_columns
 from .vector_index import ROWS_PER_CELL, VectorIndex, build, load
 
@@ -321,14 +321,19 @@ class VectorTable:
 
         A small table of queries is broadcast, and the stored rows are read once and stay where they
         are; with an index only the cells that can hold an answer are read. A larger one is joined.
+        ``probes`` looks only into that many nearest cells of the index for each query, and at the
+        rows added since, as ``query`` does; without an index into cells made for the occasion. The
+        answer to a query is the same whatever others are asked with it.
         """
         held, facts = written_and_measured(
             queries.select(F.col(id).cast("string").alias("query_key"), F.col(vector).alias("_v")).where(F.col("_v").isNotNull()),
             "queries",
             F.count(F.lit(1)).alias("rows"),
         )
-        if facts["rows"] <= min(SCANNED_QUERIES, SCANNED_BYTES // (8 * self.dimensions)) and (probes is None or self.index):
-            return self._scan(held, top_k, decimals, probes)
+        if probes is not None and self.index is not None:
+            return self._probe(held, top_k, decimals, probes)
+        if probes is None and facts["rows"] <= min(SCANNED_QUERIES, SCANNED_BYTES // (8 * self.dimensions)):
+            return self._scan(held, top_k, decimals)
         found = nearest(
             queries, id, vector, self.rows, "pos", "embedding", stored_key="key",
             top_k=top_k, decimals=decimals, probes=probes,
@@ -340,13 +345,30 @@ class VectorTable:
             F.col("score").alias("similarity"),
         )
 
-    def _scan(self, queries: DataFrame, top_k: int, decimals: int, probes: int | None) -> DataFrame:
+    def _probe(self, queries: DataFrame, top_k: int, decimals: int, probes: int) -> DataFrame:
+        index = self.index
+        sizes = queries.agg(F.min(F.size("_v")), F.max(F.size("_v"))).first()
+        if set(sizes) - {None, self.dimensions}:
+            raise ValueError(f"The queries have {min(sizes)} to {max(sizes)} dimensions, the table {self.dimensions}.")
+        asked = written(queries.select(F.monotonically_increasing_id().alias("_rep"), F.col("query_key").alias("_key"), F.col("_v").alias("_vec")), "asked")
+        plain = [F.col("pos").alias("_rep"), F.col("key").alias("_key"), F.col("embedding").alias("_vec")]
+        stored = self._without_deleted(index.rows).select(*plain, "cell")
+        late = self.rows.where(F.col("pos") > index.upto).select(*plain)
+        found = probed(asked, stored, late, index.centres, index.counts, probes, top_k)
+        return found.select(
+            F.col("_key").alias("query_key"),
+            F.col("_cand_key").alias("id"),
+            F.col("rank").cast("int").alias("rank"),
+            F.round("_good", decimals).alias("similarity"),
+        )
+
+    def _scan(self, queries: DataFrame, top_k: int, decimals: int) -> DataFrame:
         rows = queries.collect()  # bounded by the caller
         names = [(n, r["query_key"]) for n, r in enumerate(rows)]
         asked = np.array([r["_v"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
         if len(rows) and asked.shape[1] != self.dimensions:
             raise ValueError(f"The queries have {asked.shape[1]} dimensions, the table {self.dimensions}.")
-        best = self._best_of(asked, top_k, probes)
+        best = self._best_of(asked, top_k)
         named = F.broadcast(few_rows(self.spark, names, "_q long, query_key string"))
         return best.join(named, "_q").select(
             "query_key",
@@ -355,7 +377,7 @@ class VectorTable:
             F.round("_good", decimals).alias("similarity"),
         )
 
-    def _best_of(self, asked: np.ndarray, top_k: int, probes: int | None) -> DataFrame:
+    def _best_of(self, asked: np.ndarray, top_k: int) -> DataFrame:
         """The best rows of every query by one pass over all rows, or over the cells that matter."""
 
         def scan(stored: DataFrame) -> DataFrame:
@@ -371,9 +393,6 @@ class VectorTable:
             return scan(self._without_deleted(index.of_cells(cells)).unionByName(late))
 
         each = [u.reshape(1, -1) for u in unit]
-        if probes is not None:
-            cells = np.unique(np.concatenate([index.nearest_cells(u)[:probes] for u in each]))
-            return within(cells)
         start = np.unique(np.concatenate([index.first_cells(u, top_k) for u in each]))
         first = within(start).where(F.col("rank") == top_k)
         floors = np.full(len(asked), -1.0)

@@ -409,3 +409,32 @@ def test_deletes_equal_a_table_without_the_rows(spark, tmp_path):
     check()
     table.delete(df)
     assert table.compact() == 0 and table.query(one, 3).count() == 0 and table.count() == 0
+
+
+def test_probes_answer_each_query_alike(spark, tmp_path):
+    dice = np.random.default_rng(9)
+    rows = [(i, f"k{i}", dice.normal(size=6).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "n long, k string, v array<float>")
+    table = VectorTable.create(spark, str(tmp_path / "s"), "m", 6, "k", ["k"])
+    table.insert(df.where("n < 380"), "v", "n")
+    table.build_index(rows_per_cell=20)
+    table.insert(df.where("n >= 380"), "v", "n")
+    table.delete(df.where("n % 10 = 3"))
+    asked = spark.createDataFrame([(i, dice.normal(size=6).tolist()) for i in range(30)] + [(99, None)], "q long, v array<float>")
+
+    def answers(part, probes):
+        return {(r["query_key"], r["rank"]): (r["id"], r["similarity"]) for r in table.query_many(part, "q", "v", 5, 6, probes).collect()}
+
+    together = answers(asked, 3)
+    for q in (4, 17):
+        alone = answers(asked.where(F.col("q") == q), 3)
+        assert alone == {k: v for k, v in together.items() if k[0] == str(q)} and len(alone) == 5
+        one = table.query(asked.where(F.col("q") == q).first()["v"], 5, 6, probes=3).collect()
+        assert [(r["id"], r["similarity"]) for r in one] == [alone[str(q), i] for i in range(1, 6)]
+    every, exact = answers(asked, 1000), answers(asked, None)
+    assert every == exact and len(exact) == 150
+    hits = len({(k[0], v[0]) for k, v in together.items()} & {(k[0], v[0]) for k, v in exact.items()})
+    assert 60 < hits < 150
+    assert answers(asked.limit(0), 3) == {}
+    with pytest.raises(ValueError, match="dimensions"):
+        answers(spark.createDataFrame([(1, [1.0])], "q long, v array<float>"), 3)
