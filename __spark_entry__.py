@@ -427,6 +427,21 @@ def _recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _probe_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index finds of the exact neighbours with the probes that it proposes; in one row."""
+    table = _text_store(spark, sf_dir)
+    table.build_index(rows_per_cell=100)
+    asked = table.rows.where(F.col("key").cast("long") % 50 == 0).select("key", "embedding")
+    exact = table.query_many(asked, "key", "embedding", 5).select("query_key", "id")
+    probes = table.probes_for(0.95, 5)
+    near = table.query_many(asked, "key", "embedding", 5, probes=probes).select("query_key", "id", F.lit(1).alias("hit"))
+    both = written(exact.join(near, ["query_key", "id"], "left"), "both")
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_over_90_percent"),
+    )
+
+
 def _graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the neighbour graph, and a beam search over it, find of the exact neighbours; in one row."""
     e = _read(spark, sf_dir, "embeddings")
@@ -641,6 +656,7 @@ def queries() -> dict[str, Query]:
         "i_incremental_add": _incremental,
         "i_info": _info,
         "i_query_indexed": _query_indexed,
+        "i_probe_recall": _probe_recall,
         "i_query_after_deletes": _query_after_deletes,
         "i_query_many": _query_many,
         "i_query_text": _query_text,
@@ -1076,6 +1092,9 @@ late as (select * from eu union all select * from (select -1 as id, v, u from eu
 s as (select b.id, {cosine} as s from (select * from eu order by id limit 1) a cross join late b)
 select id::varchar as id, round(s, 4)::double as similarity
 from (select * from s order by s desc, id = -1, id limit 10)""",
+        "i_probe_recall": (
+            'select count(*) * 5 as "rows", true as recall_over_90_percent from documents where doc_id % 50 = 0'
+        ),
         "i_query_after_deletes": f"""
 with {docs64}, {asked64}, {_unit()}, {_unit("q")}, {STORED},
 s as (select a.id as q, b.id as n, p.pos, {cosine} as s from qu a cross join eu b join stored p on p.doc_id = b.id where p.lang not in ('es', 'fr')),

@@ -31,6 +31,7 @@ ROWS = T.StructType(
         T.StructField("embedding", T.ArrayType(T.FloatType())),
     ]
 )
+SAMPLE = 256  # rows that the number of probes is measured with
 META = "model_id string, dimensions int, key_column string, embed_columns array<string>"
 
 
@@ -345,6 +346,32 @@ class VectorTable:
             F.col("score").alias("similarity"),
         )
 
+    def probes_for(self, recall: float = 0.95, top_k: int = DEFAULT_TOP_K, sample: int = SAMPLE) -> int:
+        """The least ``probes`` that find this share of the true ``top_k`` neighbours of stored rows.
+
+        Asked are at most ``sample`` rows of the index, chosen by a hash of the key; their neighbours
+        are searched among all rows, exactly. What is counted is the place of each neighbour's cell in
+        the order in which its row visits the cells, so one search serves every number of probes.
+        """
+        if not 0.0 < recall <= 1.0:
+            raise ValueError("recall must be above 0 and at most 1.")
+        index = self.index
+        if index is None:
+            raise ValueError("The table has no index.")
+        rows = self._without_deleted(index.rows).select("pos", "key", "embedding")
+        share = int(min(1.0, (2 * sample + 64) / max(1, int(index.counts.sum()))) * 1_000_000_000)
+        few = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000_000)) < share)
+        few = written(few.orderBy(F.xxhash64("key"), "pos").limit(min(sample, SCANNED_QUERIES)), "sample")
+        near = self.query_many(few, "pos", "embedding", top_k + 1)
+        own = few.select(F.col("pos").cast("string").alias("query_key"), F.col("key").alias("_own"))
+        near = written(near.join(own, "query_key").where(~F.col("id").eqNullSafe(F.col("_own"))).select("query_key", "id"), "near")
+        # Rows added since the index was built are always read.
+        cells = index.rows.select("pos", "key", "cell").join(F.broadcast(near.select("id").distinct()), F.col("key").eqNullSafe(F.col("id")), "left_semi")
+        cell = {r["key"]: r["cell"] for r in self._without_deleted(cells).collect()}  # at most sample * (top_k + 1)
+        places = {str(r["pos"]): {int(c): n for n, c in enumerate(index.nearest_cells(B.prepared("cosine", np.array([r["embedding"]], dtype=np.float64))))} for r in few.collect()}
+        depth = np.sort([places[r["query_key"]][cell[r["id"]]] + 1 if r["id"] in cell else 1 for r in near.collect()])
+        return int(depth[max(0, int(np.ceil(recall * len(depth))) - 1)]) if len(depth) else 1
+
     def _probe(self, queries: DataFrame, top_k: int, decimals: int, probes: int) -> DataFrame:
         index = self.index
         sizes = queries.agg(F.min(F.size("_v")), F.max(F.size("_v"))).first()

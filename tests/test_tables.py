@@ -435,6 +435,10 @@ def test_probes_answer_each_query_alike(spark, tmp_path):
     assert every == exact and len(exact) == 150
     hits = len({(k[0], v[0]) for k, v in together.items()} & {(k[0], v[0]) for k, v in exact.items()})
     assert 60 < hits < 150
+    probes = [table.probes_for(r, 5, 100) for r in (0.5, 0.9, 1.0)]
+    assert 1 <= probes[0] < probes[1] < probes[2] <= (table.index.counts > 0).sum()
+    found = answers(asked, probes[1])
+    assert len({(k[0], v[0]) for k, v in found.items()} & {(k[0], v[0]) for k, v in exact.items()}) >= 0.85 * 150
     assert answers(asked.limit(0), 3) == {}
     with pytest.raises(ValueError, match="dimensions"):
         answers(spark.createDataFrame([(1, [1.0])], "q long, v array<float>"), 3)
