@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import ship
-from .texts import by_portion, by_share, code_points, held_out, letter_table
+from .texts import by_portion, by_share, code_points, held_out, letter_table, portions, release
 
 FEATURES = 1 << 16
 GRAMS = 3
@@ -111,6 +111,7 @@ class FollowTheLeader:
 def fit_languages(
     sample: list[tuple[np.ndarray, np.ndarray, int]],
     languages: list[str],
+    idf: np.ndarray,
     rate: float = 0.5,
     l1: float = 0.01,
     l2: float = 0.1,
@@ -120,10 +121,6 @@ def fit_languages(
 ) -> LanguageModel:
     """Learn from (features, counts, language) of sampled texts, in an order the seed fixes."""
     dice = np.random.default_rng(seed)
-    seen = np.zeros(FEATURES)
-    for features, _, _ in sample:
-        seen[features] += 1
-    idf = np.log((1 + len(sample)) / (1 + seen)) + 1
     order = dice.permutation(len(sample))
     apart = order[: len(sample) // 5] if len(sample) >= 10 * len(languages) else order[:0]
     taught = order[len(apart) :]
@@ -157,21 +154,69 @@ def fit_languages(
     return LanguageModel(languages, table, weights[-1], temperature)
 
 
+def document_frequencies(df: DataFrame, text: str) -> tuple[int, np.ndarray]:
+    """Texts with a letter, and how many of them hold each feature; counted over all rows.
+
+    A task adds up its whole partition, so no more than ``FEATURES`` numbers leave it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, lettered = np.zeros(FEATURES, np.int64), 0
+        for batch in batches:
+            texts = batch["_content"]
+            for first, rows in portions(texts):
+                codes, owner, letters = _symbols([t or "" for t in texts.slice(first, rows).to_pylist()])
+                lettered += int((letters > 0).sum())
+                for keys in _distinct(codes, owner):
+                    seen += np.bincount(keys % FEATURES, minlength=FEATURES)
+            release()
+        held = np.flatnonzero(seen)
+        fields = [pa.array(np.r_[-1, held], pa.int32()), pa.array(np.r_[lettered, seen[held]], pa.int64())]
+        yield pa.RecordBatch.from_arrays(fields, ["feature", "n"])
+
+    ship(df.sparkSession)
+    counted = df.select(F.col(f"`{text}`").cast("string").alias("_content")).mapInArrow(run, "feature int, n long")
+    table = counted.groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # at most FEATURES + 1 rows
+    out = np.zeros(FEATURES + 1)
+    out[table["feature"].to_numpy()] = table["n"].to_numpy()  # -1, the number of texts, is the last place
+    return int(out[-1]), out[:-1]
+
+
+def _distinct(codes: np.ndarray, owner: np.ndarray) -> Iterator[np.ndarray]:
+    """(text, feature) pairs as single numbers, each once; texts are whole in what is yielded."""
+    edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    first = 0
+    while first < len(edges):
+        # As many whole texts as a window holds, and one at least.
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + WINDOW)))
+        end = edges[last] if last < len(edges) else len(codes)
+        held = np.zeros(0, np.int64)
+        for feature, of in _grams(codes[edges[first] : end], owner[edges[first] : end]):
+            held = np.union1d(held, of * FEATURES + feature)
+        yield held
+        first = last
+
+
 def train_languages(df: DataFrame, id: str, text: str, lang: str, fit_rows: int = FIT_ROWS) -> LanguageModel:
     """Learn from a bounded sample of the rows that have a language, a letter, an id, and are not held out.
 
-    Each language gives about the same number of rows, chosen by a hash of the id. The features of
-    the whole texts are counted in the tasks; only they reach the driver.
+    Each language gives about the same number of rows, chosen by a hash of id and text; equal texts of
+    a language count once, so the bound holds however often an id or a text is repeated. The features
+    of the whole texts are counted in the tasks; only they reach the driver. Document frequencies
+    are those of all rows that are not held out, with or without a language.
     """
     named = df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_content"), F.col(f"`{lang}`").alias("_lang"))
-    eligible = named.where(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & ~held_out("_id"))
+    open_rows = named.where(F.col("_id").isNotNull() & ~held_out("_id"))
+    eligible = open_rows.where(F.col("_lang").isNotNull())
     counts = sorted((r["_lang"], r["n"]) for r in eligible.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect())
     languages = [name for name, _ in counts]
     if not languages:
         return LanguageModel([UNKNOWN], np.ones((FEATURES, 2), np.float32), np.zeros(1), 1.0)
     each = max(LEAST_ROWS, fit_rows // len(languages))
     shares = F.create_map(*[F.lit(x) for name, n in counts for x in (name, min(1.0, each / n))])
-    chosen = eligible.where(by_share(F.col("_id"), shares[F.col("_lang")], 11))
+    drawn = eligible.where(by_share(F.xxhash64("_id", "_content"), shares[F.col("_lang")], 11))
+    chosen = drawn.groupBy("_lang", "_content").agg(F.min("_id").alias("_id"))
+    chosen = chosen.withColumn("_mark", F.xxhash64("_content"))
 
     def made(texts: list[str]) -> dict[str, pa.Array]:
         found: list[np.ndarray] = []
@@ -183,9 +228,9 @@ def train_languages(df: DataFrame, id: str, text: str, lang: str, fit_rows: int
         offsets = pa.array(edges.astype(np.int32))
         return {"features": pa.ListArray.from_arrays(offsets, found[0]), "counts": pa.ListArray.from_arrays(offsets, found[1])}
 
-    rows = by_portion(chosen, "_content", made, "features array<int>, counts array<int>", ["_id", "_lang"])
+    rows = by_portion(chosen, "_content", made, "features array<int>, counts array<int>", ["_id", "_lang", "_mark"])
     place = {name: i for i, name in enumerate(languages)}
-    held = rows.where(F.size("features") > 0).toArrow().sort_by([("_id", "ascending")])
+    held = rows.where(F.size("features") > 0).toArrow().sort_by([(c, "ascending") for c in ("_id", "_lang", "_mark")])
     features, counts = held["features"].combine_chunks(), held["counts"].combine_chunks()
     sample = [
         (f.values.to_numpy(), c.values.to_numpy(), place[name])
@@ -193,7 +238,8 @@ def train_languages(df: DataFrame, id: str, text: str, lang: str, fit_rows: int
     ]
     if not sample:
         return LanguageModel([UNKNOWN], np.ones((FEATURES, 2), np.float32), np.zeros(1), 1.0)
-    return fit_languages(sample, languages)
+    texts, seen = document_frequencies(open_rows, "_content")
+    return fit_languages(sample, languages, np.log((1 + texts) / (1 + seen)) + 1)
 
 
 def with_languages(df: DataFrame, text: str, model: LanguageModel, keep: list[str]) -> DataFrame:

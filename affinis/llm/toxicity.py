@@ -5,7 +5,10 @@ occurrence weighted by ``DECAY`` to the power of the span it covers; spans reach
 skipped characters, and word borders count as characters. So an insult with inserted characters keeps
 most of its likeness. The Nyström method turns the kernel into a finite map: likeness to a set
 of landmark words, whitened by the root of the landmarks' own kernel matrix. A linear
-support vector machine separates insults from other words there.
+support vector machine separates toxic from other sentences there, of which only the whole is labelled:
+a toxic one has to hold a word beyond the margin, any other one none (multiple instances). So each
+labelled text brings the words it is decided by: at first those that tell toxic texts from others,
+then, round by round, the ones that the machine itself values most.
 
 Its value for a word is a weighted sum over the word's subsequences, with a weight for each
 subsequence that some landmark has. Landmarks and weights fold into one small sorted table, and
@@ -18,11 +21,12 @@ value, the number and the share of words beyond the margin, and the sum of their
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import ship, written
@@ -31,16 +35,20 @@ from .texts import by_portion, by_share, code_points, held_out, letter_table
 DECAY = 0.7
 OFFSETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 FIT_ROWS = 8000  # bound of the labelled sample; toxic rows may be half of it
-POSITIVE_WORDS, NEGATIVE_WORDS = 1500, 6000  # bounds of the words that the machine learns from
+SLACK = 1.25  # times its bound: what a draw by hash may exceed it by
+DECIDING = 3  # words that a labelled text brings to the machine at a time
 LANDMARKS = 96
 EVIDENCE = 0.8  # of a word, in units of the logarithm of the number of words
 HEADS, HEAD = (4, 5, 6, 7, 8), "\x04"  # lengths of beginnings of words that are counted too, and their mark
-HARD_ROUNDS = 2
+ROUNDS = 3
+TEXTS = 512  # whose words are valued at once
 INSERTED = 3  # copies of an insult with one letter inserted that the machine learns with it
-REMEMBERED = 200_000
+REMEMBERED = 8 << 20  # characters of the words whose value a worker remembers
+OVERHEAD = 64  # counted as characters for each of them
 TOGETHER = 4_000  # words that are valued at once
 LONGEST = 64  # letters; longer words are scored by their windows of this length
 # Letters set apart: i d i o t, i-d-i-o-t.
+RUNS = re.compile(r"[^\W\d_]+")
 APART = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[^\w\n]{1,2}[^\W\d_]){3,}(?![^\W\d_])")
 
 
@@ -57,6 +65,21 @@ def words_of(text: str) -> list[str]:
     return lowered.split() + ["".join(c for c in m[0] if c.isalpha()) for m in APART.finditer(lowered)]
 
 
+def parts_of(word: str) -> list[str]:
+    """What a word is valued by: all its letters and, where something divides them, each run of letters."""
+    if word.isalpha():
+        return [word]
+    runs = RUNS.findall(word)
+    return runs if len(runs) == 1 else ["".join(runs), *runs]
+
+
+def windows_of(word: str) -> list[str]:
+    """The word, or its overlapping windows of ``LONGEST`` letters."""
+    if len(word) <= LONGEST:
+        return [word]
+    return [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
+
+
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, subsequence, weight) of all occurrences; the weights of a word have length one."""
     bordered = "".join(f"\x02{w}\x03" for w in words)
@@ -77,18 +100,20 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def kernel(left: list[str], right: list[str]) -> np.ndarray:
-    """The kernel of all pairs of two short lists of words."""
-    word, key, weight = subsequences(left + right)
+    """The kernel of all pairs of a list of words with a short one."""
+    word, key, weight = subsequences(right)
     names, at = np.unique(key, return_inverse=True)
-    first = word < len(left)
-    out = np.zeros((len(left), len(right)))
     b = np.zeros((len(right), len(names)), np.float32)
-    np.add.at(b, (word[~first] - len(left), at[~first]), weight[~first])
+    np.add.at(b, (word, at), weight)
+    out = np.zeros((len(left), len(right)))
     for begin in range(0, len(left), 512):
-        here = first & (word >= begin) & (word < begin + 512)
-        a = np.zeros((min(512, len(left) - begin), len(names)), np.float32)
-        np.add.at(a, (word[here] - begin, at[here]), weight[here])
-        out[begin : begin + 512] = a @ b.T
+        some = left[begin : begin + 512]
+        word, key, weight = subsequences(some)
+        at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+        hit = names[at] == key
+        a = np.zeros((len(some), len(names)), np.float32)
+        np.add.at(a, (word[hit], at[hit]), weight[hit])
+        out[begin : begin + len(some)] = a @ b.T
     return out
 
 
@@ -102,6 +127,7 @@ class ToxicityModel:
     slopes: np.ndarray
     offset: float
     values: dict[str, float] = field(default_factory=dict)
+    size: int = 0  # of the remembered words
 
     def word_values(self, words: list[str]) -> np.ndarray:
         """The value of the machine for words of letters; above zero is toxic."""
@@ -109,7 +135,7 @@ class ToxicityModel:
             return np.full(len(words), self.bias)
         windows, source = words, np.arange(len(words))
         if any(len(w) > LONGEST for w in words):
-            cut = [[w[i : i + LONGEST] for i in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2)] for w in words]
+            cut = [windows_of(w) for w in words]
             windows, source = [x for c in cut for x in c], np.repeat(np.arange(len(words)), [len(c) for c in cut])
         out = np.full(len(words), -np.inf)
         for begin in range(0, len(windows), TOGETHER):
@@ -121,16 +147,26 @@ class ToxicityModel:
             np.maximum.at(out, source[begin : begin + part], value)
         return out
 
+    def token_values(self, tokens: list[str]) -> np.ndarray:
+        """The highest value of the parts of each token."""
+        cut = [parts_of(t) or [""] for t in tokens]
+        source = np.repeat(np.arange(len(tokens)), [len(c) for c in cut])
+        out = np.full(len(tokens), -np.inf)
+        np.maximum.at(out, source, self.word_values([x for c in cut for x in c]))
+        return out
+
     def features(self, texts: list[str]) -> np.ndarray:
         """Per text: highest value, words beyond the margin, their share, the sum of their values."""
         lists = [words_of(t) for t in texts]
         words = [w for ws in lists for w in ws]
-        if len(self.values) > REMEMBERED:
-            self.values.clear()
         known = self.values
         new = list(set(words).difference(known))
-        known.update(zip(new, self.word_values(letters_only(new)).tolist(), strict=True))
+        known.update(zip(new, self.token_values(new).tolist(), strict=True))
         value = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+        self.size += sum(map(len, new)) + OVERHEAD * len(new)
+        if self.size > REMEMBERED:
+            known.clear()
+            self.size = 0
         counts = np.array([len(ws) for ws in lists], np.int64)
         owner = np.repeat(np.arange(len(texts)), counts)
         over = np.maximum(value, 0)
@@ -146,7 +182,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.slopes + self.offset, -40, 40)))
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "values": {}}  # remembered words stay in their worker
+        return {**self.__dict__, "values": {}, "size": 0}  # remembered words stay in their worker
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -171,13 +207,19 @@ def landmarks_of(words: list[str], pick: int) -> list[str]:
     """Words that lie far from each other in the kernel, the first of the list to begin with."""
     if len(words) <= pick:
         return list(words)
-    near = kernel(words, words)
+    word, key, weight = subsequences(words)
+    names, at = np.unique(key, return_inverse=True)
+
+    def like(i: int) -> np.ndarray:
+        own = np.bincount(at[word == i], weights=weight[word == i], minlength=len(names))
+        return np.bincount(word, weights=weight * own[at], minlength=len(words))
+
     chosen = [0]
-    closest = near[:, 0].copy()
+    closest = like(0)
     while len(chosen) < pick:
         following = int(np.argmin(closest))
         chosen.append(following)
-        closest = np.maximum(closest, near[:, following])
+        closest = np.maximum(closest, like(following))
     return [words[i] for i in chosen]
 
 
@@ -193,23 +235,25 @@ def with_insertions(words: list[str], seed: int = 1) -> list[str]:
     return out
 
 
-def fit_words(toxic: list[str], other: dict[str, int]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Subsequence keys, their weights and the bias of the machine; ``other`` has counts of texts."""
+def fit_words(toxic: dict[str, float], other: dict[str, float]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Subsequence keys, their weights and the bias of the machine; both sides with numbers of texts."""
     if not toxic or not other:
         return np.zeros(0, np.int64), np.zeros(0), -1.0
-    plain = sorted(other)
-    altered = sorted(set(with_insertions(toxic)) - set(toxic) - set(plain))
+    telling, plain = sorted(toxic, key=lambda w: (-toxic[w], w)), sorted(other)
+    altered = sorted(set(with_insertions(telling)) - set(toxic) - set(other))
     # Landmarks: insults of all kinds, and the words that are most like them but are none.
-    first = landmarks_of(toxic, LANDMARKS // 2)
+    first = landmarks_of(telling, LANDMARKS // 2)
     alike = kernel(plain, first).max(axis=1)
     close = [plain[i] for i in np.argsort(-alike, kind="stable")[: 4 * LANDMARKS]]
     marks = list(dict.fromkeys(first + landmarks_of(close, LANDMARKS // 2)))
     values, vectors = np.linalg.eigh(kernel(marks, marks))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
     root[:, values < 1e-6] = 0
-    mapped = kernel(toxic + altered + plain, marks) @ root
-    y = np.r_[np.ones(len(toxic) + len(altered)), -np.ones(len(plain))]
-    own = np.r_[np.full(len(toxic), 1 / len(toxic)), np.full(len(altered), 0.5 / max(1, len(altered)))]
+    mapped = kernel(telling + altered + plain, marks) @ root
+    y = np.r_[np.ones(len(telling) + len(altered)), -np.ones(len(plain))]
+    # Roots of the numbers of texts: the rare forms of an insult count, and so do the rare other words.
+    own = np.sqrt([toxic[w] for w in telling])
+    own = np.r_[own / own.sum(), np.full(len(altered), 0.5 / max(1, len(altered)))]
     share = np.sqrt([other[w] for w in plain])
     w, bias = machine(mapped, y, np.r_[own, 2 * share / share.sum()])
     beta = root @ w  # the weight of each landmark
@@ -235,37 +279,39 @@ def fit_texts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def train_toxicity(df: DataFrame, labels: DataFrame, id: str, text: str, label: str = "toxic", fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Learn from a bounded sample of the labelled rows that are not held out.
 
-    Three quarters of the sample say which words are insults: words that are found in toxic texts more
-    often than chance would have it for any of so many words (likelihood-ratio test). The last
-    quarter calibrates the score of whole texts. Equal texts with the same label count once.
+    Three quarters of the sample teach the machine, the last quarter calibrates the score of whole
+    texts. Equal texts with the same label count once. Each toxic text first brings the words that are
+    found in toxic texts more often than chance would have it for any of so many words
+    (likelihood-ratio test), every other text some of its words by hash; in each round that follows, a
+    toxic text brings the word that the machine values most, and any other text those that the machine
+    values most and wrongly. So what reaches the driver is bounded by the rows, ``DECIDING`` words of a
+    text at a time, and words themselves are neither counted out nor cut off.
     """
     spark = df.sparkSession
     marked = labels.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_toxic"))
     marked = marked.where(F.col("_toxic").isin(0, 1) & F.col("_id").isNotNull() & ~held_out("_id"))
-    numbers = {r["_toxic"]: r["n"] for r in marked.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shares = F.when(F.col("_toxic") == 1, min(1.0, fit_rows / 2 / max(1, numbers.get(1, 0)))).otherwise(
-        min(1.0, fit_rows / 2 / max(1, numbers.get(0, 0)))
-    )
-    chosen = marked.where(by_share(F.col("_id"), shares, 13)).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
+    numbers = _numbers(marked)
+    chosen = marked.where(by_share(F.col("_id"), _shares(numbers, fit_rows / 2), 13)).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     texts = df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_content"))
     # The chosen labels are bounded by ``fit_rows``, so they may be broadcast.
-    drawn = texts.join(F.broadcast(chosen), "_id").where(F.col("_content").isNotNull())
+    drawn = written(_once(texts.join(F.broadcast(chosen), "_id").where(F.col("_content").isNotNull())), "labelled")
+    # An id may stand on many rows: the bound holds for rows.
+    few = by_share(F.xxhash64("_id", "_content"), _shares(_numbers(drawn), SLACK * fit_rows / 2), 23)
     fold = F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(4)) == 0
-    sample = written(_once(drawn), "labelled").withColumn("_apart", fold)
+    sample = drawn.where(few).withColumn("_apart", fold)
 
     def listed(portion: list[str]) -> dict[str, pa.Array]:
-        found = [sorted(set(letters_only(words_of(t))) - {""}) for t in portion]
+        found = [sorted({x for w in set(words_of(t)) for p in parts_of(w) for x in windows_of(p)}) for t in portion]
         heads = [sorted({w[:n] + HEAD for w in ws for n in HEADS if len(w) >= n}) for ws in found]
         kind = pa.list_(pa.string())
-        return {"words": pa.array([w + h for w, h in zip(found, heads, strict=True)], kind)}
+        return {"words": pa.array(found, kind), "heads": pa.array(heads, kind)}
 
-    taught = by_portion(sample.where(~F.col("_apart")), "_content", listed, "words array<string>", ["_toxic"])
-    taught = written(taught, "taught")
-    sizes = taught.agg(F.sum("_toxic"), F.sum(1 - F.col("_toxic"))).first()
-    bad, good = sizes[0] or 0, sizes[1] or 0
+    fields = "words array<string>, heads array<string>"
+    taught = written(by_portion(sample.where(~F.col("_apart")), "_content", listed, fields, ["_id", "_toxic"]), "taught")
+    known = _numbers(taught)
+    bad, good = known.get(1, 0), known.get(0, 0)
     counts = written(
-        taught.select("_toxic", F.explode("words").alias("word"))
-        .where(F.length("word") <= LONGEST)
+        taught.select("_toxic", F.explode(F.concat("words", "heads")).alias("word"))
         .groupBy("word")
         .agg(F.sum("_toxic").alias("bad"), F.sum(1 - F.col("_toxic")).alias("good")),
         "counts",
@@ -278,29 +324,29 @@ def train_toxicity(df: DataFrame, labels: DataFrame, id: str, text: str, label:
     often = F.col("bad") / max(1, bad) > 4 * F.col("good") / max(1, good)
     sure = (F.col("bad") > usual * total) & (surplus >= EVIDENCE * float(np.log(2 + counts.count())))
     is_head = F.col("word").endswith(HEAD)
-    heads = [r["word"][:-1] for r in counts.where(is_head & sure).orderBy(F.desc(surplus), "word").limit(POSITIVE_WORDS).collect()]
-    words = counts.where(~is_head).withColumn("_often", often).withColumn("_surplus", surplus)
-    begins = F.lit(False)
-    for n in HEADS:
-        some = [h for h in heads if len(h) == n]
-        begins |= F.substring("word", 1, n).isin(some) if some else F.lit(False)
-    words = written(words.withColumn("_telling", F.col("_often") & (sure | begins)), "words")
-    insults = [r["word"] for r in words.where("_telling").orderBy(F.desc("_surplus"), "word").limit(POSITIVE_WORDS).collect()]
-    plain = words.where(~F.col("_often") & (F.col("good") > 0)).select("word", "good")
-    third = NEGATIVE_WORDS // 3
-    others = {r["word"]: r["good"] for r in plain.orderBy(F.desc("good"), "word").limit(third).collect()}
-    others |= {r["word"]: r["good"] for r in plain.orderBy(F.xxhash64("word", F.lit(19)), "word").limit(third).collect()}
-    keys, weights, bias = fit_words(insults, others)
-    for _ in range(HARD_ROUNDS if len(keys) else 0):  # the words that the machine gets wrong join in
-        draft = spark.sparkContext.broadcast(ToxicityModel(keys, weights, bias, np.zeros(4), np.ones(4), np.zeros(4), 0.0))
-
-        def valued(portion: list[str], draft=draft) -> dict[str, pa.Array]:
-            return {"value": pa.array(draft.value.word_values(portion), pa.float64())}
-
-        ranked = by_portion(plain, "word", valued, "value double", ["word", "good"])
-        hard = ranked.where("value > -0.5").orderBy(F.desc(F.col("value") * F.sqrt("good")), "word").limit(third // HARD_ROUNDS)
-        others |= {r["word"]: r["good"] for r in hard.collect()}
-        keys, weights, bias = fit_words(insults, others)
+    heads = counts.where(is_head & sure).select(F.col("word").alias("head"))
+    words = counts.where(~is_head & often).select("word", sure.alias("sure"), surplus.alias("surplus"))
+    beginnings = F.array(*[F.concat(F.substring("word", 1, n), F.lit(HEAD)) for n in HEADS])
+    begun = words.select("word", F.explode(beginnings).alias("head")).join(heads, "head", "left_semi").select("word").distinct()
+    telling = words.where("sure").select("word", "surplus").unionByName(words.where("not sure").join(begun, "word", "left_semi").drop("sure"))
+    each = taught.select("_id", "_toxic", F.xxhash64("words").alias("_text"), F.explode("words").alias("word"))
+    # Best first; a text brings as many as DECIDING.
+    shown = each.where("_toxic = 1").join(telling, "word").withColumn("rank", -F.col("surplus")).drop("surplus")
+    some = each.where("_toxic = 0").withColumn("rank", F.xxhash64("word", "_id", F.lit(19)).cast("double"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct("rank", "word"))), 1, DECIDING)
+    brought = shown.unionByName(some).groupBy("_toxic", "_id", "_text").agg(best.alias("best"))
+    toxic, other = {}, {}
+    for r in brought.select("_toxic", F.explode("best.word").alias("word")).groupBy("_toxic", "word").count().collect():
+        (toxic if r["_toxic"] else other)[r["word"]] = r["count"]
+    keys, weights, bias = fit_words(toxic, other)
+    for _ in range(ROUNDS if len(keys) else 0):
+        draft = ToxicityModel(keys, weights, bias, np.zeros(4), np.ones(4), np.zeros(4), 0.0)
+        for r in _decided_by(taught, draft).collect():
+            side = toxic if r["_toxic"] else other
+            side[r["word"]] = max(side.get(r["word"], 0), r["count"])
+        for w in toxic.keys() & other.keys():  # a word of both stands where more texts bring it
+            del (toxic if toxic[w] * good < other[w] * bad else other)[w]
+        keys, weights, bias = fit_words(toxic, other)
     model = ToxicityModel(keys, weights, bias, np.zeros(4), np.ones(4), np.zeros(4), -3.0)
     sent = spark.sparkContext.broadcast(model)
 
@@ -315,13 +361,53 @@ def train_toxicity(df: DataFrame, labels: DataFrame, id: str, text: str, label:
         x = np.stack([rows[f"x{i}"].to_numpy() for i in range(4)], axis=1)
         # The sample holds more toxic texts than the table; the offset is set back to its share.
         model.centre, model.scale, model.slopes, model.offset = fit_texts(x, y)
-        drawn = y.mean()
+        part = y.mean()
         share = numbers.get(1, 0) / max(1, sum(numbers.values()))
         if 0 < share < 1:
-            model.offset += float(np.log(share / (1 - share)) - np.log(drawn / (1 - drawn)))
+            model.offset += float(np.log(share / (1 - share)) - np.log(part / (1 - part)))
     return model
 
 
+def _numbers(marked: DataFrame) -> dict[int, int]:
+    """Rows by label."""
+    return {r["_toxic"]: r["n"] for r in marked.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _shares(numbers: dict[int, int], most: float) -> Column:
+    """The share of the rows of each label that makes about ``most`` rows."""
+    toxic, other = (min(1.0, most / max(1, numbers.get(x, 0))) for x in (1, 0))
+    return F.when(F.col("_toxic") == 1, toxic).otherwise(other)
+
+
+def _decided_by(taught: DataFrame, draft: ToxicityModel) -> DataFrame:
+    """``_toxic``, ``word``, ``count`` of the words by which the texts are decided.
+
+    Of a toxic text the one with the highest value, if any landmark speaks for it at all; of any other text
+    the highest ``DECIDING`` that are not on the right side of the margin.
+    """
+    sent = taught.sparkSession.sparkContext.broadcast(draft)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(first, TEXTS)
+                lists = some["words"]
+                words = lists.flatten().dictionary_encode()
+                value = sent.value.word_values(words.dictionary.to_pylist())[words.indices.to_numpy()]
+                ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+                at, of = [], []
+                for toxic, begin, end in zip(some["_toxic"].to_pylist(), np.r_[0, ends[:-1]], ends, strict=True):
+                    order = begin + np.argsort(-value[begin:end], kind="stable")[: 1 if toxic else DECIDING]
+                    order = order[value[order] > -1]
+                    at.append(order)
+                    of += [toxic] * len(order)
+                chosen = words.take(pa.array(np.concatenate(at).astype(np.int64))).dictionary_decode()
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), chosen], ["_toxic", "word"])
+
+    found = taught.select("_toxic", "words").mapInArrow(run, "_toxic int, word string")
+    return found.groupBy("_toxic", "word").count()
+
+
 def _once(drawn: DataFrame) -> DataFrame:
     """``_id``, ``_content`` and ``_toxic``: of rows with equal text and label the one with the smallest id."""
     return drawn.groupBy("_content", "_toxic").agg(F.min("_id").alias("_id")).select("_id", "_content", "_toxic")

@@ -1,11 +1,14 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from affinis.llm.langid import FollowTheLeader, identify_languages, softmax, train_languages
-from affinis.llm.toxicity import DECAY, OFFSETS, fit_words, kernel, letters_only, machine, toxic_texts, words_of, ToxicityModel
+from affinis.llm import toxicity
+from affinis.llm.langid import SCALE, FollowTheLeader, document_frequencies, identify_languages, softmax, train_languages
+from affinis.llm.toxicity import DECAY, OFFSETS, fit_words, kernel, letters_only, machine, toxic_texts, train_toxicity, words_of, ToxicityModel
 
 
 def held(i):
@@ -33,7 +36,7 @@ def test_kernel_is_the_sum_over_shared_subsequences():
 
 def test_folded_weights_equal_the_machine_on_landmarks():
     toxic, other = ["idiot", "moron", "clown", "stupid"], {"the": 9, "and": 9, "idea": 3, "crown": 2, "stupor": 1, "house": 5}
-    keys, weights, bias = fit_words(toxic, other)
+    keys, weights, bias = fit_words(dict.fromkeys(toxic, 1), other)
     model = ToxicityModel(keys, weights, bias, np.zeros(4), np.ones(4), np.zeros(4), 0.0)
     values = dict(zip([*toxic, *other], model.word_values([*toxic, *other]), strict=True))
     assert min(values[w] for w in toxic) > max(values[w] for w in other)
@@ -41,6 +44,85 @@ def test_folded_weights_equal_the_machine_on_landmarks():
     assert len(model.word_values(["x" * 1000, ""])) == 2
 
 
+def test_folded_weights_give_the_machine_s_own_values():
+    toxic, other = {"idiot": 4, "moron": 1, "clown": 2}, {"the": 9, "idea": 3, "crown": 2, "house": 5}
+    seen = {}
+
+    def watched(x, y, weight):
+        seen["x"], seen["fit"] = x, machine(x, y, weight)
+        return seen["fit"]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "machine", watched)
+        keys, weights, bias = fit_words(toxic, other)
+    w, b = seen["fit"]
+    values = ToxicityModel(keys, weights, bias, np.zeros(4), np.ones(4), np.zeros(4), 0.0).word_values(["idiot", "clown", "moron"])
+    assert values == pytest.approx((seen["x"] @ w + b)[:3], abs=1e-4)
+
+
+def test_joined_words_are_valued_apart_too():
+    keys, weights, bias = fit_words({"idiot": 3, "moron": 1}, {"the": 9, "idea": 3, "fool": 2, "house": 5})
+    model = ToxicityModel(keys, weights, bias, np.zeros(4), np.ones(4), np.zeros(4), 0.0)
+    plain, joined, apart = model.token_values(["idiot", "house,idiot/the", "id-io.t"])
+    assert joined == apart == plain > model.token_values(["house,the"])[0]
+
+
+def test_remembered_words_are_bounded_by_their_letters(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 10_000)
+    keys, weights, bias = fit_words({"idiot": 3}, {"the": 9, "house": 5})
+    model = ToxicityModel(keys, weights, bias, np.zeros(4), np.ones(4), np.zeros(4), 0.0)
+    for i in range(40):
+        model.features([f"idiot {'ab' * 1000}{i} the"])
+        assert sum(map(len, model.values)) <= 10_000
+
+
+def test_sample_of_a_hot_id_keeps_its_bound(spark):
+    rows = [(1, f"the house of {i}" + " you idiot" * (i % 2)) for i in range(600)] + [(i, f"a garden {i}") for i in range(3, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 200)], "doc_id long, toxic int")
+    sizes = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "fit_texts", lambda x, y: sizes.append(len(x)) or (np.zeros(4), np.ones(4), np.zeros(4), 0.0))
+        train_toxicity(docs, labels, "doc_id", "text", fit_rows=80)
+    assert all(n < 2 * 80 for n in sizes)
+    docs = docs.withColumn("lang", F.lit("en")).unionByName(docs.selectExpr("doc_id", "upper(text) text", "'de' lang"))
+    assert set(train_languages(docs, "doc_id", "text", "lang", fit_rows=80).languages) == {"de", "en"}
+
+
+def plain_features(text):
+    """Counts of hashed n-grams of one to three characters, borders as spaces, written out plainly."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower() + " ")
+    kept = "".join(c for i, c in enumerate(letters) if c != " " or i == 0 or letters[i - 1] != " ")
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(kept) - n + 1):
+            gram, mixed = kept[i : i + n], 0
+            if gram != " ":
+                for k, c in enumerate(gram):
+                    mixed = (mixed + (0 if c == " " else ord(c)) + k + 1) * 0x9E3779B97F4A7C15 % 2**64
+                out[mixed >> 48] += 1
+    return out
+
+
+def test_language_scores_against_plain_sums(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    open_rows = [r for r in docs.collect() if not held(r["doc_id"])]
+    number, seen = document_frequencies(spark.createDataFrame(open_rows, docs.schema), "text")
+    plain = Counter(f for r in open_rows for f in plain_features(r["text"] or ""))
+    assert number == sum(any(c.isalpha() for c in r["text"] or "") for r in open_rows)
+    assert {f: int(n) for f, n in enumerate(seen) if n} == plain
+    model = train_languages(docs, "doc_id", "text", "lang")
+    idf = np.array([math.log((1 + number) / (1 + n)) + 1 for n in seen])
+    assert model.table[:, -1] == pytest.approx(idf, rel=1e-6)
+    texts = [r["text"] for r in open_rows[:20]] + ["Déjà vu!", "x"]
+    weights = model.table[:, :-1] / idf[:, None]
+    for text, got in zip(texts, model.probabilities(texts)[0], strict=True):
+        counts = plain_features(text)
+        shares = {f: n * idf[f] for f, n in counts.items()}
+        logits = sum(SCALE * s / sum(shares.values()) * weights[f] for f, s in shares.items()) + model.bias
+        assert got == pytest.approx(softmax(logits[None] / model.temperature)[0], abs=1e-5)
+
+
 def test_machine_separates():
     dice = np.random.default_rng(1)
     x = np.r_[dice.normal(2, 1, (50, 3)), dice.normal(-2, 1, (50, 3))]
