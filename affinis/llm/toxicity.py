@@ -329,14 +329,18 @@ def train_toxicity(df: DataFrame, labels: DataFrame, id: str, text: str, label:
     beginnings = F.array(*[F.concat(F.substring("word", 1, n), F.lit(HEAD)) for n in HEADS])
     begun = words.select("word", F.explode(beginnings).alias("head")).join(heads, "head", "left_semi").select("word").distinct()
     telling = words.where("sure").select("word", "surplus").unionByName(words.where("not sure").join(begun, "word", "left_semi").drop("sure"))
-    each = taught.select("_id", "_toxic", F.xxhash64("words").alias("_text"), F.explode("words").alias("word"))
     # Best first; a text brings as many as DECIDING.
-    shown = each.where("_toxic = 1").join(telling, "word").withColumn("rank", -F.col("surplus")).drop("surplus")
-    some = each.where("_toxic = 0").withColumn("rank", F.xxhash64("word", "_id", F.lit(19)).cast("double"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct("rank", "word"))), 1, DECIDING)
-    brought = shown.unionByName(some).groupBy("_toxic", "_id", "_text").agg(best.alias("best"))
+    each = taught.where("_toxic = 1").select("_id", F.xxhash64("words").alias("_text"), F.explode("words").alias("word"))
+    ranked = each.join(telling, "word").groupBy("_id", "_text").agg(F.collect_list(F.struct(-F.col("surplus"), "word")).alias("found"))
+    by_hash = F.transform("words", lambda w: F.struct(F.xxhash64(w, F.col("_id"), F.lit(19)).alias("place"), w.alias("word")))
+    first = F.slice(F.array_sort("found"), 1, DECIDING)["word"]
+    brought = ranked.select(F.lit(1).alias("_toxic"), F.explode(first).alias("word")).unionByName(
+        taught.where("_toxic = 0").select(by_hash.alias("found")).select(
+            F.lit(0).alias("_toxic"), F.explode(first).alias("word")
+        )
+    )
     toxic, other = {}, {}
-    for r in brought.select("_toxic", F.explode("best.word").alias("word")).groupBy("_toxic", "word").count().collect():
+    for r in brought.groupBy("_toxic", "word").count().collect():
         (toxic if r["_toxic"] else other)[r["word"]] = r["count"]
     keys, weights, bias = fit_words(toxic, other)
     for _ in range(ROUNDS if len(keys) else 0):
