@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from brute import top_k
+from pyspark.sql import functions as F
 
 from affinis.operators.compare import score_stats
 from affinis.operators.topk import nearest, neighbours
@@ -143,3 +144,20 @@ def test_score_stats(spark):
     row = score_stats(df).first()
     assert (row["mean"], row["median"], row["min"], row["max"]) == (2.5, 2.0, 1.0, 5.0)
     assert row["std"] == pytest.approx(np.std([1, 2, 2, 5], ddof=1))
+
+
+@pytest.mark.parametrize("metric", METRICS)
+@pytest.mark.parametrize("block", [None, 16])
+def test_asked_rows_search_all_rows(hard, metric, block):
+    rows, df = hard
+    got = as_lists(neighbours(df, "id", "v", metric=metric, top_k=4, decimals=6, rows_per_block=block, asked=F.col("id") % 4 == 0))
+    want = {i: w for i, w in top_k(rows, metric, 4).items() if i % 4 == 0}
+    assert {i: [j for j, _ in g] for i, g in got.items()} == {i: [j for j, _ in w] for i, w in want.items()}
+    for i, expected in want.items():
+        assert [s for _, s in got[i]] == pytest.approx([s for _, s in expected], abs=2e-6)
+
+
+def test_asked_rows_are_bounded_by_the_table(vectors):
+    rows = neighbours(vectors, "id", "v", "name", top_k=50, asked=F.col("id") == 5).collect()
+    assert {r.neighbor_key for r in rows} == {"Alpha", "Beta", "Gamma", "Delta"}
+    assert neighbours(vectors, "id", "v", "name", asked=F.col("id") > 5).count() == 0
