@@ -95,3 +95,26 @@ def test_few_pairs_of_a_short_list_are_left(spark):
     pairs = spark.createDataFrame([(i, j, 1.0 - i / 1000 - j / 1e6) for i in range(100) for j in range(3)], "left_id long, right_id long, score double")
     assert _reachable(pairs.unionByName(pairs)).count() == 9
     assert sorted(tuple(r)[:2] for r in one_to_one(pairs).collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("metric,floor", [("cosine", 0.6), ("dot", 12.0), ("euclidean", -3.0), ("manhattan", -9.0)])
+@pytest.mark.parametrize("within", [True, False])
+def test_crowds_are_told_by_masks(monkeypatch, metric, floor, within):
+    monkeypatch.setattr(B, "EXACT", 0)
+    monkeypatch.setattr(B, "CROWD", 1 << 20)
+    monkeypatch.setattr(B, "TILE", (50, 70))
+    v = B.prepared(metric, rows_of(1, 200))
+    scores = B.pair_goodness(metric, v.T[:, :, None], v.T[:, None, :])
+    if within:
+        np.fill_diagonal(scores, -np.inf)
+    near, best = np.zeros(scores.shape, bool), np.full(len(v), -np.inf)
+    labels, want = np.arange(len(v)), np.arange(len(v))
+    for met in B.Scorer(metric, v).met(v, floor, within):
+        assert met.near is not None and met.near[met.i - met.own.start, met.j - met.part.start].all()
+        near[met.own, met.part] = met.near
+        np.maximum.at(best, met.i, met.value)
+        labels = B.joined_crowd(labels, met.near, np.arange(len(v))[met.own], np.arange(len(v))[met.part])
+    assert (near == (scores >= floor)).all() and near.sum() > 100
+    top = scores.max(axis=1)
+    assert (best == np.where(top >= floor, top, -np.inf)).all()
+    assert (labels == B.joined_labels(want, *np.nonzero(near))).all() and len(np.unique(labels)) > 1
