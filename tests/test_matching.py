@@ -250,3 +250,15 @@ def test_numbering(spark):
     got = numbered(df, ["part", "id"]).orderBy("_row_id").collect()
     assert [r["_row_id"] for r in got] == list(range(1, 1001))
     assert [(r["part"], r["id"]) for r in got] == sorted((i % 7, i) for i in range(1000))
+
+
+def test_dedup_lists_names_classes_and_no_pairs(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    texts = ["one two three"] * 4 + ["four five six"] * 2 + ["seven eight nine ten"]
+    rows = [(10 - i, t, "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries()["j_dedup_lists"](spark, str(tmp_path))
+    assert "_match_ids" not in found.columns
+    got = {r.doc_id: (r._match_count, r._class_id, r._class_rows) for r in found.collect()}
+    assert got == {10: (3, 7, 4), 9: (3, 7, 4), 8: (3, 7, 4), 7: (3, 7, 4), 6: (1, 5, 2), 5: (1, 5, 2), 4: (0, 4, 1)}
