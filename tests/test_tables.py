@@ -442,3 +442,19 @@ def test_probes_answer_each_query_alike(spark, tmp_path):
     assert answers(asked.limit(0), 3) == {}
     with pytest.raises(ValueError, match="dimensions"):
         answers(spark.createDataFrame([(1, [1.0])], "q long, v array<float>"), 3)
+
+
+def test_index_leaves_the_fields_in_the_table(spark, tmp_path):
+    rows = [(i, f"text {i}", [float(np.cos(i)), float(np.sin(i)), 0.1 * (i % 7)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, v array<float>")
+    table = VectorTable.create(spark, str(tmp_path / "t"), "given", 3, "id", ["text"])
+    table.insert(df.where("id < 50"), "v", "id")
+    asked = [0.3, 0.9, 0.2]
+    table.build_index(rows_per_cell=10)
+    table.insert(df.where("id >= 50"), "v", "id")
+    assert "row_data" not in table.index.rows.columns
+    got = table.query(asked, top_k=12, decimals=6).collect()
+    plain = VectorTable.create(spark, str(tmp_path / "plain"), "given", 3, "id", ["text"])
+    plain.insert(df, "v", "id")
+    assert got == plain.query(asked, top_k=12, decimals=6).collect() and len(got) == 12
+    assert all(f'"text {r.id}"' in r.fields for r in got)
