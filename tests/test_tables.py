@@ -458,3 +458,30 @@ def test_index_leaves_the_fields_in_the_table(spark, tmp_path):
     plain.insert(df, "v", "id")
     assert got == plain.query(asked, top_k=12, decimals=6).collect() and len(got) == 12
     assert all(f'"text {r.id}"' in r.fields for r in got)
+
+
+def test_columns_of_a_row_share_a_worker(spark):
+    df = spark.createDataFrame([("ab", None, "x"), ("abc", "x", "")], "a string, b string, c string")
+
+    class Once:
+        """Tells whether its process made another model for the same task."""
+
+        def __init__(self):
+            import os
+
+            self.pid = os.getpid()
+
+        def encode(self, texts):
+            return np.array([[self.pid, id(self) % 1_000_003] for _ in texts], dtype=np.float32)
+
+    once = EncoderSpec(Once, 2, "once")
+    rows = embed_columns(df.coalesce(1), ["a", "b", "c"], once).collect()
+    assert all(r["_emb_a"] == r["_emb_b"] == r["_emb_c"] for r in rows)
+    plan = embed_and_combine(df, ["a", "b", "c"], "v", once)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    # Each column keeps the encoder of its own model.
+    unlike = {"entity": lengths(), "mini": hashing(2)}.__getitem__
+    two = spark.createDataFrame([("aa", "aa b")], "Company string, Notes string")
+    got = embed_and_combine(two, ["Company", "Notes"], "v", unlike).first()["v"]
+    words = HashingEncoder(2).encode(["aa b"])[0]
+    assert got == pytest.approx([(2 + words[0]) / 2, (2 + words[1]) / 2])
