@@ -31,3 +31,17 @@ def run(spark, tables, name):
 def test_every_document_is_searched(spark, tables):
     found = run(spark, tables, "d_topk_docs")
     assert sorted((int(r.query_key), r["rank"]) for r in found) == [(i, n) for i in range(1, 111) for n in range(1, 6)]
+
+
+def pairs_are_whole(spark, tables, metric):
+    bound = PAIR_BOUNDS[metric]
+    within = (lambda s: s <= bound) if metric == "manhattan" else (lambda s: s >= bound)
+    v = tables[1]
+    want = {(i, j): s for k, (i, a) in enumerate(v) for j, b in v[k + 1 :] if within(s := score(metric, a, b))}
+    got = {(r.id_a, r.id_b): r.score for r in run(spark, tables, f"f_pairs_{metric}")}
+    assert len(want) > 200 and got.keys() == want.keys()
+    assert all(s == pytest.approx(want[p], abs=1e-4) for p, s in got.items())
+
+
+def test_cosine_pairs_are_listed(spark, tables):
+    pairs_are_whole(spark, tables, "cosine")
