@@ -45,3 +45,7 @@ def pairs_are_whole(spark, tables, metric):
 
 def test_cosine_pairs_are_listed(spark, tables):
     pairs_are_whole(spark, tables, "cosine")
+
+
+def test_manhattan_pairs_are_listed(spark, tables):
+    pairs_are_whole(spark, tables, "manhattan")
