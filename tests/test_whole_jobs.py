@@ -49,3 +49,7 @@ def test_cosine_pairs_are_listed(spark, tables):
 
 def test_manhattan_pairs_are_listed(spark, tables):
     pairs_are_whole(spark, tables, "manhattan")
+
+
+def test_dot_pairs_are_listed(spark, tables):
+    pairs_are_whole(spark, tables, "dot")
