@@ -53,3 +53,10 @@ def test_manhattan_pairs_are_listed(spark, tables):
 
 def test_dot_pairs_are_listed(spark, tables):
     pairs_are_whole(spark, tables, "dot")
+
+
+def test_score_stats_take_in_all_rows(spark, tables):
+    (got,) = run(spark, tables, "g_score_stats")
+    scores = [round(s, 4) for found in top_k(tables[1], "cosine", 5).values() for _, s in found]
+    assert len(scores) == 550
+    assert (got["mean"], got["min"], got["max"]) == pytest.approx((np.mean(scores), min(scores), max(scores)), abs=1e-5)
