@@ -60,3 +60,14 @@ def test_score_stats_take_in_all_rows(spark, tables):
     scores = [round(s, 4) for found in top_k(tables[1], "cosine", 5).values() for _, s in found]
     assert len(scores) == 550
     assert (got["mean"], got["min"], got["max"]) == pytest.approx((np.mean(scores), min(scores), max(scores)), abs=1e-5)
+
+
+def searches_are_whole(spark, tables, metric):
+    got = run(spark, tables, f"g_topk_{metric}")
+    want = top_k(tables[1], metric, 5)
+    assert {(r.query_key, r["rank"], r.neighbor_key) for r in got} == {
+        (str(i), n, str(j)) for i, found in want.items() for n, (j, _) in enumerate(found, 1)}
+
+
+def test_cosine_searches_ask_for_all_rows(spark, tables):
+    searches_are_whole(spark, tables, "cosine")
