@@ -71,3 +71,7 @@ def searches_are_whole(spark, tables, metric):
 
 def test_cosine_searches_ask_for_all_rows(spark, tables):
     searches_are_whole(spark, tables, "cosine")
+
+
+def test_euclidean_searches_ask_for_all_rows(spark, tables):
+    searches_are_whole(spark, tables, "euclidean")
