@@ -75,3 +75,7 @@ def test_cosine_searches_ask_for_all_rows(spark, tables):
 
 def test_euclidean_searches_ask_for_all_rows(spark, tables):
     searches_are_whole(spark, tables, "euclidean")
+
+
+def test_manhattan_searches_ask_for_all_rows(spark, tables):
+    searches_are_whole(spark, tables, "manhattan")
