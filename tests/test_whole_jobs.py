@@ -79,3 +79,7 @@ def test_euclidean_searches_ask_for_all_rows(spark, tables):
 
 def test_manhattan_searches_ask_for_all_rows(spark, tables):
     searches_are_whole(spark, tables, "manhattan")
+
+
+def test_dot_searches_ask_for_all_rows(spark, tables):
+    searches_are_whole(spark, tables, "dot")
