@@ -83,3 +83,9 @@ def test_manhattan_searches_ask_for_all_rows(spark, tables):
 
 def test_dot_searches_ask_for_all_rows(spark, tables):
     searches_are_whole(spark, tables, "dot")
+
+
+def test_searches_above_a_threshold_ask_for_all_rows(spark, tables):
+    got = {(r.query_key, r.neighbor_key) for r in run(spark, tables, "g_topk_threshold")}
+    want = top_k(tables[1], "cosine", 5)
+    assert got == {(str(i), str(j)) for i, found in want.items() for j, s in found if round(s, 4) >= 0.4} and got
