@@ -89,3 +89,14 @@ def test_searches_above_a_threshold_ask_for_all_rows(spark, tables):
     got = {(r.query_key, r.neighbor_key) for r in run(spark, tables, "g_topk_threshold")}
     want = top_k(tables[1], "cosine", 5)
     assert got == {(str(i), str(j)) for i, found in want.items() for j, s in found if round(s, 4) >= 0.4} and got
+
+
+def test_dedup_lists_name_every_match(spark, tables):
+    got = {r.doc_id: r for r in run(spark, tables, "j_dedup_lists")}
+    alike = {}
+    for i, text, _ in tables[2]:
+        alike.setdefault(text, []).append(i)
+    assert len(got) == 110 and max(map(len, alike.values())) == 11
+    for i, text, _ in tables[2]:
+        listed = {int(k) for k in got[i]["_match_ids"].split(", ") if k}
+        assert listed >= set(alike[text]) - {i} and len(listed) == got[i]["_match_count"]
