@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from brute import score, top_k
 
+import __spark_entry__ as entry
 from __spark_entry__ import PAIR_BOUNDS, queries
 
 
@@ -100,3 +101,15 @@ def test_dedup_lists_name_every_match(spark, tables):
     for i, text, _ in tables[2]:
         listed = {int(k) for k in got[i]["_match_ids"].split(", ") if k}
         assert listed >= set(alike[text]) - {i} and len(listed) == got[i]["_match_count"]
+
+
+def test_graph_recall_walks_from_every_row(spark, tables, monkeypatch):
+    asked, search = [], entry.beam_search
+
+    def counted(graph, rows, *args, **options):
+        asked.append(rows.count())
+        return search(graph, rows, *args, **options)
+
+    monkeypatch.setattr(entry, "beam_search", counted)
+    assert run(spark, tables, "i_graph_recall") == [(550, True, True)]
+    assert asked == [110]
