@@ -38,3 +38,11 @@ def test_rounds(crowd, monkeypatch, size):
     assert got == {i: (lowest[number[i]] if i in number else i, links[i]) for i in range(240)}
     listed = P.similar_pairs(df, "id", "v", "cosine", 0.9, rows_per_block=16)
     assert sorted((r.id_a, r.id_b) for r in listed.collect()) == sorted(want)
+
+
+def test_bins_in_rounds(crowd, monkeypatch):
+    monkeypatch.setattr(P, "SHIPPED", 0)
+    rows, df = crowd
+    got = [r.pairs for r in score_histogram(df, "id", "v", bins=10, rows_per_block=16).orderBy("bin").collect()]
+    scores = [score("cosine", a, b) for i, a in rows for j, b in rows if i < j]
+    assert got == np.bincount(np.clip(np.floor((np.array(scores) + 1) / 0.2).astype(int), 0, 9), minlength=10).tolist()
