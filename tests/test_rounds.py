@@ -46,3 +46,19 @@ def test_bins_in_rounds(crowd, monkeypatch):
     got = [r.pairs for r in score_histogram(df, "id", "v", bins=10, rows_per_block=16).orderBy("bin").collect()]
     scores = [score("cosine", a, b) for i, a in rows for j, b in rows if i < j]
     assert got == np.bincount(np.clip(np.floor((np.array(scores) + 1) / 0.2).astype(int), 0, 9), minlength=10).tolist()
+
+
+@pytest.mark.parametrize("linked", [False, True])
+def test_two_tables_in_rounds(spark, crowd, monkeypatch, linked):
+    monkeypatch.setattr(P, "SHIPPED", 0)
+    monkeypatch.setattr(P, "TOGETHER", 16)
+    rows, _ = crowd
+    left, right = rows[1:20], [(i, a) for i, a in rows[21:] if i % 20]
+    tables = [spark.createDataFrame([(i, v, str(i)) for i, v in side], "_rep long, _vec array<double>, _print string") for side in (left, right)]
+    met = {(r["_a"], r["_b"]) for r in P.across(*tables, 0.9, linked=linked).collect()}
+    want = near(left, 0.9, right)
+    if linked:
+        split = lambda edges: {frozenset(i for i, n in g.items() if n == k) for g in [groups(edges)] for k in g.values()}
+        assert split(met) == split(want)
+    else:
+        assert met == want
